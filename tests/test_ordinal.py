@@ -51,7 +51,7 @@ def test_carry_forward_crosses_ranges(spark):
     df = spark.createDataFrame(rows, "file string, line long, header string")
     w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     want = df.withColumn("carried", F.last("header", ignorenulls=True).over(w))
-    same(o.carry_forward(df, ["line"], "header", by=["file"], ranges=20), want)
+    same(o.carry_forward(df, ["line"], {"carried": "header"}, by=["file"], ranges=20), want)
 
 
 def test_cap_rules(spark):

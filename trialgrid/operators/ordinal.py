@@ -8,8 +8,10 @@ lands on the same result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -120,14 +122,14 @@ def _along(
     ranged = cut.assign(df)
     totals = ranged.groupBy(_RANGE, *by).agg(*[c.alias(n) for n, c in total.items()])
     earlier = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    names = list(inside(earlier))
+    names = list(carried(earlier))
     # A group reaches back only from the first group of a range: at most one row per range, so this is
     # bounded by the number of ranges whatever the number of groups.
     offsets = totals.select(
         F.col(_RANGE).alias("__o_range"),
         *[F.col(name).alias(f"__o_{name}") for name in by],
         *[c.alias(f"__c_{n}") for n, c in carried(earlier).items()],
-    ).filter(F.coalesce(*[F.col(f"__c_{n}").isNotNull() for n in names]))
+    ).filter(reduce(or_, [F.col(f"__c_{n}").isNotNull() for n in names]))
     local = inside(Window.partitionBy(_RANGE, *by).orderBy(*order))
     placed = ranged.select("*", *[c.alias(n) for n, c in local.items()])
     same = placed[_RANGE] == offsets["__o_range"]
@@ -185,22 +187,29 @@ def exclusive_sum(
 def carry_forward(
     df: DataFrame,
     order: Sequence[str],
-    value: str,
+    values: Mapping[str, str],
     by: Sequence[str] = (),
-    name: str = "carried",
     ranges: int | None = None,
 ) -> DataFrame:
-    """Add the last non-null `value` at or before each row. `by` + `order` must be unique."""
+    """For each new column -> value column, add the last non-null value at or before each row.
+
+    `by` + `order` must be unique.
+    """
     position = F.struct(*[F.col(key) for key in order])
+    total = {
+        f"__t_{name}": F.max_by(F.col(value), F.when(F.col(value).isNotNull(), position)) for name, value in values.items()
+    }
+
+    def upto(w):
+        return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
     return _along(
         df,
         by,
         order,
-        inside=lambda w: {
-            name: F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        },
-        total={"__total": F.max_by(F.col(value), F.when(F.col(value).isNotNull(), position))},
-        carried=lambda w: {name: F.last("__total", ignorenulls=True).over(w)},
+        inside=lambda w: {name: F.last(value, ignorenulls=True).over(upto(w)) for name, value in values.items()},
+        total=total,
+        carried=lambda w: {name: F.last(f"__t_{name}", ignorenulls=True).over(w) for name in values},
         combine=lambda _, here, before: F.coalesce(here, before),
         ranges=ranges,
     )
