@@ -5,11 +5,13 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import sys
 import tarfile
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def decoded_name(path: Column) -> Column:
     """`dir/a.gz` -> `dir/data-a`; the path itself for an unknown suffix."""
     kind = archive_kind(path)
     stem = F.substring(path, F.lit(1), F.length(path) - F.length(kind) - 1)
-    return F.when(kind.isNotNull(), F.regexp_replace(stem, r"([^/]*)$", DECODED_PREFIX + "$1")).otherwise(path)
+    return F.when(kind.isNotNull(), F.regexp_replace(stem, r"(?s)^(.*/)?([^/]*)$", "$1" + DECODED_PREFIX + "$2")).otherwise(path)
 
 
 def _members(kind: str | None, content: bytes) -> Iterator[tuple[str | None, io.BufferedIOBase]]:
@@ -82,7 +84,7 @@ def decode_archives(files: DataFrame) -> DataFrame:
     its content and name and has a null kind.
     """
     path = F.col("path")
-    named = files.select("path", archive_kind(path).alias("kind"), decoded_name(path).alias("name"), "content")
+    named = files.select(path, archive_kind(path).alias("kind"), decoded_name(path).alias("name"), "content")
     return named.mapInPandas(_decode, LINES)
 
 
@@ -95,3 +97,7 @@ def read_archives(spark: SparkSession, directory: str) -> DataFrame:
 def read_compressed_text(spark: SparkSession, path: str) -> DataFrame:
     """Lines of gz and bz2 files through Spark's codecs; bz2 files are split over tasks."""
     return spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
+
+
+# Tasks get this module's functions with the job, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -30,7 +30,7 @@ def config_scan_xml(spark: SparkSession, path: str, row_tag: str = "property") -
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("row"),
         "name",
-        "value",
+        F.nullif("value", F.lit("")).alias("value"),
     )
 
 
