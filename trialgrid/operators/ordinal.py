@@ -31,53 +31,72 @@ _RANGE = "__range"
 
 @dataclass(frozen=True)
 class Ranges:
-    """Ordered key boundaries; range `i` holds the keys from boundary `i - 1` up to boundary `i`, exclusive."""
+    """Ordered key boundaries; range `i` holds the keys from boundary `i - 1` up to boundary `i`, exclusive.
+
+    A boundary is the JSON text of a key. It enters a plan as one constant, however many boundaries there are.
+    """
 
     keys: tuple[str, ...]
     types: tuple[str, ...]
-    bounds: tuple[Row, ...]
+    bounds: tuple[str, ...]
 
     @property
     def count(self) -> int:
         return len(self.bounds) + 1
 
-    def key(self) -> Column:
+    @property
+    def schema(self) -> str:
+        return "struct<" + ",".join(f"k{i}:{kind}" for i, kind in enumerate(self.types)) + ">"
+
+    def _comparable(self, key: Column) -> Column:
         """One key is compared as it is, so the comparison can be pushed to the scan; more keys as a struct."""
-        return F.col(self.keys[0]) if len(self.keys) == 1 else F.struct(*[F.col(name) for name in self.keys])
+        return key["k0"] if len(self.keys) == 1 else key
 
-    def bound(self, row: Row) -> Column:
-        parts = [F.lit(v).cast(t).alias(k) for k, t, v in zip(self.keys, self.types, row)]
-        return parts[0] if len(parts) == 1 else F.struct(*parts)
+    def key(self) -> Column:
+        if len(self.keys) == 1:
+            return F.col(self.keys[0])
+        return F.struct(*[F.col(name).alias(f"k{i}") for i, name in enumerate(self.keys)])
 
     def assign(self, df: DataFrame, name: str = _RANGE) -> DataFrame:
-        """Add the range number by binary search over the constant boundary array."""
+        """Add the range number by binary search over the constant boundary array; null keys come first."""
         df = df.withColumn(name, F.lit(0))
         if not self.bounds:
             return df
-        bounds = F.array(*[self.bound(row) for row in self.bounds])
+        bounds = F.from_json(F.lit("[" + ",".join(self.bounds) + "]"), f"array<{self.schema}>")
         step = 1 << (len(self.bounds).bit_length() - 1)
         while step:
             here = F.col(name)
-            reached = F.get(bounds, here + (step - 1)) <= self.key()
+            reached = self._comparable(F.get(bounds, here + (step - 1))) <= self.key()
             df = df.withColumn(name, F.when(reached, here + step).otherwise(here))
             step >>= 1
         return df
 
-    def up_to(self, row: Row, including: bool) -> Column:
-        """Rows before a key (or up to and with it); null keys sort first."""
-        first = F.col(self.keys[0])
-        bound = self.bound(row)
-        inside = self.key() <= bound if including else self.key() < bound
+    def before(self, position: int) -> Column:
+        """Rows before a boundary."""
+        bound = F.from_json(F.lit(self.bounds[position]), self.schema)
+        inside = self.key() < self._comparable(bound)
         if len(self.keys) > 1:
-            inside = (first <= F.lit(row[0]).cast(self.types[0])) & inside
-        return first.isNull() | inside
+            inside = (F.col(self.keys[0]) <= bound["k0"]) & inside
+        return F.col(self.keys[0]).isNull() | inside
 
-    def starting_at(self, row: Row) -> Column:
-        """Rows at or after a key."""
-        after = self.key() >= self.bound(row)
+    def starting_at(self, position: int) -> Column:
+        """Rows at or after a boundary."""
+        bound = F.from_json(F.lit(self.bounds[position]), self.schema)
+        inside = self.key() >= self._comparable(bound)
         if len(self.keys) > 1:
-            after = (F.col(self.keys[0]) >= F.lit(row[0]).cast(self.types[0])) & after
-        return after
+            inside = (F.col(self.keys[0]) >= bound["k0"]) & inside
+        return inside
+
+
+def up_to(df: DataFrame, keys: Sequence[str], last: Row) -> Column:
+    """Rows with a key up to and including `last`; the first key alone also bounds the scan."""
+    types = dict(df.dtypes)
+    parts = [F.lit(value).cast(types[name]) for name, value in zip(keys, last)]
+    first = F.col(keys[0])
+    inside = first <= parts[0]
+    if len(keys) > 1:
+        inside = inside & (F.struct(*[F.col(name) for name in keys]) <= F.struct(*parts))
+    return first.isNull() | inside
 
 
 def cut_ranges(df: DataFrame, keys: Sequence[str], ranges: int | None = None) -> Ranges | None:
@@ -85,24 +104,21 @@ def cut_ranges(df: DataFrame, keys: Sequence[str], ranges: int | None = None) ->
 
     `ranges` defaults to twice the shuffle partitions of the session.
     """
-    spark = df.sparkSession
     types = tuple(dict(df.dtypes)[name] for name in keys)
-    chosen = df.select(*keys)
+    chosen = df.select(*[F.col(name).alias(f"k{i}") for i, name in enumerate(keys)])
     rows = chosen.count()
     if ranges is None:
         if rows <= ONE_TASK_ROWS:
             return None
-        ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranges = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(1, min(ranges, MAX_RANGES))
-    fraction = min(1.0, KEYS_PER_RANGE * ranges / max(rows, 1))
-    drawn = chosen if fraction >= 1.0 else chosen.sample(fraction, seed=20)
-    drawn = drawn.filter(F.col(keys[0]).isNotNull()).orderBy(*keys).collect()
-    bounds: list[Row] = []
-    for i in range(1, ranges):
-        at = i * len(drawn) // ranges
-        if at and at < len(drawn) and (not bounds or drawn[at] != bounds[-1]):
-            bounds.append(drawn[at])
-    return Ranges(tuple(keys), types, tuple(bounds))
+    wanted = KEYS_PER_RANGE * ranges
+    drawn = chosen if rows <= wanted else chosen.sample(wanted / rows, seed=20)
+    # About `wanted` keys, whatever the size of the table, go to one task, which sorts them.
+    drawn = drawn.filter(F.col("k0").isNotNull()).repartition(1).sortWithinPartitions(*chosen.columns)
+    texts = [row[0] for row in drawn.select(F.to_json(F.struct(*chosen.columns))).collect()]
+    picked = [texts[i * len(texts) // ranges] for i in range(1, ranges)] if texts else []
+    return Ranges(tuple(keys), types, tuple(dict.fromkeys(text for text in picked if text != texts[0])))
 
 
 def _along(
@@ -240,9 +256,9 @@ def capped_prefix(df: DataFrame, order: Sequence[str], size: str, cap: int | Non
         if crossing is None:
             return df
         if crossing < len(cut.bounds):
-            left = left.filter(cut.up_to(cut.bounds[crossing], including=False))
+            left = left.filter(cut.before(crossing))
         if crossing > 0:
-            left = left.filter(cut.starting_at(cut.bounds[crossing - 1]))
+            left = left.filter(cut.starting_at(crossing - 1))
         if rows <= CROSSING_ROWS:
             break
     running = F.sum("__size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
@@ -250,6 +266,4 @@ def capped_prefix(df: DataFrame, order: Sequence[str], size: str, cap: int | Non
     last = kept.agg(F.max(F.struct(*order)).alias("last")).first()["last"]
     if last is None:
         return df.limit(0)
-    types = dict(df.dtypes)
-    edge = Ranges(tuple(order), tuple(types[name] for name in order), (last,))
-    return df.filter(edge.up_to(last, including=True))
+    return df.filter(up_to(df, order, last))

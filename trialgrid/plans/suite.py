@@ -20,7 +20,7 @@ from trialgrid.operators.grid import CANCELLED, DONE, ParameterError, last_statu
 from trialgrid.operators.macros import run_builtins, substitute_macros
 from trialgrid.plans.experiment import CONFIG_PARAMETER, Experiment
 from trialgrid.sources.datasets import import_function, make_dataset
-from trialgrid.sources.runlog import DATASETS, RUNS, STATES, append_rows, read_rows
+from trialgrid.sources.runlog import DATASETS, RUNS, append_rows, read_rows
 
 #: Runs of one suite; each is a job of its own.
 RUN_LIMIT = 100_000
@@ -61,13 +61,21 @@ def suite_runs(spark: SparkSession, experiment: Experiment) -> DataFrame:
 
 
 def resolve_runs(experiment: Experiment, runs: DataFrame) -> DataFrame:
-    """One row per repetition with its run id and all macros resolved for it."""
+    """One row per repetition with its run id, all macros resolved for it, and its job split into parts."""
     reps = experiment.repetitions
     repeated = runs.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     run_id = ((F.col("comb_id") - 1) * reps + F.col("rep")).cast("bigint")
     repeated = repeated.withColumn("run_id", run_id)
     builtins = run_builtins(F.col("ds_id"), F.col("run_id"))
-    return substitute_macros(repeated, experiment.order, builtins, experiment.uses)
+    resolved = substitute_macros(repeated, experiment.order, builtins, experiment.uses)
+    return resolved.withColumn("job", split_job_spec(F.col(f"`{JOB_PARAMETER}`")))
+
+
+def suite_state(records: DataFrame, repetitions: int) -> DataFrame:
+    """State per combination and attempt from its run records: done if all repetitions are."""
+    complete = F.count_if(F.col("status") == DONE) >= repetitions
+    status = F.when(complete, F.lit(DONE)).otherwise(F.lit(CANCELLED))
+    return records.groupBy("comb_key", "attempt").agg(status.alias("status"), F.max("ts").alias("ts"))
 
 
 def run_suite(
@@ -80,56 +88,57 @@ def run_suite(
 ) -> DataFrame:
     """Run what remains of an experiment and return its run records.
 
-    `home` holds the tables `state`, `runs` and `datasets`, and with `load="table"` the loaded data; outputs go to
-    the experiment's `test.output_path`. A failing combination is recorded as cancelled and the suite goes on;
-    a later call tries it again until `max_attempts`. With `load="direct"` each run scans the dataset itself, so
-    that it reads only the columns it needs; `load="table"` writes the dataset once per batch.
+    `home` holds the tables `runs` and `datasets`, and with `load="table"` the loaded data; outputs go to the
+    experiment's `test.output_path`. A failing combination is recorded as cancelled and the suite goes on; a later
+    call tries it again until `max_attempts`. With `load="direct"` each run scans the dataset itself, so that it
+    reads only the columns it needs; `load="table"` writes the dataset once per batch.
     """
+    if JOB_PARAMETER not in experiment.runs:
+        raise ParameterError(f"{JOB_PARAMETER} should be specified")
     runs = suite_runs(spark, experiment)
-    state = read_rows(spark, STATES, f"{home}/state")
+    state = suite_state(read_rows(spark, RUNS, f"{home}/runs"), experiment.repetitions)
     tried = state.groupBy("comb_key").agg(F.max("attempt").alias("attempts"))
     todo = remaining_runs(runs, state, ["comb_key"]).join(tried, "comb_key", "left")
     todo = todo.withColumn("attempts", F.coalesce("attempts", F.lit(0))).filter(F.col("attempts") < max_attempts)
-    batch, dataset = None, None
-    # At most RUN_LIMIT rows of parameters; all repetitions of a combination are resolved beforehand.
-    resolved = resolve_runs(experiment, todo).orderBy("run_id").collect()
+    # At most RUN_LIMIT combinations of parameters; all their repetitions are resolved in one job.
     combinations: dict[str, list[Row]] = {}
-    for run in resolved:
+    for run in resolve_runs(experiment, todo).orderBy("run_id").collect():
         combinations.setdefault(run["comb_key"], []).append(run)
+    batch, dataset = None, None
     for key, repetitions in combinations.items():
         first = repetitions[0]
         attempt = first["attempts"] + 1
-        records, status, error = [], DONE, None
-        try:
-            if batch != first["ds_id"]:
-                batch, dataset = None, None
-                dataset = _load(spark, experiment, first, home, load)
+        records = []
+        if batch != first["ds_id"]:
+            try:
+                batch, dataset = None, _load(spark, experiment, first, home, load)
                 batch = first["ds_id"]
-            for run in repetitions:
-                job_id, error = _run(spark, experiment, run, dataset, jobs or {})
-                params = {name: run[name] for name in [*experiment.dataset, *experiment.runs]}
-                outcome = CANCELLED if error else DONE
-                records.append((run["run_id"], key, job_id, params, run["rep"], outcome, attempt, error, _now()))
-                if error:
-                    break
-        except Exception as failure:  # the dataset could not be loaded
-            error = str(failure)
-        if error:
-            status = CANCELLED
-        if records:
-            append_rows(spark, records, RUNS, f"{home}/runs")
-        append_rows(spark, [(key, status, attempt, _now())], STATES, f"{home}/state")
+            except Exception as failure:  # a dataset that cannot be loaded must not end the suite
+                records.append((None, key, UNKNOWN_JOB, {}, 0, CANCELLED, attempt, _reason(failure), _now()))
+        for run in repetitions if batch is not None else ():
+            job_id, error = _run(spark, experiment, run, dataset, jobs or {})
+            params = {name: run[name] for name in [*experiment.dataset, *experiment.runs]}
+            status = CANCELLED if error else DONE
+            records.append((run["run_id"], key, job_id, params, run["rep"], status, attempt, error, _now()))
+            if error:
+                break
+        append_rows(spark, records, RUNS, f"{home}/runs")
     return read_rows(spark, RUNS, f"{home}/runs")
 
 
 def suite_progress(spark: SparkSession, experiment: Experiment, home: str) -> dict[str, int]:
     """Combinations in all and done so far."""
-    state = read_rows(spark, STATES, f"{home}/state")
+    state = suite_state(read_rows(spark, RUNS, f"{home}/runs"), experiment.repetitions)
     done = last_status(state, ["comb_key"]).filter(F.col("status") == DONE).count()
     total = suite_runs(spark, experiment).count()
     return {"total": total, "done": done, "remaining": total - done}
 
 
+def _reason(failure: Exception) -> str:
+    lines = f"{type(failure).__name__}: {failure}".splitlines()
+    return lines[0]
+
+
 def _now() -> datetime.datetime:
     return datetime.datetime.now()
 
@@ -165,23 +174,17 @@ def _run(
     context.setJobGroup(group, json.dumps(params))
     try:
         with engine_settings(spark, settings):
-            spec = _job_spec(spark, run[JOB_PARAMETER])
-            job = jobs[spec["path"]] if spec["path"] in jobs else import_function(spec["path"])
-            output = job(spark, dataset, (spec["params"] or "").split(), params)
+            path, arguments = run["job"]["path"], run["job"]["params"]
+            job = jobs[path] if path in jobs else import_function(path)
+            output = job(spark, dataset, (arguments or "").split(), params)
             if experiment.output_path:
                 output.write.mode("overwrite").parquet(f"{experiment.output_path}/run_id={run['run_id']}")
             else:
                 output.write.format("noop").mode("overwrite").save()
     except Exception as failure:  # a failing job must not end the suite
-        error = f"{type(failure).__name__}: {failure}".splitlines()[0]
+        error = _reason(failure)
     finally:
         started = context.statusTracker().getJobIdsForGroup(group)
         context.setLocalProperty("spark.jobGroup.id", None)
         context.setLocalProperty("spark.job.description", None)
     return (f"{context.applicationId}_{min(started)}" if started else UNKNOWN_JOB), error
-
-
-def _job_spec(spark: SparkSession, text: str | None) -> Row:
-    if not text:
-        raise ParameterError("xp.job is empty")
-    return spark.createDataFrame([(text,)], "spec string").select(split_job_spec(F.col("spec")).alias("s")).first()["s"]

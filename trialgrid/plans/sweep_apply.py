@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import prod
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,10 @@ from trialgrid.operators.grid import GRID_LIMIT, ParameterError
 
 #: Combinations up to which every matching pair of row and combination may be formed inside a task.
 PAIRWISE_LIMIT = 1_000
+#: Combinations up to which the aggregated cells, at most one per combination, are broadcast and finished in one task.
+ONE_TASK_GRID = 10_000
+#: Values up to which a list is counted through instead of searched.
+SHORT_LIST = 16
 
 
 @dataclass(frozen=True)
@@ -49,29 +55,52 @@ def _ordered(axis: Axis) -> list:
     return sorted(dict.fromkeys(axis.values), reverse=axis.op in (">=", ">"))
 
 
-def _first_fit(df: DataFrame, axis: Axis, name: str) -> DataFrame:
-    """Add the position of the first value a row fits; the number of values if it fits none.
+def _fits_any(axis: Axis, values: Sequence) -> Column:
+    """Rows that fit at least the least demanding value: a plain comparison, which reaches the scan."""
+    column, last = F.col(axis.column), F.lit(values[-1])
+    return {
+        ">=": lambda: column >= last,
+        ">": lambda: column > last,
+        "<=": lambda: column <= last,
+        "<": lambda: column < last,
+        "==": lambda: column.isin(*values),
+    }[axis.op]()
 
-    Binary search over the constant value array, so the work per row grows with the logarithm of the list.
+
+def _fails(axis: Axis, value: Column) -> Column:
+    column = F.col(axis.column)
+    return {
+        ">=": lambda: column < value,
+        ">": lambda: column <= value,
+        "<=": lambda: column > value,
+        "<": lambda: column >= value,
+    }[axis.op]()
+
+
+def _first_fit(df: DataFrame, axes: Sequence[Axis], ordered: Sequence[Sequence], cells: Sequence[str]) -> DataFrame:
+    """Add the position of the first value each row fits; rows that fit none are gone already.
+
+    Short lists are counted through. Long ones take a binary search over a constant array, so that the work per
+    row grows with the logarithm of the list.
     """
-    values = _ordered(axis)
-    column, array = F.col(axis.column), literal_array(values)
-    if axis.op == "==":
-        at = F.array_position(array, column).cast("int") - 1
-        return df.withColumn(name, F.when(at >= 0, at).otherwise(len(values)))
-    fails = {
-        ">=": lambda value: value > column,
-        ">": lambda value: value >= column,
-        "<=": lambda value: value < column,
-        "<": lambda value: value <= column,
-    }[axis.op]
-    df = df.withColumn(name, F.lit(0))
-    step = 1 << (len(values).bit_length() - 1)
-    while step:
-        here = F.col(name)
-        df = df.withColumn(name, F.when(fails(F.get(array, here + (step - 1))), here + step).otherwise(here))
-        step >>= 1
-    return df.withColumn(name, F.when(column.isNull(), len(values)).otherwise(F.col(name)))
+    short, long = [], []
+    for axis, values, cell in zip(axes, ordered, cells):
+        if axis.op == "==":
+            short.append((F.array_position(literal_array(values), F.col(axis.column)).cast("int") - 1).alias(cell))
+        elif len(values) <= SHORT_LIST:
+            short.append(sum((_fails(axis, F.lit(v)).cast("int") for v in values[:-1]), F.lit(0)).alias(cell))
+        else:
+            long.append((axis, values, cell))
+            short.append(F.lit(0).alias(cell))
+    df = df.select("*", *short)
+    for axis, values, cell in long:
+        array, here = literal_array(values), F.col(cell)
+        step = 1 << (len(values).bit_length() - 1)
+        while step:
+            fails = _fails(axis, F.get(array, here + (step - 1)))
+            df = df.withColumn(cell, F.when(fails, here + step).otherwise(here))
+            step >>= 1
+    return df
 
 
 def sweep_apply(df: DataFrame, axes: Sequence[Axis], measures: Sequence[Measure], limit: int = GRID_LIMIT) -> DataFrame:
@@ -83,23 +112,22 @@ def sweep_apply(df: DataFrame, axes: Sequence[Axis], measures: Sequence[Measure]
     """
     ordered = [_ordered(axis) for axis in axes]
     sizes = [len(values) for values in ordered]
-    if prod(sizes) > limit:
-        raise ParameterError(f"{prod(sizes)} combinations are more than the limit of {limit}")
+    combinations = prod(sizes)
+    if combinations > limit:
+        raise ParameterError(f"{combinations} combinations are more than the limit of {limit}")
     cells = [f"__cell{i}" for i in range(len(axes))]
-    placed = df
-    for axis, cell in zip(axes, cells):
-        placed = _first_fit(placed, axis, cell)
-    for cell, size in zip(cells, sizes):
-        placed = placed.filter(F.col(cell) < size)
+    fitting = df.filter(reduce(and_, [_fits_any(axis, values) for axis, values in zip(axes, ordered)]))
+    placed = _first_fit(fitting, axes, ordered, cells)
     found = placed.groupBy(*cells).agg(*[_first(m).alias(m.name) for m in measures])
 
-    # All combinations by their digits; the id range spreads over tasks.
-    grid, stride = df.sparkSession.range(prod(sizes)), 1
+    # All combinations by their digits. A small grid is finished in one task, a large one in as many as it needs.
+    spark = df.sparkSession
+    grid = spark.range(0, combinations, 1, 1) if combinations <= ONE_TASK_GRID else spark.range(combinations)
+    digits, stride = [], 1
     for cell, size in zip(cells, sizes):
-        digit = F.call_function("div", F.col("id"), F.lit(stride).cast("bigint")) % size
-        grid = grid.withColumn(cell, digit.cast("int"))
+        digits.append((F.call_function("div", F.col("id"), F.lit(stride).cast("bigint")) % size).cast("int").alias(cell))
         stride *= size
-    result = grid.drop("id").join(found, cells, "left")
+    result = grid.select(*digits).join(F.broadcast(found) if combinations <= ONE_TASK_GRID else found, cells, "left")
     for axis, cell in zip(axes, cells):
         if axis.op != "==":
             others = [other for other in cells if other != cell]

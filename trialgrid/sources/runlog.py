@@ -11,7 +11,6 @@ RUNS = (
     "run_id bigint, comb_key string, job_id string, params map<string,string>, rep int, status string, "
     "attempt int, error string, ts timestamp"
 )
-STATES = "comb_key string, status string, attempt int, ts timestamp"
 DATASETS = "ds_id bigint, ds_class string, props map<string,string>"
 LOADS = "dest string, desired_size bigint, files bigint, raw_bytes bigint, final_bytes bigint"
 
