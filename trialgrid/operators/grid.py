@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trialgrid.functions.params import literal_array
 from trialgrid.operators.joins import null_safe_join
 from trialgrid.operators.ordinal import ordinal
-from trialgrid.session import fits_broadcast
+from trialgrid.session import cut_lineage, fits_broadcast
 
 #: Combinations a grid may have before it is refused.
 GRID_LIMIT = 1_000_000_000
@@ -122,7 +122,7 @@ def same_dataset_batch(grid: DataFrame, dataset_keys: Sequence[str], run_keys: S
 
     Runs sorted by `comb_id` use one dataset after the other.
     """
-    datasets = ordinal(grid.select(*dataset_keys).distinct(), dataset_keys, name="ds_id")
+    datasets = ordinal(cut_lineage(grid.select(*dataset_keys).distinct()), dataset_keys, name="ds_id")
     datasets = datasets.withColumn("ds_id", F.col("ds_id") + 1)
     numbered = ordinal(grid, [*dataset_keys, *run_keys], name="comb_id")
     numbered = numbered.withColumn("comb_id", F.col("comb_id") + 1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialgrid.operators.ordinal import ordinal
-from trialgrid.session import broadcast_if_small
+from trialgrid.session import broadcast_if_small, cut_lineage
 
 # Names used by topologies and hardware groups.
 DEFAULT_RACK = "/default-rack"
@@ -34,9 +34,10 @@ def group_counts(hosts: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
 def hardware_groups(hosts: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
     """Groups of equal hardware named `cluster-0`, `cluster-1`, .. in order of first appearance.
 
-    One row per group; `members_in_order` gives the hosts themselves.
+    One row per group; `members_in_order` gives the hosts themselves. The groups are written out once, so that
+    numbering them does not group the hosts again.
     """
-    groups = ordinal(group_counts(hosts, keys, pos), ["first_pos"], name="__no")
+    groups = ordinal(cut_lineage(group_counts(hosts, keys, pos)), ["first_pos"], name="__no")
     name = F.concat(F.lit(GROUP_PREFIX), F.col("__no").cast("string"))
     return groups.select(name.alias("cluster"), *keys, "n", "first_pos")
 

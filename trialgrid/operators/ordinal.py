@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 #: Up to this many rows (for instance a list of parameter values) one sorted task is the cheaper plan.
-ONE_TASK_ROWS = 1_000
+ONE_TASK_ROWS = 500
 #: Keys drawn per range when the boundaries are chosen; this only affects how even the ranges are.
 KEYS_PER_RANGE = 32
 #: Ranges at most: their boundaries live on the driver and in the plan.

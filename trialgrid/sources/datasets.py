@@ -63,8 +63,8 @@ def round_robin_assign(rows: DataFrame, order: Sequence[str], slots: int, name:
 
 
 def write_slots(rows: DataFrame, path: str, slot: str = "slot") -> None:
-    """One folder per slot; a slot without rows has none."""
-    rows.write.partitionBy(slot).parquet(path)
+    """One folder per slot; a slot without rows has none. Large slots are written by several tasks."""
+    rows.hint("rebalance", slot).write.partitionBy(slot).parquet(path)
 
 
 def load_size_report(rows: DataFrame, raw: Column, final: Column, by: Sequence[str] = ()) -> DataFrame:

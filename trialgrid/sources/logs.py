@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialgrid.functions.params import literal_array
@@ -18,18 +18,28 @@ from trialgrid.functions.text import (
     size_after_tab,
     size_before_tab,
 )
+from trialgrid.operators.joins import null_safe_join
+from trialgrid.session import cut_lineage, fits_broadcast
 from trialgrid.sources.lines import read_lines
 
 #: Job ids that may be given as a Python list; a longer list is given as a DataFrame.
 ID_LIMIT = 200
 
 
+def _first_hit(lines: DataFrame, by: Sequence[str], order: Sequence[str], found: Column, name: str) -> DataFrame:
+    """The first non-null `found` of every log, null for logs without one.
+
+    Only the few lines with a hit are sorted and shuffled; the logs themselves come from a scan of their ids.
+    """
+    hits = lines.select(*by, *order, found.alias(name)).filter(F.col(name).isNotNull())
+    first = hits.groupBy(*by).agg(F.min_by(name, F.struct(*order)).alias(name))
+    return null_safe_join(lines.select(*by).distinct(), first, by, "left")
+
+
 def extract_job_id(lines: DataFrame, log: Sequence[str], order: Sequence[str], line: str = "line") -> DataFrame:
     """Job id of the first announcing line of every log, `unknown` for logs without one."""
-    job = job_id_of_line(F.col(line))
-    marked = lines.select(*log, F.when(job.isNotNull(), F.struct(*order, job.alias("job_id"))).alias("hit"))
-    first = marked.groupBy(*log).agg(F.min("hit").alias("hit"))
-    return first.select(*log, F.coalesce("hit.job_id", F.lit(UNKNOWN_JOB)).alias("job_id"))
+    first = _first_hit(lines, log, order, job_id_of_line(F.col(line)), "job_id")
+    return first.select(*log, F.coalesce("job_id", F.lit(UNKNOWN_JOB)).alias("job_id"))
 
 
 def listing_lines(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -47,16 +57,15 @@ def first_parsable_size(
 ) -> DataFrame:
     """Size from the first line of a report that holds one, warnings left out; null if none does."""
     size = (size_after_tab if old_form else size_before_tab)(F.col(line))
-    clean = F.when(has_no_marker(F.col(line), ANY_WARNING), size)
-    marked = lines.select(*by, F.when(clean.isNotNull(), F.struct(*order, clean.alias("size"))).alias("hit"))
-    return marked.groupBy(*by).agg(F.min("hit").alias("hit")).select(*by, F.col("hit.size").alias("size"))
+    return _first_hit(lines, by, order, F.when(has_no_marker(F.col(line), ANY_WARNING), size), "size")
 
 
 def job_history_scan(files: DataFrame, name: str, job_ids: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """Files whose name starts with one of the job ids, or with `job_` when none are given.
 
-    A short list is a filter. A table of ids is matched by equality: each name is cut to every length that
-    occurs among the ids, so no pairs are formed.
+    A short list is a filter. A table of ids is matched by equality, on each length that occurs among the ids: by
+    lookups without a shuffle if the ids can be broadcast, otherwise by one join on all prefixes. No pairs are
+    formed either way.
     """
     column = F.col(name)
     if job_ids is None:
@@ -68,10 +77,18 @@ def job_history_scan(files: DataFrame, name: str, job_ids: Sequence[str] | DataF
         for job_id in job_ids:
             hit = hit | F.startswith(column, F.lit(job_id))
         return files.filter(hit)
-    ids = job_ids.toDF("__id").filter(F.col("__id").isNotNull()).distinct()
+    ids = cut_lineage(job_ids.toDF("__id").filter(F.col("__id").isNotNull()).distinct())
     lengths = [row[0] for row in ids.select(F.length("__id")).distinct().collect()]  # lengths of file names
     if not lengths:
         return files.limit(0)
+    if fits_broadcast(ids):
+        marked, hit = files, F.lit(False)
+        for length in lengths:
+            known = ids.filter(F.length("__id") == length).select(F.col("__id").alias(f"__id{length}"))
+            prefix = F.substring(column, F.lit(1), F.lit(length)) == F.col(f"__id{length}")
+            marked = marked.join(F.broadcast(known), prefix, "left")
+            hit = hit | F.col(f"__id{length}").isNotNull()
+        return marked.filter(hit).select(*files.columns)
     prefixes = F.transform(literal_array(lengths), lambda n: F.when(F.length(column) >= n, F.substring(column, F.lit(1), n)))
     cut = files.select(name, F.explode(prefixes).alias("__id")).filter(F.col("__id").isNotNull())
     names = cut.join(ids, "__id", "left_semi").select(name).distinct()

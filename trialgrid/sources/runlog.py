@@ -57,9 +57,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 def export_output(outputs: DataFrame, path: str, run: str = "run_id", mode: str = "errorifexists") -> None:
     """Outputs of runs, one folder per run, so that one run is read without touching the others.
 
-    Rows of a run are not gathered in one task: every task writes its part of a run.
+    Rows are brought together by run to write few files, and AQE splits the partition of a large run.
     """
-    outputs.write.mode(mode).partitionBy(run).parquet(path)
+    outputs.hint("rebalance", run).write.mode(mode).partitionBy(run).parquet(path)
 
 
 def fetch_output(spark: SparkSession, path: str, runs: Sequence[int], run: str = "run_id") -> DataFrame:
