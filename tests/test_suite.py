@@ -125,13 +125,27 @@ def test_pi(spark):
     assert abs(pi_estimate(spark.range(1, 200_001), "id").first()["pi"] - 3.14159) < 0.001
 
 
-def test_shared_folder_comes_from_the_session(spark, monkeypatch):
-    folder = shared_dir(spark)
-    assert spark.conf.get("spark.checkpoint.dir") == folder
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
-    spark.conf.unset("spark.checkpoint.dir")
-    try:
-        with pytest.raises(RuntimeError):
-            shared_dir(spark)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", folder)
+class Context:
+    """The parts of a session that name the shared folder."""
+
+    def __init__(self, master, configured=None):
+        self.master, self.folder, self.sparkContext, self.conf = master, None, self, self
+        self.configured = configured
+
+    def get(self, name, default):
+        assert name == "spark.checkpoint.dir"
+        return self.configured or default
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_shared_folder_comes_from_the_session():
+    assert shared_dir(Context("spark://host:7077", "hdfs://x/shared/")) == "hdfs://x/shared"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Context("spark://host:7077"))
+    alone = Context("local[2]")
+    assert shared_dir(alone) == shared_dir(alone) == alone.folder

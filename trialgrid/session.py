@@ -34,14 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session, where driver and executors are one process, may fall back to a temporary folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="trialgrid-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="trialgrid-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -51,10 +51,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to reliable storage and continue from there, so a loop's plan does not grow."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    context = df.sparkSession.sparkContext
+    folder = shared_dir(df.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
