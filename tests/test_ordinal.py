@@ -79,3 +79,18 @@ def test_no_task_sees_all_rows(spark):
     capped = o.capped_prefix(df, ["id"], "size", 2500)
     plan = capped._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and capped.count() == 2500
+
+
+def test_running_aggregates(spark):
+    df = table(spark, 200, 3, 9).withColumn("low", F.when(F.col("id") % 7 == 0, F.col("size"))).withColumn("high", F.col("low"))
+    w = Window.partitionBy("grp").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("id", "grp", F.sum("size").over(w), F.min("low").over(w), F.max("high").over(w))
+    got = o.running(df, ["id"], {"size": "sum", "low": "min", "high": "max"}, by=["grp"], ranges=9)
+    same(got, want)
+
+
+def test_more_ranges_for_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(o, "ROWS_PER_RANGE", 100)
+    assert o.cut_ranges(spark.range(6000), ["id"]).count == 60
+    monkeypatch.setattr(o, "MAX_RANGES", 30)
+    assert o.cut_ranges(spark.range(6000), ["id"]).count == 30

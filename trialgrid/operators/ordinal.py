@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 ONE_TASK_ROWS = 500
 #: Keys drawn per range when the boundaries are chosen; this only affects how even the ranges are.
 KEYS_PER_RANGE = 32
+#: Rows a range should hold at most, so that its sort fits a task (a larger one spills).
+ROWS_PER_RANGE = 5_000_000
 #: Ranges at most: their boundaries live on the driver and in the plan.
-MAX_RANGES = 4_096
+MAX_RANGES = 16_384
 
 #: The range in which a cap is crossed is cut again until it has at most this many rows.
 CROSSING_ROWS = 1_000_000
@@ -102,7 +104,8 @@ def up_to(df: DataFrame, keys: Sequence[str], last: Row) -> Column:
 def cut_ranges(df: DataFrame, keys: Sequence[str], ranges: int | None = None) -> Ranges | None:
     """Choose boundaries from a bounded sample of the keys; None when the rows fit one task.
 
-    `ranges` defaults to twice the shuffle partitions of the session.
+    `ranges` defaults to twice the shuffle partitions of the session, and to more for tables so large that a
+    range would hold too many rows.
     """
     types = tuple(dict(df.dtypes)[name] for name in keys)
     chosen = df.select(*[F.col(name).alias(f"k{i}") for i, name in enumerate(keys)])
@@ -110,7 +113,8 @@ def cut_ranges(df: DataFrame, keys: Sequence[str], ranges: int | None = None) ->
     if ranges is None:
         if rows <= ONE_TASK_ROWS:
             return None
-        ranges = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = max(2 * partitions, rows // ROWS_PER_RANGE)
     ranges = max(1, min(ranges, MAX_RANGES))
     wanted = KEYS_PER_RANGE * ranges
     drawn = chosen if rows <= wanted else chosen.sample(wanted / rows, seed=20)
@@ -200,6 +204,38 @@ def exclusive_sum(
     )
 
 
+def running(
+    df: DataFrame, order: Sequence[str], fns: Mapping[str, str], by: Sequence[str] = (), ranges: int | None = None
+) -> DataFrame:
+    """Replace each column of `fns` by its sum, min or max over all rows up to and including each row.
+
+    `by` + `order` must be unique.
+    """
+    over = {"sum": F.sum, "min": F.min, "max": F.max}
+    merge = {
+        "sum": lambda here, before: F.coalesce(here + before, here, before),
+        "min": F.least,
+        "max": F.greatest,
+    }
+    rest = [name for name in df.columns if name not in fns]
+    held = df.select(*rest, *[F.col(name).alias(f"__v_{name}") for name in fns])
+
+    def upto(w):
+        return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    result = _along(
+        held,
+        by,
+        order,
+        inside=lambda w: {name: over[fn](f"__v_{name}").over(upto(w)) for name, fn in fns.items()},
+        total={f"__t_{name}": over[fn](f"__v_{name}") for name, fn in fns.items()},
+        carried=lambda w: {name: over[fn](f"__t_{name}").over(w) for name, fn in fns.items()},
+        combine=lambda name, here, before: merge[fns[name]](here, before),
+        ranges=ranges,
+    )
+    return result.select(*df.columns)
+
+
 def carry_forward(
     df: DataFrame,
     order: Sequence[str],

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from trialgrid.functions.params import literal_array
 from trialgrid.operators.grid import GRID_LIMIT, ParameterError
+from trialgrid.operators.ordinal import running
+from trialgrid.session import cut_lineage
 
 #: Combinations up to which every matching pair of row and combination may be formed inside a task.
 PAIRWISE_LIMIT = 1_000
@@ -41,9 +43,6 @@ class Measure:
     expr: Column | None = None
 
 
-_MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
-
-
 def _first(measure: Measure) -> Column:
     if measure.fn == "count":
         return F.count("*" if measure.expr is None else measure.expr)
@@ -127,12 +126,20 @@ def sweep_apply(df: DataFrame, axes: Sequence[Axis], measures: Sequence[Measure]
     for cell, size in zip(cells, sizes):
         digits.append((F.call_function("div", F.col("id"), F.lit(stride).cast("bigint")) % size).cast("int").alias(cell))
         stride *= size
-    result = grid.select(*digits).join(F.broadcast(found) if combinations <= ONE_TASK_GRID else found, cells, "left")
+    one_task = combinations <= ONE_TASK_GRID
+    result = grid.select(*digits).join(F.broadcast(found) if one_task else found, cells, "left")
+    merges = {m.name: "sum" if m.fn == "count" else m.fn for m in measures}
     for axis, cell in zip(axes, cells):
-        if axis.op != "==":
-            others = [other for other in cells if other != cell]
+        if axis.op == "==":
+            continue
+        others = [other for other in cells if other != cell]
+        if one_task:
             upto = Window.partitionBy(*others).orderBy(cell).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            result = result.select(*cells, *[_MERGE[m.fn](m.name).over(upto).alias(m.name) for m in measures])
+            sums = [F.expr(f"{fn}(`{name}`)").over(upto).alias(name) for name, fn in merges.items()]
+            result = result.select(*cells, *sums)
+        else:
+            # Written out before each axis, since its running sums take several passes.
+            result = running(cut_lineage(result), [cell], merges, by=others)
     names = [F.get(literal_array(values), F.col(cell)).alias(axis.name) for axis, cell, values in zip(axes, cells, ordered)]
     filled = [
         F.coalesce(m.name, F.lit(0).cast("bigint")).alias(m.name) if m.fn == "count" else F.col(m.name) for m in measures

@@ -15,6 +15,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialgrid.sources.lines import FILE_PATH, LINE_ORDER, read_lines
+
 # Suffixes in the order in which they are tried, and the prefix of decoded names.
 SUFFIXES = ("tar.gz", "gz", "zip", "bz2")
 DECODED_PREFIX = "data-"
@@ -88,15 +90,35 @@ def decode_archives(files: DataFrame) -> DataFrame:
     return named.mapInPandas(_decode, LINES)
 
 
-def read_archives(spark: SparkSession, directory: str) -> DataFrame:
-    """Decode every file below a directory."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    return decode_archives(reader.load(directory).select("path", "content"))
+def _read_by_codec(path: Column) -> Column:
+    """Files that Spark's text source reads itself: plain, gz and bz2, of any size."""
+    packed = F.endswith(path, F.lit("tar.gz")) | F.endswith(path, F.lit("zip"))
+    other_gz = F.endswith(path, F.lit("gz")) & ~F.endswith(path, F.lit(".gz"))
+    other_bz2 = F.endswith(path, F.lit("bz2")) & ~F.endswith(path, F.lit(".bz2"))
+    return ~(packed | other_gz | other_bz2)
 
 
-def read_compressed_text(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of gz and bz2 files through Spark's codecs; bz2 files are split over tasks."""
-    return spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
+def read_archives(spark: SparkSession, directory: str) -> DataFrame:
+    """Every file below a directory as lines (path, kind, name, member, block_start, row, line).
+
+    Plain, gz and bz2 files go through Spark's codecs, which read them as streams and split the plain and bz2
+    ones over tasks. Only zip and tar.gz archives are decoded as a whole, each in one task.
+    """
+    lines = read_lines(spark, directory, _read_by_codec)
+    path = F.col("file")
+    streamed = lines.select(
+        path.alias("path"),
+        archive_kind(path).alias("kind"),
+        decoded_name(path).alias("name"),
+        F.lit(None).cast("string").alias("member"),
+        *LINE_ORDER,
+        "line",
+    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
+    packed = decode_archives(files.filter(~_read_by_codec(F.col(FILE_PATH))).select("path", "content"))
+    whole = packed.select("path", "kind", "name", "member", F.lit(0).cast("bigint").alias("block_start"),
+                          F.col("line_no").alias("row"), "line")
+    return streamed.unionByName(whole)
 
 
 # Tasks get this module's functions with the job, so executors need not have the package installed.
