@@ -94,3 +94,21 @@ def test_more_ranges_for_more_rows(spark, monkeypatch):
     assert o.cut_ranges(spark.range(6000), ["id"]).count == 60
     monkeypatch.setattr(o, "MAX_RANGES", 30)
     assert o.cut_ranges(spark.range(6000), ["id"]).count == 30
+
+
+def test_a_hot_null_group_is_split(spark):
+    df = spark.range(600).select(F.when(F.col("id") % 3 > 0, F.lit("g")).alias("grp"), "id")
+    w = Window.partitionBy("grp").orderBy("id")
+    same(o.ordinal(df, ["id"], by=["grp"], ranges=10), df.withColumn("ordinal", F.row_number().over(w).cast("long") - 1))
+    cut = o.cut_ranges(df, ["grp", "id"], 10)
+    assert cut.assign(df).filter("grp is null").select("__range").distinct().count() > 2
+
+
+@pytest.mark.parametrize("cap", [1, 60, 199, 200, 201, 350, 599, 600, 700])
+def test_cap_with_null_keys(spark, monkeypatch, cap):
+    monkeypatch.setattr(o, "CROSSING_ROWS", 20)
+    monkeypatch.setattr(o, "ONE_TASK_ROWS", 10)
+    df = spark.range(600).select(F.when(F.col("id") % 3 > 0, F.lit("g")).alias("grp"), "id", F.lit(1).alias("size"))
+    kept = o.capped_prefix(df, ["grp", "id"], "size", cap)
+    assert kept.count() == min(cap, 600)
+    assert kept.filter("grp is null").count() == min(cap, 200)

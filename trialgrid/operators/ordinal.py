@@ -8,10 +8,11 @@ lands on the same result.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -50,14 +51,8 @@ class Ranges:
     def schema(self) -> str:
         return "struct<" + ",".join(f"k{i}:{kind}" for i, kind in enumerate(self.types)) + ">"
 
-    def _comparable(self, key: Column) -> Column:
-        """One key is compared as it is, so the comparison can be pushed to the scan; more keys as a struct."""
-        return key["k0"] if len(self.keys) == 1 else key
-
-    def key(self) -> Column:
-        if len(self.keys) == 1:
-            return F.col(self.keys[0])
-        return F.struct(*[F.col(name).alias(f"k{i}") for i, name in enumerate(self.keys)])
+    def _at_or_after(self, bound: Column) -> Column:
+        return at_or_after([F.col(name) for name in self.keys], [bound[f"k{i}"] for i in range(len(self.keys))])
 
     def assign(self, df: DataFrame, name: str = _RANGE) -> DataFrame:
         """Add the range number by binary search over the constant boundary array; null keys come first."""
@@ -68,37 +63,56 @@ class Ranges:
         step = 1 << (len(self.bounds).bit_length() - 1)
         while step:
             here = F.col(name)
-            reached = self._comparable(F.get(bounds, here + (step - 1))) <= self.key()
+            there = here + (step - 1)
+            reached = (there < len(self.bounds)) & self._at_or_after(F.get(bounds, there))
             df = df.withColumn(name, F.when(reached, here + step).otherwise(here))
             step >>= 1
         return df
 
+    def _bound(self, position: int) -> tuple[Column, Column | None]:
+        """A boundary, and its first key unless that is null."""
+        text = self.bounds[position]
+        bound = F.from_json(F.lit(text), self.schema)
+        return bound, None if json.loads(text).get("k0") is None else bound["k0"]
+
     def before(self, position: int) -> Column:
-        """Rows before a boundary."""
-        bound = F.from_json(F.lit(self.bounds[position]), self.schema)
-        inside = self.key() < self._comparable(bound)
-        if len(self.keys) > 1:
-            inside = (F.col(self.keys[0]) <= bound["k0"]) & inside
-        return F.col(self.keys[0]).isNull() | inside
+        """Rows before a boundary; the condition on the first key can be pushed to the scan."""
+        bound, edge = self._bound(position)
+        first, inside = F.col(self.keys[0]), ~self._at_or_after(bound)
+        if edge is None:
+            return inside
+        if len(self.keys) == 1:
+            return first.isNull() | (first < edge)
+        return first.isNull() | ((first <= edge) & inside)
 
     def starting_at(self, position: int) -> Column:
         """Rows at or after a boundary."""
-        bound = F.from_json(F.lit(self.bounds[position]), self.schema)
-        inside = self.key() >= self._comparable(bound)
-        if len(self.keys) > 1:
-            inside = (F.col(self.keys[0]) >= bound["k0"]) & inside
-        return inside
+        bound, edge = self._bound(position)
+        inside = self._at_or_after(bound)
+        return inside if edge is None else (F.col(self.keys[0]) >= edge) & inside
+
+
+def at_or_after(keys: Sequence[Column], bound: Sequence[Column]) -> Column:
+    """Whether a key is at or after a boundary, column by column; null sorts first, as in `orderBy`."""
+    key, edge = keys[0], bound[0]
+    if len(keys) == 1:
+        return F.coalesce(key >= edge, edge.isNull())
+    beyond = F.coalesce(key > edge, key.isNotNull() & edge.isNull())
+    return beyond | (key.eqNullSafe(edge) & at_or_after(keys[1:], bound[1:]))
 
 
 def up_to(df: DataFrame, keys: Sequence[str], last: Row) -> Column:
-    """Rows with a key up to and including `last`; the first key alone also bounds the scan."""
+    """Rows with a key up to and including `last`; the condition on the first key can be pushed to the scan."""
     types = dict(df.dtypes)
+    columns = [F.col(name) for name in keys]
     parts = [F.lit(value).cast(types[name]) for name, value in zip(keys, last)]
-    first = F.col(keys[0])
-    inside = first <= parts[0]
-    if len(keys) > 1:
-        inside = inside & (F.struct(*[F.col(name) for name in keys]) <= F.struct(*parts))
-    return first.isNull() | inside
+    first = columns[0].isNull()
+    if last[0] is not None:
+        first = first | (columns[0] <= parts[0])
+    if len(keys) == 1:
+        return first
+    same = reduce(and_, [column.eqNullSafe(part) for column, part in zip(columns, parts)])
+    return first & (~at_or_after(columns, parts) | same)
 
 
 def cut_ranges(df: DataFrame, keys: Sequence[str], ranges: int | None = None) -> Ranges | None:
@@ -119,7 +133,7 @@ def cut_ranges(df: DataFrame, keys: Sequence[str], ranges: int | None = None) ->
     wanted = KEYS_PER_RANGE * ranges
     drawn = chosen if rows <= wanted else chosen.sample(wanted / rows, seed=20)
     # About `wanted` keys, whatever the size of the table, go to one task, which sorts them.
-    drawn = drawn.filter(F.col("k0").isNotNull()).repartition(1).sortWithinPartitions(*chosen.columns)
+    drawn = drawn.repartition(1).sortWithinPartitions(*chosen.columns)
     texts = [row[0] for row in drawn.select(F.to_json(F.struct(*chosen.columns))).collect()]
     picked = [texts[i * len(texts) // ranges] for i in range(1, ranges)] if texts else []
     return Ranges(tuple(keys), types, tuple(dict.fromkeys(text for text in picked if text != texts[0])))
@@ -272,7 +286,7 @@ def capped_prefix(df: DataFrame, order: Sequence[str], size: str, cap: int | Non
 
     The row that crosses the cap is kept. No cap, or 0, keeps everything. Only the key and the size are read to
     find the crossing row; the result is then a filter on the key, which reaches the scan and needs no shuffle.
-    The key must be unique, and its first column not null.
+    The key must be unique.
     """
     if not cap:
         return df

@@ -34,8 +34,12 @@ def read_rows(spark: SparkSession, schema: str, path: str) -> DataFrame:
 
 
 def run_summary(params: DataFrame, ident: Sequence[str], names: Sequence[str], name: str = "name", value: str = "value") -> DataFrame:
-    """Long (ident, name, value) records to one wide row per run; one value per run and name."""
-    return params.groupBy(*ident).pivot(name, list(names)).agg(F.max(value))
+    """Long (ident, name, value) records to one wide row per run; one value per run and name.
+
+    The names are known, so one aggregate with a condition per name does it in a single shuffle.
+    """
+    columns = [F.max(F.when(F.col(name) == one, F.col(value))).alias(one) for one in names]
+    return params.groupBy(*ident).agg(*columns)
 
 
 def run_params(runs: DataFrame) -> DataFrame:
