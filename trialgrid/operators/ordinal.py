@@ -29,7 +29,11 @@ MAX_RANGES = 16_384
 #: The range in which a cap is crossed is cut again until it has at most this many rows.
 CROSSING_ROWS = 1_000_000
 
+#: Characters all boundaries may have together; wider keys get fewer ranges.
+MAX_BOUND_TEXT = 1_000_000
+
 _RANGE = "__range"
+_EDGE = "__edge"
 
 
 @dataclass(frozen=True)
@@ -64,10 +68,12 @@ class Ranges:
         while step:
             here = F.col(name)
             there = here + (step - 1)
-            reached = (there < len(self.bounds)) & self._at_or_after(F.get(bounds, there))
+            # The boundary is a column of its own, so that the constant occurs once per step of the plan.
+            df = df.withColumn(_EDGE, F.get(bounds, there))
+            reached = (there < len(self.bounds)) & self._at_or_after(F.col(_EDGE))
             df = df.withColumn(name, F.when(reached, here + step).otherwise(here))
             step >>= 1
-        return df
+        return df.drop(_EDGE)
 
     def _bound(self, position: int) -> tuple[Column, Column | None]:
         """A boundary, and its first key unless that is null."""
@@ -136,7 +142,9 @@ def cut_ranges(df: DataFrame, keys: Sequence[str], ranges: int | None = None) ->
     drawn = drawn.repartition(1).sortWithinPartitions(*chosen.columns)
     texts = [row[0] for row in drawn.select(F.to_json(F.struct(*chosen.columns))).collect()]
     picked = [texts[i * len(texts) // ranges] for i in range(1, ranges)] if texts else []
-    return Ranges(tuple(keys), types, tuple(dict.fromkeys(text for text in picked if text != texts[0])))
+    bounds = list(dict.fromkeys(text for text in picked if text != texts[0]))
+    every = 1 + sum(map(len, bounds)) // MAX_BOUND_TEXT
+    return Ranges(tuple(keys), types, tuple(bounds[::every]))
 
 
 def _along(

@@ -54,25 +54,34 @@ def ini_entries(lines: DataFrame, ranges: int | None = None) -> DataFrame:
     forward over ranges of lines, so a large file is handled by many tasks.
     """
     line = F.col("line")
-    continued = F.rlike(line, F.lit(INI_CONTINUED))
-    useful = lines.filter(~F.rlike(line, F.lit(INI_COMMENT)))
-    header = F.when(~continued & F.rlike(line, F.lit(INI_HEADER)), F.regexp_extract(line, INI_HEADER, 1))
-    option = F.when(
-        header.isNull() & ~continued & F.rlike(line, F.lit(INI_OPTION)),
-        F.lower(strip(F.regexp_extract(line, INI_OPTION, 1))),
+    # Each pattern is matched once per line; a group of a pattern that does not match is empty.
+    matched = lines.filter(~F.rlike(line, F.lit(INI_COMMENT))).select(
+        "file",
+        *LINE_ORDER,
+        "line",
+        F.rlike(line, F.lit(INI_CONTINUED)).alias("continued"),
+        F.regexp_extract(line, INI_HEADER, 1).alias("header"),
+        F.lower(strip(F.regexp_extract(line, INI_OPTION, 1))).alias("option"),
+        # A value ends before its first `;` if a blank stands before that.
+        strip(F.regexp_replace(F.regexp_extract(line, INI_OPTION, 2), r"^([^;]*\s);.*$", "$1")).alias("value"),
+    )
+    header = F.when(~F.col("continued"), F.nullif("header", F.lit("")))
+    option = F.when(~F.col("continued") & (F.col("header") == ""), F.nullif("option", F.lit("")))
+    kinds = matched.select(
+        "file", *LINE_ORDER, "line", "continued", header.alias("header"), option.alias("option"), "value"
     )
-    # A value ends before its first `;` if a blank stands before that; two quotes stand for an empty value.
-    raw = F.regexp_extract(line, INI_OPTION, 2)
-    bare = strip(F.regexp_replace(raw, r"^([^;]*\s);.*$", "$1"))
-    value = F.when(bare == '""', F.lit("")).otherwise(bare)
     place = F.struct(*LINE_ORDER)
-    marked = useful.select(
+    is_option, is_header = F.col("option").isNotNull(), F.col("header").isNotNull()
+    marked = kinds.select(
         "file",
         *LINE_ORDER,
-        header.alias("header"),
+        "header",
         # A header starts with no option open, so an indented line right after it belongs to nothing.
-        F.when(option.isNotNull() | header.isNotNull(), F.struct(place.alias("at"), option.alias("name"))).alias("start"),
-        F.when(option.isNotNull(), value).when(continued, strip(line)).alias("part"),
+        F.when(is_option | is_header, F.struct(place.alias("at"), F.col("option").alias("name"))).alias("start"),
+        # Two quotes stand for an empty value.
+        F.when(is_option, F.when(F.col("value") == '""', F.lit("")).otherwise(F.col("value")))
+        .when(F.col("continued"), strip(line))
+        .alias("part"),
     )
     carried = carry_forward(marked, LINE_ORDER, {"section": "header", "open": "start"}, by=["file"], ranges=ranges)
     parts = carried.filter(F.col("open.name").isNotNull() & F.col("section").isNotNull() & F.col("part").isNotNull())
