@@ -57,7 +57,11 @@ def test_carry_forward_crosses_ranges(spark):
 def test_cap_rules(spark):
     df = spark.createDataFrame([("a", 40), ("b", 40), ("c", 40)], "path string, length long")
     keep = lambda cap: o.capped_prefix(df, ["path"], "length", cap).count()
-    assert [keep(c) for c in (80, 81, 0, None, 500, 1)] == [2, 3, 3, 3, 3, 1]
+    assert [keep(c) for c in (80, 81, 0, None, 120, 1)] == [2, 3, 3, 3, 3, 1]
+    with pytest.warns(UserWarning, match="real size = 120"):
+        assert keep(500) == 3
+    with pytest.warns(UserWarning, match="real size = 120"):
+        assert o.capped_prefix(df, ["path"], "length", 121, ranges=3).count() == 3
 
 
 @pytest.mark.parametrize("seed", range(4))

@@ -184,7 +184,7 @@ def test_load_takes_whole_files_up_to_the_size(spark, text_dir):
     for cap, files in ((80, 2), (81, 3), (None, 3), (0, 3)):
         dest = scratch_path(spark, "load")
         assert datasets.load_dataset(spark, text_dir, dest, "text", cap, loads=loads).count() == files
-    with pytest.warns(UserWarning, match="do not fill up"):
+    with pytest.warns(UserWarning, match="does not fill up"):
         datasets.load_dataset(spark, text_dir, scratch_path(spark, "load"), "text", 500, loads=loads)
     records = datasets.loaded_datasets(spark, loads).orderBy("raw_bytes", "desired_size").collect()
     assert sorted(r["raw_bytes"] for r in records) == [80, 120, 120, 120, 120]

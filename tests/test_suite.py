@@ -7,7 +7,7 @@ from trialgrid.operators.grid import ParameterError
 from trialgrid.operators.macros import MacroError
 from trialgrid.plans.experiment import read_experiment
 from trialgrid.plans.samples import pi_estimate
-from trialgrid.plans.suite import engine_settings, run_suite, suite_progress, suite_runs
+from trialgrid.plans.suite import engine_settings, run_suite, suite_progress, suite_runs, write_summaries
 from trialgrid.session import scratch_path, shared_dir
 from trialgrid.sources.runlog import DATASETS, read_rows
 
@@ -82,6 +82,13 @@ def test_run_resume_and_attempts(spark, experiment):
     outputs = spark.read.parquet(experiment.output_path)
     assert outputs.select("run_id").distinct().count() == 24
 
+    write_summaries(spark, experiment, home, home)
+    wide = spark.read.option("header", True).csv(f"{home}/summary.csv")
+    assert wide.columns == ["comb_id", "job_id", *experiment.dataset, *experiment.runs]
+    assert wide.select("comb_id").distinct().count() == 24
+    loaded = spark.read.option("header", True).option("escape", "\\").csv(f"{home}/ds-summary.csv")
+    assert loaded.count() == 4 and loaded.columns == ["ds_id", "ds_class", "ds_class_properties"]
+
 
 def test_unknown_dataset_does_not_end_the_suite(spark, tmp_path, sf_dir):
     path = tmp_path / "x.ini"

@@ -9,6 +9,7 @@ lands on the same result.
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -292,9 +293,9 @@ def carry_forward(
 def capped_prefix(df: DataFrame, order: Sequence[str], size: str, cap: int | None, ranges: int | None = None) -> DataFrame:
     """The first rows in `order` while the total size before a row is below `cap`.
 
-    The row that crosses the cap is kept. No cap, or 0, keeps everything. Only the key and the size are read to
-    find the crossing row; the result is then a filter on the key, which reaches the scan and needs no shuffle.
-    The key must be unique.
+    The row that crosses the cap is kept. No cap, or 0, keeps everything; so does too little data, with a warning.
+    Only the key and the size are read to find the crossing row; the result is then a filter on the key, which
+    reaches the scan and needs no shuffle. The key must be unique.
     """
     if not cap:
         return df
@@ -312,7 +313,7 @@ def capped_prefix(df: DataFrame, order: Sequence[str], size: str, cap: int | Non
                 break
             before += total
         if crossing is None:
-            return df
+            return _too_little(df, before)
         if crossing < len(cut.bounds):
             left = left.filter(cut.before(crossing))
         if crossing > 0:
@@ -321,7 +322,12 @@ def capped_prefix(df: DataFrame, order: Sequence[str], size: str, cap: int | Non
             break
     running = F.sum("__size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     kept = left.withColumn("__before", F.coalesce(running, zero)).filter(F.col("__before") < cap - before)
-    last = kept.agg(F.max(F.struct(*order)).alias("last")).first()["last"]
-    if last is None:
-        return df.limit(0)
+    last, size_kept = kept.agg(F.max(F.struct(*order)), F.coalesce(F.sum("__size"), zero)).first()
+    if before + size_kept < cap:
+        return _too_little(df, before + size_kept)
     return df.filter(up_to(df, order, last))
+
+
+def _too_little(df: DataFrame, real_size: int) -> DataFrame:
+    warnings.warn(f"the data does not fill up to the desired size (real size = {real_size})", stacklevel=3)
+    return df

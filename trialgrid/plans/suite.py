@@ -20,13 +20,24 @@ from trialgrid.operators.grid import CANCELLED, DONE, ParameterError, last_statu
 from trialgrid.operators.macros import run_builtins, substitute_macros
 from trialgrid.plans.experiment import CONFIG_PARAMETER, Experiment
 from trialgrid.sources.datasets import import_function, make_dataset
-from trialgrid.sources.runlog import DATASETS, RUNS, append_rows, read_rows
+from trialgrid.sources.runlog import (
+    DATASETS,
+    RUNS,
+    append_rows,
+    dataset_summary,
+    read_rows,
+    run_params,
+    run_summary,
+    write_csv,
+)
 
 #: Runs of one suite; each is a job of its own.
 RUN_LIMIT = 100_000
 
 # Parameters with a meaning of their own.
 JOB_PARAMETER, SIZE_PARAMETER, ENGINE_PREFIX = "xp.job", "ds.size", "xp."
+# Default names of the summaries.
+SUMMARY, DATASET_SUMMARY = "summary.csv", "ds-summary.csv"
 
 #: A job: (session, loaded dataset, arguments, resolved parameters) -> output.
 Job = Callable[[SparkSession, DataFrame, list[str], Mapping[str, str]], DataFrame]
@@ -134,6 +145,20 @@ def suite_progress(spark: SparkSession, experiment: Experiment, home: str) -> di
     return {"total": total, "done": done, "remaining": total - done}
 
 
+def write_summaries(spark: SparkSession, experiment: Experiment, home: str, dest: str) -> None:
+    """Write both summaries as CSV with a header: one wide row per finished run, one row per loaded dataset.
+
+    They go below `dest` under the names of `test.summary_file` and `test.ds_summary_file`.
+    """
+    done = read_rows(spark, RUNS, f"{home}/runs").filter(F.col("status") == DONE)
+    names = [*experiment.dataset, *experiment.runs]
+    wide = run_summary(run_params(done.withColumnRenamed("run_id", "comb_id"), "comb_id"), ["comb_id", "job_id"], names)
+    loaded = dataset_summary(read_rows(spark, DATASETS, f"{home}/datasets")).distinct()
+    # At most one row per run, so one file each.
+    for table, option, default in ((wide, "test.summary_file", SUMMARY), (loaded, "test.ds_summary_file", DATASET_SUMMARY)):
+        write_csv(table.coalesce(1), f"{dest}/{experiment.options.get(option, default)}")
+
+
 def _reason(failure: Exception) -> str:
     lines = f"{type(failure).__name__}: {failure}".splitlines()
     return lines[0]

@@ -52,7 +52,7 @@ def sort_files(files: DataFrame, order: Sequence[str] = ("path",)) -> DataFrame:
 def size_capped_subset(rows: DataFrame, order: Sequence[str], size: str, desired_size: int | None) -> DataFrame:
     """The first rows or files until `desired_size` is reached; the one that crosses it is kept.
 
-    Without a desired size, or with 0, all rows are kept; so they are when there are too few.
+    Without a desired size, or with 0, all rows are kept; so they are, with a warning, when there are too few.
     """
     return capped_prefix(rows, order, size, desired_size)
 
@@ -133,9 +133,6 @@ def load_dataset(
     if not path_exists(spark, source):
         raise DatasetError(f"dataset directory {source} does not exist")
     listing = file_inventory(spark, source).select("path", "length")
-    total = listing.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    if desired_size and total < desired_size:
-        warnings.warn(f"dataset files do not fill up to the desired size (real size = {total})", stacklevel=2)
     picked = sort_files(size_capped_subset(listing, ["path"], "length", desired_size)).collect()  # names, not data
     data = spark.read.format(fmt).options(**options).load([row["path"] for row in picked])
     pre_load_hook(data, hook).write.parquet(dest)

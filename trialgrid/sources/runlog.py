@@ -42,9 +42,9 @@ def run_summary(params: DataFrame, ident: Sequence[str], names: Sequence[str], n
     return params.groupBy(*ident).agg(*columns)
 
 
-def run_params(runs: DataFrame) -> DataFrame:
-    """Run records as long (run_id, job_id, name, value) rows."""
-    return runs.select("run_id", "job_id", F.explode("params").alias("name", "value"))
+def run_params(runs: DataFrame, ident: str = "run_id") -> DataFrame:
+    """Run records as long (ident, job_id, name, value) rows."""
+    return runs.select(ident, "job_id", F.explode("params").alias("name", "value"))
 
 
 def dataset_summary(datasets: DataFrame) -> DataFrame:
