@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trialgrid.operators import ordinal as o
+from trialgrid.session import cut_lineage
 
 
 def table(spark, n, groups, seed):
@@ -116,3 +117,22 @@ def test_cap_with_null_keys(spark, monkeypatch, cap):
     kept = o.capped_prefix(df, ["grp", "id"], "size", cap)
     assert kept.count() == min(cap, 600)
     assert kept.filter("grp is null").count() == min(cap, 200)
+
+
+@pytest.mark.parametrize(
+    "key",
+    [
+        "timestamp_micros(id * 333333)",
+        "if(id = 7, double('NaN'), if(id = 9, double('-Infinity'), id / 7.0D))",
+        "cast(id / 3 as decimal(20,6))",
+        "date_add(date'2020-02-27', cast(id as int))",
+        "cast(concat('k\"\\\\', chr(cast(id % 90 as int)), id) as binary)",
+        "concat('\\n', uuid(), 'é')",
+        "if(id % 2 = 0, id, -id)",
+    ],
+)
+def test_key_types(spark, key):
+    df = cut_lineage(spark.range(300).select(F.expr(key).alias("k"), "id"))
+    want = df.withColumn("ordinal", F.row_number().over(Window.orderBy("k", "id")).cast("long") - 1).select("id", "ordinal")
+    same(o.ordinal(df, ["k", "id"], ranges=23).select("id", "ordinal"), want)
+    assert o.cut_ranges(df, ["k"], 23).count > 5

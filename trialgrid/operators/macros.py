@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialgrid.functions.params import build_path, macro_names, replace_macros
-from trialgrid.session import cut_lineage
+from trialgrid.session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, cut_lineage
 
 # Built-in macros, their start values and which of them uses which.
 DATA_BASE_DIR = "/tests/data"
@@ -73,17 +73,23 @@ def dependency_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFr
         names.distinct().join(incoming, "name", "left").select("name", F.coalesce("needs", none).alias("needs"))
     )
     levels, level = None, 0
+    is_ready = F.col("needs") == 0
+    width = F.octet_length("name") + 16
     while True:
-        counts = open_names.agg(F.count("*"), F.count_if(F.col("needs") == 0)).first()
-        if counts[0] and not counts[1]:
+        rows, settled_rows, settled_bytes = open_names.agg(
+            F.count("*"), F.count_if(is_ready), F.coalesce(F.sum(F.when(is_ready, width)), none)
+        ).first()
+        if rows and not settled_rows:
             raise MacroError("macros do not follow an acyclic order")
-        ready = open_names.filter(F.col("needs") == 0).select("name", F.lit(level).alias("level"))
+        ready = open_names.filter(is_ready).select("name", F.lit(level).alias("level"))
         levels = ready if levels is None else levels.unionByName(ready)
-        if counts[0] == counts[1]:
+        if rows == settled_rows:
             return levels
-        settled = edges.join(ready.select(F.col("name").alias("src")), "src", "left_semi")
-        settled = settled.groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("met"))
-        still_open = open_names.filter(F.col("needs") > 0).join(settled, "name", "left")
+        sources = ready.select(F.col("name").alias("src"))
+        if settled_rows <= BROADCAST_ROWS and settled_bytes <= BROADCAST_BYTES:
+            sources = F.broadcast(sources)  # the edges stay where they are
+        met = edges.join(sources, "src", "left_semi").groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("met"))
+        still_open = open_names.filter(F.col("needs") > 0).join(met, "name", "left")
         open_names = cut_lineage(
             still_open.select("name", (F.col("needs") - F.coalesce("met", none)).alias("needs"))
         )
@@ -103,8 +109,8 @@ def prune_unused(edges: DataFrame, names: DataFrame) -> DataFrame:
     kept = names.filter(~F.col("builtin")).select("name")
     fresh = kept
     while True:
-        reached = uses.join(fresh.withColumnRenamed("name", "dst"), "dst", "left_semi")
-        reached = reached.select(F.col("src").alias("name")).distinct()
+        users = broadcast_if_small(fresh.withColumnRenamed("name", "dst"))
+        reached = uses.join(users, "dst", "left_semi").select(F.col("src").alias("name")).distinct()
         fresh = cut_lineage(reached.join(kept, "name", "left_anti"))
         if fresh.isEmpty():
             return kept

@@ -4,6 +4,9 @@ A plain `Window.orderBy(..)` puts every row (or every row of a hot group) in one
 into ranges first. Each range is numbered on its own, and what earlier ranges contribute comes from one small
 aggregate per range. The range of a row depends only on its key and on fixed boundaries, so a recomputed task
 lands on the same result.
+
+The input is read a few times, mostly for its key columns only. It must give the same rows each time; an
+expensive one (a join, an aggregate) is best written out first, see `session.cut_lineage`.
 """
 
 from __future__ import annotations

@@ -24,11 +24,11 @@ ORDERS = "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderprio
 
 
 def load_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders split into files, loaded up to half of their bytes and once more in full; the full load is returned."""
+    """Orders split into files; first a load of one byte, which takes one file, then the full load, which is returned."""
     source = scratch_path(spark, "source")
     table(spark, sf_dir, "orders").select(*ORDER_COLUMNS).repartition(8).write.parquet(source)
     dest, loads = scratch_path(spark, "load"), scratch_path(spark, "loads")
-    datasets.load_dataset(spark, source, f"{dest}/half", desired_size=1, loads=loads)
+    datasets.load_dataset(spark, source, f"{dest}/first", desired_size=1, loads=loads)
     return datasets.load_dataset(spark, source, f"{dest}/full", loads=loads)
 
 
