@@ -58,7 +58,8 @@ def substitute_macros(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("ds_id"),
     )
     builtins = macros.run_builtins(F.col("ds_id"), F.col("o_orderkey"))
-    return macros.substitute_macros(runs, ["a", "b", "c"], builtins).drop("ds_id")
+    uses = {"a": ["data_dir"], "b": ["a"], "c": ["xp.output", "a", "b"]}
+    return macros.substitute_macros(runs, ["a", "b", "c"], builtins, uses).drop("ds_id")
 
 
 SUBSTITUTE_MACROS = """
