@@ -37,7 +37,6 @@ CROSSING_ROWS = 1_000_000
 MAX_BOUND_TEXT = 1_000_000
 
 _RANGE = "__range"
-_EDGE = "__edge"
 
 
 @dataclass(frozen=True)
@@ -68,16 +67,17 @@ class Ranges:
         if not self.bounds:
             return df
         bounds = F.from_json(F.lit("[" + ",".join(self.bounds) + "]"), f"array<{self.schema}>")
+        # One comparison per step, and the constant once: the plan must stay small with many boundaries.
+        alone = len(self.keys) == 1
+        key = F.col(self.keys[0]) if alone else F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(self.keys)])
         step = 1 << (len(self.bounds).bit_length() - 1)
         while step:
             here = F.col(name)
-            there = here + (step - 1)
-            # The boundary is a column of its own, so that the constant occurs once per step of the plan.
-            df = df.withColumn(_EDGE, F.get(bounds, there))
-            reached = (there < len(self.bounds)) & self._at_or_after(F.col(_EDGE))
+            bound = F.get(bounds, here + (step - 1))
+            reached = (bound["k0"] if alone else bound) <= key
             df = df.withColumn(name, F.when(reached, here + step).otherwise(here))
             step >>= 1
-        return df.drop(_EDGE)
+        return df
 
     def _bound(self, position: int) -> tuple[Column, Column | None]:
         """A boundary, and its first key unless that is null."""
