@@ -136,3 +136,14 @@ def test_key_types(spark, key):
     want = df.withColumn("ordinal", F.row_number().over(Window.orderBy("k", "id")).cast("long") - 1).select("id", "ordinal")
     same(o.ordinal(df, ["k", "id"], ranges=23).select("id", "ordinal"), want)
     assert o.cut_ranges(df, ["k"], 23).count > 5
+
+
+def test_plan_stays_small_with_many_ranges(spark):
+    df = spark.range(3000).select((F.col("id") % 5).alias("a"), (F.col("id") % 7).alias("b"), "id")
+    cut = o.cut_ranges(df, ["a", "b", "id"], 400)
+    assert cut.count > 300
+    plan = cut.assign(df)._jdf.queryExecution().optimizedPlan().toString()
+    # One copy of the boundaries per step of the search, and no step repeated inside another one.
+    assert plan.count("CASE WHEN") <= 9 and len(plan) < 200_000
+    w = Window.partitionBy("a", "b").orderBy("id")
+    same(o.ordinal(df, ["id"], by=["a", "b"], ranges=400), df.withColumn("ordinal", F.row_number().over(w).cast("long") - 1))
