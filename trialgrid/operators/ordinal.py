@@ -1,105 +1,34 @@
 """Positions, running sums and carried values along a total order, without one task seeing all rows.
 
-A plain `Window.orderBy(..)` puts every row (or every row of a hot group) in one task. Here the order is cut
-into ranges first. Each range is numbered on its own, and what earlier ranges contribute comes from one small
-aggregate per range. The range of a row depends only on its key and on fixed boundaries, so a recomputed task
-lands on the same result.
+A plain `Window.orderBy(..)` puts every row (or every row of a hot group) in one task. Here Spark range-partitions the
+rows by group and order first, and they are written once, each with the number of its partition, to the shared folder.
+Each range is numbered on its own, and what earlier ranges contribute comes from one small aggregate per range. Later
+reads of the written ranges always see the same cut, also after an executor is lost.
 
-The input is read a few times, mostly for its key columns only. It must give the same rows each time; an
-expensive one (a join, an aggregate) is best written out first, see `session.cut_lineage`.
+The input is read up to three times (count, sample, write); an expensive one (a join, an aggregate) is best written out
+first, see `session.cut_lineage`.
 """
 
 from __future__ import annotations
 
-import json
 import warnings
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from trialgrid.session import scratch_path
+
 #: Up to this many rows (for instance a list of parameter values) one sorted task is the cheaper plan.
 ONE_TASK_ROWS = 500
-#: Keys drawn per range when the boundaries are chosen; this only affects how even the ranges are.
-KEYS_PER_RANGE = 32
-#: Rows a range should hold at most, so that its sort fits a task (a larger one spills).
+#: Rows a range should hold, so that its sort fits a task (a larger one spills).
 ROWS_PER_RANGE = 5_000_000
-#: Ranges at most: their boundaries live in the plan. 1,000 work with a heap of 1 GB, 4,000 were too many for it.
-MAX_RANGES = 1_000
-
-#: The range in which a cap is crossed is cut again until it has at most this many rows.
+#: The range in which a cap is crossed is cut again while it has more rows than this.
 CROSSING_ROWS = 1_000_000
 
-#: Characters all boundaries may have together; wider keys get fewer ranges.
-MAX_BOUND_TEXT = 1_000_000
-
-_RANGE = "__range"
-
-
-@dataclass(frozen=True)
-class Ranges:
-    """Ordered key boundaries; range `i` holds the keys from boundary `i - 1` up to boundary `i`, exclusive.
-
-    A boundary is the JSON text of a key. It enters a plan as one constant, however many boundaries there are.
-    """
-
-    keys: tuple[str, ...]
-    types: tuple[str, ...]
-    bounds: tuple[str, ...]
-
-    @property
-    def count(self) -> int:
-        return len(self.bounds) + 1
-
-    @property
-    def schema(self) -> str:
-        return "struct<" + ",".join(f"k{i}:{kind}" for i, kind in enumerate(self.types)) + ">"
-
-    def _at_or_after(self, bound: Column) -> Column:
-        return at_or_after([F.col(name) for name in self.keys], [bound[f"k{i}"] for i in range(len(self.keys))])
-
-    def assign(self, df: DataFrame, name: str = _RANGE) -> DataFrame:
-        """Add the range number by binary search over the constant boundary array; null keys come first."""
-        df = df.withColumn(name, F.lit(0))
-        if not self.bounds:
-            return df
-        bounds = F.from_json(F.lit("[" + ",".join(self.bounds) + "]"), f"array<{self.schema}>")
-        # One comparison per step, and the constant once: the plan must stay small with many boundaries.
-        alone = len(self.keys) == 1
-        key = F.col(self.keys[0]) if alone else F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(self.keys)])
-        step = 1 << (len(self.bounds).bit_length() - 1)
-        while step:
-            here = F.col(name)
-            bound = F.get(bounds, here + (step - 1))
-            reached = (bound["k0"] if alone else bound) <= key
-            df = df.withColumn(name, F.when(reached, here + step).otherwise(here))
-            step >>= 1
-        return df
-
-    def _bound(self, position: int) -> tuple[Column, Column | None]:
-        """A boundary, and its first key unless that is null."""
-        text = self.bounds[position]
-        bound = F.from_json(F.lit(text), self.schema)
-        return bound, None if json.loads(text).get("k0") is None else bound["k0"]
-
-    def before(self, position: int) -> Column:
-        """Rows before a boundary; the condition on the first key can be pushed to the scan."""
-        bound, edge = self._bound(position)
-        first, inside = F.col(self.keys[0]), ~self._at_or_after(bound)
-        if edge is None:
-            return inside
-        if len(self.keys) == 1:
-            return first.isNull() | (first < edge)
-        return first.isNull() | ((first <= edge) & inside)
-
-    def starting_at(self, position: int) -> Column:
-        """Rows at or after a boundary."""
-        bound, edge = self._bound(position)
-        inside = self._at_or_after(bound)
-        return inside if edge is None else (F.col(self.keys[0]) >= edge) & inside
+RANGE = "__range"
 
 
 def at_or_after(keys: Sequence[Column], bound: Sequence[Column]) -> Column:
@@ -125,30 +54,29 @@ def up_to(df: DataFrame, keys: Sequence[str], last: Row) -> Column:
     return first & (~at_or_after(columns, parts) | same)
 
 
-def cut_ranges(df: DataFrame, keys: Sequence[str], ranges: int | None = None) -> Ranges | None:
-    """Choose boundaries from a bounded sample of the keys; None when the rows fit one task.
+def write_ranges(df: DataFrame, keys: Sequence[str], ranges: int) -> DataFrame:
+    """`df` cut into key ranges, written once; `__range` numbers them in key order, null keys first.
+
+    Keys should be unique: rows with equal keys share a range.
+    """
+    path = scratch_path(df.sparkSession, "ranges")
+    df.repartitionByRange(ranges, *keys).withColumn(RANGE, F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def cut_ranges(df: DataFrame, keys: Sequence[str], ranges: int | None = None) -> DataFrame | None:
+    """The written ranges of `df`; None when its rows fit one task.
 
     `ranges` defaults to twice the shuffle partitions of the session, and to more for tables so large that a
-    range would hold too many rows.
+    range would hold too many rows. Empty ranges are possible.
     """
-    types = tuple(dict(df.dtypes)[name] for name in keys)
-    chosen = df.select(*[F.col(name).alias(f"k{i}") for i, name in enumerate(keys)])
-    rows = chosen.count()
     if ranges is None:
+        rows = df.count()
         if rows <= ONE_TASK_ROWS:
             return None
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranges = max(2 * partitions, rows // ROWS_PER_RANGE)
-    ranges = max(1, min(ranges, MAX_RANGES))
-    wanted = KEYS_PER_RANGE * ranges
-    drawn = chosen if rows <= wanted else chosen.sample(wanted / rows, seed=20)
-    # About `wanted` keys, whatever the size of the table, go to one task, which sorts them.
-    drawn = drawn.repartition(1).sortWithinPartitions(*chosen.columns)
-    texts = [row[0] for row in drawn.select(F.to_json(F.struct(*chosen.columns))).collect()]
-    picked = [texts[i * len(texts) // ranges] for i in range(1, ranges)] if texts else []
-    bounds = list(dict.fromkeys(text for text in picked if text != texts[0]))
-    every = 1 + sum(map(len, bounds)) // MAX_BOUND_TEXT
-    return Ranges(tuple(keys), types, tuple(bounds[::every]))
+    return write_ranges(df, keys, max(1, ranges))
 
 
 def _along(
@@ -162,23 +90,22 @@ def _along(
     ranges: int | None,
 ) -> DataFrame:
     """Shared shape: cut, aggregate per range, carry over earlier ranges, finish inside each range."""
-    cut = cut_ranges(df, [*by, *order], ranges)
-    if cut is None:
+    ranged = cut_ranges(df, [*by, *order], ranges)
+    if ranged is None:
         return df.select("*", *[c.alias(n) for n, c in inside(Window.partitionBy(*by).orderBy(*order)).items()])
-    ranged = cut.assign(df)
-    totals = ranged.groupBy(_RANGE, *by).agg(*[c.alias(n) for n, c in total.items()])
-    earlier = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(RANGE, *by).agg(*[c.alias(n) for n, c in total.items()])
+    earlier = Window.partitionBy(*by).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     names = list(carried(earlier))
     # A group reaches back only from the first group of a range: at most one row per range, so this is
     # bounded by the number of ranges whatever the number of groups.
     offsets = totals.select(
-        F.col(_RANGE).alias("__o_range"),
+        F.col(RANGE).alias("__o_range"),
         *[F.col(name).alias(f"__o_{name}") for name in by],
         *[c.alias(f"__c_{n}") for n, c in carried(earlier).items()],
     ).filter(reduce(or_, [F.col(f"__c_{n}").isNotNull() for n in names]))
-    local = inside(Window.partitionBy(_RANGE, *by).orderBy(*order))
+    local = inside(Window.partitionBy(RANGE, *by).orderBy(*order))
     placed = ranged.select("*", *[c.alias(n) for n, c in local.items()])
-    same = placed[_RANGE] == offsets["__o_range"]
+    same = placed[RANGE] == offsets["__o_range"]
     for name in by:
         same = same & placed[name].eqNullSafe(offsets[f"__o_{name}"])
     joined = placed.join(F.broadcast(offsets), same, "left")
@@ -303,24 +230,17 @@ def capped_prefix(df: DataFrame, order: Sequence[str], size: str, cap: int | Non
     if not cap:
         return df
     zero = F.lit(0).cast("bigint")
-    narrow = df.select(*order, F.coalesce(F.col(size).cast("bigint"), zero).alias("__size"))
-    left, before = narrow, 0
-    while (cut := cut_ranges(left, order, ranges)) is not None and cut.bounds:
-        found = cut.assign(left).groupBy(_RANGE).agg(F.sum("__size"), F.count("*")).collect()  # a row per range
-        totals = {row[0]: (row[1], row[2]) for row in found}
-        crossing = None
-        for number in range(cut.count):
-            total, rows = totals.get(number, (0, 0))
+    left = df.select(*order, F.coalesce(F.col(size).cast("bigint"), zero).alias("__size"))
+    before = 0
+    while (ranged := cut_ranges(left, order, ranges)) is not None:
+        found = ranged.groupBy(RANGE).agg(F.sum("__size"), F.count("*")).collect()  # a row per range
+        for number, total, rows in sorted(found):
             if before + total >= cap:
-                crossing = number
                 break
             before += total
-        if crossing is None:
+        else:
             return _too_little(df, before)
-        if crossing < len(cut.bounds):
-            left = left.filter(cut.before(crossing))
-        if crossing > 0:
-            left = left.filter(cut.starting_at(crossing - 1))
+        left, ranges = ranged.filter(F.col(RANGE) == number).drop(RANGE), None
         if rows <= CROSSING_ROWS:
             break
     running = F.sum("__size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
