@@ -4,13 +4,15 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import compare
+from trialgrid import queries as library
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = library.queries()
+ORACLES = library.oracle_sql()
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
