@@ -5,10 +5,71 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialgrid.llm import decontaminate, langid, mixing, secrets, simhash
+from trialgrid.llm import (
+    chat,
+    decontaminate,
+    fingerprints,
+    langid,
+    mixing,
+    secrets,
+    simhash,
+    substrings,
+    toxicity,
+    urlfilter,
+)
+from trialgrid.llm.expressions import let
 from trialgrid.queries.tables import table
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = fingerprints.compare_with_edit(table(spark, sf_dir, "documents"))
+    own = fingerprints.mark_hashes(F.col("marks"))
+    return both.select(
+        "doc_id",
+        F.length("body").cast("bigint").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.fingerprint_text(F.col("marks")).alias("fingerprint"),
+        fingerprints.fingerprint_text(F.col("edited_marks")).alias("edited_fingerprint"),
+        fingerprints.likeness(own, fingerprints.mark_hashes(F.col("edited_marks"))).alias("near_edited"),
+        fingerprints.likeness(own, F.col("next_hashes")).alias("near_next"),
+    )
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages")).drop("component")
+
+
+OP2_SQL = r"""
+with recursive parts as (
+  select page_id, strpos(coalesce(url, ''), '://') > 0 as good,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*(\?[^#]*)?', 1) as query
+  from pages),
+nodes as (
+  select page_id, host, path, case when host <> '' then host || path || query end as node,
+    case when host <> '' then regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/index)?(\.html?)?/?$', '') end as usual
+  from parts),
+edges as (select distinct node as a, usual as b from nodes where node is not null),
+sides as (select a, b from edges union select b, a from edges union select a, a from edges union select b, b from edges),
+reach as (select a, b from sides union select reach.a, sides.b from reach join sides on reach.b = sides.a),
+rules(host, path, verdict) as (
+  values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+places as (
+  select a as node, regexp_extract(a, '(?s)^([^/?#]*)', 1) as host, regexp_extract(a, '(?s)^[^/?#]*([^?#]*)', 1) as path
+  from (select distinct a from sides)),
+ruled as (
+  select node, arg_max(r.verdict, length(r.host || r.path)) as verdict
+  from places p join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path) group by 1),
+inherited as (select reach.a as node, min(verdict) as verdict from reach join ruled on ruled.node = reach.b group by 1),
+own as (
+  select page_id, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(r.verdict, length(r.host || r.path)) as verdict
+  from nodes p join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path) group by 1)
+select page_id, host, path, own.rule, coalesce(own.verdict, inherited.verdict, 'allow') as verdict
+from nodes left join own using (page_id) left join inherited using (node)
+"""
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", secrets.scan_secrets(F.col("text")).alias("spans"))
@@ -28,6 +89,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn_severity(docs, table(spark, sf_dir, "labels"))
+    judged = docs.select("doc_id", toxicity.predict_severity(model, F.col("text")).alias("p"))
+    return judged.select("doc_id", "p.severity", "p.grade", "p.p_toxic", (F.col("p.p_toxic") >= 0.5).alias("toxic"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +145,39 @@ select doc_id, size, source_size, target from docs join targets on docs.source i
 """
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = F.lit("\\### Assistant: </turn> ok").alias("text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role, told)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    windows = chat.format_windows(turns)
+    shown = chat.read_turns(F.col("formatted"))
+    new = let(shown, lambda t: F.slice(t, F.col("n_repeated") + 1, F.size(t)))
+    line = F.array_join(F.transform("new", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = windows.select("conv_id", "window", "formatted", "loss", new.alias("new"))
+    part = F.struct("window", line.alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("loss"))
+    whole = read.groupBy("conv_id").agg(
+        F.sum(F.size("new")).cast("bigint").alias("n_turns"),
+        F.sum(F.length("formatted")).cast("bigint").alias("formatted_chars"),
+        F.count("*").alias("n_windows"),
+        F.array_sort(F.collect_list(part)).alias("parts"),  # the digests need a conversation in one piece
+    )
+    turns_text, loss_text = (F.array_join(F.col(f"parts.{name}"), "") for name in ("turns", "loss"))
+    return whole.select(
+        "conv_id",
+        "n_turns",
+        F.sha2(turns_text.cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss_text).cast("bigint").alias("loss_chars"),
+        F.sha2(loss_text.cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+        "n_windows",
+    )
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_substrings(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.held_out(F.col("doc_id"))
@@ -91,6 +192,11 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_document_fingerprints": (op1_document_fingerprints, None),
+    "op2_url_filter": (op2_url_filter, OP2_SQL),
+    "op4_toxicity": (op4_toxicity, None),
+    "op7_chat_format": (op7_chat_format, None),
+    "op8_substring_dedup": (op8_substring_dedup, None),
     "op3_secret_scan": (op3_secret_scan, None),
     "op5_benchmark_decontamination": (op5_benchmark_decontamination, OP5_SQL),
     "op6_source_mixing": (op6_source_mixing, None),
