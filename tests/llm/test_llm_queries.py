@@ -5,12 +5,11 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
-import duckdb
 import pytest
 import xxhash
 
 import corpus_pipeline
-from oracle import compare
+from oracle import compare, duck
 from trialgrid.llm import fingerprints, langid, queries, secrets, simhash, toxicity, urlfilter
 
 REGISTERED = queries.queries()
@@ -22,7 +21,7 @@ def rows(spark, sf_dir, name):
 
 @pytest.fixture(scope="module")
 def docs(sf_dir):
-    found = duckdb.sql(f"select doc_id, text, lang, source from read_parquet('{sf_dir}/documents.parquet/*.parquet')").fetchall()
+    found = duck(sf_dir).sql("select doc_id, text, lang, source from documents").fetchall()
     return [dict(zip(("doc_id", "text", "lang", "source"), r)) for r in found]
 
 
@@ -106,7 +105,7 @@ def test_op3(spark, sf_dir, docs):
 
 def test_op4(spark, sf_dir):
     judged = {r["doc_id"]: r for r in rows(spark, sf_dir, "op4_toxicity")}
-    labels = dict(duckdb.sql(f"select doc_id, toxic from read_parquet('{sf_dir}/labels.parquet')").fetchall())
+    labels = dict(duck(sf_dir).sql("select doc_id, toxic from labels").fetchall())
     assert all(0 <= r["severity"] <= toxicity.GRADES and 0 <= r["p_toxic"] <= 1 for r in judged.values())
     right = sum(judged[i]["toxic"] == bool(t) for i, t in labels.items() if i in judged)
     assert right >= 0.9 * len(labels)
@@ -146,7 +145,7 @@ def test_op6(spark, sf_dir, docs):
 
 def test_op7(spark, sf_dir):
     turns = defaultdict(list)
-    for c, t, role, text in duckdb.sql(f"select conv_id, turn, role, text from read_parquet('{sf_dir}/conversations.parquet')").fetchall():
+    for c, t, role, text in duck(sf_dir).sql("select conv_id, turn, role, text from conversations").fetchall():
         turns[c].append((t, role, text or ""))
     turns[-7] = [(i, role, "\\### Assistant: </turn> ok") for i, role in enumerate(("user", "assistant"))]
     got = {r["conv_id"]: r for r in rows(spark, sf_dir, "op7_chat_format")}
@@ -233,7 +232,7 @@ def test_pipeline(spark, sf_dir, docs):
         w = words(t)
         return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
-    items = [grams(t) for (t,) in duckdb.sql(f"select text from read_parquet('{sf_dir}/benchmark.parquet')").fetchall()]
+    items = [grams(t) for (t,) in duck(sf_dir).sql("select text from benchmark").fetchall()]
     kept = {i for i in kept if not any(len(g & grams(by_id[i]["text"])) >= 0.8 * len(g) for g in items)}
     mixed = [r.asDict() for r in corpus_pipeline.run(spark, sf_dir).collect()]
     assert {r["doc_id"] for r in mixed} <= kept
