@@ -5,15 +5,17 @@ which both are sampled. A cover by residues needs two thirds of all positions an
 is many times the input. Here the sample is chosen by content: of each window of `length` bytes, the position of its least
 gram hash, the rightmost if tied. Equal strings choose equal offsets, and about 2 of `length` positions are sampled.
 
-1. Sampled positions are named by all bytes of the strings that chose them. 2. Equal names repeat as a whole. 3. Names that
-are alone among several with the same gram are resolved one level deeper: each of their strings is named, with those of one
-member of every other name of the gram, and equal neighbours in that order repeat. 4. A gram that is alone repeats nowhere.
+1. Sampled positions are named by all bytes of the strings that chose them. 2. Equal names repeat as a whole; a gram that has
+one member repeats nowhere. 3. A name that is alone among several of its gram is resolved by recursion: its strings are cut
+into blocks by their distance to the sampled position, and named again with those of one member of every other name; after
+two such levels single strings are named, and equal neighbours in the order of names are the repeated ones.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,8 @@ LENGTH = 400
 GRAM = 32
 #: Strings handled at once; bounds the memory for a long text.
 PIECE = 1 << 20
+#: Strings in a block, level by level.
+BLOCKS = (64, 8, 1)
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -55,11 +59,13 @@ def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
 
 
-def sampled_runs(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(gram, name, first, last) arrays: the strings starting from first to last chose one sampled position.
+def _name(data: bytes, first: int, last: int, at: int, length: int) -> int:
+    """Names all bytes of the strings starting from first to last, and where the sampled position is in them."""
+    return xxhash.xxh3_64_intdigest(data[first : last + length], seed=at - first)
 
-    `gram` is the hash of its gram, `name` that of all bytes of these strings with the place of the sample in them.
-    """
+
+def sampled_runs(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(gram, name, first, last, at) arrays: the strings starting from first to last chose the sampled position at."""
     width = length - GRAM + 1
     low_bits = np.uint64((2 * PIECE).bit_length())
     for begin in range(0, max(len(data) - length + 1, 0), PIECE):
@@ -71,23 +77,43 @@ def sampled_runs(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray
         first = np.flatnonzero(np.diff(chosen, prepend=-1))
         last = np.append(first[1:], len(chosen)) - 1
         at = chosen[first]
-        digest = xxhash.xxh3_64_intdigest
-        names = np.fromiter(
-            (digest(part[a : b + length], seed=c - a) for a, b, c in zip(first.tolist(), last.tolist(), at.tolist())),
-            dtype=np.uint64,
-            count=len(first),
-        )
-        yield hashed[at].view(np.int64), names.view(np.int64), first + begin, last + begin
+        places = zip(first.tolist(), last.tolist(), at.tolist())
+        names = np.fromiter((_name(part, a, b, c, length) for a, b, c in places), dtype=np.uint64, count=len(first))
+        yield hashed[at].view(np.int64), names.view(np.int64), first + begin, last + begin, at + begin
+
+
+#: `gram` is the hash of the gram at the sampled position; `block` the distance to it in blocks; `alone` whether a row's
+#: outcome is still open.
+RUNS = "gram bigint, block int, name bigint, ident bigint, hash bigint, first int, last int, at int, alone boolean"
 
 
 def _sample(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for ident, key, body in zip(batch["ident"], batch["hash"], batch["body"]):
-                for gram, name, first, last in sampled_runs(body, length):
-                    yield pd.DataFrame(
-                        {"gram": gram, "name": name, "ident": ident, "hash": key, "first": first, "last": last}
-                    )
+                for gram, name, first, last, at in sampled_runs(body, length):
+                    rest = {"ident": ident, "hash": key, "first": first, "last": last, "at": at, "alone": True}
+                    yield pd.DataFrame({"gram": gram, "block": 0, "name": name} | rest)
+
+    return _gathered(run)
+
+
+def _split(width: int, length: int):
+    """Cuts the listed runs of each text into blocks of `width` strings and names them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for ident, key, body, runs in zip(batch["ident"], batch["hash"], batch["body"], batch["runs"]):
+                for each in runs:
+                    at, low, high = each["at"], each["at"] - each["last"], each["at"] - each["first"]
+                    for block in range(low // width, high // width + 1):
+                        first, last = at - min(high, block * width + width - 1), at - max(low, block * width)
+                        name = _name(body, first, last, at, length)
+                        out.append((each["gram"], block, name, ident, key, first, last, at, each["alone"]))
+            frame = pd.DataFrame(out, columns=[field.split()[0] for field in RUNS.split(", ")])
+            frame["name"] = frame["name"].astype(np.uint64).to_numpy().view(np.int64)
+            yield frame
 
     return _gathered(run)
 
@@ -109,23 +135,6 @@ def _gathered(run):
     return gather
 
 
-def _strings(length: int):
-    """Names, of 128 bits, of the single strings of unresolved runs."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            for ident, key, body, runs in zip(batch["ident"], batch["hash"], batch["body"], batch["runs"]):
-                for each in runs:
-                    starts = range(each["first"], each["last"] + 1)
-                    names = np.frombuffer(b"".join([digest(body[s : s + length]) for s in starts]), dtype="<i8").reshape(-1, 2)
-                    yield pd.DataFrame(
-                        {"high": names[:, 0], "low": names[:, 1], "ident": ident, "hash": key, "first": list(starts), "alone": each["alone"]}
-                    )
-
-    return _gathered(run)
-
-
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What is left of each text without its repeated spans."""
     for batch in batches:
@@ -157,50 +166,46 @@ def repeated_substrings(docs: DataFrame, ident: str = "doc_id", text: str = "tex
 
     Removed is every byte covered by a string of `length` bytes of the UTF-8 text that also starts anywhere else, in the same
     document or another one; overlaps count, and no string crosses documents. `removed` holds the maximal runs (start, end).
-    Null texts are empty and lose nothing; equal rows repeat each other; null ids are kept. Names of 128 bits in all decide
-    whether strings are equal. Copies count by name before any pair is formed, and hot names meet in plain equality joins.
+    Null texts are empty and lose nothing; equal rows repeat each other; null ids are kept. A name of 64 bits with the
+    64-bit hash of its gram decides whether strings are equal. Copies count by name before any pair is formed, and hot names meet in plain equality joins.
     """
     if length < 2 * GRAM:
         raise ValueError(f"the length must be at least {2 * GRAM}, not {length}")
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     base = docs.select(F.col(ident).cast("bigint").alias("ident"), F.xxhash64(body).alias("hash"), body.alias("body"))
-    path = scratch_path(spark, "sampled")
-    schema = "gram bigint, name bigint, ident bigint, hash bigint, first int, last int"
-    base.filter(F.octet_length("body") >= length).mapInPandas(_sample(length), schema).write.parquet(path)
-    runs = spark.read.schema(schema).parquet(path)
-
-    # Names of grams that occur more than once, one row each with a member.
-    member = F.struct("ident", "hash", "first", "last")
-    frequent = runs.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    names = runs.join(frequent, "gram", "left_semi").groupBy("gram", "name").agg(F.count("*").alias("n"), F.min(member).alias("member"))
-    names = cut_lineage(names)
-    whole = cut_lineage(names.filter("n > 1").select("gram", "name"))
-    spans = [
-        runs.join(broadcast_if_small(whole), ["gram", "name"], "left_semi").select(
-            "ident", "hash", "first", (F.col("last") + length).alias("end")
-        )
-    ]
-
-    # Grams with a name that is alone, beside others.
-    mixed = names.groupBy("gram").agg(F.count("*").alias("names"), F.min("n").alias("least")).filter("names > 1 and least = 1")
-    members = names.join(mixed.select("gram"), "gram", "left_semi")
-    listed = members.groupBy("member.ident", "member.hash").agg(
-        F.collect_list(F.struct("member.first", "member.last", (F.col("n") == 1).alias("alone"))).alias("runs")
-    )
-    listed = cut_lineage(listed).withColumnsRenamed({"ident": "r_ident", "hash": "r_hash"})
-    here = F.col("ident").eqNullSafe(F.col("r_ident")) & (F.col("hash") == F.col("r_hash"))
-    found = base.join(broadcast_if_small(listed), here).select("ident", "hash", "body", "runs")
-    path = scratch_path(spark, "strings")
-    schema = "high bigint, low bigint, ident bigint, hash bigint, first int, alone boolean"
-    found.mapInPandas(_strings(length), schema).write.parquet(path)
-    strings = spark.read.schema(schema).parquet(path)
-    twice = strings.groupBy("high", "low").agg(F.count("*").alias("n")).filter("n > 1").select("high", "low")
-    spans.append(
-        strings.filter("alone").join(twice, ["high", "low"], "left_semi").select("ident", "hash", "first", (F.col("first") + length).alias("end"))
-    )
-
-    gathered = spans[0].union(spans[1]).groupBy("ident", "hash").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+
+    def written(rows: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(spark, label)
+        rows.write.parquet(path)
+        return spark.read.schema(RUNS).parquet(path)
+
+    runs = written(base.filter(F.octet_length("body") >= length).mapInPandas(_sample(length), RUNS), "sampled")
+    spans = []
+    group, member = ["gram", "block"], F.struct("ident", "hash", "first", "last", "at")
+    for width in (*BLOCKS, None):
+        # One row per name, of the groups that have more than one row, with a member.
+        several = runs.groupBy(*group).agg(F.count("*").alias("n")).filter("n > 1").select(*group)
+        names = runs.join(several, group, "left_semi").groupBy(*group, "name")
+        names = cut_lineage(names.agg(F.count("*").alias("n"), F.bool_and("alone").alias("alone"), F.min(member).alias("member")))
+        repeated = cut_lineage(names.filter("n > 1").select(*group, "name"))
+        found = runs.filter("alone").join(broadcast_if_small(repeated), [*group, "name"], "left_semi")
+        spans.append(found.select("ident", "hash", "first", (F.col("last") + length).alias("end")))
+        if width is None:
+            break
+        # Groups of several names, one of them open: their members go one level deeper.
+        still = (F.col("n") == 1) & F.col("alone")
+        mixed = names.groupBy(*group).agg(F.count("*").alias("names"), F.bool_or(still).alias("open")).filter("names > 1 and open")
+        members = names.join(mixed.select(*group), group, "left_semi")
+        each = F.struct("gram", "member.first", "member.last", "member.at", still.alias("alone"))
+        listed = cut_lineage(members.groupBy("member.ident", "member.hash").agg(F.collect_list(each).alias("runs")))
+        listed = listed.withColumnsRenamed({"ident": "r_ident", "hash": "r_hash"})
+        here = F.col("ident").eqNullSafe(F.col("r_ident")) & (F.col("hash") == F.col("r_hash"))
+        inside = base.join(broadcast_if_small(listed), here).select("ident", "hash", "body", "runs")
+        # Equal rows of the input are one member each time, whose name is not alone.
+        runs = written(inside.mapInPandas(_split(width, length), RUNS), "blocks")
+
+    gathered = reduce(DataFrame.union, spans).groupBy("ident", "hash").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
     gathered = cut_lineage(gathered).withColumnsRenamed({"ident": "s_ident", "hash": "s_hash"})
     here = F.col("ident").eqNullSafe(F.col("s_ident")) & (F.col("hash") == F.col("s_hash"))
     marked = base.join(broadcast_if_small(gathered), here, "left").select("ident", "body", "spans")
