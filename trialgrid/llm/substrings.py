@@ -6,16 +6,18 @@ is many times the input. Here the sample is chosen by content: of each window of
 gram hash, the rightmost if tied. Equal strings choose equal offsets, and about 2 of `length` positions are sampled.
 
 1. Sampled positions are named by all bytes of the strings that chose them. 2. Equal names repeat as a whole; a gram that has
-one member repeats nowhere. 3. A name that is alone among several of its gram is resolved by recursion: its strings are cut
-into blocks by their distance to the sampled position, and named again with those of one member of every other name; after
-two such levels single strings are named, and equal neighbours in the order of names are the repeated ones.
+one member repeats nowhere. 3. Names that are alone among several of their gram are compared on both sides of the sampled position, in steps: where
+no other member of the gram agrees any further, no string that reaches beyond can repeat. 4. What is left is resolved by
+recursion: its strings are cut into blocks by their distance to the sampled position, and named again with those of one
+member of every other name; after two such levels single strings are named, and equal neighbours in the order of names are
+the repeated ones.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,8 @@ LENGTH = 400
 GRAM = 32
 #: Strings handled at once; bounds the memory for a long text.
 PIECE = 1 << 20
+#: Bytes in which the sides of a sampled position are compared.
+RUNG = 64
 #: Strings in a block, level by level.
 BLOCKS = (64, 8, 1)
 
@@ -98,6 +102,51 @@ def _sample(length: int):
     return _gathered(run)
 
 
+#: A piece of a listed run beside its sampled position: `rung` is its length in steps, negative to the left.
+RUNGS = "gram bigint, rung int, name bigint, ident bigint, hash bigint, at int"
+
+
+def _climb(length: int):
+    """Names the bytes beside the sampled position of each listed run, in steps, as far as its strings reach."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            out = []
+            for ident, key, body, runs in zip(batch["ident"], batch["hash"], batch["body"], batch["runs"]):
+                for each in runs:
+                    gram, at = each["gram"], each["at"]
+                    for rung in range(1, (at - each["first"]) // RUNG + 1):
+                        out.append((gram, -rung, digest(body[at - rung * RUNG : at]), ident, key, at))
+                    for rung in range(1, (each["last"] + length - at) // RUNG + 1):
+                        out.append((gram, rung, digest(body[at : at + rung * RUNG]), ident, key, at))
+            yield _named(out, RUNGS)
+
+    return _gathered(run)
+
+
+def _named(rows: list[tuple], schema: str) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[field.split()[0] for field in schema.split(", ")])
+    frame["name"] = frame["name"].astype(np.uint64).to_numpy().view(np.int64)
+    return frame
+
+
+def _narrowed(members: DataFrame, beside, length: int) -> DataFrame:
+    """`members` without the strings that reach beyond what any other member of the gram agrees with."""
+    rungs = beside(_climb(length), RUNGS).groupBy("gram", "rung", "name")
+    single = rungs.agg(F.count("*").alias("n"), *[F.min(c).alias(f"b_{c}") for c in ("ident", "hash", "at")]).filter("n = 1")
+    ends = single.groupBy(F.col("gram").alias("b_gram"), "b_ident", "b_hash", "b_at").agg(
+        F.min(F.when(F.col("rung") < 0, -F.col("rung"))).alias("left"), F.min(F.when(F.col("rung") > 0, F.col("rung"))).alias("right")
+    )
+    same = (F.col("gram") == F.col("b_gram")) & (F.col("member.hash") == F.col("b_hash")) & (F.col("member.at") == F.col("b_at"))
+    joined = members.join(ends, same & F.col("member.ident").eqNullSafe(F.col("b_ident")), "left")
+    at = F.col("member.at")
+    first = F.greatest("member.first", at - (F.col("left") * RUNG - 1))  # null bounds do not count
+    last = F.least("member.last", at - length + F.col("right") * RUNG - 1)
+    kept = joined.select(*members.columns, first.alias("first"), last.alias("last")).filter("first <= last")
+    return kept.withColumn("member", F.struct("member.ident", "member.hash", "first", "last", "member.at")).select(*members.columns)
+
+
 def _split(width: int, length: int):
     """Cuts the listed runs of each text into blocks of `width` strings and names them."""
 
@@ -111,9 +160,7 @@ def _split(width: int, length: int):
                         first, last = at - min(high, block * width + width - 1), at - max(low, block * width)
                         name = _name(body, first, last, at, length)
                         out.append((each["gram"], block, name, ident, key, first, last, at, each["alone"]))
-            frame = pd.DataFrame(out, columns=[field.split()[0] for field in RUNS.split(", ")])
-            frame["name"] = frame["name"].astype(np.uint64).to_numpy().view(np.int64)
-            yield frame
+            yield _named(out, RUNS)
 
     return _gathered(run)
 
@@ -161,6 +208,15 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame
 
 
+def _beside(base: DataFrame, members: DataFrame, run, schema: str) -> DataFrame:
+    """`run` over the texts that have members, with the list of them; a text has no more of them than positions."""
+    each = F.struct("gram", "member.first", "member.last", "member.at", "alone")
+    listed = members.groupBy(F.col("member.ident").alias("r_ident"), F.col("member.hash").alias("r_hash"))
+    listed = broadcast_if_small(cut_lineage(listed.agg(F.collect_list(each).alias("runs"))))
+    here = F.col("ident").eqNullSafe(F.col("r_ident")) & (F.col("hash") == F.col("r_hash"))
+    return base.join(listed, here).select("ident", "hash", "body", "runs").mapInPandas(run, schema)
+
+
 def repeated_substrings(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(ident, n_bytes, n_removed, n_spans, kept_sha256, removed), one row per row of `docs`.
 
@@ -196,14 +252,11 @@ def repeated_substrings(docs: DataFrame, ident: str = "doc_id", text: str = "tex
         # Groups of several names, one of them open: their members go one level deeper.
         still = (F.col("n") == 1) & F.col("alone")
         mixed = names.groupBy(*group).agg(F.count("*").alias("names"), F.bool_or(still).alias("open")).filter("names > 1 and open")
-        members = names.join(mixed.select(*group), group, "left_semi")
-        each = F.struct("gram", "member.first", "member.last", "member.at", still.alias("alone"))
-        listed = cut_lineage(members.groupBy("member.ident", "member.hash").agg(F.collect_list(each).alias("runs")))
-        listed = listed.withColumnsRenamed({"ident": "r_ident", "hash": "r_hash"})
-        here = F.col("ident").eqNullSafe(F.col("r_ident")) & (F.col("hash") == F.col("r_hash"))
-        inside = base.join(broadcast_if_small(listed), here).select("ident", "hash", "body", "runs")
+        members = names.join(mixed.select(*group), group, "left_semi").select("gram", "member", still.alias("alone"))
+        if width == BLOCKS[0]:
+            members = _narrowed(members, partial(_beside, base, members), length)
         # Equal rows of the input are one member each time, whose name is not alone.
-        runs = written(inside.mapInPandas(_split(width, length), RUNS), "blocks")
+        runs = written(_beside(base, members, _split(width, length), RUNS), "blocks")
 
     gathered = reduce(DataFrame.union, spans).groupBy("ident", "hash").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
     gathered = cut_lineage(gathered).withColumnsRenamed({"ident": "s_ident", "hash": "s_hash"})
