@@ -242,8 +242,9 @@ def repeated_substrings(docs: DataFrame, ident: str = "doc_id", text: str = "tex
     for width in (*BLOCKS, None):
         # One row per name, of the groups that have more than one row, with a member.
         several = runs.groupBy(*group).agg(F.count("*").alias("n")).filter("n > 1").select(*group)
-        names = runs.join(several, group, "left_semi").groupBy(*group, "name")
-        names = cut_lineage(names.agg(F.count("*").alias("n"), F.bool_and("alone").alias("alone"), F.min(member).alias("member")))
+        # By name first, where copies count before the shuffle; a gram with many names is split by the join.
+        names = runs.groupBy(*group, "name").agg(F.count("*").alias("n"), F.bool_and("alone").alias("alone"), F.min(member).alias("member"))
+        names = cut_lineage(names.join(several, group, "left_semi"))
         repeated = cut_lineage(names.filter("n > 1").select(*group, "name"))
         found = runs.filter("alone").join(broadcast_if_small(repeated), [*group, "name"], "left_semi")
         spans.append(found.select("ident", "hash", "first", (F.col("last") + length).alias("end")))
