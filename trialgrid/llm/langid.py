@@ -18,7 +18,7 @@ HASHES = 4
 #: Slots per trigram of the largest language.
 ROOM = 12
 #: Code points handled at once; bounds the memory for one long text.
-PIECE = 1 << 20
+PIECE = 1 << 17
 #: Odd multipliers, one per hash function.
 MULTIPLIERS = tuple(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(HASHES))
 
@@ -146,7 +146,7 @@ def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang", min
     # One row per distinct trigram and language, kept in codes and counts: both uses below read it.
     shared = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = counted.join(F.broadcast(shared), "lang").filter(F.col("n") >= F.col("total") * min_share)
-    found = frequent.select("lang", "code").toPandas()
+    found = frequent.select("lang", "code").toArrow().to_pandas()
     return build_filters({name: group["code"].to_numpy().astype(np.uint64) for name, group in found.groupby("lang")})
 
 
