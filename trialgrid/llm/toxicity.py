@@ -8,13 +8,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialgrid.session import cut_lineage
 
-#: Labelled rows the model is fitted on, at most; the lowest row hashes are taken. Everything else covers all rows.
-SAMPLE_ROWS = 12_000
+#: Labelled rows the model is fitted on, at most; a hash of their ids chooses. Everything else covers all rows.
+SAMPLE_ROWS = 6_000
 #: A word is a feature if it is in at least so many sampled texts, and in at most this share of them.
 LEAST_TEXTS, MOST_SHARE = 5, 0.2
 #: A toxic text's grade is 1 to GRADES.
@@ -104,7 +105,7 @@ def learn_severity(
 ) -> SeverityModel:
     """A model of the labelled texts; rows without id, text or label teach nothing.
 
-    At most about `sample_rows` labelled rows are used, those with the lowest hashes of their ids, and only words in
+    At most about `sample_rows` labelled rows are used, those with low hashes of their ids, and only words in
     LEAST_TEXTS of them or more: this bounds what the driver gets. Without labelled texts nothing is toxic.
     """
     known = labels.select(F.col(ident).alias("id"), F.col(toxic).cast("int").alias("toxic")).dropna()
@@ -118,15 +119,15 @@ def learn_severity(
     found = F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)))
     words = texts.select("id", "toxic", found.alias("word")).groupBy("id", "toxic", "word").count()
     words = cut_lineage(words)
-    frame = known.toPandas()
+    frame = known.toArrow().to_pandas()
     frequent = words.groupBy("word").agg(F.count("*").alias("texts"))
     limit = max(LEAST_TEXTS, int(MOST_SHARE * len(frame)))
-    vocabulary = frequent.filter((F.col("texts") >= LEAST_TEXTS) & (F.col("texts") <= limit)).select("word").toPandas()["word"]
-    vocabulary = vocabulary.sort_values().tolist()
+    vocabulary = frequent.filter((F.col("texts") >= LEAST_TEXTS) & (F.col("texts") <= limit)).select("word").toArrow()["word"]
+    vocabulary = sorted(vocabulary.to_pylist())
     if not vocabulary or frame["toxic"].nunique() < 2:
         return SeverityModel({}, (40.0,) * GRADES)
-    coded = F.broadcast(docs.sparkSession.createDataFrame(pd.DataFrame({"word": vocabulary, "column": range(len(vocabulary))})))
-    cells = words.join(coded, "word").select("id", F.col("column").cast("int"), F.col("count").cast("int")).toPandas()
+    coded = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"word": vocabulary, "column": range(len(vocabulary))})))
+    cells = words.join(coded, "word").select("id", F.col("column").cast("int"), F.col("count").cast("int")).toArrow().to_pandas()
     frame = frame.sort_values("id", ignore_index=True)
     rows = np.searchsorted(frame["id"].to_numpy(), cells["id"].to_numpy())
     columns, counts, bad = cells["column"].to_numpy(), cells["count"].to_numpy(), frame["toxic"].to_numpy() > 0
