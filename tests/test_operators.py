@@ -123,11 +123,24 @@ def test_sweep_pushes_the_loosest_threshold(spark, sf_dir):
 
 
 def test_sweep_limits(spark):
-    axes = [sweep.Axis("a", "id", ">", range(2000)), sweep.Axis("b", "id", "<", range(2000))]
-    with pytest.raises(grid.ParameterError):
+    axes = [sweep.Axis(f"a{i}", "id", ">=", range(100)) for i in range(4)]
+    with pytest.raises(grid.ParameterError, match="more than the limit"):
         sweep.sweep_apply(spark.range(3), axes, [sweep.Measure("n", "count")], limit=1_000_000)
-    with pytest.raises(grid.ParameterError):
-        sweep.sweep_apply_where(spark.range(3), [{"a": i} for i in range(2000)], lambda c: c["a"] > 1, [])
+
+
+def test_sweep_where_returns_every_combination(spark):
+    combinations = [{"a": i} for i in range(1000)]
+    got = sweep.sweep_apply_where(
+        spark.range(10), combinations, lambda c: F.col("id") >= c["a"], [sweep.Measure("n", "count"), sweep.Measure("s", "sum", F.col("id"))]
+    )
+    want = {i: (max(10 - i, 0), sum(range(i, 10)) if i < 10 else None) for i in range(1000)}
+    assert {r["a"]: (r["n"], r["s"]) for r in got.collect()} == want
+
+
+def test_two_long_lists(spark):
+    lists = {"a": spark.range(10_500).select(F.col("id").cast("string")), "b": spark.range(10_001), "c": [1]}
+    found = grid.sweep_expand(spark, lists).agg(F.count("*"), F.sum("b"), F.min(F.length("a")), F.max(F.length("a"))).first()
+    assert tuple(found) == (10_500 * 10_001, 10_500 * sum(range(10_001)), 1, 5)
 
 
 # Macros ----------------------------------------------------------------------

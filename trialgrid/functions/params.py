@@ -60,12 +60,14 @@ def replace_macros(col: Column, values: Mapping[str, Column]) -> Column:
 
 
 def replace_macros_from_map(col: Column, values: Column) -> Column:
-    """Like `replace_macros`, with names and values in a map column."""
-    return F.aggregate(
-        F.map_entries(values),
+    """Like `replace_macros`, with names and values in a map column; a null map replaces nothing."""
+    known = F.filter(F.map_entries(values), lambda entry: entry["value"].isNotNull())
+    replaced = F.aggregate(
+        known,
         col,
         lambda text, entry: F.replace(text, F.concat(F.lit("${"), entry["key"], F.lit("}")), entry["value"]),
     )
+    return F.when(values.isNull(), col).otherwise(replaced)
 
 
 def build_path(base: Column | str, ident: Column) -> Column:

@@ -12,10 +12,8 @@ from trialgrid.operators.joins import null_safe_join
 from trialgrid.operators.ordinal import ordinal
 from trialgrid.session import cut_lineage, fits_broadcast
 
-#: Combinations a grid may have before it is refused.
-GRID_LIMIT = 1_000_000_000
-#: Values a list may have to be expanded in place; one list may be larger.
-LIST_LIMIT = 10_000
+#: A list of more values stays a table, whose rows are met by their positions; shorter ones are expanded as constants.
+IN_PLACE = 10_000
 
 DONE = "done"
 CANCELLED = "cancelled"
@@ -28,13 +26,13 @@ class ParameterError(ValueError):
 def sweep_expand(
     spark: SparkSession,
     lists: Mapping[str, Sequence | DataFrame],
-    limit: int = GRID_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Every combination of all value lists, one column per parameter.
 
     A list is a Python sequence or a one-column DataFrame; duplicates count once. The largest list stays a
-    distributed table, and each of its rows is expanded by the other lists as constants. The number of
-    combinations is checked before anything is expanded.
+    distributed table, and each of its rows is expanded by the other lists: short ones are constants, longer ones
+    tables that are joined by position. With `limit`, more combinations are refused before anything is expanded.
     """
     tables, constants, total = {}, {}, 1
     for name, values in lists.items():
@@ -46,13 +44,11 @@ def sweep_expand(
     counts |= {name: len(values) for name, values in constants.items()}
     for name, count in counts.items():
         total *= count
-    if total > limit:
+    if limit is not None and total > limit:
         raise ParameterError(f"{total} combinations are more than the limit of {limit}")
     spine = max(counts, key=lambda name: (name in tables, counts[name]))
     for name in tables:
-        if name != spine:
-            if counts[name] > LIST_LIMIT:
-                raise ParameterError(f"only one list may have more than {LIST_LIMIT} values; {name} is another")
+        if name != spine and counts[name] <= IN_PLACE:
             constants[name] = [row[0] for row in tables[name].orderBy(F.col(f"`{name}`")).collect()]
     if spine in tables:
         grid = tables[spine]
@@ -67,6 +63,15 @@ def sweep_expand(
         if name in types:
             column = column.cast(f"array<{types[name]}>")
         grid = grid.withColumn(name, F.explode(column))
+    for name in tables:
+        if name != spine and counts[name] > IN_PLACE:
+            # The product itself is asked for; positions come in blocks, so that no row expands into a very long array.
+            numbered = cut_lineage(ordinal(cut_lineage(tables[name].toDF("__value")), ["__value"], name="__at"))
+            starts = F.sequence(F.lit(0).cast("bigint"), F.lit(counts[name] - 1).cast("bigint"), F.lit(IN_PLACE).cast("bigint"))
+            grid = grid.withColumn("__from", F.explode(starts))
+            end = F.least(F.col("__from") + IN_PLACE - 1, F.lit(counts[name] - 1).cast("bigint"))
+            grid = grid.withColumn("__at", F.explode(F.sequence("__from", end))).drop("__from")
+            grid = grid.join(numbered, "__at").drop("__at").withColumnRenamed("__value", name)
     return grid.select(*[F.col(f"`{name}`") for name in lists])
 
 

@@ -31,9 +31,6 @@ from trialgrid.sources.runlog import (
     write_csv,
 )
 
-#: Runs of one suite; each is a job of its own.
-RUN_LIMIT = 100_000
-
 # Parameters with a meaning of their own.
 JOB_PARAMETER, SIZE_PARAMETER, ENGINE_PREFIX = "xp.job", "ds.size", "xp."
 # Default names of the summaries.
@@ -59,7 +56,7 @@ def engine_settings(spark: SparkSession, settings: Mapping[str, str]) -> Iterato
 def suite_runs(spark: SparkSession, experiment: Experiment) -> DataFrame:
     """The whole grid: comb_key, ds_id, comb_id and one column per parameter, in batches of equal datasets."""
     lists = {**experiment.dataset, **experiment.runs}
-    grid = sweep_expand(spark, lists, RUN_LIMIT)
+    grid = sweep_expand(spark, lists)
     # Parameter names hold dots, so they travel in quoted form.
     short = {name: f"p{i}" for i, name in enumerate(lists)}
     plain = grid.toDF(*[short[name] for name in grid.columns])
@@ -111,7 +108,7 @@ def run_suite(
     tried = state.groupBy("comb_key").agg(F.max("attempt").alias("attempts"))
     todo = remaining_runs(runs, state, ["comb_key"]).join(tried, "comb_key", "left")
     todo = todo.withColumn("attempts", F.coalesce("attempts", F.lit(0))).filter(F.col("attempts") < max_attempts)
-    # At most RUN_LIMIT combinations of parameters; all their repetitions are resolved in one job.
+    # Each run is a job of its own, so the driver has to know them; all repetitions are resolved in one job.
     combinations: dict[str, list[Row]] = {}
     for run in resolve_runs(experiment, todo).orderBy("run_id").collect():
         combinations.setdefault(run["comb_key"], []).append(run)

@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialgrid.functions.params import literal_array
-from trialgrid.operators.grid import GRID_LIMIT, ParameterError
+from trialgrid.operators.grid import ParameterError
 from trialgrid.operators.ordinal import running
 from trialgrid.session import cut_lineage
 
-#: Combinations up to which every matching pair of row and combination may be formed inside a task.
-PAIRWISE_LIMIT = 1_000
+#: Combinations whose results one pass over the table collects.
+CHUNK = 200
 #: Combinations up to which the aggregated cells, at most one per combination, are broadcast and finished in one task.
 ONE_TASK_GRID = 10_000
 #: Values up to which a list is counted through instead of searched.
@@ -102,7 +102,7 @@ def _first_fit(df: DataFrame, axes: Sequence[Axis], ordered: Sequence[Sequence],
     return df
 
 
-def sweep_apply(df: DataFrame, axes: Sequence[Axis], measures: Sequence[Measure], limit: int = GRID_LIMIT) -> DataFrame:
+def sweep_apply(df: DataFrame, axes: Sequence[Axis], measures: Sequence[Measure], limit: int | None = None) -> DataFrame:
     """One result row per combination of the axis values, also for combinations without rows.
 
     Every row falls into one cell: on each axis, the first value it fits. The table is read once and aggregated
@@ -112,7 +112,7 @@ def sweep_apply(df: DataFrame, axes: Sequence[Axis], measures: Sequence[Measure]
     ordered = [_ordered(axis) for axis in axes]
     sizes = [len(values) for values in ordered]
     combinations = prod(sizes)
-    if combinations > limit:
+    if limit is not None and combinations > limit:
         raise ParameterError(f"{combinations} combinations are more than the limit of {limit}")
     cells = [f"__cell{i}" for i in range(len(axes))]
     fitting = df.filter(reduce(and_, [_fits_any(axis, values) for axis, values in zip(axes, ordered)]))
@@ -148,17 +148,27 @@ def sweep_apply(df: DataFrame, axes: Sequence[Axis], measures: Sequence[Measure]
 
 
 def sweep_apply_where(
-    df: DataFrame, grid: Sequence[Mapping[str, object]], condition, measures: Sequence[Measure], limit: int = PAIRWISE_LIMIT
+    df: DataFrame, grid: Sequence[Mapping[str, object]], condition, measures: Sequence[Measure]
 ) -> DataFrame:
     """The same for a condition that is no threshold per parameter: `condition(combination) -> Column`.
 
-    Each row is paired with the combinations it fits inside its task and aggregated there before the shuffle.
-    The grid is a constant, so its size is limited; combinations without rows are left out.
+    Also combinations without rows are returned. Each one is an aggregate with its condition, so rows are neither paired
+    nor multiplied, and a pass over the table yields one short row per task for CHUNK combinations.
     """
-    if len(grid) > limit:
-        raise ParameterError(f"{len(grid)} combinations are more than the limit of {limit}")
-    constant = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in combination.items()]) for combination in grid])
-    names = list(grid[0])
-    paired = df.withColumn("__run", F.explode(F.filter(constant, condition)))
-    grouped = paired.groupBy(*[F.col("__run")[name].alias(name) for name in names])
-    return grouped.agg(*[_first(m).alias(m.name) for m in measures])
+    spark = df.sparkSession
+    parts = []
+    for start in range(0, len(grid), CHUNK):
+        found = []
+        for combination in grid[start : start + CHUNK]:
+            values = {name: F.lit(value) for name, value in combination.items()}
+            inside = condition(values)
+            results = [_first(_only(measure, inside)).alias(measure.name) for measure in measures]
+            found.append(F.struct(*[value.alias(name) for name, value in values.items()], *results))
+        parts.append(df.agg(F.array(*found).alias("found")).select(F.inline("found")))
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "n bigint")
+
+
+def _only(measure: Measure, inside: Column) -> Measure:
+    """The measure over the rows inside."""
+    expr = F.lit(1) if measure.expr is None else measure.expr
+    return Measure(measure.name, measure.fn, F.when(inside, expr))

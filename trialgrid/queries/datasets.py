@@ -19,17 +19,40 @@ from trialgrid.queries.tables import table
 from trialgrid.session import scratch_path
 from trialgrid.sources import archives, datasets, runlog, warehouse
 
-ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-ORDERS = "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders"
+ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+ORDERS = """
+select o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as o_orderdate, o_orderpriority
+from orders
+"""
+
+
+def _dated(orders: DataFrame) -> DataFrame:
+    """Times as text, the same in both engines."""
+    return orders.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 def load_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders split into files; first a load of one byte, which takes one file, then the full load, which is returned."""
+    """Whole orders from a folder with partition folders."""
     source = scratch_path(spark, "source")
-    table(spark, sf_dir, "orders").select(*ORDER_COLUMNS).repartition(8).write.parquet(source)
-    dest, loads = scratch_path(spark, "load"), scratch_path(spark, "loads")
-    datasets.load_dataset(spark, source, f"{dest}/first", desired_size=1, loads=loads)
-    return datasets.load_dataset(spark, source, f"{dest}/full", loads=loads)
+    table(spark, sf_dir, "orders").hint("rebalance", "o_orderstatus").write.partitionBy("o_orderstatus").parquet(source)
+    return _dated(datasets.load_dataset(spark, source, scratch_path(spark, "load")))
+
+
+def load_dataset_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load of one byte, which takes the first file, here the one partition it holds; with the record of the load."""
+    source, loads = scratch_path(spark, "source"), scratch_path(spark, "loads")
+    orders = table(spark, sf_dir, "orders").withColumn("part", F.when(F.col("o_orderstatus") == "F", "a").otherwise("b"))
+    orders.hint("coalesce", 1).write.partitionBy("part").parquet(source)
+    loaded = datasets.load_dataset(spark, source, scratch_path(spark, "load"), desired_size=1, loads=loads)
+    record = datasets.loaded_datasets(spark, loads).first()
+    return loaded.groupBy("part", "o_orderstatus").agg(
+        F.count("*").alias("n"), *[F.lit(record[name]).cast("bigint").alias(name) for name in ("desired_size", "files")]
+    )
+
+
+LOAD_DATASET_CAPPED = """
+select 'a' as part, o_orderstatus, count(*) as n, 1::bigint as desired_size, 1::bigint as files from orders where o_orderstatus = 'F' group by 2
+"""
 
 
 def size_capped_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,13 +168,16 @@ INGEST_FILES = "select * from part"
 
 
 def export_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outputs = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderpriority").alias("run_id"))
+    ident = F.when(F.col("o_custkey") % 7 > 0, F.lpad((F.col("o_custkey") % 7).cast("string"), 3, "0"))
+    outputs = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", ident.alias("run_id"))
     path = scratch_path(spark, "export")
     runlog.export_output(outputs, path)
-    return runlog.fetch_output(spark, path, [row[0] for row in outputs.select("run_id").distinct().collect()])
+    return runlog.fetch_output(spark, path, outputs.select("run_id"))
 
 
-EXPORT_OUTPUT = "select o_orderkey, o_totalprice, o_orderpriority as run_id from orders"
+EXPORT_OUTPUT = """
+select o_orderkey, o_totalprice, case when o_custkey % 7 > 0 then lpad((o_custkey % 7)::varchar, 3, '0') end as run_id from orders
+"""
 
 
 def drop_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +215,7 @@ def _namespace(spark: SparkSession) -> str:
 
 def warehouse_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(*ORDER_COLUMNS)
-    return warehouse.warehouse_table(orders, _namespace(spark), "orders", bucket_by="o_custkey", buckets=8)
+    return _dated(warehouse.warehouse_table(orders, _namespace(spark), "orders", bucket_by="o_custkey", buckets=8))
 
 
 def warehouse_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,6 +305,7 @@ CUSTOM_DATASET = "select l_orderkey, count(*) as lines from lineitem group by 1
 
 QUERIES = {
     "load_dataset": (load_dataset, ORDERS),
+    "load_dataset_capped": (load_dataset_capped, LOAD_DATASET_CAPPED),
     "size_capped_subset": (size_capped_subset, SIZE_CAPPED_SUBSET),
     "round_robin_assign": (round_robin_assign, ROUND_ROBIN_ASSIGN),
     "load_size_report": (load_size_report, LOAD_SIZE_REPORT),

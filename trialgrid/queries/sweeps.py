@@ -55,7 +55,7 @@ group by 1, 2, 3
 
 def sweep_apply_where(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    combinations = [{"low": low, "width": width} for low in (1.0, 15.0, 30.0) for width in (5.0, 20.0)]
+    combinations = [{"low": low, "width": width} for low in (1.0, 15.0, 30.0, 1000.0) for width in (5.0, 20.0)]
 
     def inside(combination):
         low, width = combination["low"], combination["width"]
@@ -66,8 +66,8 @@ def sweep_apply_where(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SWEEP_APPLY_WHERE = """
-select low, width, count(*) as n, sum(cast(l_extendedprice as decimal(18,2)))::double as revenue
-from lineitem join (select * from (values (1.0::double), (15.0::double), (30.0::double)) a(low),
+select low, width, count(l_orderkey) as n, sum(cast(l_extendedprice as decimal(18,2)))::double as revenue
+from lineitem right join (select * from (values (1.0::double), (15.0::double), (30.0::double), (1000.0::double)) a(low),
                                   (values (5.0::double), (20.0::double)) b(width)) g
   on l_quantity >= low and l_quantity < low + width * (1 - l_discount)
 group by 1, 2
@@ -300,14 +300,14 @@ NAME_DIFFERENCE = "select c_custkey from customer except select o_custkey from o
 
 def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
-    orders = table(spark, sf_dir, "orders").filter(key > 0)
+    orders = table(spark, sf_dir, "orders")
     earlier = [F.floor((key - 1) / step).cast("string") for step in (16, 64)]
     return orders.select(F.explode(F.array(*earlier)).alias("src"), key.cast("string").alias("dst"))
 
 
 USES = """
 uses as (select distinct src::varchar as src, dst::varchar as dst from
-  (select unnest([(o_orderkey - 1) // 16, (o_orderkey - 1) // 64]) as src, o_orderkey as dst from orders where o_orderkey > 0))
+  (select unnest([floor((o_orderkey - 1) / 16)::bigint, floor((o_orderkey - 1) / 64)::bigint]) as src, o_orderkey as dst from orders))
 """
 
 

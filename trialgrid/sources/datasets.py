@@ -130,19 +130,41 @@ def load_dataset(
     Files are taken in path order by their listing; contents of the others are not read. With `loads`, one record
     (dest, desired size, files, raw bytes, final bytes) is appended there.
     """
-    if not path_exists(spark, source):
-        raise DatasetError(f"dataset directory {source} does not exist")
-    listing = file_inventory(spark, source).select("path", "length")
-    picked = sort_files(size_capped_subset(listing, ["path"], "length", desired_size)).collect()  # names, not data
-    data = spark.read.format(fmt).options(**options).load([row["path"] for row in picked])
+    picked = _picked_files(spark, source, desired_size)
+    data = _read_files(spark, source, picked if desired_size else None, fmt, **options)
     pre_load_hook(data, hook).write.parquet(dest)
     if loads:
-        final = file_inventory(spark, dest).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-        raw = sum(row["length"] for row in picked)
-        append_rows(spark, [(dest, desired_size, len(picked), raw, final)], LOADS, loads)
+        total = F.coalesce(F.sum("length"), F.lit(0))
+        files, raw = picked.agg(F.count("*"), total).first()
+        final = file_inventory(spark, dest).agg(total).first()[0]
+        append_rows(spark, [(dest, desired_size, files, raw, final)], LOADS, loads)
     return spark.read.parquet(dest)
 
 
+def _picked_files(spark: SparkSession, source: str, desired_size: int | None) -> DataFrame:
+    """(path, length) of the files Spark reads for a folder, in path order up to the size.
+
+    Those are the files in the folder itself and in its partition folders (`name=value`); names that start with `_` or `.`
+    are left out. Files in other folders below belong to no dataset, whether a size is given or not.
+    """
+    if not path_exists(spark, source):
+        raise DatasetError(f"dataset directory {source} does not exist")
+    listing = file_inventory(spark, source).select("path", "length")
+    root = spark._jvm.org.apache.hadoop.fs.Path(source).getName()
+    inside = F.substring_index(F.col("path"), f"/{root}/", -1)
+    listing = listing.filter(inside.rlike(r"^([^/=._][^/=]*=[^/]*/)*[^/_.][^/]*$"))
+    return size_capped_subset(listing, ["path"], "length", desired_size)
+
+
+def _read_files(spark: SparkSession, source: str, picked: DataFrame | None, fmt: str, **options: str) -> DataFrame:
+    """The folder, or some of its files with the same columns, those of its partition folders included."""
+    reader = spark.read.format(fmt).options(**options)
+    if picked is None:
+        return reader.load(source)
+    paths = [row["path"] for row in sort_files(picked).collect()]  # names of the files to read
+    return reader.option("basePath", source).load(paths)
+
+
 def loaded_datasets(spark: SparkSession, loads: str) -> DataFrame:
     """Records of all loads."""
     return read_rows(spark, LOADS, loads)
@@ -184,14 +206,8 @@ def make_dataset(spark: SparkSession, name: str, props: Mapping[str, str], desir
 def static_dataset(spark: SparkSession, props: Mapping[str, str], desired_size: int | None) -> DataFrame:
     """Files below `local_path` in path order up to the size, read as `format`, through `pre_load_function`."""
     source = props["local_path"]
-    if not path_exists(spark, source):
-        raise DatasetError(f"dataset directory {source} does not exist")
-    if not desired_size:
-        picked = [source]
-    else:
-        listing = file_inventory(spark, source).select("path", "length")
-        picked = [row["path"] for row in size_capped_subset(listing, ["path"], "length", desired_size).collect()]
-    data = spark.read.format(props.get("format", "text")).load(picked)
+    picked = _picked_files(spark, source, desired_size)
+    data = _read_files(spark, source, picked if desired_size else None, props.get("format", "text"))
     return pre_load_hook(data, props.get("pre_load_function"))
 
 

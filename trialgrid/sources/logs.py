@@ -22,8 +22,8 @@ from trialgrid.operators.joins import null_safe_join
 from trialgrid.session import cut_lineage, fits_broadcast
 from trialgrid.sources.lines import read_lines
 
-#: Job ids that may be given as a Python list; a longer list is given as a DataFrame.
-ID_LIMIT = 200
+#: A Python list of up to so many job ids becomes one filter, a longer one a table; the result is the same.
+SHORT_ID_LIST = 200
 
 
 def _first_hit(lines: DataFrame, by: Sequence[str], order: Sequence[str], found: Column, name: str) -> DataFrame:
@@ -61,18 +61,21 @@ def first_parsable_size(
 
 
 def job_history_scan(files: DataFrame, name: str, job_ids: Sequence[str] | DataFrame | None = None) -> DataFrame:
-    """Files whose name starts with one of the job ids, or with `job_` when none are given.
+    """Files whose name starts with one of the job ids, or with `job_` when none are given or the list is empty.
 
     A short list is a filter. A table of ids is matched by equality, on each length that occurs among the ids: by
     lookups without a shuffle if the ids can be broadcast, otherwise by one join on all prefixes. No pairs are
     formed either way.
     """
     column = F.col(name)
+    whole = files.filter(F.startswith(column, F.lit("job_")))
     if job_ids is None:
-        return files.filter(F.startswith(column, F.lit("job_")))
+        return whole
+    if not isinstance(job_ids, DataFrame) and len(job_ids) > SHORT_ID_LIST:
+        job_ids = files.sparkSession.createDataFrame([(job_id,) for job_id in job_ids], "id string")
     if not isinstance(job_ids, DataFrame):
-        if len(job_ids) > ID_LIMIT:
-            raise ValueError(f"more than {ID_LIMIT} job ids: pass them as a DataFrame")
+        if not job_ids:
+            return whole
         hit = F.lit(False)
         for job_id in job_ids:
             hit = hit | F.startswith(column, F.lit(job_id))
@@ -80,7 +83,7 @@ def job_history_scan(files: DataFrame, name: str, job_ids: Sequence[str] | DataF
     ids = cut_lineage(job_ids.toDF("__id").filter(F.col("__id").isNotNull()).distinct())
     lengths = [row[0] for row in ids.select(F.length("__id")).distinct().collect()]  # lengths of file names
     if not lengths:
-        return files.limit(0)
+        return whole
     if fits_broadcast(ids):
         marked, hit = files, F.lit(False)
         for length in lengths:

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialgrid.operators.joins import null_safe_join
+from trialgrid.session import cut_lineage, fits_broadcast
+
 RUNS = (
     "run_id bigint, comb_key string, job_id string, params map<string,string>, rep int, status string, "
     "attempt int, error string, ts timestamp"
@@ -33,11 +36,20 @@ def read_rows(spark: SparkSession, schema: str, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def run_summary(params: DataFrame, ident: Sequence[str], names: Sequence[str], name: str = "name", value: str = "value") -> DataFrame:
+def run_summary(
+    params: DataFrame, ident: Sequence[str], names: Sequence[str] | None = None, name: str = "name", value: str = "value"
+) -> DataFrame:
     """Long (ident, name, value) records to one wide row per run; one value per run and name.
 
-    The names are known, so one aggregate with a condition per name does it in a single shuffle.
+    Without `names` all that occur become columns, in order. With them, a record of another name is an error, so that none
+    is lost. One aggregate with a condition per name does it in a single shuffle.
     """
+    if names is None:
+        names = sorted(row[0] for row in params.select(name).dropna().distinct().collect())  # the result's columns
+    else:
+        other = params.filter(~F.col(name).isin(*names)).select(name).limit(1).collect()
+        if other:
+            raise ValueError(f"{other[0][0]} is not among the names of the summary")
     columns = [F.max(F.when(F.col(name) == one, F.col(value))).alias(one) for one in names]
     return params.groupBy(*ident).agg(*columns)
 
@@ -66,17 +78,37 @@ def export_output(outputs: DataFrame, path: str, run: str = "run_id", mode: str
     outputs.hint("rebalance", run).write.mode(mode).partitionBy(run).parquet(path)
 
 
-def fetch_output(spark: SparkSession, path: str, runs: Sequence[int], run: str = "run_id") -> DataFrame:
-    """Outputs of some runs; only their folders are listed and read."""
-    return spark.read.parquet(path).filter(F.col(run).isin(*runs))
+def read_output(spark: SparkSession, path: str, kind: str, run: str = "run_id") -> DataFrame:
+    """All outputs, with the run ids as they were written: of type `kind`, not of the type their folders suggest."""
+    fields = [f"`{f.name}` {kind if f.name == run else f.dataType.simpleString()}" for f in spark.read.parquet(path).schema]
+    return spark.read.schema(", ".join(fields)).parquet(path)
+
+
+def _listed(outputs: DataFrame, runs: DataFrame, run: str, how: str) -> DataFrame:
+    ids = cut_lineage(runs.select(F.col(run).cast(dict(outputs.dtypes)[run])).distinct())
+    return null_safe_join(outputs, ids, [run], how, broadcast=fits_broadcast(ids))
+
+
+def fetch_output(
+    spark: SparkSession, path: str, runs: Sequence | DataFrame, run: str = "run_id", kind: str | None = None
+) -> DataFrame:
+    """Outputs of some runs, given as a list or as a table of ids; null is an id like others.
+
+    Only the folders of listed ids are read; those of a table prune them at run time, if the ids can be broadcast. `kind` is
+    the type the ids were written with; a table brings it along, a list of texts means text, and one of numbers `bigint`.
+    """
+    if isinstance(runs, DataFrame):
+        return _listed(read_output(spark, path, kind or dict(runs.dtypes)[run], run), runs, run, "left_semi")
+    kind = kind or ("string" if any(isinstance(one, str) for one in runs) else "bigint")
+    chosen = F.col(run).isin([one for one in runs if one is not None])
+    return read_output(spark, path, kind, run).filter(chosen | F.col(run).isNull() if None in runs else chosen)
 
 
 def drop_output(spark: SparkSession, path: str, dropped: DataFrame, dest: str, run: str = "run_id") -> DataFrame:
     """Write the outputs without the dropped runs to a fresh path and read them from there.
 
-    The dropped run ids prune the folders, so their files are not read.
+    Ids are compared as they were written, by the type of `dropped`; null is an id like others.
     """
-    every = spark.read.parquet(path)
-    gone = [row[0] for row in dropped.select(run).distinct().collect()]  # run ids, not data
-    every.filter(~F.col(run).isin(*gone)).write.partitionBy(run).parquet(dest)
+    every = read_output(spark, path, dict(dropped.dtypes)[run], run)
+    _listed(every, dropped, run, "left_anti").write.partitionBy(run).parquet(dest)
     return spark.read.schema(every.schema).parquet(dest)

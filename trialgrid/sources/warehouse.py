@@ -23,15 +23,25 @@ def warehouse_table(df: DataFrame, namespace: str, table: str, bucket_by: str |
 
 
 def warehouse_sql(spark: SparkSession, text: str, views: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """Run SQL text as it stands; `${..}` in it is kept instead of being taken as a session variable."""
-    for name, view in (views or {}).items():
-        view.createOrReplaceTempView(name)
+    """Run SQL text as it stands; `${..}` in it is kept instead of being taken as a session variable.
+
+    The views exist for this text only; views of the same names that the session has come back afterwards.
+    """
+    views = views or {}
+    held = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    earlier = {name: spark.table(f"`{name}`") for name in views if name.lower() in held}
     before = spark.conf.get("spark.sql.variable.substitute")
     spark.conf.set("spark.sql.variable.substitute", "false")
     try:
-        return spark.sql(text)
+        for name, view in views.items():
+            view.createOrReplaceTempView(name)
+        return spark.sql(text)  # views are resolved here
     finally:
         spark.conf.set("spark.sql.variable.substitute", before)
+        for name in views:
+            spark.catalog.dropTempView(name)
+        for name, view in earlier.items():
+            view.createOrReplaceTempView(name)
 
 
 def warehouse_clean(spark: SparkSession, namespace: str) -> int:
