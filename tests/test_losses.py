@@ -65,3 +65,34 @@ def test_a_size_above_all_data_changes_nothing(spark):
         capped = datasets.load_dataset(spark, source, scratch_path(spark, "capped"), desired_size=1 << 40)
     assert whole.columns == capped.columns == ["id", "p"]
     assert sorted(whole.collect()) == sorted(capped.collect()) and whole.count() == 20
+
+
+def test_points_stay_exact_at_large_indices(spark):
+    from fractions import Fraction
+
+    from trialgrid.plans import samples
+
+    indices = [0, 1, 10**6, 10**13 + 7, 2**53 + 1, 2**62 + 12345]
+    df = spark.createDataFrame([(i,) for i in indices], "i long")
+    for i, r in zip(indices, samples.pi_points(df, "i").collect()):
+        assert (r["x"], r["y"]) == tuple(float(Fraction(s) * i % 1) for s in (samples.STEP_X, samples.STEP_Y))
+
+
+def test_a_class_with_empty_properties_stays(spark):
+    from trialgrid.operators.grid import align_class_params
+
+    df = spark.createDataFrame([(1, ["A", "B"], {"p": ["x", ""], "q": ["y", ""]})], "id int, c array<string>, p map<string,array<string>>")
+    got = {(r["idx"], r["class"], r["name"], r["value"]) for r in align_class_params(df, "c", "p", ["id"]).collect()}
+    assert got == {(0, "A", "p", "x"), (0, "A", "q", "y"), (1, "B", None, None)}
+
+
+def test_the_plan_of_levels_does_not_grow_with_depth(spark):
+    from trialgrid.operators.macros import dependency_order
+
+    plans = []
+    for depth in (3, 9):
+        edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(depth)], "src string, dst string")
+        levels = dependency_order(edges)
+        assert {r["name"]: r["level"] for r in levels.collect()} == {f"n{i}": i for i in range(depth + 1)}
+        plans.append(len(levels._jdf.queryExecution().optimizedPlan().toString()))
+    assert abs(plans[0] - plans[1]) < 50

@@ -83,25 +83,25 @@ def align_class_params(
     `classes` is an array of class names, `props` a map from property name to an array of values. A list as long
     as the class list belongs to the classes position by position and its empty entries are dropped; a list of
     one value is shared by all. Any other length raises, or is dropped with `on_mismatch="drop"`.
-    Classes without any property keep one row with a null name.
+    Classes without any property, or with empty ones only, keep one row with a null name.
     """
     count = F.size("__classes")
-    value = (
-        F.when(F.size("__values") == count, F.nullif(F.get("__values", F.col("idx")), F.lit("")))
-        .when(F.size("__values") == 1, F.get("__values", F.lit(0)))
-    )
-    if on_mismatch == "raise":
-        value = F.when(
-            (F.size("__values") != count) & (F.size("__values") != 1),
-            F.raise_error(F.concat(F.lit("number of dataset classes does not match number of "), F.col("name"))),
-        ).otherwise(value)
+
+    def of_class(entry: Column) -> Column:
+        values = entry["value"]
+        value = F.when(F.size(values) == count, F.nullif(F.get(values, F.col("idx")), F.lit(""))).when(
+            F.size(values) == 1, F.get(values, F.lit(0))
+        )
+        if on_mismatch == "raise":
+            said = F.format_string(f"property %s of {ident} has %d values for %d classes", entry["key"], F.size(values), count)
+            value = F.when((F.size(values) != count) & (F.size(values) != 1), F.raise_error(said)).otherwise(value)
+        return F.struct(entry["key"].alias("name"), value.alias("value"))
+
     keyed = configs.select(*ident, F.col(classes).alias("__classes"), F.col(props).alias("__props"))
     spread = keyed.select(*ident, "__classes", "__props", F.posexplode("__classes").alias("idx", "class"))
-    named = spread.select(
-        *ident, "__classes", "idx", "class", F.explode_outer("__props").alias("name", "__values")
-    )
-    valued = named.select(*ident, "idx", "class", "name", value.alias("value"))
-    return valued.filter(F.col("name").isNull() | F.col("value").isNotNull())
+    given = F.filter(F.transform(F.map_entries("__props"), of_class), lambda entry: entry["value"].isNotNull())
+    valued = spread.select(*ident, "idx", "class", F.explode_outer(given).alias("__entry"))
+    return valued.select(*ident, "idx", "class", "__entry.name", "__entry.value")
 
 
 def last_status(state: DataFrame, keys: Sequence[str]) -> DataFrame:

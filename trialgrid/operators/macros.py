@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialgrid.functions.params import build_path, macro_names, replace_macros
-from trialgrid.session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, cut_lineage
+from trialgrid.session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, cut_lineage, scratch_path
 
 # Built-in macros, their start values and which of them uses which.
 DATA_BASE_DIR = "/tests/data"
@@ -59,10 +59,12 @@ def require_section_order(edges: DataFrame, sections: DataFrame) -> None:
 def dependency_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Level of every name: 0 without dependencies, otherwise one more than the deepest name it uses.
 
-    Each round takes the names with no open dependency, and only the edges leaving them are counted off. The open
-    names are written out after every round, so neither the plan nor the recomputation grows. A round that finds
-    open names but none ready means a cycle, which raises.
+    Each round takes the names with no open dependency, and only the edges leaving them are counted off. Both the
+    open names and those of the finished level are written out after every round, and the levels are read back
+    together, so neither the plan nor the recomputation grows with the depth. A round that finds open names but none
+    ready means a cycle, which raises.
     """
+    spark, path = edges.sparkSession, scratch_path(edges.sparkSession, "levels")
     edges = cut_lineage(edges.select("src", "dst").distinct())
     names = edges.select(F.col("src").alias("name")).union(edges.select("dst"))
     if nodes is not None:
@@ -72,7 +74,7 @@ def dependency_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFr
     open_names = cut_lineage(
         names.distinct().join(incoming, "name", "left").select("name", F.coalesce("needs", none).alias("needs"))
     )
-    levels, level = None, 0
+    level = 0
     is_ready = F.col("needs") == 0
     width = F.octet_length("name") + 16
     while True:
@@ -82,9 +84,9 @@ def dependency_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFr
         if rows and not settled_rows:
             raise MacroError("macros do not follow an acyclic order")
         ready = open_names.filter(is_ready).select("name", F.lit(level).alias("level"))
-        levels = ready if levels is None else levels.unionByName(ready)
+        ready.write.mode("append").parquet(path)
         if rows == settled_rows:
-            return levels
+            return spark.read.schema("name string, level int").parquet(path)
         sources = ready.select(F.col("name").alias("src"))
         if settled_rows <= BROADCAST_ROWS and settled_bytes <= BROADCAST_BYTES:
             sources = F.broadcast(sources)  # the edges stay where they are

@@ -18,9 +18,20 @@ MODULUS = 2147483647
 
 
 def pi_points(rows: DataFrame, index: str) -> DataFrame:
-    """A repeatable point in the unit square for every index."""
-    at = F.col(index).cast("double")
-    return rows.select((at * F.lit(STEP_X) % 1.0).alias("x"), (at * F.lit(STEP_Y) % 1.0).alias("y"))
+    """A repeatable point in the unit square for every index, exact for all 64-bit indices."""
+    return rows.select(_fraction(F.col(index), STEP_X).alias("x"), _fraction(F.col(index), STEP_Y).alias("y"))
+
+
+def _fraction(index: Column, step: float) -> Column:
+    """Fractional part of index * step, by whole numbers modulo 2^53, in which a step is a whole number.
+
+    Both factors are split at 27 bits, so that no product leaves 64 bits.
+    """
+    whole, low = int(step * (1 << 53)), (1 << 27) - 1
+    at = index.cast("bigint").bitwiseAND((1 << 53) - 1)
+    a0, a1, s0, s1 = at.bitwiseAND(low), F.shiftrightunsigned(at, 27), whole & low, whole >> 27
+    high = (a0 * s1 + a1 * s0).bitwiseAND((1 << 26) - 1)
+    return (a0 * s0 + F.shiftleft(high, 27)).bitwiseAND((1 << 53) - 1) / float(1 << 53)
 
 
 def pi_estimate(rows: DataFrame, index: str) -> DataFrame:

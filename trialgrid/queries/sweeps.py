@@ -365,8 +365,9 @@ def pi_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 PI_ESTIMATE = """
 select count(*) filter (x * x + y * y <= 1) as inside, count(*) as points,
        count(*) filter (x * x + y * y <= 1) * 4.0::double / count(*) as pi
-from (select (i * 0.7548776662466927::double) % 1.0::double as x, (i * 0.5698402909980532::double) % 1.0::double as y
-      from (select (l_orderkey * 8 + l_linenumber)::double as i from lineitem))
+from (select ((i * 6799333552837830) % 9007199254740992)::double / 9007199254740992 as x,
+             ((i * 5132665044399055) % 9007199254740992)::double / 9007199254740992 as y
+      from (select (l_orderkey * 8 + l_linenumber)::hugeint as i from lineitem))
 """
 
 QUERIES = {

@@ -151,7 +151,8 @@ def _picked_files(spark: SparkSession, source: str, desired_size: int | None) ->
         raise DatasetError(f"dataset directory {source} does not exist")
     listing = file_inventory(spark, source).select("path", "length")
     root = spark._jvm.org.apache.hadoop.fs.Path(source).getName()
-    inside = F.substring_index(F.col("path"), f"/{root}/", -1)
+    below = F.substring_index(F.col("path"), f"/{root}/", -1)
+    inside = F.when(F.endswith("path", F.lit(f"/{root}")), F.lit(root)).otherwise(below)  # the source may be one file
     listing = listing.filter(inside.rlike(r"^([^/=._][^/=]*=[^/]*/)*[^/_.][^/]*$"))
     return size_capped_subset(listing, ["path"], "length", desired_size)
 
@@ -162,7 +163,10 @@ def _read_files(spark: SparkSession, source: str, picked: DataFrame | None, fmt:
     if picked is None:
         return reader.load(source)
     paths = [row["path"] for row in sort_files(picked).collect()]  # names of the files to read
-    return reader.option("basePath", source).load(paths)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    if hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop_path).isDirectory():
+        reader = reader.option("basePath", source)
+    return reader.load(paths)
 
 
 def loaded_datasets(spark: SparkSession, loads: str) -> DataFrame:
