@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialgrid.llm.expressions import let
 from trialgrid.session import cut_lineage
 
 #: Labelled rows the model is fitted on, at most; a hash of their ids chooses. Everything else covers all rows.
@@ -22,9 +23,23 @@ LEAST_TEXTS, MOST_SHARE = 5, 0.2
 GRADES = 3
 #: A word marks toxic texts if it is so many times as frequent in them.
 MARKED_RATIO = 20
-STEPS, RATE, SPARSITY = 300, 0.1, 2e-4
+STEPS, RATE, SPARSITY = 400, 0.1, 5e-4
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Letters of a longer word's beginning, a feature of its own: it knows forms of a word that the sample does not have.
+STEM = 5
+
+
+def text_features(text: str) -> set[str]:
+    """The words of a text and the beginnings of its longer words."""
+    words = set(WORD.findall(text.lower()))
+    return words | {word[:STEM] + "*" for word in words if len(word) > STEM}
+
+
+def _with_stems(words: Column) -> Column:
+    """The same as `text_features`, as an array with repeats."""
+    longer = F.filter(words, lambda word: F.length(word) > STEM)
+    return F.concat(words, F.transform(longer, lambda word: F.concat(F.substring(word, 1, STEM), F.lit("*"))))
 
 
 @dataclass(frozen=True)
@@ -37,7 +52,7 @@ class SeverityModel:
     def at_least(self, texts: list[str | None]) -> np.ndarray:
         """(text, k): the probability of each grade or a higher one."""
         known = self.weights.keys()
-        score = [sum(self.weights[w] for w in known & set(WORD.findall((t or "").lower()))) for t in texts]
+        score = [sum(self.weights[w] for w in sorted(known & text_features(t or ""))) for t in texts]
         return _sigmoid(np.asarray(score, dtype=float).reshape(-1, 1) - np.asarray(self.thresholds))
 
 
@@ -116,8 +131,8 @@ def learn_severity(
     texts = docs.select(F.col(ident).alias("id"), F.lower(F.col(text)).alias("text")).dropna()
     # The sample is bounded, so that the labels can go to the texts and only sampled texts are shuffled.
     texts = texts.join(F.broadcast(known), "id")
-    found = F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)))
-    words = texts.select("id", "toxic", found.alias("word")).groupBy("id", "toxic", "word").count()
+    found = let(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), _with_stems)
+    words = texts.select("id", "toxic", F.explode(found).alias("word")).groupBy("id", "toxic", "word").count()
     words = cut_lineage(words)
     frame = known.toArrow().to_pandas()
     frequent = words.groupBy("word").agg(F.count("*").alias("texts"))
