@@ -208,6 +208,16 @@ def test_substrings_equal_brute_force(spark):
         assert ([tuple(s) for s in got[i]["removed"]], got[i]["n_bytes"] - got[i]["n_removed"]) == (spans, len(kept)), i
 
 
+def test_mixing_takes_each_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TURNS", 7)
+    docs = spark.range(60).select(F.lit("a b").alias("text"), F.when(F.col("id") % 3 < 2, "hot").otherwise("other").alias("source"))
+    mixed = mixing.mix_documents(docs).groupBy("source").count().collect()
+    sizes = {"hot": 40, "other": 20}
+    want = {"hot": 60 * 5 / 7, "other": 60 * 2 / 7}
+    assert all(abs(r["count"] - want[r["source"]]) <= 1 and r["count"] <= 3 * sizes[r["source"]] for r in mixed)
+    assert mixing.mix_documents(docs).agg(F.max("copy")).first()[0] == 2
+
+
 def test_mixing_takes_whole_number_steps(spark):
     docs = spark.range(9000).select(
         F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 10)).alias("source"), (F.col("id") % 50).alias("size")

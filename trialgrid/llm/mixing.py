@@ -16,6 +16,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Offsets are multiples of this fraction, so that sums with them stay exact in doubles.
 STEPS = 1 << 16
+#: Equal rows are numbered in lists of so many.
+TURNS = 10_000
 
 
 def count_words(text: Column) -> Column:
@@ -82,19 +84,24 @@ def systematic_mix(
 def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", name: str = "copy", **options) -> DataFrame:
     """The rows of the mix: each document once per copy taken, numbered from 1 in column `name`, all columns kept.
 
-    If there is such a column already, the new one gets underscores in front. Rows are told apart by a hash of all their columns and, if equal, by turn.
+    If there is such a column already, the new one gets underscores in front. Rows are told apart by
+    96 bits of hashes of all their columns; each of several equal ones is taken for itself.
     """
     taken_names = {column.lower() for column in docs.columns}
     while name.lower() in taken_names:
         name = "_" + name
     whole = docs.select(F.struct("*").alias("row"))
-    keyed = whole.select("row", F.xxhash64("row").alias("hash"))
-    turns = Window.partitionBy("hash").orderBy(F.lit(0))
-    keyed = keyed.withColumn("turn", F.row_number().over(turns))
-    narrow = whole.select(
-        F.xxhash64("row").alias("hash"), F.col("row")[source].alias("source"), count_words(F.col("row")[text]).alias("size")
-    ).withColumn("turn", F.row_number().over(turns))
-    taken = systematic_mix(narrow, ["hash", "turn"], **options).select("hash", "turn", "copies").filter("copies > 0")
-    copies = keyed.join(taken, ["hash", "turn"])
+    row_hash = F.xxhash64("row").alias("hash"), F.hash("row").alias("check")
+    sizes = whole.select(*row_hash, F.col("row")[source].alias("source"), count_words(F.col("row")[text]).alias("size"))
+    # Equal rows are counted, not gathered; their turns are made again from the count, in short lists.
+    counted = cut_lineage(sizes.groupBy("hash", "check", "source", "size").agg(F.count("*").alias("n")))
+    begins = counted.select("*", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(TURNS))).alias("begin"))
+    turn = F.explode(F.sequence(F.col("begin"), F.least(F.col("n"), F.col("begin") + (TURNS - 1))).cast("array<int>"))
+    narrow = begins.select("hash", "check", "source", "size", turn.alias("turn"))
+    taken = systematic_mix(narrow, ["hash", "check", "turn"], **options).select("hash", "check", "copies").filter("copies > 0")
+    keyed = whole.select("row", *row_hash)
+    if counted.filter("n > 1").limit(1).count():  # otherwise this shuffle of whole rows would change nothing
+        keyed = keyed.dropDuplicates(["hash", "check"])
+    copies = keyed.join(taken, ["hash", "check"])
     number = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(name)
     return copies.select("row", number).select("row.*", name)
