@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from trialgrid.operators.grid import ParameterError
 from trialgrid.session import scratch_path
 from trialgrid.sources import archives, conffiles, datasets, hosts, lines, logs, runlog, warehouse
 
@@ -108,6 +109,43 @@ def test_ini(spark, tmp_path, ranges):
     assert got.count() == 14
 
 
+def test_ini_rejects(spark, tmp_path):
+    (tmp_path / "p.ini").write_text(INI + "garbage line\n")
+    got = conffiles.ini_rejects(lines.read_lines(spark, str(tmp_path))).orderBy("block_start", "row").collect()
+    assert [(r["line"], r["reason"]) for r in got] == [
+        ("stray", "no section"),
+        ("   lost", "nothing to continue"),
+        ("garbage line", "no option"),
+    ]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["a = 1\n[s]\n", "[s]\nno option\n", "[s]\n  lost\n", "[s]\na = %(b)s\n", "[s]\na = %(b)s\nb = %(a)s\n"],
+)
+def test_wrong_ini_files(spark, tmp_path, text):
+    (tmp_path / "p.ini").write_text(text)
+    with pytest.raises(ParameterError):
+        conffiles.config_scan_ini(spark, str(tmp_path)).collect()
+
+
+def test_ini_defaults_and_references(spark, tmp_path):
+    (tmp_path / "p.ini").write_text(
+        "[DEFAULT]\nroot = /r\nkind = x\n[one]\na = %(root)s/%(KIND)s of %(__name__)s at 5%%\nb = 5%% %d\nkind = y\nkind = %(c)s%(c)s\nc = z\n"
+        "[empty]\n[DEFAULT]\nroot = /s\n[one]\nc = w\n"
+    )
+    got = {(r["section"], r["name"]): r["value"] for r in conffiles.config_scan_ini(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("one", "root"): "/s",
+        ("one", "a"): "/s/ww of one at 5%",
+        ("one", "b"): "5%% %d",
+        ("one", "kind"): "ww",
+        ("one", "c"): "w",
+        ("empty", "root"): "/s",
+        ("empty", "kind"): "x",
+    }
+
+
 def test_positions_feed_the_lookup(spark, tmp_path):
     (tmp_path / "a.conf").write_text("k 1\nk 2\n")
     (tmp_path / "b.conf").write_text("k 3\n")

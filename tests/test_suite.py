@@ -1,5 +1,7 @@
 """Experiments from their parameter file to their run records."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +104,25 @@ def test_unknown_dataset_does_not_end_the_suite(spark, tmp_path, sf_dir):
     assert spark.read.parquet(f"{home}/data/2").count() == 5
 
 
+@pytest.mark.parametrize("remove,kept", [("", False), ("test.remove_output = no\n", True), ("test.remove_output = yes\n", False)])
+def test_outputs_and_stats_of_a_suite(spark, tmp_path, sf_dir, remove, kept):
+    path, home, out, stats = tmp_path / "x.ini", str(tmp_path / "home"), tmp_path / "out", tmp_path / "stats"
+    path.write_text(
+        f"[test_parameters]\ntest.output_path = {out}\ntest.stats_path = {stats}\n{remove}[ds_parameters]\nds.class = StaticDataset\n"
+        f"ds.class.local_path = {sf_dir}/nation.parquet\nds.class.format = parquet\n[xp_parameters]\nxp.job = rows\nxp.n = 1, 2\n"
+    )
+    job = lambda s, df, a, p: df.repartition(3).limit(int(p["xp.n"]))
+    run_suite(spark, read_experiment(spark, str(path)), home, {"rows": job})
+    count = lambda folder: {r["run_id"]: r["count"] for r in spark.read.parquet(str(folder)).groupBy("run_id").count().collect()}
+    assert count(out) == {1: 1, 2: 2}
+    assert os.path.exists(f"{home}/output") == kept
+    if kept:
+        assert count(f"{home}/output") == {1: 1, 2: 2}
+    found = spark.read.parquet(str(stats))
+    assert {r["run_id"] for r in found.collect()} == {1, 2}
+    assert found.agg(F.sum("completed")).first()[0] > 0 and found.agg(F.sum("failed")).first()[0] == 0
+
+
 @pytest.mark.parametrize(
     "text,error",
     [

@@ -121,11 +121,15 @@ def class_property(col: Column) -> Column:
     )
 
 
+#: What stands for false in an option.
+FALSE_WORDS = ("0", "no", "false", "off")
+
+
 def is_true(col: Column) -> Column:
     """Boolean option text; null when it is none of the known words."""
     word = F.lower(strip(col))
     return F.when(word.isin("1", "yes", "true", "on"), F.lit(True)).when(
-        word.isin("0", "no", "false", "off"), F.lit(False)
+        word.isin(*FALSE_WORDS), F.lit(False)
     )
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialgrid.functions.params import class_property, is_true, split_trim_list
+from trialgrid.functions.params import FALSE_WORDS, class_property, is_true, split_trim_list
 from trialgrid.operators.grid import ParameterError, align_class_params
 from trialgrid.operators.macros import (
     BUILTIN_EDGES,
@@ -26,7 +26,6 @@ CLASS_OPTION, CONFIG_PARAMETER, DEST_PARAMETER = "ds.class", "ds.config", "ds.de
 DEFAULT_DEST = "${data_dir}"
 
 
-
 @dataclass(frozen=True)
 class Experiment:
     """Value lists are kept as text; `order` resolves every macro before it is used."""
@@ -46,6 +45,15 @@ class Experiment:
     def output_path(self) -> str | None:
         return self.options.get("test.output_path")
 
+    @property
+    def stats_path(self) -> str | None:
+        return self.options.get("test.stats_path")
+
+    @property
+    def remove_output(self) -> bool:
+        """Whether a run keeps no output of its own; a copy in `output_path` stays either way."""
+        return self.options.get("test.remove_output", "true").strip().lower() not in FALSE_WORDS
+
 
 def _order_macros(spark: SparkSession, values: DataFrame) -> tuple[list[str], dict[str, list[str]]]:
     """Check the sections, drop built-ins nothing uses and sort the parameters by dependency."""

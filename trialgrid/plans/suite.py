@@ -23,6 +23,7 @@ from trialgrid.sources.datasets import import_function, make_dataset
 from trialgrid.sources.runlog import (
     DATASETS,
     RUNS,
+    STATS,
     append_rows,
     dataset_summary,
     read_rows,
@@ -96,8 +97,9 @@ def run_suite(
 ) -> DataFrame:
     """Run what remains of an experiment and return its run records.
 
-    `home` holds the tables `runs` and `datasets`, and with `load="table"` the loaded data; outputs go to the
-    experiment's `test.output_path`. A failing combination is recorded as cancelled and the suite goes on; a later
+    `home` holds the tables `runs` and `datasets`, and with `load="table"` the loaded data. Outputs are copied to the
+    experiment's `test.output_path`, and stay in `output` below `home` unless `test.remove_output` is set, which is the
+    default. The stages of every run, with their tasks, are recorded in the table `test.stats_path`. A failing combination is recorded as cancelled and the suite goes on; a later
     call tries it again until `max_attempts`. With `load="direct"` each run scans the dataset itself, so that it
     reads only the columns it needs; `load="table"` writes the dataset once per batch.
     """
@@ -116,7 +118,7 @@ def run_suite(
     for key, repetitions in combinations.items():
         first = repetitions[0]
         attempt = first["attempts"] + 1
-        records = []
+        records, stats = [], []
         if batch != first["ds_id"]:
             try:
                 batch, dataset = None, _load(spark, experiment, first, home, load)
@@ -124,13 +126,16 @@ def run_suite(
             except Exception as failure:  # a dataset that cannot be loaded must not end the suite
                 records.append((None, key, UNKNOWN_JOB, {}, 0, CANCELLED, attempt, _reason(failure), _now()))
         for run in repetitions if batch is not None else ():
-            job_id, error = _run(spark, experiment, run, dataset, jobs or {})
+            job_id, error, stages = _run(spark, experiment, run, dataset, jobs or {}, home)
+            stats += stages
             params = {name: run[name] for name in [*experiment.dataset, *experiment.runs]}
             status = CANCELLED if error else DONE
             records.append((run["run_id"], key, job_id, params, run["rep"], status, attempt, error, _now()))
             if error:
                 break
         append_rows(spark, records, RUNS, f"{home}/runs")
+        if experiment.stats_path and stats:
+            append_rows(spark, stats, STATS, experiment.stats_path)
     return read_rows(spark, RUNS, f"{home}/runs")
 
 
@@ -185,28 +190,53 @@ def _load(spark: SparkSession, experiment: Experiment, run: Row, home: str, load
 
 
 def _run(
-    spark: SparkSession, experiment: Experiment, run: Row, dataset: DataFrame, jobs: Mapping[str, Job]
-) -> tuple[str, str | None]:
-    """Run one job under its settings -> (job id, error text)."""
+    spark: SparkSession, experiment: Experiment, run: Row, dataset: DataFrame, jobs: Mapping[str, Job], home: str
+) -> tuple[str, str | None, list[tuple]]:
+    """Run one job under its settings -> (job id, error text, its stages)."""
     context = spark.sparkContext
     group = f"run-{run['run_id']}"
     settings = {name: run[name] for name in experiment.runs if not name.startswith(ENGINE_PREFIX)}
     params = {name: run[name] for name in [*experiment.dataset, *experiment.runs]}
     error = None
     context.setJobGroup(group, json.dumps(params))
+    # Jobs of an earlier call in the same session belong to the same group.
+    before = set(context.statusTracker().getJobIdsForGroup(group))
     try:
         with engine_settings(spark, settings):
             path, arguments = run["job"]["path"], run["job"]["params"]
             job = jobs[path] if path in jobs else import_function(path)
             output = job(spark, dataset, (arguments or "").split(), params)
-            if experiment.output_path:
-                output.write.mode("overwrite").parquet(f"{experiment.output_path}/run_id={run['run_id']}")
-            else:
-                output.write.format("noop").mode("overwrite").save()
+            _keep(spark, experiment, output, f"run_id={run['run_id']}", home)
     except Exception as failure:  # a failing job must not end the suite
         error = _reason(failure)
     finally:
-        started = context.statusTracker().getJobIdsForGroup(group)
+        started = sorted(set(context.statusTracker().getJobIdsForGroup(group)) - before)
         context.setLocalProperty("spark.jobGroup.id", None)
         context.setLocalProperty("spark.job.description", None)
-    return (f"{context.applicationId}_{min(started)}" if started else UNKNOWN_JOB), error
+    job_id = f"{context.applicationId}_{started[0]}" if started else UNKNOWN_JOB
+    return job_id, error, _stages(spark, run["run_id"], started) if experiment.stats_path else []
+
+
+def _keep(spark: SparkSession, experiment: Experiment, output: DataFrame, name: str, home: str) -> None:
+    """Compute an output once and write it wherever it is to stay."""
+    folders = [experiment.output_path, None if experiment.remove_output else f"{home}/output"]
+    paths = [f"{folder}/{name}" for folder in folders if folder]
+    if not paths:
+        output.write.format("noop").mode("overwrite").save()
+    for path in paths:
+        output.write.mode("overwrite").parquet(path)
+        output = spark.read.schema(output.schema).parquet(path)
+
+
+def _stages(spark: SparkSession, run_id: int, jobs: list[int]) -> list[tuple]:
+    """One record per stage that ran, as far as Spark still remembers it."""
+    context = spark.sparkContext
+    tracker, found = context.statusTracker(), []
+    for job in jobs:
+        info = tracker.getJobInfo(job)
+        for number in sorted(info.stageIds) if info else ():
+            stage = tracker.getStageInfo(number)
+            if stage:
+                job_id = f"{context.applicationId}_{job}"
+                found.append((run_id, job_id, number, stage.name, stage.numTasks, stage.numCompletedTasks, stage.numFailedTasks))
+    return found

@@ -41,10 +41,12 @@ CONFIG_SCAN_PROPS = "select 'k' || p_partkey as name, p_name || ' x' as value fr
 
 
 def config_scan_ini(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A section per customer, with shared options, references to others, and an option that is set twice."""
     key = F.col("c_custkey").cast("string")
     text = F.concat(
-        F.lit("[customer "), key, F.lit("]\n; remark\nName = "), F.col("c_name"), F.lit(" ; note\n\nSegment: "),
-        F.col("c_mktsegment"), F.lit('\nEMPTY = ""\nnation=a=b\n   '), F.col("c_nationkey").cast("string"),
+        F.lit("[DEFAULT]\nhome = /data\nempty = none\n[customer "), key, F.lit("]\n; remark\nname = first\nName = "),
+        F.col("c_name"), F.lit(" ; note\n\nSegment: "), F.col("c_mktsegment"), F.lit('\nEMPTY = ""\nnation=a=b\n   '),
+        F.col("c_nationkey").cast("string"), F.lit("\nlog = %(path)s/100%%\npath = %(home)s/%(NAME)s"),
     )
     path = scratch_path(spark, "ini")
     table(spark, sf_dir, "customer").select(text).write.text(path)
@@ -57,6 +59,27 @@ select section, 'name' as name, c_name as value from c
 union all select section, 'segment', c_mktsegment from c
 union all select section, 'empty', '' from c
 union all select section, 'nation', 'a=b' || chr(10) || c_nationkey from c
+union all select section, 'home', '/data' from c
+union all select section, 'path', '/data/' || c_name from c
+union all select section, 'log', '/data/' || c_name || '/100%' from c
+"""
+
+
+def config_rejects_ini(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per customer, with lines that belong to nothing; how many depends on the nation."""
+    told = [("orphan = 1", 0), ("[s]", 0), ("  indented", 10), ("key = a", 0), ("  more", 0), ("no option", 20), ("; remark", 0)]
+    lines = [F.when(F.col("c_nationkey") >= least, F.lit(line)) for line, least in told]
+    listed = table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("file"), F.lit(0).cast("bigint").alias("block_start"), F.posexplode(F.array(*lines)).alias("row", "line")
+    )
+    listed = listed.withColumn("row", F.col("row").cast("bigint")).filter("line is not null")
+    return conffiles.ini_rejects(listed).select("file", "row", "line", "reason")
+
+
+CONFIG_REJECTS_INI = """
+select c_name as file, 0::bigint as row, 'orphan' as line, 'no section' as reason from customer
+union all select c_name, 2, '  indented', 'nothing to continue' from customer where c_nationkey >= 10
+union all select c_name, 5, 'no option', 'no option' from customer where c_nationkey >= 20
 """
 
 
@@ -194,6 +217,7 @@ QUERIES = {
     "config_scan_xml": (config_scan_xml, CONFIG_SCAN_XML),
     "config_scan_props": (config_scan_props, CONFIG_SCAN_PROPS),
     "config_scan_ini": (config_scan_ini, CONFIG_SCAN_INI),
+    "config_rejects_ini": (config_rejects_ini, CONFIG_REJECTS_INI),
     "param_values": (param_values, PARAM_VALUES),
     "config_lookup": (config_lookup, CONFIG_LOOKUP),
     "config_lookup_many": (config_lookup_many, CONFIG_LOOKUP_MANY),

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialgrid.functions.params import BLANKS, split_trim_list, strip
+from trialgrid.operators.grid import ParameterError
 from trialgrid.operators.ordinal import carry_forward
+from trialgrid.session import broadcast_if_small, cut_lineage
 from trialgrid.sources.lines import LINE_ORDER, read_lines
 
 # The syntax of INI files.
@@ -14,6 +16,12 @@ INI_COMMENT = r"^(\s*$|[#;]|[rR][eE][mM](\s|$))"
 INI_HEADER = r"^\[([^\]]+)\]"
 INI_OPTION = r"^([^:=\s][^:=]*)[:=]\s*(.*)$"
 INI_CONTINUED = r"^\s"
+# The section whose options all others have, references to other options, and how deep they may nest.
+INI_DEFAULT = "DEFAULT"
+INI_REFERENCE = r"%\(([^)]*)\)s"
+INI_TOKEN = r"%\([^)]*\)s|%%|[^%]+|%"
+INI_SECTION_NAME = "__name__"
+INI_DEPTH = 10
 
 
 def with_position(entries: DataFrame, file_rank: DataFrame) -> DataFrame:
@@ -47,11 +55,10 @@ def config_scan_props(spark: SparkSession, path: str) -> DataFrame:
     return props_entries(read_lines(spark, path))
 
 
-def ini_entries(lines: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(file, section, name, value, block_start, row) from INI lines.
+def _placed(lines: DataFrame, ranges: int | None = None) -> DataFrame:
+    """INI lines without comments, each with its section, the option it belongs to and its part of the value.
 
-    Names are in lower case. An indented line continues the value above it. The section of a line is carried
-    forward over ranges of lines, so a large file is handled by many tasks.
+    The section of a line is carried forward over ranges of lines, so a large file is handled by many tasks.
     """
     line = F.col("line")
     # Each pattern is matched once per line; a group of a pattern that does not match is empty.
@@ -82,9 +89,13 @@ def ini_entries(lines: DataFrame, ranges: int | None = None) -> DataFrame:
         F.when(is_option, F.when(F.col("value") == '""', F.lit("")).otherwise(F.col("value")))
         .when(F.col("continued"), strip(line))
         .alias("part"),
+        F.when(~is_option & ~is_header, line).alias("other"),
     )
-    carried = carry_forward(marked, LINE_ORDER, {"section": "header", "open": "start"}, by=["file"], ranges=ranges)
-    parts = carried.filter(F.col("open.name").isNotNull() & F.col("section").isNotNull() & F.col("part").isNotNull())
+    return carry_forward(marked, LINE_ORDER, {"section": "header", "open": "start"}, by=["file"], ranges=ranges)
+
+
+def _entries(placed: DataFrame) -> DataFrame:
+    parts = placed.filter(F.col("open.name").isNotNull() & F.col("section").isNotNull() & F.col("part").isNotNull())
     # All parts of one value make one string.
     listed = F.array_sort(F.collect_list(F.struct(*LINE_ORDER, "part")))
     grouped = parts.groupBy("file", "section", F.col("open.at").alias("at"), F.col("open.name").alias("name"))
@@ -93,9 +104,99 @@ def ini_entries(lines: DataFrame, ranges: int | None = None) -> DataFrame:
     return values.select("file", "section", "name", "value", "at.block_start", "at.row")
 
 
+def _rejects(placed: DataFrame) -> DataFrame:
+    orphan = F.col("section").isNull() & F.col("header").isNull()
+    reason = F.when(orphan, "no section").when(F.col("other").isNotNull() & F.col("part").isNull(), "no option")
+    reason = reason.when(F.col("other").isNotNull() & F.col("open.name").isNull(), "nothing to continue")
+    found = placed.select("file", *LINE_ORDER, F.coalesce("other", "open.name").alias("line"), reason.alias("reason"))
+    return found.filter(F.col("reason").isNotNull())
+
+
+def ini_entries(lines: DataFrame, ranges: int | None = None) -> DataFrame:
+    """(file, section, name, value, block_start, row) of every option of INI lines, as it stands there.
+
+    Names are in lower case. An indented line continues the value above it. Lines that belong to nothing are left to
+    `ini_rejects`.
+    """
+    return _entries(_placed(lines, ranges))
+
+
+def ini_rejects(lines: DataFrame, ranges: int | None = None) -> DataFrame:
+    """(file, block_start, row, line, reason) of the lines that make a file wrong.
+
+    These are lines before the first section (of an option the name stands for the line), lines that are no option, and
+    indented ones with no value above.
+    """
+    return _rejects(_placed(lines, ranges))
+
+
+def ini_options(entries: DataFrame, sections: DataFrame) -> DataFrame:
+    """(file, section, name, value, block_start, row), one row per option of each of the `sections` (file, section).
+
+    Of repeated options the last one counts. Every section has the options of `[DEFAULT]` that it does not set itself.
+    """
+    ident = ["file", "section", "name"]
+    place = F.struct(*LINE_ORDER)
+    last = entries.groupBy(*ident).agg(F.max_by("value", place).alias("value"), F.max(place).alias("at"))
+    last = cut_lineage(last)
+    default = F.col("section") == INI_DEFAULT
+    own = last.filter(~default).withColumn("own", F.lit(True))
+    shared = broadcast_if_small(last.filter(default).drop("section"))
+    inherited = sections.filter(~default).distinct().join(shared, "file").withColumn("own", F.lit(False))
+    both = own.unionByName(inherited)
+    chosen = both.groupBy(*ident).agg(F.max_by(F.struct("value", "at"), "own").alias("found"))
+    return chosen.select(*ident, "found.value", "found.at.block_start", "found.at.row")
+
+
+def interpolate_options(options: DataFrame) -> DataFrame:
+    """`options` with each `%(name)s` replaced by that option of the same section, level by level.
+
+    In a value with references, `%%` is one `%`. A reference to nothing, or ones nested deeper than INI_DEPTH, are errors.
+    Only values with references are joined and written again.
+    """
+    ident = ["file", "section", "name"]
+    refers = F.rlike("value", F.lit(INI_REFERENCE))
+    options = cut_lineage(options)
+    texts = options.select("file", "section", F.col("name").alias("ref"), F.col("value").alias("text"))
+    done, left = options.filter(~refers), options.filter(refers)
+    for _ in range(INI_DEPTH):
+        if not left.limit(1).count():
+            return done
+        names = F.array_distinct(F.transform(F.regexp_extract_all("value", F.lit(INI_REFERENCE), F.lit(1)), F.lower))
+        found = left.select(*ident, F.explode(names).alias("ref")).join(texts, ["file", "section", "ref"], "left")
+        text = F.coalesce("text", F.when(F.col("ref") == INI_SECTION_NAME, F.col("section")))
+        found = cut_lineage(found.select(*ident, "ref", text.alias("text")))
+        missing = found.filter("text is null").limit(1).collect()
+        if missing:
+            raise ParameterError(f"{missing[0]['name']} refers to {missing[0]['ref']}, which its section does not have")
+        known = found.groupBy(*ident).agg(F.map_from_entries(F.collect_list(F.struct("ref", "text"))).alias("known"))
+        tokens = F.regexp_extract_all("value", F.lit(INI_TOKEN), F.lit(0))
+        parts = F.transform(
+            tokens,
+            lambda t: F.when(t == "%%", "%")
+            .when(F.rlike(t, F.lit(INI_REFERENCE)), F.try_element_at("known", F.lower(F.regexp_extract(t, INI_REFERENCE, 1))))
+            .otherwise(t),
+        )
+        value = F.array_join(parts, "").alias("value")
+        left = cut_lineage(left.join(known, ident).select(*ident, value, *LINE_ORDER))
+        done, left = done.unionByName(left.filter(~refers)), left.filter(refers)
+    deep = left.limit(1).collect()
+    if deep:
+        raise ParameterError(f"the references of {deep[0]['name']} are nested too deep")
+    return done
+
+
 def config_scan_ini(spark: SparkSession, path: str) -> DataFrame:
-    """All options of INI files."""
-    return ini_entries(read_lines(spark, path))
+    """(file, section, name, value, block_start, row): what INI files say for each option, references resolved.
+
+    A line that belongs to nothing is an error.
+    """
+    placed = cut_lineage(_placed(read_lines(spark, path)))
+    wrong = _rejects(placed).orderBy("file", *LINE_ORDER).limit(1).collect()
+    if wrong:
+        raise ParameterError(f"{wrong[0]['file']}: {wrong[0]['reason']}: {wrong[0]['line']}")
+    sections = placed.filter("header is not null").select("file", F.col("header").alias("section"))
+    return interpolate_options(ini_options(_entries(placed), sections))
 
 
 def param_values(options: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ RUNS = (
     "attempt int, error string, ts timestamp"
 )
 DATASETS = "ds_id bigint, ds_class string, props map<string,string>"
+STATS = "run_id bigint, job_id string, stage_id int, stage string, tasks int, completed int, failed int"
 LOADS = "dest string, desired_size bigint, files bigint, raw_bytes bigint, final_bytes bigint"
 
 
