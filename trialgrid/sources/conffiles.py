@@ -159,17 +159,17 @@ def interpolate_options(options: DataFrame) -> DataFrame:
     options = cut_lineage(options)
     texts = options.select("file", "section", F.col("name").alias("ref"), F.col("value").alias("text"))
     done, left = options.filter(~refers), options.filter(refers)
+    open_ones = left.count()
     for _ in range(INI_DEPTH):
-        if not left.limit(1).count():
+        if not open_ones:
             return done
         names = F.array_distinct(F.transform(F.regexp_extract_all("value", F.lit(INI_REFERENCE), F.lit(1)), F.lower))
-        found = left.select(*ident, F.explode(names).alias("ref")).join(texts, ["file", "section", "ref"], "left")
+        found = left.select(*ident, F.explode(names).alias("ref")).join(broadcast_if_small(texts), ["file", "section", "ref"], "left")
         text = F.coalesce("text", F.when(F.col("ref") == INI_SECTION_NAME, F.col("section")))
-        found = cut_lineage(found.select(*ident, "ref", text.alias("text")))
-        missing = found.filter("text is null").limit(1).collect()
-        if missing:
-            raise ParameterError(f"{missing[0]['name']} refers to {missing[0]['ref']}, which its section does not have")
-        known = found.groupBy(*ident).agg(F.map_from_entries(F.collect_list(F.struct("ref", "text"))).alias("known"))
+        known = found.groupBy(*ident).agg(
+            F.map_from_entries(F.collect_list(F.struct("ref", text.alias("text")))).alias("known"),
+            F.max(F.when(text.isNull(), F.col("ref"))).alias("missing"),
+        )
         tokens = F.regexp_extract_all("value", F.lit(INI_TOKEN), F.lit(0))
         parts = F.transform(
             tokens,
@@ -178,11 +178,15 @@ def interpolate_options(options: DataFrame) -> DataFrame:
             .otherwise(t),
         )
         value = F.array_join(parts, "").alias("value")
-        left = cut_lineage(left.join(known, ident).select(*ident, value, *LINE_ORDER))
+        left = cut_lineage(left.join(known, ident).select(*ident, value, *LINE_ORDER, "missing"))
+        lost = F.max(F.when(F.col("missing").isNotNull(), F.struct("name", "missing")))
+        missing, open_ones = left.agg(lost, F.count_if(refers)).first()
+        if missing:
+            raise ParameterError(f"{missing[0]} refers to {missing[1]}, which its section does not have")
+        left = left.drop("missing")
         done, left = done.unionByName(left.filter(~refers)), left.filter(refers)
-    deep = left.limit(1).collect()
-    if deep:
-        raise ParameterError(f"the references of {deep[0]['name']} are nested too deep")
+    if open_ones:
+        raise ParameterError(f"the references of {open_ones} options are nested too deep")
     return done
 
 
