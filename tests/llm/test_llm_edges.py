@@ -175,6 +175,56 @@ def entropy(text):
     return -sum(c / len(text) * math.log2(c / len(text)) for c in Counter(text).values())
 
 
+LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Alphabet, and the least share found of random strings of 20, 24, 32 and 40 signs without a label.
+ALPHABETS = {
+    "hex": (DIGITS + "abcdef", (0.97, 0.98, 0.99, 0.99)),
+    "upper hex": (DIGITS + "ABCDEF", (0.97, 0.98, 0.99, 0.99)),
+    "lower and digits": (LOWER + DIGITS, (0.96, 0.98, 0.99, 0.99)),
+    "upper and digits": (LOWER.upper() + DIGITS, (0.96, 0.98, 0.99, 0.99)),
+    "lower base32": (LOWER + "234567", (0.88, 0.94, 0.97, 0.98)),
+    "base32": (LOWER.upper() + "234567", (0.88, 0.94, 0.97, 0.98)),
+    "base62": (LOWER + LOWER.upper() + DIGITS, (0.93, 0.96, 0.98, 0.99)),
+    "base64": (LOWER + LOWER.upper() + DIGITS + "+/", (0.93, 0.96, 0.98, 0.99)),
+}
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_random_strings_are_found_in_every_alphabet(name):
+    import random
+
+    signs, least = ALPHABETS[name]
+    rng, allowed = random.Random(11), secrets._allow(secrets.ALLOWED)
+    for length, share in zip((20, 24, 32, 40), least):
+        texts = ["".join(rng.choice(signs) for _ in range(length)) for _ in range(1500)]
+        assert sum(bool(secrets.entropy_spans(f"a {t} b", allowed)) for t in texts) >= share * 1500, length
+        left = [secrets.redact_text(t, allowed, "") for t in texts]
+        assert sum(map(len, left)) <= (1.03 - share) * 1500 * length, length  # an end can lie outside all windows
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "getElementsByTagName2", "abstractSingletonProxyFactoryBean2", "summer2024collection", "thewordsthatgetlong2you",
+        "static/images/2023/photo-of-the-garden", "org/apache/spark/sql/catalyst/expressions/Add2", "COVID19VACCINEREPORT",
+        "ISO-8859-1-and-UTF-8-encodings", "release_notes_for_version_12_and_13", "MAX_CONNECTIONS_PER_HOST_64",
+        "file_name_with_part_0001_of_0020", "Python3StandardLibraryReference", "https2wwwexamplecompath", "=" * 30 + "1a",
+    ],
+)
+def test_joined_words_are_no_random_strings(text):
+    assert secrets.entropy_spans(text, secrets._allow(secrets.ALLOWED)) == []
+
+
+def test_turns_move_with_the_window():
+    run = "ab3dEf-9hIJkl2n4PqRs_tuv8x" * 2
+    for turns in range(8):
+        kinds = ["".join("d" if c.isdigit() else "l" if c.islower() else "u" for c in run[i : i + 20] if c.isalnum()) for i in range(len(run) - 19)]
+        n = [sum(a != b and a + b != "ul" for a, b in zip(k, k[1:])) for k in kinds]
+        want = {j for i, m in enumerate(n) if m >= turns and run[i].isalnum() for j in range(i, i + 20)}
+        covered = {j for a, b in secrets._flagged(run, 20, 0.0, turns) for j in range(a, b)}
+        assert want <= covered
+
+
 def test_windows_keep_their_budget(spark):
     rows = [(1, 0, "system", "be kind and short")] + [(1, i, "user" if i % 2 else "assistant", "word " * (5 + i * 7 % 90)) for i in range(1, 60)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

@@ -23,8 +23,16 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: Runs that can hold a random string at all.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Character classes: a run of the class, the window in characters, and the bits per character that make it random.
-CLASSES = ((re.compile(r"[0-9A-Fa-f]{20,}"), 20, 3.0), (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.9))
+#: Character classes: a run of the class, the window in characters, and the bits per character and turns of kind that
+#: make it random. Under 1 in 100 random windows of the smallest alphabet of a class (16, 32, 32, 62 signs) have fewer
+#: bits. Words joined to long strings reach such bits too, but turn less often; from 3.9 bits on turns are not asked.
+CLASSES = (
+    (re.compile(r"[0-9A-Fa-f]{20,}"), 20, 2.9, 0),
+    (re.compile(r"[a-z0-9]{20,}"), 20, 3.34, 3),
+    (re.compile(r"[A-Z0-9]{20,}"), 20, 3.34, 3),
+    (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.64, 5),
+    (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.9, 0),
+)
 #: A random string mixes digits and letters; words, rules, numbers and paths do not.
 MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
 #: Candidates that look random and are known to be harmless.
@@ -36,8 +44,26 @@ ALLOWED = (
 )
 
 
-def _flagged(run: str, window: int, bits: float) -> Iterator[tuple[int, int]]:
-    """The merged windows of `run` whose Shannon entropy reaches `bits`; counts move with the window."""
+def _turns(run: str) -> list[int]:
+    """For each place how often the kind (digit, lower, upper case) has turned so far.
+
+    Other signs have no kind; a capital before small letters is no turn of its own.
+    """
+    found, last, n = [], "", 0
+    for char in run:
+        kind = "d" if char.isdigit() else "l" if char.islower() else "u" if char.isupper() else last
+        n += last not in ("", kind) and last + kind != "ul"
+        last = kind
+        found.append(n)
+    return found
+
+
+def _flagged(run: str, window: int, bits: float, turns: int = 0) -> Iterator[tuple[int, int]]:
+    """The merged windows of `run` whose Shannon entropy reaches `bits` and whose kind turns `turns` times or more.
+
+    Counts move with the window.
+    """
+    turned = _turns(run) if turns else [0] * len(run)
     # The entropy is log2(window) - sum(c * log2(c)) / window; one step changes two counts of that sum.
     cost = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
     most = window * (math.log2(window) - bits) + 1e-9
@@ -52,7 +78,7 @@ def _flagged(run: str, window: int, bits: float) -> Iterator[tuple[int, int]]:
             c = counts[old]
             total += cost[c - 1] - cost[min(c, window)]
             counts[old] = c - 1
-        if i >= window - 1 and total <= most:
+        if i >= window - 1 and total <= most and turned[i] - turned[i + 1 - window] >= turns:
             if end < i + 1 - window:
                 if begin >= 0:
                     yield begin, end
@@ -70,16 +96,17 @@ def entropy_spans(text: str, allowed: re.Pattern) -> list[tuple[int, int]]:
         if not MIXED.match(whole) or allowed.fullmatch(whole):
             continue
         spans = set()
-        for kind, window, bits in CLASSES:
+        for kind, window, bits, turns in CLASSES:
             for run in kind.finditer(whole):
                 if MIXED.match(run.group()):
                     at = candidate.start() + run.start()
-                    spans.update((at + a, at + b) for a, b in _flagged(run.group(), window, bits))
-        last = -1
-        for start, end in sorted(spans, key=lambda s: (s[0], -s[1])):
-            if end > last:  # a span inside an earlier one says nothing new
-                found.append((start, end))
-                last = end
+                    spans.update((at + a, at + b) for a, b in _flagged(run.group(), window, bits, turns))
+        merged: list[tuple[int, int]] = []
+        for start, end in sorted(spans):  # classes overlap: one string, one span
+            if merged and start < merged[-1][1]:
+                start, end = merged[-1][0], max(end, merged.pop()[1])
+            merged.append((start, end))
+        found += merged
     return found
 
 
