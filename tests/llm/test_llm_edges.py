@@ -13,6 +13,7 @@ from trialgrid.llm import (
     components,
     decontaminate,
     fingerprints,
+    langid,
     mixing,
     queries,
     secrets,
@@ -302,3 +303,29 @@ def test_a_shared_run_leaves_a_shared_mark(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     hashes = [set(r[0]) for r in df.select(fingerprints.mark_hashes(fingerprints.winnow(F.col("text")))).collect()]
     assert reduce(set.__and__, hashes)
+
+
+def test_short_lines_and_texts_with_tokens_stay(spark):
+    prose = {"en": "the dog and a cat sit on the mat in one big house", "de": "der hund und die katze liegen auf dem weg am haus"}
+    token = "b64b244acde2e3b0aa8f051af1ec018ebaba3addfcadecafbeadfacedeafbabe"
+    kept = [
+        "A.\nAll rights reserved.", "MIT License", "Licensed under Apache License, Version 2.0", "Copyright (c) 2020, by us",
+        "No warranty.", f"der hund token = {token}", f"{token} the cat", "\n".join(["All rights reserved."] * 200),
+    ]
+    dropped = ["Да", "мир", "Привет, мир. " * 9, "Καλημέρα κόσμε " * 50, "这是2024年的一份文件。OK", "123 456 !!", "", None]
+    dropped.append(" ".join("".join("zqxjkvwpfgy"[(i * i + j * 7 + i * j) % 11] for j in range(9)) for i in range(300)))
+    rows = [(i, prose[lang], lang) for i in range(3000) for lang in prose]
+    rows += [(None, text, None) for text in kept + dropped]  # without id: held out
+    rows += [(i, text, "en") for i, text in enumerate(kept[:5])]  # too rare for the model
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    stayed = corpus_pipeline.language_id(spark, docs, "").filter("doc_id is null").select("text").collect()
+    assert Counter(r["text"] for r in stayed) == Counter(kept)
+
+
+def test_rare_trigrams_do_not_change_the_filters(spark):
+    texts = ["the dog and a cat"] * 400 + ["Zwei ganz andere Worte"]
+    docs = spark.createDataFrame([(t, lang) for t in texts for lang in ("a", "b")], "text string, lang string")
+    plain, learned = langid.learn_languages(docs, min_share=1e-3), langid.learn_with_rare(docs, min_share=1e-3)
+    assert (plain.slots == learned.frequent.slots).all() and plain.languages == learned.known.languages
+    assert (learned.known.slots != learned.frequent.slots).any()
+    assert not (langid.learn_with_rare(docs, most_known=20).known.slots != plain.slots).any()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialgrid.session import cut_lineage
+
 UNDETERMINED = "und"
 #: A trigram counts for a language if it is at least this share of the language's trigrams. A language therefore has at
 #: most 1 / MIN_SHARE trigrams, however large the corpus is.
@@ -22,6 +25,13 @@ PIECE = 1 << 17
 #: Odd multipliers, one per hash function.
 MULTIPLIERS = tuple(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(HASHES))
 
+#: Trigrams per language kept to tell whether a text is of a learned language at all, the frequent ones first.
+MOST_KNOWN = 250_000
+#: Standard errors by which the share of few distinct trigrams may lie below a bound.
+LEEWAY = 3.0
+#: A word with a digit, such as a key or a number, says nothing about the language.
+TOKEN = re.compile(r"(?=[^0-9]*[0-9])[\x21-\x7e]+")
+
 _letters: list[np.ndarray] = []
 
 
@@ -79,6 +89,12 @@ def _count(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
     return distinct, np.bincount(at, weights=weights).astype(np.int64)
 
 
+def _counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """(lang, code, n): one row per distinct trigram and language; rows without a text or language teach nothing."""
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
+    return rows.mapInPandas(_count_batches, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+
+
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(lang, code, n) of the texts of a partition, pre-aggregated."""
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -141,15 +157,106 @@ def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang", min
 
     Counts cover all rows of `docs`; the driver gets the frequent trigrams only, at most 1 / `min_share` per language.
     """
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
-    counted = rows.mapInPandas(_count_batches, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    # One row per distinct trigram and language, kept in codes and counts: both uses below read it.
+    counted = _counts(docs, text, lang)
+    # Kept in codes and counts: both uses below read it.
     shared = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = counted.join(F.broadcast(shared), "lang").filter(F.col("n") >= F.col("total") * min_share)
     found = frequent.select("lang", "code").toArrow().to_pandas()
     return build_filters({name: group["code"].to_numpy().astype(np.uint64) for name, group in found.groupby("lang")})
 
 
+@dataclass(frozen=True)
+class Learned:
+    """What is needed to tell texts of the learned languages from others."""
+
+    frequent: Filters
+    known: Filters
+    letters: np.ndarray
+
+
+def learn_with_rare(
+    docs: DataFrame, text: str = "text", lang: str = "lang", min_share: float = MIN_SHARE, most_known: int = MOST_KNOWN
+) -> Learned:
+    """The filters of `learn_languages`, others that hold the rare trigrams too, and the letters of the frequent ones.
+
+    The driver gets at most `most_known` trigrams per language; beyond that the rarest are left out.
+    """
+    counted = cut_lineage(_counts(docs, text, lang)).withColumn("step", F.floor(F.log2("n") * 4))
+    steps = counted.groupBy("lang", "step").agg(F.count("*").alias("codes"), F.sum("n").alias("n")).toPandas()
+    total, least = {}, []
+    for name, group in steps.groupby("lang"):
+        group = group.sort_values("step", ascending=False)
+        fits = group["step"][group["codes"].cumsum() <= most_known]
+        total[name] = int(group["n"].sum())
+        least.append((name, int(fits.min()) if len(fits) else int(group["step"].max())))
+    if not least:
+        return Learned(build_filters({}), build_filters({}), np.zeros(0, dtype=np.uint64))
+    limits = docs.sparkSession.createDataFrame(least, "lang string, least bigint")
+    kept = counted.join(F.broadcast(limits), "lang").filter(F.col("step") >= F.col("least"))
+    found = kept.select("lang", "code", "n").toArrow().to_pandas()
+    known, frequent = {}, {}
+    for name, group in found.groupby("lang"):
+        known[name] = group["code"].to_numpy().astype(np.uint64)
+        frequent[name] = known[name][group["n"].to_numpy() >= total[name] * min_share]
+    letters = np.unique(np.concatenate([_centre(codes) for codes in frequent.values()]))
+    return Learned(build_filters(frequent), build_filters(known), letters)
+
+
+def _centre(codes: np.ndarray) -> np.ndarray:
+    return codes >> np.uint64(21) & np.uint64((1 << 21) - 1)
+
+
+def belongs(learned: Learned, text: str, least: float) -> bool:
+    """Whether a text can be of a learned language, by all known trigrams of its words without digits.
+
+    Most letters must be of the languages. The share of known trigrams must reach `least`, or lie below it by no more
+    than so few distinct trigrams can show (Wilson's bound): repeats of a line are no further evidence.
+    """
+    known = learned.known
+    plain = " ".join(word for word in text.split() if not TOKEN.fullmatch(word))
+    for body in (plain, text):  # a text of nothing but tokens is judged by them
+        total, own, hits = 0, 0, np.zeros(len(known.languages))
+        distinct = np.zeros(0, dtype=np.uint64)
+        for _, codes in trigrams([body]):
+            total += len(codes)
+            own += np.count_nonzero(np.isin(_centre(codes), learned.letters))
+            hits += _hits(known, codes)
+            distinct = np.union1d(distinct, codes)
+        if total:
+            break
+    if not total or own < least * total:
+        return False
+    if _corrected(known, hits, total).max() >= least:
+        return True
+    n, share = len(distinct), _corrected(known, _hits(known, distinct), len(distinct)).max()
+    spread = LEEWAY * np.sqrt(share * (1 - share) / n + LEEWAY**2 / (4 * n * n))
+    return bool((share + LEEWAY**2 / (2 * n) + spread) / (1 + LEEWAY**2 / n) >= least)
+
+
+def _hits(model: Filters, codes: np.ndarray) -> np.ndarray:
+    masks = model.masks(codes)
+    bits = [masks[:, i // 64] >> np.uint64(i % 64) & np.uint64(1) for i in range(len(model.languages))]
+    return np.asarray([np.count_nonzero(b) for b in bits], dtype=float)
+
+
+def _corrected(model: Filters, hits: np.ndarray, total: int) -> np.ndarray:
+    return np.clip((hits - total * model.false_positive) / (1 - model.false_positive) / total, 0, 1)
+
+
+def in_learned_language(learned: Learned, text: Column, least: float) -> Column:
+    """Whether a text has letters and is of a learned language: by its score, and if that is below `least`, by `belongs`."""
+    shared = _broadcast(learned)
+
+    @F.pandas_udf("boolean")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            names, scores = predict_texts(shared.value.frequent, texts.tolist())
+            found = zip(texts, names, scores)
+            yield pd.Series([n != UNDETERMINED and bool(s >= least or belongs(shared.value, t, least)) for t, n, s in found], dtype=bool)
+
+    return judge(text)
+
+
 def predict_texts(model: Filters, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
     hits = np.zeros((len(texts), len(model.languages)))
@@ -187,8 +294,8 @@ def identify_language(model: Filters, text: Column) -> Column:
     return predict(text)
 
 
-def _broadcast(model: Filters):
-    """The filters are bounded by MIN_SHARE, so that they can be sent to every executor."""
+def _broadcast(model: Filters | Learned):
+    """The filters are bounded by MIN_SHARE and MOST_KNOWN, so that they can be sent to every executor."""
     from pyspark import SparkContext
 
     return SparkContext.getOrCreate().broadcast(model)
