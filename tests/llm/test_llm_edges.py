@@ -297,6 +297,26 @@ def test_thresholds_share_weights():
     assert abs(weights[:3] - truth[:3]).max() < 0.7 and np.abs(weights[3:]).max() < 0.5
 
 
+@pytest.mark.parametrize("copied", [0.0, 0.35, 0.6])
+def test_copies_of_one_toxic_text_keep_its_words(spark, copied):
+    import random
+
+    rng = random.Random(4)
+    plain, marks = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)], ["vile", "scum", "filth", "hateful", "rotten", "wretch"]
+    text = lambda marked: " ".join(rng.sample(["the", "and", *plain[:30]], 12) + rng.sample(plain, 20) + rng.sample(marks, marked))
+    one = text(0) + " vile scum filth hateful"
+    n = 1500
+    toxic = [i < copied * n or rng.random() < 0.12 for i in range(n)]
+    texts = [one if i < copied * n else text(2 * bad) for i, bad in enumerate(toxic)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(bad)) for i, bad in enumerate(toxic)], "doc_id long, toxic int")
+    model = toxicity.learn_severity(docs, labels)
+    fresh = [one, *[text(2) for _ in range(200)]], [text(0) for _ in range(200)]
+    found, wrong = ((model.at_least(part)[:, 0] >= 0.5) for part in fresh)
+    assert found[0] == 1 or not copied
+    assert found.mean() >= 0.85 and wrong.mean() <= 0.02 and model.weights.get("vile", 0) > 0
+
+
 def test_a_shared_run_leaves_a_shared_mark(spark):
     run = [f"r{i}" for i in range(fingerprints.GRAM + fingerprints.WINDOW - 1)]
     texts = [" ".join([f"{c}{i}" for i in range(n)] + run + [f"{c}x{i}" for i in range(n)]) for c, n in (("a", 40), ("b", 7))]

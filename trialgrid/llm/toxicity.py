@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,8 +18,9 @@ from trialgrid.session import cut_lineage
 
 #: Labelled rows the model is fitted on, at most; a hash of their ids chooses. Everything else covers all rows.
 SAMPLE_ROWS = 6_000
-#: A word is a feature if it is in at least so many sampled texts, and in at most this share of them.
-LEAST_TEXTS, MOST_SHARE = 5, 0.2
+#: A word is a feature if it is in at least so many sampled texts. One in more than this share of them is none if it is
+#: less than COMMON_RATIO times as frequent in toxic texts as in others, and the reverse: it tells nothing.
+LEAST_TEXTS, MOST_SHARE, COMMON_RATIO = 5, 0.2, 2
 #: A toxic text's grade is 1 to GRADES.
 GRADES = 3
 #: A word marks toxic texts if it is so many times as frequent in them.
@@ -98,6 +100,21 @@ def fit_ordinal(
     return weights, thresholds
 
 
+def distinct_rows(rows: np.ndarray, columns: np.ndarray, counts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Which texts to fit on: of n copies of a text with one label the first sqrt(n), so that no text drowns the others.
+
+    Copies have the same words equally often; texts without any feature are no copies of each other.
+    """
+    edges = np.searchsorted(rows, np.arange(len(toxic) + 1))
+    words = [(toxic[i], columns[a:b].tobytes(), counts[a:b].tobytes()) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+    copies, seen = Counter(words), Counter()
+    kept = np.ones(len(toxic), dtype=bool)
+    for i, key in enumerate(words):
+        seen[key] += 1
+        kept[i] = not key[1] or seen[key] ** 2 <= copies[key]
+    return kept
+
+
 def severity_grades(rows: np.ndarray, columns: np.ndarray, counts: np.ndarray, toxic: np.ndarray, width: int) -> np.ndarray:
     """Ordered grades from 0/1 labels: 0 if not toxic, else 1 to GRADES by how many marked words a text has.
 
@@ -135,9 +152,11 @@ def learn_severity(
     words = texts.select("id", "toxic", F.explode(found).alias("word")).groupBy("id", "toxic", "word").count()
     words = cut_lineage(words)
     frame = known.toArrow().to_pandas()
-    frequent = words.groupBy("word").agg(F.count("*").alias("texts"))
-    limit = max(LEAST_TEXTS, int(MOST_SHARE * len(frame)))
-    vocabulary = frequent.filter((F.col("texts") >= LEAST_TEXTS) & (F.col("texts") <= limit)).select("word").toArrow()["word"]
+    frequent = words.groupBy("word").agg(F.count("*").alias("texts"), F.count_if(F.col("toxic") > 0).alias("bad"))
+    limit, n_bad = max(LEAST_TEXTS, int(MOST_SHARE * len(frame))), int((frame["toxic"] > 0).sum())
+    ratio = (F.col("bad") + 0.5) / (n_bad + 1) / ((F.col("texts") - F.col("bad") + 0.5) / (len(frame) - n_bad + 1))
+    telling = (F.col("texts") <= limit) | (ratio >= COMMON_RATIO) | (ratio <= 1 / COMMON_RATIO)
+    vocabulary = frequent.filter((F.col("texts") >= LEAST_TEXTS) & telling).select("word").toArrow()["word"]
     vocabulary = sorted(vocabulary.to_pylist())
     if not vocabulary or frame["toxic"].nunique() < 2:
         return SeverityModel({}, (40.0,) * GRADES)
@@ -148,6 +167,9 @@ def learn_severity(
     columns, counts, bad = cells["column"].to_numpy(), cells["count"].to_numpy(), frame["toxic"].to_numpy() > 0
     order = np.lexsort((columns, rows))  # the same sums in every run
     rows, columns, counts = rows[order], columns[order], counts[order]
+    kept = distinct_rows(rows, columns, counts, bad)
+    inside = kept[rows]
+    rows, columns, counts, bad = (np.cumsum(kept) - 1)[rows[inside]], columns[inside], counts[inside], bad[kept]
     grades = severity_grades(rows, columns, counts, bad, len(vocabulary))
     weights, thresholds = fit_ordinal(rows, columns, grades, len(vocabulary), GRADES)
     return SeverityModel({vocabulary[i]: float(weights[i]) for i in np.flatnonzero(weights)}, tuple(map(float, thresholds)))
