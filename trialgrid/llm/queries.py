@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from trialgrid.llm import (
     chat,
+    collocations,
     decontaminate,
     fingerprints,
     langid,
     mixing,
+    oddsketch,
+    ranked,
     secrets,
     simhash,
     substrings,
@@ -191,6 +194,86 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+with texts as (
+  select doc_id as id, true as is_doc, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+  union all
+  select item_id, false, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark),
+terms as (
+  select id, is_doc, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from texts),
+lengths as (select id, count(*) as n from terms where is_doc group by 1),
+corpus as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from lengths),
+tfs as (select id, term, count(*) as tf from terms where is_doc group by 1, 2),
+weights as (select term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::bigint as w from tfs, corpus group by term, n_docs),
+scores as (
+  select i.id as item_id, d.id as doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::bigint as score
+  from (select distinct id, term from terms where not is_doc) i join tfs d using (term) join weights using (term)
+    join lengths l on l.id = d.id cross join corpus
+  group by 1, 2)
+select item_id, rank::int as rank, doc_id, score from (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0)
+where rank <= 50
+"""
+
+
+def op12_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.similar_components(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') as s
+  from (select doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+links as (
+  select a.doc_id as x, b.doc_id as y from shingles a join shingles b using (s) join sizes m on m.doc_id = a.doc_id join sizes n on n.doc_id = b.doc_id
+  where a.doc_id <> b.doc_id group by 1, 2, m.n, n.n having 100 * count(*) >= 85 * (m.n + n.n - count(*))),
+reach as (select x, y from links union select reach.x, links.y from reach join links on reach.y = links.x),
+least as (select x as doc_id, min(y) as y from reach group by 1)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(y, doc_id)) as component_id, doc_id <= coalesce(y, doc_id) as kept
+from documents left join sizes using (doc_id) left join least using (doc_id)
+"""
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+words as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from pieces),
+grams as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from words, (values (1), (2), (3)) as sizes(k) where len(w) >= k)),
+f as (select lang, k, phrase, count(*)::bigint as f from grams group by 1, 2, 3 having count(*) >= 10),
+totals as (select lang, count(*)::bigint as n from grams where k = 1 group by 1),
+candidates as (select lang, k, phrase, string_split(phrase, ' ') as w, f as a from f where k > 1),
+cuts as (
+  select c.lang, c.phrase, c.a, c.k, cut, l.f as l, r.f as r, (1000000::hugeint * c.a * c.a) // (l.f::hugeint * r.f) as score
+  from candidates c join (values (1), (2)) as places(cut) on cut < c.k
+    join f l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:cut], ' ')
+    join f r on r.lang = c.lang and r.phrase = array_to_string(c.w[cut + 1:], ' ')),
+scored as (
+  select * from (select *, row_number() over (partition by lang, phrase order by score, cut) as first from cuts) where first = 1),
+inside as (
+  select lang, array_to_string(w[i:i + 1], ' ') as phrase, max(a) as longer from (select lang, w, a, unnest([1, 2]) as i from candidates where k = 3) group by 1, 2)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from (
+  select scored.*, n, row_number() over (partition by lang order by score desc, a desc, phrase)::int as rank
+  from scored join totals using (lang) left join inside using (lang, phrase) where longer is null or 100 * longer < 50 * a)
+where rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_document_fingerprints": (op1_document_fingerprints, None),
     "op2_url_filter": (op2_url_filter, OP2_SQL),
@@ -202,6 +285,9 @@ QUERIES = {
     "op6_source_mixing": (op6_source_mixing, None),
     "op9_language_id": (op9_language_id, None),
     "op10_simhash_near_duplicates": (op10_simhash_near_duplicates, None),
+    "op11_ranked_search": (op11_ranked_search, OP11_SQL),
+    "op12_minhash_near_duplicates": (op12_minhash_near_duplicates, OP12_SQL),
+    "op13_phrase_collocations": (op13_phrase_collocations, OP13_SQL),
 }
 
 
