@@ -252,17 +252,17 @@ with pieces as (
   select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
 words as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from pieces),
-grams as (
+grams as materialized (
   select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
-  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from words, (values (1), (2), (3)) as sizes(k) where len(w) >= k)),
-f as (select lang, k, phrase, count(*)::bigint as f from grams group by 1, 2, 3 having count(*) >= 10),
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from (select lang, w, unnest([1, 2, 3]) as k from words) where len(w) >= k)),
+f as materialized (select lang, k, phrase, count(*)::bigint as f from grams group by 1, 2, 3 having count(*) >= 10),
 totals as (select lang, count(*)::bigint as n from grams where k = 1 group by 1),
-candidates as (select lang, k, phrase, string_split(phrase, ' ') as w, f as a from f where k > 1),
+candidates as materialized (select lang, k, phrase, string_split(phrase, ' ') as w, f as a from f where k > 1),
 cuts as (
-  select c.lang, c.phrase, c.a, c.k, cut, l.f as l, r.f as r, (1000000::hugeint * c.a * c.a) // (l.f::hugeint * r.f) as score
-  from candidates c join (values (1), (2)) as places(cut) on cut < c.k
-    join f l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:cut], ' ')
-    join f r on r.lang = c.lang and r.phrase = array_to_string(c.w[cut + 1:], ' ')),
+  select c.lang, c.phrase, c.a, cut, l.f as l, r.f as r, (1000000::hugeint * c.a * c.a) // (l.f::hugeint * r.f) as score
+  from (select lang, phrase, a, cut, array_to_string(w[1:cut], ' ') as head, array_to_string(w[cut + 1:k], ' ') as tail
+        from (select *, unnest(range(1, k)) as cut from candidates)) c
+    join f l on l.lang = c.lang and l.phrase = c.head join f r on r.lang = c.lang and r.phrase = c.tail),
 scored as (
   select * from (select *, row_number() over (partition by lang, phrase order by score, cut) as first from cuts) where first = 1),
 inside as (
