@@ -31,7 +31,7 @@ CONTAINED = 50
 TOP = 2000
 UNDETERMINED = "und"
 #: Shards of a cycle. Steps have one bit each in a slot of 16, which is enough for three cycles.
-SHARDS = 4
+SHARDS = 3
 #: Words counted at once in a task.
 CHUNK = 1 << 20
 #: Slots per phrase that reached the threshold; at most MOST_SLOTS slots are sent, beyond which more phrases are counted in vain.
@@ -193,9 +193,9 @@ def _place(bits: int):
     return run
 
 
-def _filter(reached: DataFrame) -> np.ndarray:
-    """The slots of all phrases that reached the threshold; the driver gets at most MOST_SLOTS small rows."""
-    size = min(MOST_SLOTS, 1 << max(12, (ROOM * reached.count() - 1).bit_length()))
+def _filter(reached: DataFrame, phrases: int) -> np.ndarray:
+    """The slots of so many phrases that reached the threshold; the driver gets at most MOST_SLOTS small rows."""
+    size = min(MOST_SLOTS, 1 << max(12, (ROOM * phrases - 1).bit_length()))
     placed = reached.mapInPandas(_place(size.bit_length() - 1), "slot bigint, mask bigint")
     found = placed.groupBy("slot").agg(F.bit_or("mask").alias("mask")).select(F.col("slot").cast("int"), F.col("mask").cast("int")).toArrow()
     slots = np.zeros(size, dtype=np.uint16)
@@ -250,9 +250,10 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", thres
         new = new.select("lang", "phrase", "length", F.lit(step).alias("step"))
         reached = cut_lineage(new if reached is None else reached.union(new))
         parts = reached.filter(F.col("length") < LONGEST)
-        if not parts.filter(F.col("step") == step).isEmpty():
+        size, just = parts.agg(F.count("*"), F.count(F.when(F.col("step") == step, 1))).first()
+        if just:
             last = max(last, step + SHARDS)  # a phrase that starts next sees every shard once
-        slots = _filter(parts) if not parts.isEmpty() else None
+        slots = _filter(parts, size) if size and step < last else None
         step += 1
     spark.sql(f"drop table {table}")
     frequent = cut_lineage(reduce(DataFrame.union, closed).select("lang", "phrase", "length", "f"))

@@ -4,10 +4,11 @@ Equal sets are one class from the start. Each class has a MinHash sample of BAND
 a bucket. The sample is also folded into a parity bitmap: every (row, value) flips one bit, so that the XOR of two bitmaps
 is the bitmap of what the samples do not share, and its population count tells high similarities precisely.
 
-No bucket is expanded into all its pairs. First every class is compared with one representative of each of its buckets.
-Buckets whose members are connected by then are done. Of the others, small ones are compared pair by pair between
-different components; large ones are cut by a second and third band their members also share, and each part is treated alike.
-A pair that agrees in few bands only is the least alike, so what is left at the third band is compared in full.
+No bucket is expanded into all its pairs. First every class is compared by its sketch with a few representatives of each of
+its buckets, the same ones in all buckets they share, and checked in full against the nearest in each component. Buckets
+whose members are connected by then are done. Of the others, members outside the largest component are compared with the rest if they are few;
+otherwise the bucket is cut by a second and third band that its members also share, and each part is treated alike. What
+is left at the third band is compared in full.
 """
 
 from __future__ import annotations
@@ -31,10 +32,12 @@ SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch, as 64-bit words.
 WORDS = 8
 BITS = 64 * WORDS
-#: Standard deviations by which an estimate may miss the similarity asked for; see `most_flipped`.
+#: Standard deviations by which the sketches of a link may differ in more bits than expected; see `most_flipped`.
 LEEWAY = 6.0
-#: Distinct sets up to which a bucket is compared pair by pair.
+#: Members outside a bucket's largest component up to which they are compared with all its members.
 SMALL = 24
+#: Representatives of a bucket.
+STARS = 6
 #: Shingles times samples hashed at once.
 CELLS = 1 << 20
 
@@ -81,14 +84,16 @@ def fold(samples: np.ndarray) -> np.ndarray:
 
 
 def most_flipped(similarity: float) -> int:
-    """The most bits in which the odd sketches of two sets differ that are at least this similar.
+    """The most bits in which the odd sketches of two sets differ that are at least this similar, up to LEEWAY deviations.
 
-    The samples differ in Bin(SAMPLES, 1 - similarity) places, at most LEEWAY deviations above the mean; 2d values fall
-    on BITS bits, of which (BITS - BITS * (1 - 2 / BITS)^2d) / 2 are expected to be odd, again with that leeway.
+    Samples differ in d of SAMPLES places, a binomial number; 2d values fall on BITS bits, of which
+    BITS / 2 * (1 - (1 - 2 / BITS)^2d) are expected to be odd, and each two that meet take two bits away.
     """
-    d = SAMPLES * (1 - similarity) + LEEWAY * np.sqrt(SAMPLES * similarity * (1 - similarity))
-    odd = BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * min(d, SAMPLES)))
-    return int(np.ceil(odd + LEEWAY * np.sqrt(odd * (1 - odd / BITS))))
+    d = SAMPLES * (1 - similarity)
+    odd = BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * d))
+    by_sample = 2 * (1 - 2 / BITS) ** (2 * d) * np.sqrt(d * similarity)
+    by_place = 2 * np.sqrt((2 * d) ** 2 / (2 * BITS))
+    return int(np.ceil(odd + LEEWAY * np.hypot(by_sample, by_place)))
 
 
 def estimated_similarity(flipped: int) -> float:
@@ -97,7 +102,7 @@ def estimated_similarity(flipped: int) -> float:
     return max(0.0, 1 + BITS / (4 * SAMPLES) * np.log(1 - share))
 
 
-SIGNED = "ident bigint, hash bigint, n_shingles bigint, node string, bands array<bigint>, sketch array<bigint>"
+SIGNED = "ident bigint, hash bigint, n_shingles bigint, digest string, bands array<bigint>, sketch array<bigint>"
 
 
 def _sign(shingle: int):
@@ -105,20 +110,20 @@ def _sign(shingle: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes, nodes, bands, sketches = [], [], [], []
+            sizes, digests, bands, sketches = [], [], [], []
             for body in batch["body"]:
                 values = shingle_set(body, shingle)
                 sizes.append(len(values))
                 if not len(values):
-                    nodes.append(None), bands.append(None), sketches.append(None)
+                    digests.append(None), bands.append(None), sketches.append(None)
                     continue
                 samples = min_hashes(values)
                 rows = samples.reshape(BANDS, ROWS)
-                nodes.append(xxhash.xxh3_128_hexdigest(values.tobytes()))
+                digests.append(xxhash.xxh3_128_hexdigest(values.tobytes()))
                 bands.append([xxhash.xxh3_64_intdigest(row.tobytes(), seed=i) - (1 << 63) for i, row in enumerate(rows)])
                 sketches.append(fold(samples))
             frame = pd.DataFrame({"ident": batch["ident"].astype("Int64"), "hash": batch["hash"], "n_shingles": sizes})
-            yield frame.assign(node=nodes, bands=bands, sketch=sketches)
+            yield frame.assign(digest=digests, bands=bands, sketch=sketches)
 
     return run
 
@@ -154,44 +159,74 @@ class _Linker:
         """`members` with the component of their node."""
         if self.components is None:
             return members.withColumn("component", F.col("node"))
-        joined = members.join(self.components.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
+        joined = members.drop("component").join(self.components.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
         return joined.withColumn("component", F.coalesce("component", "node")).drop("c_node")
 
-    def compare(self, pairs: DataFrame) -> bool:
-        """Keeps those of the pairs (x, y) that are links; says whether there are any."""
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """(x, y, bits) of those of the distinct pairs (x, y) that sizes and sketches allow to be links."""
         about = self.classes.select("node", "n_shingles", "sketch")
         x, y = (about.select(*[F.col(c).alias(f"{side}_{c}") for c in about.columns]) for side in "xy")
-        joined = pairs.distinct().join(x, F.col("x") == F.col("x_node")).join(y, F.col("y") == F.col("y_node"))
-        share = round(self.similarity * 100)
-        small, large = F.least("x_n_shingles", "y_n_shingles"), F.greatest("x_n_shingles", "y_n_shingles")
-        near = flipped(F.col("x_sketch"), F.col("y_sketch")) <= most_flipped(self.similarity)
-        likely = cut_lineage(joined.filter((small * 100 >= large * share) & near).select("x", "y"))
-        if likely.isEmpty():
-            return False
-        # The longer lists of pairs meet the texts in equality joins on one side after the other; a hot side is split there.
-        texts = broadcast_if_small(likely).join(self.bodies.select("node", F.col("body").alias("x_body")), F.col("x") == F.col("node"))
+        joined = pairs.join(x, F.col("x") == F.col("x_node")).join(y, F.col("y") == F.col("y_node"))
+        return joined.filter(alike("x_", "y_", self.similarity)).select("x", "y", flipped("x_sketch", "y_sketch").alias("bits"))
+
+    def across(self, members: DataFrame, buckets: DataFrame) -> DataFrame:
+        """(x, y): members of the buckets outside the largest component, beside those of other components they may be alike."""
+        about = self.classes.select(F.col("node").alias("c_node"), "n_shingles", "sketch")
+        here = members.join(buckets, F.col("key") == F.col("b_key")).join(about, F.col("node") == F.col("c_node"))
+        outer = (F.col("component") != F.col("most")).alias("outer")
+        here = cut_lineage(here.select("key", "node", "component", "n_shingles", "sketch", outer))
+        x, y = (here.select(*[F.col(c).alias(f"{side}_{c}") for c in here.columns]) for side in "xy")
+        other = (F.col("x_key") == F.col("y_key")) & (F.col("x_component") != F.col("y_component"))
+        once = ~F.col("y_outer") | (F.col("x_node") < F.col("y_node"))
+        found = x.filter("x_outer").join(y, other & once & alike("x_", "y_", self.similarity))
+        return found.select(F.col("x_node").alias("x"), F.col("y_node").alias("y"))
+
+    def check(self, pairs: DataFrame) -> None:
+        """Keeps those of the pairs (x, y) whose full sets are links."""
+        pairs = cut_lineage(pairs.select("x", "y").distinct())
+        if pairs.isEmpty():
+            return
+        # The pairs meet the texts in equality joins, one side after the other; a hot side is split there.
+        texts = broadcast_if_small(pairs).join(self.bodies.select("node", F.col("body").alias("x_body")), F.col("x") == F.col("node"))
         texts = texts.drop("node").join(self.bodies.select("node", F.col("body").alias("y_body")), F.col("y") == F.col("node"))
         found = cut_lineage(_shared(texts, self.similarity, self.shingle).distinct())
-        if found.isEmpty():
-            return False
-        self.links.append(found)
-        self.components = cut_lineage(connected_components(reduce(DataFrame.union, self.links), "x", "y"))
-        return True
+        if not found.isEmpty():
+            self.links.append(found)
+            self.components = cut_lineage(connected_components(reduce(DataFrame.union, self.links), "x", "y"))
 
 
-def flipped(left: Column, right: Column) -> Column:
+def flipped(left: str, right: str) -> Column:
     """In how many bits two odd sketches differ."""
     words = [F.bit_count(F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i)))) for i in range(WORDS)]
     return reduce(Column.__add__, words)
 
 
-def _buckets(members: DataFrame) -> DataFrame:
-    """(b_key, n, least, mixed, l_component) of the buckets with several members, of one component or of several (mixed)."""
-    counted = members.groupBy(F.col("key").alias("b_key")).agg(
-        F.count("*").alias("n"), F.min("node").alias("least"), (F.min("component") != F.max("component")).alias("mixed"),
-        F.min_by("component", "node").alias("l_component"),
-    )
-    return counted.filter("n > 1")
+def alike(left: str, right: str, similarity: float) -> Column:
+    """Whether sizes and sketches of two sets, in columns of these prefixes, allow them to be similar enough."""
+    small, large = (f(f"{left}n_shingles", f"{right}n_shingles") for f in (F.least, F.greatest))
+    sizes = small * 100 >= large * round(similarity * 100)
+    return sizes & (flipped(f"{left}sketch", f"{right}sketch") <= most_flipped(similarity))
+
+
+def _mixed_buckets(members: DataFrame) -> DataFrame:
+    """(b_key, most, outside) of the buckets of several components: the largest one, and how many members are not of it."""
+    parts = members.groupBy(F.col("key").alias("b_key"), "component").agg(F.count("*").alias("n"))
+    size = F.struct("n", "component")
+    whole = parts.groupBy("b_key").agg(F.max(size).alias("top"), (F.sum("n") - F.max("n")).alias("outside"))
+    return whole.filter("outside > 0").select("b_key", F.col("top.component").alias("most"), "outside")
+
+
+def _stars(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(x, y): members of the buckets beside representatives y of other components.
+
+    A representative is the member whose hash is least, by one of STARS hashes; it represents all buckets where that holds.
+    """
+    here = members.join(buckets.select("b_key"), F.col("key") == F.col("b_key"))
+    firsts = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "component")) for i in range(STARS)]
+    stars = F.array_distinct(F.array(*[F.struct(f["node"].alias("y"), f["component"].alias("part")) for f in firsts]))
+    chosen = here.groupBy(F.col("key").alias("s_key")).agg(stars.alias("stars")).select("s_key", F.explode("stars").alias("star"))
+    pairs = here.join(chosen, F.col("key") == F.col("s_key")).filter(F.col("component") != F.col("star.part"))
+    return pairs.select(F.col("node").alias("x"), "star.y").distinct()
 
 
 def similar_components(
@@ -213,11 +248,11 @@ def similar_components(
     base.mapInPandas(_sign(shingle), SIGNED).write.parquet(path)
     signed = spark.read.parquet(path)
     at = F.min(F.struct("ident", "hash")).alias("at")
-    classes = signed.filter("n_shingles > 0").groupBy("node").agg(
+    classes = signed.filter("n_shingles > 0").groupBy("digest").agg(
         at, F.min("ident").alias("least_id"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")]
     )
     path = scratch_path(spark, "classes")
-    classes.write.parquet(path)
+    classes.withColumn("node", F.monotonically_increasing_id()).write.parquet(path)  # written once, so numbers stay
     classes = spark.read.parquet(path)
 
     listed = classes.select("node", F.posexplode("bands").alias("band", "key"))
@@ -231,35 +266,30 @@ def similar_components(
     here = F.col("ident").eqNullSafe(F.col("a_ident")) & (F.col("hash") == F.col("a_hash"))
     base.join(bucketed, here).select("node", "body").write.parquet(path)
     linker = _Linker(spark.read.parquet(path), classes, similarity, shingle)
-    for last in (False, False, True):
+    for deepest in (False, False, True):
         here = linker.placed(members)
-        star = here.join(_buckets(here).filter("mixed"), F.col("key") == F.col("b_key")).filter("component != l_component")
-        linker.compare(star.select(F.col("node").alias("x"), F.col("least").alias("y")))
+        stars = cut_lineage(linker.likely(_stars(here, _mixed_buckets(here))))
+        nearest = stars.groupBy("x").agg(F.min_by("y", F.struct("bits", "y")).alias("y"))
+        between = stars.join(stars.select(F.col("y").alias("star")).distinct(), F.col("x") == F.col("star"), "left_semi")
+        linker.check(nearest.unionByName(between.select("x", "y")))
         here = cut_lineage(linker.placed(members))
-        mixed = cut_lineage(_buckets(here).filter("mixed"))
-        small = mixed if last else mixed.filter(F.col("n") <= SMALL)
-        side = here.join(small.select("b_key"), F.col("key") == F.col("b_key"), "left_semi").select("key", "node", "component")
-        other = side.select(F.col("key").alias("o_key"), F.col("node").alias("o_node"), F.col("component").alias("o_component"))
-        apart = (F.col("key") == F.col("o_key")) & (F.col("node") < F.col("o_node")) & (F.col("component") != F.col("o_component"))
-        linker.compare(side.join(other, apart).select(F.col("node").alias("x"), F.col("o_node").alias("y")))
-        large = mixed.filter(F.col("n") > SMALL).select("b_key")
-        if last or large.isEmpty():
+        mixed = cut_lineage(_mixed_buckets(here))
+        linker.check(linker.across(here, mixed if deepest else mixed.filter(F.col("outside") <= SMALL)))
+        wide = mixed.filter(F.col("outside") > SMALL).select("b_key")
+        if deepest or wide.isEmpty():
             break
-        open_ = here.join(large, F.col("key") == F.col("b_key"), "left_semi").select("node", "band", "key")
-        again = first.join(open_.select("node").distinct(), "node", "left_semi")
-        again = again.select(F.col("node").alias("n_node"), F.col("band").alias("n_band"), F.col("key").alias("n_key"))
-        both = open_.join(again, (F.col("node") == F.col("n_node")) & (F.col("n_band") > F.col("band")))
-        cut = both.select("node", F.col("n_band").alias("band"), F.xxhash64("key", "n_key").alias("key"))
-        members = cut_lineage(cut)
-
+        wide_members = here.join(wide, F.col("key") == F.col("b_key"), "left_semi").select("node", "band", "key")
+        again = first.select(F.col("node").alias("n_node"), F.col("band").alias("n_band"), F.col("key").alias("n_key"))
+        both = wide_members.join(again, (F.col("node") == F.col("n_node")) & (F.col("n_band") > F.col("band")))
+        members = cut_lineage(both.select("node", F.col("n_band").alias("band"), F.xxhash64("key", "n_key").alias("key")))
     return _named(signed, linker.placed(classes), ident)
 
 
 def _named(signed: DataFrame, placed: DataFrame, ident: str) -> DataFrame:
     """The result rows, from each class's component."""
     groups = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = cut_lineage(placed.select("node", "component").join(groups, "component").select(F.col("node").alias("c_node"), "component_id"))
-    rows = signed.join(broadcast_if_small(named), F.col("node") == F.col("c_node"), "left")
-    component = F.when(F.col("node").isNull(), F.col("ident")).otherwise(F.col("component_id"))
+    named = placed.select("digest", "component").join(groups, "component").select(F.col("digest").alias("c_digest"), "component_id")
+    rows = signed.join(broadcast_if_small(cut_lineage(named)), F.col("digest") == F.col("c_digest"), "left")
+    component = F.when(F.col("digest").isNull(), F.col("ident")).otherwise(F.col("component_id"))
     kept = F.coalesce(F.col("ident") == component, F.lit(False)).alias("kept")
     return rows.select(F.col("ident").alias(ident), "n_shingles", component.alias("component_id"), kept)
