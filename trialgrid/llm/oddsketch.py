@@ -33,11 +33,13 @@ SAMPLES = BANDS * ROWS
 WORDS = 8
 BITS = 64 * WORDS
 #: Standard deviations by which the sketches of a link may differ in more bits than expected; see `most_flipped`.
-LEEWAY = 6.0
+LEEWAY = 5.0
 #: Members outside a bucket's largest component up to which they are compared with all its members.
-SMALL = 24
+SMALL = 256
 #: Representatives of a bucket.
 STARS = 6
+#: Hashes of sets kept for further pairs in a task.
+KEPT = 1 << 22
 #: Shingles times samples hashed at once.
 CELLS = 1 << 20
 
@@ -134,12 +136,17 @@ def _shared(pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        kept: tuple[bytes, np.ndarray] = (b"", shingle_set(b"", shingle))
+        sets: dict[bytes, np.ndarray] = {}
+        held = 0
         out = []
         for x, y in zip(left, right):
-            if y != kept[0]:  # a representative's members follow each other
-                kept = (y, shingle_set(y, shingle))
-            a, b = shingle_set(x, shingle), kept[1]
+            for body in (x, y):
+                if body not in sets:
+                    if held > KEPT:
+                        sets, held = {each: sets[each] for each in (x, y) if each in sets}, 0
+                    sets[body] = shingle_set(body, shingle)
+                    held += len(sets[body])
+            a, b = sets[x], sets[y]
             both = len(np.intersect1d(a, b, assume_unique=True))
             out.append(100 * both >= share * (len(a) + len(b) - both))
         return pd.Series(out, dtype=bool)
@@ -153,6 +160,7 @@ class _Linker:
     def __init__(self, bodies: DataFrame, classes: DataFrame, similarity: float, shingle: int):
         self.bodies, self.classes, self.similarity, self.shingle = bodies, classes, similarity, shingle
         self.links: list[DataFrame] = []
+        self.checked: list[DataFrame] = []
         self.components: DataFrame | None = None
 
     def placed(self, members: DataFrame) -> DataFrame:
@@ -183,7 +191,11 @@ class _Linker:
 
     def check(self, pairs: DataFrame) -> None:
         """Keeps those of the pairs (x, y) whose full sets are links."""
-        pairs = cut_lineage(pairs.select("x", "y").distinct())
+        pairs = pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+        for before in self.checked:
+            pairs = pairs.join(before, ["x", "y"], "left_anti")
+        pairs = cut_lineage(pairs)
+        self.checked.append(pairs)
         if pairs.isEmpty():
             return
         # The pairs meet the texts in equality joins, one side after the other; a hot side is split there.
