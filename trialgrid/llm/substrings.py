@@ -21,6 +21,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,9 @@ LENGTH = 400
 #: Bytes whose hash chooses the sample.
 GRAM = 32
 #: Strings handled at once; bounds the memory for a long text.
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: Rows that a task holds before it hands them on.
+ROWS = 1 << 16
 #: Bytes in which the sides of a sampled position are compared.
 RUNG = 64
 #: Strings in a block, level by level.
@@ -63,12 +66,12 @@ def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
 
 
-def _name(data: bytes, first: int, last: int, at: int, length: int) -> int:
+def _name(data: bytes | memoryview, first: int, last: int, at: int, length: int) -> int:
     """Names all bytes of the strings starting from first to last, and where the sampled position is in them."""
     return xxhash.xxh3_64_intdigest(data[first : last + length], seed=at - first)
 
 
-def sampled_runs(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def sampled_runs(data: bytes | memoryview, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(gram, name, first, last, at) arrays: the strings starting from first to last chose the sampled position at."""
     width = length - GRAM + 1
     low_bits = np.uint64((2 * PIECE).bit_length())
@@ -92,14 +95,37 @@ RUNS = "gram bigint, block int, name bigint, ident bigint, hash bigint, first in
 
 
 def _sample(length: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sampled runs of all texts; texts are read where they lie in the batch, and only columns of numbers are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        rows = 0
+
+        def joined() -> pa.RecordBatch:
+            gram, name, first, last, at = (np.concatenate([part[i] for part in held]) for i in range(5))
+            sizes = [len(part[0]) for part in held]
+            of_text = np.repeat(np.arange(len(held)), sizes)
+            ident = pa.array([part[5] for part in held], pa.int64()).take(pa.array(of_text))
+            key = np.repeat(np.asarray([part[6] for part in held], dtype=np.int64), sizes)
+            columns = [
+                pa.array(gram), pa.array(np.zeros(len(gram), dtype=np.int32)), pa.array(name), ident, pa.array(key),
+                *[pa.array(each.astype(np.int32)) for each in (first, last, at)], pa.array(np.ones(len(gram), dtype=bool)),
+            ]
+            return pa.RecordBatch.from_arrays(columns, [field.split()[0] for field in RUNS.split(", ")])
+
         for batch in batches:
             for ident, key, body in zip(batch["ident"], batch["hash"], batch["body"]):
-                for gram, name, first, last, at in sampled_runs(body, length):
-                    rest = {"ident": ident, "hash": key, "first": first, "last": last, "at": at, "alone": True}
-                    yield pd.DataFrame({"gram": gram, "block": 0, "name": name} | rest)
+                for found in sampled_runs(memoryview(body.as_buffer()), length):
+                    held.append((*found, ident.as_py(), key.as_py()))
+                    rows += len(found[0])
+                    if rows >= ROWS:
+                        yield joined()
+                        held.clear()
+                        rows = 0
+        if held:
+            yield joined()
 
-    return _gathered(run)
+    return run
 
 
 #: A piece of a listed run beside its sampled position: `rung` is its length in steps, negative to the left.
@@ -120,9 +146,12 @@ def _climb(length: int):
                         out.append((gram, -rung, digest(body[at - rung * RUNG : at]), ident, key, at))
                     for rung in range(1, (each["last"] + length - at) // RUNG + 1):
                         out.append((gram, rung, digest(body[at : at + rung * RUNG]), ident, key, at))
+                    if len(out) >= ROWS:
+                        yield _named(out, RUNGS)
+                        out = []
             yield _named(out, RUNGS)
 
-    return _gathered(run)
+    return run
 
 
 def _named(rows: list[tuple], schema: str) -> pd.DataFrame:
@@ -160,26 +189,12 @@ def _split(width: int, length: int):
                         first, last = at - min(high, block * width + width - 1), at - max(low, block * width)
                         name = _name(body, first, last, at, length)
                         out.append((each["gram"], block, name, ident, key, first, last, at, each["alone"]))
+                    if len(out) >= ROWS:
+                        yield _named(out, RUNS)
+                        out = []
             yield _named(out, RUNS)
 
-    return _gathered(run)
-
-
-def _gathered(run):
-    """Joins the small frames of `run` to larger ones."""
-
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, rows = [], 0
-        for frame in run(batches):
-            held.append(frame)
-            rows += len(frame)
-            if rows >= 100_000:
-                yield pd.concat(held, ignore_index=True)
-                held, rows = [], 0
-        if held:
-            yield pd.concat(held, ignore_index=True)
-
-    return gather
+    return run
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,7 +251,7 @@ def repeated_substrings(docs: DataFrame, ident: str = "doc_id", text: str = "tex
         rows.write.parquet(path)
         return spark.read.schema(RUNS).parquet(path)
 
-    runs = written(base.filter(F.octet_length("body") >= length).mapInPandas(_sample(length), RUNS), "sampled")
+    runs = written(base.filter(F.octet_length("body") >= length).mapInArrow(_sample(length), RUNS), "sampled")
     spans = []
     group, member = ["gram", "block"], F.struct("ident", "hash", "first", "last", "at")
     for width in (*BLOCKS, None):
