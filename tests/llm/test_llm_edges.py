@@ -78,6 +78,8 @@ def test_odd_rows(spark, odd, name):
         assert not any("hunter22" in r["text"] for r in full) and "_copy" in full[0].asDict()
     elif name.startswith("op7"):
         assert Counter(r["conv_id"] for r in full) == {i: 1 for i in (1, 2, 3, 4, None, -7)}
+    elif name.startswith(("op11", "op13")):
+        assert len(full) == (2000 if name.startswith("op13") else 6)
     elif not name.startswith("op5"):
         want = [1, 1, 2, None, 3, 4, 5, 6] if name.startswith("op2") else [r[0] for r in ROWS]
         key = "page_id" if name.startswith("op2") else "doc_id"
@@ -342,10 +344,28 @@ def test_short_lines_and_texts_with_tokens_stay(spark):
     assert Counter(r["text"] for r in stayed) == Counter(kept)
 
 
-def test_rare_trigrams_do_not_change_the_filters(spark):
-    texts = ["the dog and a cat"] * 400 + ["Zwei ganz andere Worte"]
-    docs = spark.createDataFrame([(t, lang) for t in texts for lang in ("a", "b")], "text string, lang string")
-    plain, learned = langid.learn_languages(docs, min_share=1e-3), langid.learn_with_rare(docs, min_share=1e-3)
-    assert (plain.slots == learned.frequent.slots).all() and plain.languages == learned.known.languages
-    assert (learned.known.slots != learned.frequent.slots).any()
-    assert not (langid.learn_with_rare(docs, most_known=20).known.slots != plain.slots).any()
+def test_every_trigram_of_a_language_is_in_its_filter(spark):
+    texts = ["the dog and a cat " * 4000, "zyx qwv"]
+    docs = spark.createDataFrame([(t, "en") for t in texts] + [("zwei ganz andere worte", "de")], "text string, lang string")
+    model = langid.learn_languages(docs, common_share=1e-3)
+    names, scores = langid.predict_texts(model, [*texts, "zwei ganz andere worte", "hund", None])
+    assert names == ["en", "en", "de", names[3], "und"]
+    assert scores[:3].tolist() == pytest.approx([1, 1, 1], abs=1e-9) and scores[4] == 0
+
+
+def test_scores_equal_exact_sets(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(~langid.held_out(F.col("doc_id")))
+    rows = docs.select("text", "lang").collect()
+    sets = {}
+    for row in rows:
+        for _, codes in langid.trigrams([row["text"] or ""]):
+            sets.setdefault(row["lang"], set()).update(codes.tolist())
+    model = langid.learn_languages(docs)
+    assert set(model.languages) == set(sets)
+    names, scores = langid.predict_texts(model, [row["text"] for row in rows])
+    for row, name, score in zip(rows, names, scores):
+        codes = [c for _, part in langid.trigrams([row["text"] or ""]) for c in part.tolist()]
+        if codes:
+            share = sum(c in sets[name] for c in codes) / len(codes)
+            assert abs(score - share) < 0.05
+            assert name != row["lang"] or score > 1 - 1e-9

@@ -1,4 +1,4 @@
-"""Language identification: bit-sliced Bloom filters of character trigrams, with one bit per language in every slot."""
+"""Language identification: bit-sliced Bloom filters of character trigrams, with two bits per language in every slot."""
 
 from __future__ import annotations
 
@@ -14,19 +14,19 @@ from pyspark.sql import functions as F
 from trialgrid.session import cut_lineage
 
 UNDETERMINED = "und"
-#: A trigram counts for a language if it is at least this share of the language's trigrams. A language therefore has at
-#: most 1 / MIN_SHARE trigrams, however large the corpus is.
-MIN_SHARE = 1e-5
+#: A trigram is common in a language from this share of the language's trigrams on. Filters hold the others as well.
+COMMON_SHARE = 1e-5
 HASHES = 4
 #: Slots per trigram of the largest language.
 ROOM = 12
+#: Slots at most, so that the filters can be sent to every executor. Beyond them no trigram is left out: there are more
+#: false positives, whose share is measured and taken off.
+MOST_SLOTS = 1 << 23
 #: Code points handled at once; bounds the memory for one long text.
 PIECE = 1 << 17
 #: Odd multipliers, one per hash function.
 MULTIPLIERS = tuple(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(HASHES))
 
-#: Trigrams per language kept to tell whether a text is of a learned language at all, the frequent ones first.
-MOST_KNOWN = 250_000
 #: Standard errors by which the share of few distinct trigrams may lie below a bound.
 LEEWAY = 3.0
 #: A word with a digit, such as a key or a number, says nothing about the language.
@@ -116,19 +116,21 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @dataclass(frozen=True)
 class Filters:
-    """All languages' Bloom filters side by side: slot -> bits of the languages, 64 languages per word."""
+    """Bloom filters side by side: slot -> bits, 64 per word.
+
+    With L languages, bit i tells that language i contains the trigram, and bit L + i that it is common there.
+    """
 
     languages: tuple[str, ...]
     slots: np.ndarray
     false_positive: np.ndarray
+    letters: np.ndarray
 
     def masks(self, codes: np.ndarray) -> np.ndarray:
-        """(trigram, word): the bits of all languages that contain the trigram."""
-        shift = np.uint64(64 - (len(self.slots) - 1).bit_length())
+        """(trigram, word): the bits of all languages that contain the trigram, or in which it is common."""
         found = None
-        for multiplier in MULTIPLIERS:
-            slot = self.slots[_mix(codes) * np.uint64(multiplier) >> shift]
-            found = slot if found is None else found & slot
+        for slot in _slots_of(codes, len(self.slots)):
+            found = self.slots[slot] if found is None else found & self.slots[slot]
         return found
 
 
@@ -138,150 +140,148 @@ def _mix(codes: np.ndarray) -> np.ndarray:
     return codes ^ codes >> np.uint64(29)
 
 
-def build_filters(grams: dict[str, np.ndarray]) -> Filters:
-    """Filters of the given trigram codes per language."""
-    names = tuple(sorted(grams))
-    largest = max([len(codes) for codes in grams.values()], default=1)
-    slots = np.zeros((1 << max(10, (ROOM * largest - 1).bit_length()), (len(names) + 63) // 64), dtype=np.uint64)
-    shift = np.uint64(64 - (len(slots) - 1).bit_length())
-    for i, name in enumerate(names):
-        mixed = _mix(grams[name])
-        for multiplier in MULTIPLIERS:
-            slots[mixed * np.uint64(multiplier) >> shift, i // 64] |= np.uint64(1 << i % 64)
-    filled = [np.count_nonzero(slots[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)) / len(slots) for i in range(len(names))]
-    return Filters(names, slots, np.asarray(filled) ** HASHES)
-
+def _slots_of(codes: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The slots of trigrams, one array per hash function."""
+    mixed, shift = _mix(codes), np.uint64(64 - (size - 1).bit_length())
+    for multiplier in MULTIPLIERS:
+        yield (mixed * np.uint64(multiplier) >> shift).astype(np.int64)
 
-def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: float = MIN_SHARE) -> Filters:
-    """Filters of the trigrams of each language's texts; rows without a text or language teach nothing.
-
-    Counts cover all rows of `docs`; the driver gets the frequent trigrams only, at most 1 / `min_share` per language.
-    """
-    counted = _counts(docs, text, lang)
-    # Kept in codes and counts: both uses below read it.
-    shared = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    frequent = counted.join(F.broadcast(shared), "lang").filter(F.col("n") >= F.col("total") * min_share)
-    found = frequent.select("lang", "code").toArrow().to_pandas()
-    return build_filters({name: group["code"].to_numpy().astype(np.uint64) for name, group in found.groupby("lang")})
 
+def _place(size: int):
+    """(slot, bit) of every trigram of a language."""
 
-@dataclass(frozen=True)
-class Learned:
-    """What is needed to tell texts of the learned languages from others."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            codes, bit = batch["code"].to_numpy().astype(np.uint64), batch["bit"].to_numpy()
+            for slot in _slots_of(codes, size):
+                yield pd.DataFrame({"slot": slot, "bit": bit})
 
-    frequent: Filters
-    known: Filters
-    letters: np.ndarray
+    return run
 
 
-def learn_with_rare(
-    docs: DataFrame, text: str = "text", lang: str = "lang", min_share: float = MIN_SHARE, most_known: int = MOST_KNOWN
-) -> Learned:
-    """The filters of `learn_languages`, others that hold the rare trigrams too, and the letters of the frequent ones.
+def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang", common_share: float = COMMON_SHARE) -> Filters:
+    """Filters of all trigrams of each language's texts; rows without a text or language teach nothing.
 
-    The driver gets at most `most_known` trigrams per language; beyond that the rarest are left out.
+    Counts cover all rows of `docs`, and no trigram is left out. The filters are sized by the distinct trigrams of the
+    largest language, and their slots are put together in Spark: the driver gets at most MOST_SLOTS words per 64 bits.
     """
-    counted = cut_lineage(_counts(docs, text, lang)).withColumn("step", F.floor(F.log2("n") * 4))
-    steps = counted.groupBy("lang", "step").agg(F.count("*").alias("codes"), F.sum("n").alias("n")).toPandas()
-    total, least = {}, []
-    for name, group in steps.groupby("lang"):
-        group = group.sort_values("step", ascending=False)
-        fits = group["step"][group["codes"].cumsum() <= most_known]
-        total[name] = int(group["n"].sum())
-        least.append((name, int(fits.min()) if len(fits) else int(group["step"].max())))
-    if not least:
-        return Learned(build_filters({}), build_filters({}), np.zeros(0, dtype=np.uint64))
-    limits = docs.sparkSession.createDataFrame(least, "lang string, least bigint")
-    kept = counted.join(F.broadcast(limits), "lang").filter(F.col("step") >= F.col("least"))
-    found = kept.select("lang", "code", "n").toArrow().to_pandas()
-    known, frequent = {}, {}
-    for name, group in found.groupby("lang"):
-        known[name] = group["code"].to_numpy().astype(np.uint64)
-        frequent[name] = known[name][group["n"].to_numpy() >= total[name] * min_share]
-    letters = np.unique(np.concatenate([_centre(codes) for codes in frequent.values()]))
-    return Learned(build_filters(frequent), build_filters(known), letters)
+    counted = cut_lineage(_counts(docs, text, lang))
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("codes"))
+    found = sorted(totals.collect())  # one row per language
+    names = tuple(row["lang"] for row in found)
+    largest = max([row["codes"] for row in found], default=1)
+    size = min(MOST_SLOTS, 1 << max(10, (ROOM * largest - 1).bit_length()))
+    slots = np.zeros((size, (2 * len(names) + 63) // 64), dtype=np.uint64)
+    if not names:
+        return Filters(names, slots, np.zeros(0), np.zeros(0, dtype=np.uint64))
+    spark = docs.sparkSession
+    places = spark.createDataFrame([(row["lang"], i, row["total"]) for i, row in enumerate(found)], "lang string, at int, total bigint")
+    marked = counted.join(F.broadcast(places), "lang")
+    common = marked.filter(F.col("n") >= F.col("total") * common_share)
+    bits = marked.select("code", F.col("at").alias("bit")).union(common.select("code", (F.col("at") + len(names)).alias("bit")))
+    placed = bits.mapInPandas(_place(size), "slot bigint, bit int")
+    word = F.expr("bit_or(shiftleft(1L, bit % 64))")
+    for row in _batches(placed.groupBy("slot", F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(word.alias("mask"))):
+        slots[row["slot"].to_numpy(), row["word"].to_numpy()] = row["mask"].to_numpy().view(np.uint64)
+    filled = [np.count_nonzero(slots[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)) / size for i in range(2 * len(names))]
+    centre = F.expr(f"shiftrightunsigned(code, 21) & {(1 << 21) - 1}L").alias("letter")
+    letters = common.select(centre).distinct().toArrow()["letter"].to_numpy().astype(np.uint64)
+    return Filters(names, slots, np.asarray(filled) ** HASHES, np.sort(letters))
+
+
+def _batches(df: DataFrame) -> Iterator:
+    """The rows of a bounded table, in column batches."""
+    return iter(df.toArrow().to_batches())
 
 
 def _centre(codes: np.ndarray) -> np.ndarray:
     return codes >> np.uint64(21) & np.uint64((1 << 21) - 1)
 
 
-def belongs(learned: Learned, text: str, least: float) -> bool:
-    """Whether a text can be of a learned language, by all known trigrams of its words without digits.
+def belongs(model: Filters, text: str, least: float) -> bool:
+    """Whether a text can be of a learned language, by all trigrams of its words without digits.
 
-    Most letters must be of the languages. The share of known trigrams must reach `least`, or lie below it by no more
+    Most letters must be of the languages. The share of contained trigrams must reach `least`, or lie below it by no more
     than so few distinct trigrams can show (Wilson's bound): repeats of a line are no further evidence.
     """
-    known = learned.known
+    count = len(model.languages)
     plain = " ".join(word for word in text.split() if not TOKEN.fullmatch(word))
     for body in (plain, text):  # a text of nothing but tokens is judged by them
-        total, own, hits = 0, 0, np.zeros(len(known.languages))
+        total, own, hits = 0, 0, np.zeros(count)
         distinct = np.zeros(0, dtype=np.uint64)
         for _, codes in trigrams([body]):
             total += len(codes)
-            own += np.count_nonzero(np.isin(_centre(codes), learned.letters))
-            hits += _hits(known, codes)
+            own += np.count_nonzero(np.isin(_centre(codes), model.letters))
+            hits += _hits(model, codes)[:count]
             distinct = np.union1d(distinct, codes)
         if total:
             break
     if not total or own < least * total:
         return False
-    if _corrected(known, hits, total).max() >= least:
+    wrong = model.false_positive[:count]
+    if _corrected(hits, total, wrong).max() >= least:
         return True
-    n, share = len(distinct), _corrected(known, _hits(known, distinct), len(distinct)).max()
+    n, share = len(distinct), _corrected(_hits(model, distinct)[:count], len(distinct), wrong).max()
     spread = LEEWAY * np.sqrt(share * (1 - share) / n + LEEWAY**2 / (4 * n * n))
     return bool((share + LEEWAY**2 / (2 * n) + spread) / (1 + LEEWAY**2 / n) >= least)
 
 
 def _hits(model: Filters, codes: np.ndarray) -> np.ndarray:
+    """How many of the trigrams each bit is set for."""
     masks = model.masks(codes)
-    bits = [masks[:, i // 64] >> np.uint64(i % 64) & np.uint64(1) for i in range(len(model.languages))]
+    bits = [masks[:, i // 64] >> np.uint64(i % 64) & np.uint64(1) for i in range(len(model.false_positive))]
     return np.asarray([np.count_nonzero(b) for b in bits], dtype=float)
 
 
-def _corrected(model: Filters, hits: np.ndarray, total: int) -> np.ndarray:
-    return np.clip((hits - total * model.false_positive) / (1 - model.false_positive) / total, 0, 1)
+def _corrected(hits: np.ndarray, total: np.ndarray | int, wrong: np.ndarray) -> np.ndarray:
+    return np.clip((hits - total * wrong) / np.maximum(1 - wrong, 1e-9) / np.maximum(total, 1), 0, 1)
 
 
-def in_learned_language(learned: Learned, text: Column, least: float) -> Column:
-    """Whether a text has letters and is of a learned language: by its score, and if that is below `least`, by `belongs`."""
-    shared = _broadcast(learned)
+def in_learned_language(model: Filters, text: Column, least: float) -> Column:
+    """Whether a text has letters and is of a learned language: by its common trigrams or, if they are too few, by `belongs`."""
+    shared = _broadcast(model)
 
     @F.pandas_udf("boolean")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            names, scores = predict_texts(shared.value.frequent, texts.tolist())
-            found = zip(texts, names, scores)
-            yield pd.Series([n != UNDETERMINED and bool(s >= least or belongs(shared.value, t, least)) for t, n, s in found], dtype=bool)
+            total, _, common = _shares(shared.value, texts.tolist())
+            best = common.max(axis=1, initial=0)
+            yield pd.Series([n > 0 and bool(s >= least or belongs(shared.value, t, least)) for t, n, s in zip(texts, total, best)], dtype=bool)
 
     return judge(text)
 
 
-def predict_texts(model: Filters, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text."""
-    hits = np.zeros((len(texts), len(model.languages)))
-    total = np.zeros(len(texts))
+def _shares(model: Filters, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trigrams of each text, and per language the shares it contains and that are common in it, corrected."""
+    count = len(model.languages)
+    hits, total = np.zeros((len(texts), 2 * count)), np.zeros(len(texts))
     for owner, codes in trigrams([t or "" for t in texts]):
         total += np.bincount(owner, minlength=len(texts))
         masks = model.masks(codes)
-        for i in range(len(model.languages)):
+        for i in range(2 * count):
             inside = masks[:, i // 64] >> np.uint64(i % 64) & np.uint64(1) != 0
             hits[:, i] += np.bincount(owner[inside], minlength=len(texts))
+    share = _corrected(hits, total[:, None], model.false_positive)
+    return total, share[:, :count], share[:, count:]
+
+
+def predict_texts(model: Filters, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
     if not model.languages:
         return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-    expected = total[:, None] * model.false_positive
-    share = np.clip((hits - expected) / (1 - model.false_positive) / np.maximum(total, 1)[:, None], 0, 1)
-    best = share.argmax(axis=1)
+    total, contained, common = _shares(model, texts)
+    best = (contained + common).argmax(axis=1)
     names = [model.languages[b] if n else UNDETERMINED for b, n in zip(best, total)]
-    return names, np.where(total > 0, share[np.arange(len(texts)), best], 0.0)
+    return names, np.where(total > 0, contained[np.arange(len(texts)), best], 0.0)
 
 
 def identify_language(model: Filters, text: Column) -> Column:
     """struct(lang_pred, score) of a text.
 
     The score is the share of the text's trigrams that the language contains, corrected for the false positives its
-    filter is known to give; the language with the largest share wins, the first by name among equal ones. A null text, or
-    one without letters, is `und` with score 0. Whole texts are used, in pieces of bounded size.
+    filter is known to give. The language wins whose contained and common trigrams together have the largest share, the
+    first by name among equal ones: a trigram that a language's texts hold by chance counts half of a common one. A null text,
+    or one without letters, is `und` with score 0. Whole texts are used, in pieces of bounded size.
     """
     shared = _broadcast(model)
 
@@ -294,8 +294,8 @@ def identify_language(model: Filters, text: Column) -> Column:
     return predict(text)
 
 
-def _broadcast(model: Filters | Learned):
-    """The filters are bounded by MIN_SHARE and MOST_KNOWN, so that they can be sent to every executor."""
+def _broadcast(model: Filters):
+    """The filters have at most MOST_SLOTS slots, so that they can be sent to every executor."""
     from pyspark import SparkContext
 
     return SparkContext.getOrCreate().broadcast(model)

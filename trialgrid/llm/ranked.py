@@ -181,7 +181,7 @@ def _search(shared):
                     idents[start:end], norm2[start:end], offsets[start : end + 1] - a,
                     listed[a:b].astype(np.int64), impacts[a + shift : b + shift].astype(np.int64),
                 )
-        number = np.repeat(np.arange(len(items)), [len(s) for s in search.scores])
+        number = np.repeat(np.arange(len(items)), np.asarray([len(s) for s in search.scores], dtype=np.int64))
         idents = np.concatenate([np.zeros(0, dtype=np.int64), *search.idents])
         scores = np.concatenate([np.zeros(0, dtype=np.int64), *search.scores])
         columns = [pa.array(number, pa.int32()), pa.array(idents, pa.int64(), mask=idents == _NO_IDENT), pa.array(scores, pa.int64())]
