@@ -96,3 +96,47 @@ def test_the_plan_of_levels_does_not_grow_with_depth(spark):
         assert {r["name"]: r["level"] for r in levels.collect()} == {f"n{i}": i for i in range(depth + 1)}
         plans.append(len(levels._jdf.queryExecution().optimizedPlan().toString()))
     assert abs(plans[0] - plans[1]) < 50
+
+
+IDS = ["", None, "007", "7", "t", " a=b/c "]
+
+
+def test_empty_text_is_no_null(spark):
+    path = scratch_path(spark, "outputs")
+    runlog.export_output(spark.createDataFrame(list(zip(IDS, range(6))), "run_id string, v int"), path)
+    for i, one in enumerate(IDS):
+        assert runlog.fetch_output(spark, path, [one], kind="string").collect() == [(i, one)]
+        gone = spark.createDataFrame([(one,)], "run_id string")
+        left = runlog.drop_output(spark, path, gone, scratch_path(spark, "left"))
+        assert {(r["run_id"], r["v"]) for r in left.collect()} == {(x, j) for j, x in enumerate(IDS) if j != i}
+
+
+def test_prune_plan_does_not_grow_with_depth(spark):
+    from trialgrid.operators.macros import prune_unused
+
+    sizes = []
+    for depth in (2, 12):
+        names = spark.createDataFrame([("n0", False), ("lost", True)] + [(f"n{i}", True) for i in range(1, depth + 1)], "name string, builtin boolean")
+        edges = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(depth)] + [("lost", "nowhere")], "src string, dst string")
+        kept = prune_unused(edges, names)
+        assert {r["name"] for r in kept.collect()} == {f"n{i}" for i in range(depth + 1)}
+        sizes.append(len(kept._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+    assert sizes[0] == sizes[1]
+
+
+def test_cap_among_rows_of_one_key_ends(spark, monkeypatch):
+    from trialgrid.operators import ordinal
+
+    monkeypatch.setattr(ordinal, "CROSSING_ROWS", 10)
+    df = spark.range(100).select(F.lit(1).alias("k"), F.lit(5).cast("bigint").alias("size"))
+    assert ordinal.capped_prefix(df, ["k"], "size", 50, ranges=4).count() == 100
+
+
+def test_ini_values_cross_splits(spark):
+    from trialgrid.sources import conffiles
+
+    told = [(0, 0, "[a]"), (0, 1, "x = 1"), (9, 7, "  more"), (18, 2, "  still"), (18, 3, "y = 2"), (27, 0, "[b]"), (27, 1, "z = 3")]
+    lines = spark.createDataFrame([(f, *row) for f in ("f", "g") for row in told], "file string, block_start long, row long, line string")
+    got = {(r["file"], r["section"], r["name"], r["value"]) for r in conffiles.ini_entries(lines.repartition(5)).collect()}
+    want = {("a", "x", "1\nmore\nstill"), ("a", "y", "2"), ("b", "z", "3")}
+    assert got == {(f, *one) for f in ("f", "g") for one in want}

@@ -102,21 +102,27 @@ def prune_unused(edges: DataFrame, names: DataFrame) -> DataFrame:
     """Names without the built-ins that nothing uses, directly or through other built-ins.
 
     `names` has (name, builtin). Starting from the names that stay anyway, each round adds the built-ins they use,
-    so every edge is followed once.
+    so every edge is followed once. What is kept lies in one table with the round it was found in, and the edges of found
+    names are left out from then on, so the plan does not grow with the rounds.
     """
     names = cut_lineage(names.select("name", "builtin").distinct())
     builtin = names.filter("builtin").select("name")
     uses = edges.select("src", "dst").distinct().join(builtin.withColumnRenamed("name", "src"), "src", "left_semi")
     uses = cut_lineage(uses)
-    kept = names.filter(~F.col("builtin")).select("name")
-    fresh = kept
+    spark, path = edges.sparkSession, scratch_path(edges.sparkSession, "kept")
+    stored = [names.schema["name"].dataType.simpleString(), "int"]
+    fresh, generation = names.filter(~F.col("builtin")).select("name"), 0
     while True:
-        users = broadcast_if_small(fresh.withColumnRenamed("name", "dst"))
-        reached = uses.join(users, "dst", "left_semi").select(F.col("src").alias("name")).distinct()
+        fresh.withColumn("generation", F.lit(generation)).write.mode("append").parquet(path)
+        kept = spark.read.schema(f"name {stored[0]}, generation int").parquet(path)
+        users = kept.filter(F.col("generation") == generation).select(F.col("name").alias("dst"))
+        reached = uses.join(broadcast_if_small(users), "dst", "left_semi").select(F.col("src").alias("name")).distinct()
         fresh = cut_lineage(reached.join(kept, "name", "left_anti"))
         if fresh.isEmpty():
-            return kept
-        kept = kept.unionByName(fresh)
+            return kept.select("name")
+        # What is kept by now is found no further: its edges are done.
+        uses = cut_lineage(uses.join(broadcast_if_small(fresh.withColumnRenamed("name", "src")), "src", "left_anti"))
+        generation += 1
 
 
 def substitute_macros(

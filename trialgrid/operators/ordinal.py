@@ -225,13 +225,14 @@ def capped_prefix(df: DataFrame, order: Sequence[str], size: str, cap: int | Non
 
     The row that crosses the cap is kept. No cap, or 0, keeps everything; so does too little data, with a warning.
     Only the key and the size are read to find the crossing row; the result is then a filter on the key, which
-    reaches the scan and needs no shuffle. The key must be unique.
+    reaches the scan and needs no shuffle. The key must be unique; rows of one key that cannot be told apart are taken in
+    any order, and all of them are kept if the cap is crossed among them.
     """
     if not cap:
         return df
     zero = F.lit(0).cast("bigint")
     left = df.select(*order, F.coalesce(F.col(size).cast("bigint"), zero).alias("__size"))
-    before = 0
+    before, previous = 0, None
     while (ranged := cut_ranges(left, order, ranges)) is not None:
         found = ranged.groupBy(RANGE).agg(F.sum("__size"), F.count("*")).collect()  # a row per range
         for number, total, rows in sorted(found):
@@ -241,8 +242,9 @@ def capped_prefix(df: DataFrame, order: Sequence[str], size: str, cap: int | Non
         else:
             return _too_little(df, before)
         left, ranges = ranged.filter(F.col(RANGE) == number).drop(RANGE), None
-        if rows <= CROSSING_ROWS:
+        if rows <= CROSSING_ROWS or rows == previous:  # rows of one key cannot be cut further
             break
+        previous = rows
     running = F.sum("__size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     kept = left.withColumn("__before", F.coalesce(running, zero)).filter(F.col("__before") < cap - before)
     last, size_kept = kept.agg(F.max(F.struct(*order)), F.coalesce(F.sum("__size"), zero)).first()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from trialgrid.functions.params import split_job_spec
 from trialgrid.functions.text import UNKNOWN_JOB
-from trialgrid.operators.grid import CANCELLED, DONE, ParameterError, last_status, remaining_runs, same_dataset_batch, sweep_expand
+from trialgrid.operators.grid import CANCELLED, DONE, ParameterError, progress_counts, remaining_runs, same_dataset_batch, sweep_expand
 from trialgrid.operators.macros import run_builtins, substitute_macros
 from trialgrid.plans.experiment import CONFIG_PARAMETER, Experiment
 from trialgrid.sources.datasets import import_function, make_dataset
@@ -142,9 +142,10 @@ def run_suite(
 def suite_progress(spark: SparkSession, experiment: Experiment, home: str) -> dict[str, int]:
     """Combinations in all and done so far."""
     state = suite_state(read_rows(spark, RUNS, f"{home}/runs"), experiment.repetitions)
-    done = last_status(state, ["comb_key"]).filter(F.col("status") == DONE).count()
-    total = suite_runs(spark, experiment).count()
-    return {"total": total, "done": done, "remaining": total - done}
+    # Only combinations of the grid count: a done one may have left it since.
+    counts = dict(progress_counts(suite_runs(spark, experiment), state, ["comb_key"]).collect())  # a row per status
+    total = sum(counts.values())
+    return {"total": total, "done": counts.get(DONE, 0), "remaining": total - counts.get(DONE, 0)}
 
 
 def write_summaries(spark: SparkSession, experiment: Experiment, home: str, dest: str) -> None:

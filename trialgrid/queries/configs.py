@@ -139,12 +139,12 @@ qualify row_number() over (partition by user_id, name order by file_rank) = 1
 
 def config_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_name")
-    base = customers.filter(F.col("c_nationkey") < 15).select(
+    base = customers.select(
         F.col("c_custkey").alias("name"),
         F.when(F.col("c_nationkey") == 3, F.lit("")).otherwise(F.col("c_mktsegment")).alias("value"),
     )
-    updates = customers.filter(F.col("c_mktsegment") > "B").select(
-        F.col("c_custkey").alias("name"),
+    updates = customers.select(
+        (F.col("c_custkey") * 2).alias("name"),  # only even names are in both
         F.col("c_name").alias("value"),
         (F.col("c_custkey") % 5 < 3).alias("create_if_absent"),
         (F.col("c_custkey") % 7 < 4).alias("replace_if_present"),
@@ -154,9 +154,9 @@ def config_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CONFIG_UPSERT = """
 with base as (select c_custkey as name, case c_nationkey when 3 then '' else c_mktsegment end as value
-              from customer where c_nationkey < 15),
-updates as (select c_custkey as name, c_name as value, c_custkey % 5 < 3 as cre, c_custkey % 7 < 4 as rep
-            from customer where c_mktsegment > 'B'),
+              from customer),
+updates as (select c_custkey * 2 as name, c_name as value, c_custkey % 5 < 3 as cre, c_custkey % 7 < 4 as rep
+            from customer),
 merged as (select coalesce(b.name, u.name) as name, b.value as old, u.value as new, b.name is not null as in_base,
                   coalesce(u.name is not null and case when coalesce(b.value, '') <> '' then rep else cre end, false) as changed
            from base b full outer join updates u on b.name = u.name)
@@ -188,29 +188,28 @@ from base b full outer join target t on b.name = t.name and b.file_rank = t.file
 
 
 def config_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), "c_name", "c_mktsegment", "c_nationkey")
-    local = customers.filter(F.col("c_mktsegment") > "F").select("name", F.col("c_name").alias("value"))
-    base = customers.filter(F.col("c_nationkey") < 20).select("name", F.col("c_mktsegment").alias("value"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    local = customers.select((F.col("c_custkey") * 2).alias("name"), F.col("c_name").alias("value"))
+    base = customers.select(F.col("c_custkey").alias("name"), F.col("c_mktsegment").alias("value"))
     return confmerge.config_overlay(local, base, ["name"])
 
 
 CONFIG_OVERLAY = """
-select c_custkey as name, c_name as value from customer where c_mktsegment > 'F'
+select c_custkey * 2 as name, c_name as value from customer
 union all
-select c_custkey, c_mktsegment from customer
-where c_nationkey < 20 and c_custkey not in (select c_custkey from customer where c_mktsegment > 'F')
+select c_custkey, c_mktsegment from customer where c_custkey not in (select c_custkey * 2 from customer)
 """
 
 
 def missing_mandatory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), "c_mktsegment", "c_nationkey")
-    local = customers.filter(F.col("c_mktsegment") > "F").select("name")
-    base = customers.filter(F.col("c_nationkey") < 20).select("name")
-    return confmerge.missing_mandatory(customers.select("name"), local, base, ["name"])
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"))
+    local, base = (names.select((F.col("name") * times).alias("name")) for times in (2, 3))
+    return confmerge.missing_mandatory(names, local, base, ["name"])
 
 
 MISSING_MANDATORY = """
-select c_custkey as name from customer where not (c_mktsegment > 'F') and not (c_nationkey < 20)
+select c_custkey as name from customer
+where c_custkey not in (select c_custkey * 2 from customer) and c_custkey not in (select c_custkey * 3 from customer)
 """
 
 QUERIES = {

@@ -14,14 +14,14 @@ from trialgrid.sources.hosts import host_list_scan as scan_hosts
 
 def _hosts_and_racks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     hosts = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("host"))
-    nations = table(spark, sf_dir, "nation").filter(F.col("n_regionkey") < 3)
-    racks = nations.select(F.col("n_nationkey").alias("host"), F.concat(F.lit("/"), F.col("n_name")).alias("rack"))
+    nations = table(spark, sf_dir, "nation")
+    racks = nations.select((F.col("n_nationkey") + 10).cast(nations.schema["n_nationkey"].dataType).alias("host"), F.concat(F.lit("/"), F.col("n_name")).alias("rack"))
     return hosts, racks
 
 
 RACKED = """
 with racked as (select c_custkey, c_nationkey as host, coalesce('/' || n_name, '/default-rack') as rack
-                from customer left join (select * from nation where n_regionkey < 3) on c_nationkey = n_nationkey)
+                from customer left join nation on c_nationkey = n_nationkey + 10)
 """
 
 

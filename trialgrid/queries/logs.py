@@ -90,13 +90,13 @@ select l.log_id, size from (select distinct log_id from lines) l left join hits
 def job_history_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat_ws("_", F.lit("job"), "o_orderkey", "o_orderstatus")
     files = table(spark, sf_dir, "orders").select(name.alias("name"), "o_orderkey")
-    building = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == "BUILDING")
-    return logs.job_history_scan(files, "name", building.select(F.concat_ws("_", F.lit("job"), "c_custkey")))
+    ids = table(spark, sf_dir, "customer").select(F.concat(F.lit("job_"), F.col("c_custkey"), F.lit("_")))
+    return logs.job_history_scan(files, "name", ids)
 
 
 JOB_HISTORY_SCAN = """
 select name, o_orderkey from (select 'job_' || o_orderkey || '_' || o_orderstatus as name, o_orderkey from orders)
-where exists (select 1 from customer where c_mktsegment = 'BUILDING' and starts_with(name, 'job_' || c_custkey))
+where exists (select 1 from customer where starts_with(name, 'job_' || c_custkey || '_'))
 """
 
 QUERIES = {

@@ -272,15 +272,13 @@ def merge_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     dataset = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("name"), F.col("c_mktsegment").alias("value")
     )
-    cheap = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "P")
-    experiment = cheap.groupBy(F.col("o_custkey").cast("string").alias("name")).agg(
-        F.max("o_orderpriority").alias("value")
-    )
+    doubled = (F.col("o_custkey") * 2).cast("string").alias("name")  # only even names can be in both
+    experiment = table(spark, sf_dir, "orders").groupBy(doubled).agg(F.max("o_orderpriority").alias("value"))
     return grid.merge_params(dataset, experiment)
 
 
 MERGE_PARAMS = """
-with e as (select o_custkey::varchar as name, max(o_orderpriority) as value from orders where o_orderstatus = 'P' group by 1)
+with e as (select (o_custkey * 2)::varchar as name, max(o_orderpriority) as value from orders group by 1)
 select * from e
 union all
 select c_custkey::varchar, c_mktsegment from customer where c_custkey::varchar not in (select name from e)
@@ -288,11 +286,11 @@ select c_custkey::varchar, c_mktsegment from customer where c_custkey::varchar n
 
 
 def name_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cheap = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "P")
-    return grid.name_difference(table(spark, sf_dir, "customer").select("c_custkey"), cheap.select("o_custkey"))
+    doubled = table(spark, sf_dir, "orders").select((F.col("o_custkey") * 2).alias("o_custkey"))
+    return grid.name_difference(table(spark, sf_dir, "customer").select("c_custkey"), doubled)
 
 
-NAME_DIFFERENCE = "select c_custkey from customer except select o_custkey from orders where o_orderstatus = 'P'"
+NAME_DIFFERENCE = "select c_custkey from customer except select o_custkey * 2 from orders"
 
 
 # Macro graphs: every order uses two earlier ones, so the graph grows with the table and its depth with the logarithm.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialgrid.functions.params import BLANKS, split_trim_list, strip
@@ -58,7 +58,8 @@ def config_scan_props(spark: SparkSession, path: str) -> DataFrame:
 def _placed(lines: DataFrame, ranges: int | None = None) -> DataFrame:
     """INI lines without comments, each with its section, the option it belongs to and its part of the value.
 
-    The section of a line is carried forward over ranges of lines, so a large file is handled by many tasks.
+    The section of a line is carried forward over the physical splits of its file, so a large file is handled by many
+    tasks; `ranges` cuts the lines into so many ranges instead, where they do not come from splits.
     """
     line = F.col("line")
     # Each pattern is matched once per line; a group of a pattern that does not match is empty.
@@ -91,7 +92,27 @@ def _placed(lines: DataFrame, ranges: int | None = None) -> DataFrame:
         .alias("part"),
         F.when(~is_option & ~is_header, line).alias("other"),
     )
-    return carry_forward(marked, LINE_ORDER, {"section": "header", "open": "start"}, by=["file"], ranges=ranges)
+    carried = {"section": "header", "open": "start"}
+    if ranges:
+        return carry_forward(marked, LINE_ORDER, carried, by=["file"], ranges=ranges)
+    return _carried_by_split(marked, carried)
+
+
+def _carried_by_split(lines: DataFrame, values: dict[str, str]) -> DataFrame:
+    """`lines` with the last non-null value up to each line, in one scan per physical split of a file.
+
+    A split (file, block_start) is a range already: its last values are aggregated, carried over the few splits of the file
+    and meet its lines again, which are scanned in the order of `row`. Lines are moved once and never sampled or rewritten.
+    """
+    split = ["file", "block_start"]
+    ends = lines.groupBy(*split).agg(*[F.max_by(value, F.when(F.col(value).isNotNull(), F.col("row"))).alias(name) for name, value in values.items()])
+    before = Window.partitionBy("file").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*split, *[F.last(name, ignorenulls=True).over(before).alias(f"__{name}") for name in values])
+    inside = Window.partitionBy(*split).orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scanned = lines.select("*", *[F.last(value, ignorenulls=True).over(inside).alias(name) for name, value in values.items()])
+    joined = scanned.join(carry, split, "left")
+    filled = [F.coalesce(name, f"__{name}").alias(name) for name in values]
+    return joined.select(*[name for name in scanned.columns if name not in values], *filled)
 
 
 def _entries(placed: DataFrame) -> DataFrame:

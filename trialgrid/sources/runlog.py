@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trialgrid.operators.joins import null_safe_join
 from trialgrid.session import cut_lineage, fits_broadcast
@@ -16,6 +17,8 @@ RUNS = (
 )
 DATASETS = "ds_id bigint, ds_class string, props map<string,string>"
 STATS = "run_id bigint, job_id string, stage_id int, stage string, tasks int, completed int, failed int"
+#: Stands in front of ids that are texts in the names of their folders.
+TEXT_MARK = "t"
 LOADS = "dest string, desired_size bigint, files bigint, raw_bytes bigint, final_bytes bigint"
 
 
@@ -74,15 +77,29 @@ def write_csv(df: DataFrame, path: str) -> None:
 def export_output(outputs: DataFrame, path: str, run: str = "run_id", mode: str = "errorifexists") -> None:
     """Outputs of runs, one folder per run, so that one run is read without touching the others.
 
-    Rows are brought together by run to write few files, and AQE splits the partition of a large run.
+    Rows are brought together by run to write few files, and AQE splits the partition of a large run. Ids that are texts
+    have a mark in front in the names of folders, which keeps an empty text apart from null.
     """
-    outputs.hint("rebalance", run).write.mode(mode).partitionBy(run).parquet(path)
+    outputs = outputs.hint("rebalance", run)
+    if dict(outputs.dtypes)[run] == "string":
+        outputs = outputs.withColumn(run, F.concat(F.lit(TEXT_MARK), F.col(run)))
+    outputs.write.mode(mode).partitionBy(run).parquet(path)
 
 
 def read_output(spark: SparkSession, path: str, kind: str, run: str = "run_id") -> DataFrame:
     """All outputs, with the run ids as they were written: of type `kind`, not of the type their folders suggest."""
     fields = [f"`{f.name}` {kind if f.name == run else f.dataType.simpleString()}" for f in spark.read.parquet(path).schema]
-    return spark.read.schema(", ".join(fields)).parquet(path)
+    found = spark.read.schema(", ".join(fields)).parquet(path)
+    return found.withColumn(run, _unmarked(run)) if kind == "string" else found
+
+
+def _read_marked(spark: SparkSession, path: str, schema: StructType, run: str) -> DataFrame:
+    found = spark.read.schema(schema).parquet(path)
+    return found.withColumn(run, _unmarked(run)) if schema[run].dataType.simpleString() == "string" else found
+
+
+def _unmarked(run: str) -> Column:
+    return F.substr(F.col(run), F.lit(len(TEXT_MARK) + 1))
 
 
 def _listed(outputs: DataFrame, runs: DataFrame, run: str, how: str) -> DataFrame:
@@ -101,7 +118,7 @@ def fetch_output(
     if isinstance(runs, DataFrame):
         return _listed(read_output(spark, path, kind or dict(runs.dtypes)[run], run), runs, run, "left_semi")
     kind = kind or ("string" if any(isinstance(one, str) for one in runs) else "bigint")
-    chosen = F.col(run).isin([one for one in runs if one is not None])
+    chosen = F.col(run).isin([one for one in runs if one is not None])  # also prunes folders: the mark is taken off a folder's name
     return read_output(spark, path, kind, run).filter(chosen | F.col(run).isNull() if None in runs else chosen)
 
 
@@ -111,5 +128,5 @@ def drop_output(spark: SparkSession, path: str, dropped: DataFrame, dest: str, r
     Ids are compared as they were written, by the type of `dropped`; null is an id like others.
     """
     every = read_output(spark, path, dict(dropped.dtypes)[run], run)
-    _listed(every, dropped, run, "left_anti").write.partitionBy(run).parquet(dest)
-    return spark.read.schema(every.schema).parquet(dest)
+    export_output(_listed(every, dropped, run, "left_anti"), dest, run)
+    return _read_marked(spark, dest, every.schema, run)
