@@ -56,8 +56,9 @@ def format_windows(
 
     Turns are `### role`, a line break, the escaped text, `</turn>` and a line break, in the order of `turn`; ties go by
     role and text hash. Tokens are summed along the conversation, and a turn belongs to the cell of half the free budget in
-    which it ends: turns of one cell are one window, which never exceeds the budget. A turn of more than half the free
-    budget is a window of its own, whole even if it alone exceeds the budget. Every later window first repeats a system
+    which it ends: turns of one cell are one window, which stays within the budget as long as the system turn and the history
+    leave a quarter of it free; a longer system turn is repeated whole, and its windows exceed the budget. A turn of more than
+    half the free budget is a window of its own, whole even if it alone exceeds the budget. Every later window first repeats a system
     turn that opens the conversation, then those turns of the window before that lie within its last `history` tokens.
 
     `n_repeated` counts the repeated turns. `loss` holds the spans, in code points of `formatted`, of the escaped texts of

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialgrid.llm.wordbytes import word_pieces
-from trialgrid.session import cut_lineage, scratch_path
+from trialgrid.session import broadcast_if_small, cut_lineage, scratch_path
 
 THRESHOLD, LONGEST = 10, 3
 CONTAINED = 50
@@ -32,6 +32,8 @@ TOP = 2000
 UNDETERMINED = "und"
 #: Shards of a cycle. Steps have one bit each in a slot of 16, which is enough for three cycles.
 SHARDS = 3
+#: Files at most in which a step keeps what reached the threshold in it.
+FILES = 32
 #: Words counted at once in a task.
 CHUNK = 1 << 20
 #: Slots per phrase that reached the threshold; at most MOST_SLOTS slots are sent, beyond which more phrases are counted in vain.
@@ -193,9 +195,8 @@ def _place(bits: int):
     return run
 
 
-def _filter(reached: DataFrame, phrases: int) -> np.ndarray:
-    """The slots of so many phrases that reached the threshold; the driver gets at most MOST_SLOTS small rows."""
-    size = min(MOST_SLOTS, 1 << max(12, (ROOM * phrases - 1).bit_length()))
+def _marked(reached: DataFrame, size: int) -> np.ndarray:
+    """Slots of which those of the given phrases are marked; the driver gets at most MOST_SLOTS small rows."""
     placed = reached.mapInPandas(_place(size.bit_length() - 1), "slot bigint, mask bigint")
     found = placed.groupBy("slot").agg(F.bit_or("mask").alias("mask")).select(F.col("slot").cast("int"), F.col("mask").cast("int")).toArrow()
     slots = np.zeros(size, dtype=np.uint16)
@@ -203,6 +204,14 @@ def _filter(reached: DataFrame, phrases: int) -> np.ndarray:
     return slots
 
 
+def _filter(reached: DataFrame, phrases: int, step: int, before: np.ndarray | None) -> np.ndarray:
+    """The slots of so many phrases that reached the threshold; those of earlier steps are taken over while they suffice."""
+    size = min(MOST_SLOTS, 1 << max(12, (ROOM * phrases - 1).bit_length()))
+    if before is None or len(before) < size:
+        return _marked(reached, size)
+    return before | _marked(reached.filter(F.col("step") == step), len(before))
+
+
 def _parts(phrases: DataFrame, head: str, tail: str) -> DataFrame:
     """`phrases` with their first `head` and last `tail` words, given as SQL."""
     first, last = f"substring_index(phrase, ' ', {head})", f"substring_index(phrase, ' ', -({tail}))"
@@ -211,6 +220,7 @@ def _parts(phrases: DataFrame, head: str, tail: str) -> DataFrame:
 
 def _with(phrases: DataFrame, part: str, table: DataFrame, value: str, name: str) -> DataFrame:
     """`phrases` with `value` of the phrase in column `part`, as `name`."""
+    # A hint on `table` goes with its columns.
     side = table.select(F.col("lang").alias("t_lang"), F.col("phrase").alias("t_phrase"), F.col(value).alias(name))
     return phrases.join(side, (F.col("lang") == F.col("t_lang")) & (F.col(part) == F.col("t_phrase"))).drop("t_lang", "t_phrase")
 
@@ -231,7 +241,7 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", thres
     # One bucketed table: what all steps counted is added up without moving it again.
     table = f"phrase_counts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    where, reached, slots, last, step = scratch_path(spark, "counts"), None, None, SHARDS - 1, 0
+    where, ready, reached, slots, last, step = scratch_path(spark, "counts"), scratch_path(spark, "reached"), None, None, SHARDS - 1, 0
     closed, totals = [], None
     while step <= last:
         scan = shards.filter(F.col("shard") == step % SHARDS).select("lang", "body")
@@ -239,7 +249,7 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", thres
         counted = scan.mapInPandas(_count(step, shared), COUNTS).repartition(buckets, "phrase")
         counted = counted.groupBy("lang", "phrase", "length", "start").agg(F.sum("n").alias("n")).withColumn("step", F.lit(step))
         writer = counted.write.mode("append").format("parquet").option("path", where)
-        writer.partitionBy("start", "step").bucketBy(buckets, "phrase").saveAsTable(table)
+        writer.partitionBy("step").bucketBy(buckets, "phrase").saveAsTable(table)
         spark.catalog.refreshTable(table)
         # Phrases that started earlier have seen all shards before.
         found = cut_lineage(_frequent(spark.table(table).filter(F.col("start") > step - SHARDS), reached, threshold))
@@ -247,13 +257,14 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", thres
         if step == SHARDS - 1:
             totals = cut_lineage(spark.table(table).filter("start = 0").groupBy("lang").agg(F.sum("n").alias("n")))
         new = found if reached is None else found.join(reached, ["lang", "phrase"], "left_anti")
-        new = new.select("lang", "phrase", "length", F.lit(step).alias("step"))
-        reached = cut_lineage(new if reached is None else reached.union(new))
+        new.select("lang", "phrase", "length", F.lit(step).alias("step")).coalesce(FILES).write.mode("append").parquet(ready)
+        reached = spark.read.schema("lang string, phrase string, length int, step int").parquet(ready)
         parts = reached.filter(F.col("length") < LONGEST)
         size, just = parts.agg(F.count("*"), F.count(F.when(F.col("step") == step, 1))).first()
         if just:
             last = max(last, step + SHARDS)  # a phrase that starts next sees every shard once
-        slots = _filter(parts, size) if size and step < last else None
+        slots = _filter(parts, size, step, slots) if size and step < last else None
+        reached = broadcast_if_small(reached)
         step += 1
     spark.sql(f"drop table {table}")
     frequent = cut_lineage(reduce(DataFrame.union, closed).select("lang", "phrase", "length", "f"))

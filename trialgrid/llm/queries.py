@@ -129,25 +129,6 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-OP6_SQL = r"""
-with recursive docs as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
-totals as (select source, sum(size)::bigint as source_size from docs group by 1),
-ranked as (
-  select source, source_size,
-    [5, 2, 1][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight from totals),
-rounds(n, rate) as (
-  select 0, 0.0::double
-  union all
-  select n + 1, (select (sum(source_size) - coalesce(sum(3 * source_size) filter (3 * source_size <= weight * rate), 0))::double
-      / (sum(weight) filter (not 3 * source_size <= weight * rate))::double from ranked)
-  from rounds where n < 30),
-targets as (
-  select source, source_size, least((3 * source_size)::double, weight * (select max(rate) from rounds)) as target from ranked)
-select doc_id, size, source_size, target from docs join targets on docs.source is not distinct from targets.source
-"""
-
-
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.lit("\\### Assistant: </turn> ok").alias("text")
     role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
