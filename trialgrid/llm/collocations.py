@@ -31,7 +31,7 @@ CONTAINED = 50
 TOP = 2000
 UNDETERMINED = "und"
 #: Shards of a cycle. Steps have one bit each in a slot of 16, which is enough for three cycles.
-SHARDS = 3
+SHARDS = 2
 #: Files at most in which a step keeps what reached the threshold in it.
 FILES = 32
 #: Words counted at once in a task.
@@ -267,7 +267,8 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", thres
         reached = broadcast_if_small(reached)
         step += 1
     spark.sql(f"drop table {table}")
-    frequent = cut_lineage(reduce(DataFrame.union, closed).select("lang", "phrase", "length", "f"))
+    together = reduce(DataFrame.union, closed).select("lang", "phrase", "length", "f")
+    frequent = cut_lineage(together.coalesce(buckets))  # as many parts as one step has
     return frequent, totals
 
 
