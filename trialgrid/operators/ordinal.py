@@ -160,12 +160,13 @@ def exclusive_sum(
 def running(
     df: DataFrame, order: Sequence[str], fns: Mapping[str, str], by: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
-    """Replace each column of `fns` by its sum, min or max over all rows up to and including each row.
+    """Replace each column of `fns` by its sum, min, max or union of sketches over all rows up to and including each row.
 
     `by` + `order` must be unique.
     """
-    over = {"sum": F.sum, "min": F.min, "max": F.max}
+    over = {"sum": F.sum, "min": F.min, "max": F.max, "hll_union_agg": F.hll_union_agg}
     merge = {
+        "hll_union_agg": lambda here, before: F.coalesce(F.hll_union(here, before), here, before),
         "sum": lambda here, before: F.coalesce(here + before, here, before),
         "min": F.least,
         "max": F.greatest,

@@ -157,9 +157,8 @@ def write_summaries(spark: SparkSession, experiment: Experiment, home: str, dest
     names = [*experiment.dataset, *experiment.runs]
     wide = run_summary(run_params(done.withColumnRenamed("run_id", "comb_id"), "comb_id"), ["comb_id", "job_id"], names)
     loaded = dataset_summary(read_rows(spark, DATASETS, f"{home}/datasets")).distinct()
-    # At most one row per run, so one file each.
     for table, option, default in ((wide, "test.summary_file", SUMMARY), (loaded, "test.ds_summary_file", DATASET_SUMMARY)):
-        write_csv(table.coalesce(1), f"{dest}/{experiment.options.get(option, default)}")
+        write_csv(table.hint("rebalance"), f"{dest}/{experiment.options.get(option, default)}")
 
 
 def _reason(failure: Exception) -> str:

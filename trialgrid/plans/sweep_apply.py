@@ -20,6 +20,9 @@ from trialgrid.session import cut_lineage
 CHUNK = 200
 #: Combinations up to which the aggregated cells, at most one per combination, are broadcast and finished in one task.
 ONE_TASK_GRID = 10_000
+#: Registers of a sketch of distinct values, as a power of two, and the standard error of its estimate.
+SKETCH_BITS = 12
+DISTINCT_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
 #: Values up to which a list is counted through instead of searched.
 SHORT_LIST = 16
 
@@ -36,7 +39,11 @@ class Axis:
 
 @dataclass(frozen=True)
 class Measure:
-    """One result per combination: `fn` is count, sum, min or max of an expression."""
+    """One result per combination: `fn` is count, sum, min, max or distinct of an expression.
+
+    distinct is an estimate: cells keep HyperLogLog sketches, which merge along the axes like sums do, with a standard error
+    of DISTINCT_ERROR. `sweep_apply_where` also knows count_distinct, which is exact.
+    """
 
     name: str
     fn: str
@@ -46,7 +53,9 @@ class Measure:
 def _first(measure: Measure) -> Column:
     if measure.fn == "count":
         return F.count("*" if measure.expr is None else measure.expr)
-    return {"sum": F.sum, "min": F.min, "max": F.max}[measure.fn](measure.expr)
+    if measure.fn == "distinct":
+        return F.hll_sketch_agg(measure.expr, SKETCH_BITS)
+    return {"sum": F.sum, "min": F.min, "max": F.max, "count_distinct": F.count_distinct}[measure.fn](measure.expr)
 
 
 def _ordered(axis: Axis) -> list:
@@ -128,7 +137,7 @@ def sweep_apply(df: DataFrame, axes: Sequence[Axis], measures: Sequence[Measure]
         stride *= size
     one_task = combinations <= ONE_TASK_GRID
     result = grid.select(*digits).join(F.broadcast(found) if one_task else found, cells, "left")
-    merges = {m.name: "sum" if m.fn == "count" else m.fn for m in measures}
+    merges = {m.name: {"count": "sum", "distinct": "hll_union_agg"}.get(m.fn, m.fn) for m in measures}
     for axis, cell in zip(axes, cells):
         if axis.op == "==":
             continue
@@ -141,8 +150,10 @@ def sweep_apply(df: DataFrame, axes: Sequence[Axis], measures: Sequence[Measure]
             # Written out before each axis, since its running sums take several passes.
             result = running(cut_lineage(result), [cell], merges, by=others)
     names = [F.get(literal_array(values), F.col(cell)).alias(axis.name) for axis, cell, values in zip(axes, cells, ordered)]
+    shown = {m.name: F.hll_sketch_estimate(m.name) if m.fn == "distinct" else F.col(m.name) for m in measures}
     filled = [
-        F.coalesce(m.name, F.lit(0).cast("bigint")).alias(m.name) if m.fn == "count" else F.col(m.name) for m in measures
+        (F.coalesce(shown[m.name], F.lit(0).cast("bigint")) if m.fn in ("count", "distinct") else shown[m.name]).alias(m.name)
+        for m in measures
     ]
     return result.select(*names, *filled)
 
@@ -165,7 +176,8 @@ def sweep_apply_where(
             results = [_first(_only(measure, inside)).alias(measure.name) for measure in measures]
             found.append(F.struct(*[value.alias(name) for name, value in values.items()], *results))
         parts.append(df.agg(F.array(*found).alias("found")).select(F.inline("found")))
-    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "n bigint")
+    estimated = {m.name: F.hll_sketch_estimate(m.name) for m in measures if m.fn == "distinct"}
+    return reduce(DataFrame.union, parts).withColumns(estimated) if parts else spark.createDataFrame([], "n bigint")
 
 
 def _only(measure: Measure, inside: Column) -> Measure:

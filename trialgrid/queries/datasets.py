@@ -9,15 +9,18 @@ import tarfile
 import uuid
 import zipfile
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialgrid.operators.ordinal import ordinal
-from trialgrid.plans import samples
+from trialgrid.plans import samples, suite
+from trialgrid.plans.experiment import Experiment
 from trialgrid.queries.tables import table
 from trialgrid.session import scratch_path
-from trialgrid.sources import archives, datasets, runlog, warehouse
+from trialgrid.sources import archives, datasets, ranges, runlog, warehouse
 
 ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 ORDERS = """
@@ -31,6 +34,10 @@ def _dated(orders: DataFrame) -> DataFrame:
     return orders.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
+#: Slots, or files, of a registered query.
+SLOTS = 100
+
+
 def load_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole orders from a folder with partition folders."""
     source = scratch_path(spark, "source")
@@ -39,19 +46,25 @@ def load_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_dataset_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A load of one byte, which takes the first file, here the one partition it holds; with the record of the load."""
+    """A load up to half of the bytes of a hundred text files, one per slot; with the record of the load."""
     source, loads = scratch_path(spark, "source"), scratch_path(spark, "loads")
-    orders = table(spark, sf_dir, "orders").withColumn("part", F.when(F.col("o_orderstatus") == "F", "a").otherwise("b"))
-    orders.hint("coalesce", 1).write.partitionBy("part").parquet(source)
-    loaded = datasets.load_dataset(spark, source, scratch_path(spark, "load"), desired_size=1, loads=loads)
+    line = F.concat_ws(" ", "doc_id", F.md5(F.col("text").cast("binary"))).alias("value")
+    lines = table(spark, sf_dir, "documents").select(line, F.pmod("doc_id", F.lit(SLOTS)).cast("int").alias("slot"))
+    datasets.place_slots(lines, SLOTS).write.partitionBy("slot").text(source)
+    half = lines.agg(F.sum(F.octet_length("value") + 1)).first()[0] // 2
+    loaded = datasets.load_dataset(spark, source, scratch_path(spark, "load"), "text", half, loads=loads)
     record = datasets.loaded_datasets(spark, loads).first()
-    return loaded.groupBy("part", "o_orderstatus").agg(
-        F.count("*").alias("n"), *[F.lit(record[name]).cast("bigint").alias(name) for name in ("desired_size", "files")]
-    )
+    figures = [F.lit(record[name]).cast("bigint").alias(name) for name in ("desired_size", "files", "raw_bytes")]
+    return loaded.select(F.col("slot").cast("int").alias("slot"), "value", *figures)
 
 
-LOAD_DATASET_CAPPED = """
-select 'a' as part, o_orderstatus, count(*) as n, 1::bigint as desired_size, 1::bigint as files from orders where o_orderstatus = 'F' group by 2
+LOAD_DATASET_CAPPED = f"""
+with lines as (select doc_id || ' ' || md5(text) as value, (doc_id % {SLOTS})::int as slot from documents),
+sizes as (select slot, sum(strlen(value) + 1) as size from lines group by 1),
+sums as (select *, sum(size) over (order by slot::varchar) - size as before, (select sum(size) // 2 from sizes) as half from sizes),
+taken as (select * from (select *, lead(before) over (order by before) from sums) where before < half)
+select slot, value, half::bigint as desired_size, (select count(*) from taken) as files, (select sum(size) from taken)::bigint as raw_bytes
+from lines join taken using (slot)
 """
 
 
@@ -80,6 +93,18 @@ select source, doc_id, ((row_number() over (order by source, doc_id) - 1) % 7)::
 """
 
 
+def slot_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = datasets.round_robin_assign(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SLOTS)
+    placed = datasets.place_slots(documents, SLOTS).withColumn("partition_id", F.spark_partition_id())
+    return placed.groupBy("slot", "partition_id").agg(F.count("*").alias("n"))
+
+
+SLOT_PLACEMENT = f"""
+select slot, slot as partition_id, count(*) as n
+from (select ((row_number() over (order by doc_id) - 1) % {SLOTS})::int as slot from documents) group by 1
+"""
+
+
 def load_size_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.octet_length("text").alias("bytes"))
     slots = datasets.round_robin_assign(documents, ["doc_id"], 7)
@@ -191,6 +216,30 @@ def drop_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 DROP_OUTPUT = "select o_orderkey, o_totalprice, o_orderstatus as run_id from orders where o_orderstatus <> 'F'"
 
 
+def drop_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of text ids, empty and null ones among them, of which every third goes."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", _text_id("o_custkey").alias("run_id"))
+    outputs = f"`{_namespace(spark)}`.outputs"
+    runlog.save_output(orders, outputs)
+    number = F.coalesce(F.expr("try_cast(run_id as int)"), F.lit(0))
+    runlog.drop_runs(spark, outputs, orders.filter((number % 3 == 0) & ~F.col("run_id").eqNullSafe(F.lit(""))).select("run_id"))
+    return runlog.table_output(spark, outputs, "string").select("o_orderkey", "o_totalprice", "run_id")
+
+
+def _text_id(key: str) -> Column:
+    """Numbers with and without zeros in front, an empty text, and null, by a key."""
+    rest = F.col(key) % 40
+    padded = F.when(rest < 20, F.lpad(rest.cast("string"), 3, "0")).otherwise(rest.cast("string"))
+    return F.when(rest == 0, F.lit("")).when(rest != 1, padded)
+
+
+DROP_RUNS = """
+with outputs as (select o_orderkey, o_totalprice, case when r = 0 then '' when r <> 1 then case when r < 20 then lpad(r::varchar, 3, '0') else r::varchar end end as run_id
+  from (select *, o_custkey % 40 as r from orders))
+select * from outputs where run_id = '' or coalesce(try_cast(run_id as int), 0) % 3 <> 0
+"""
+
+
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "files")
     table(spark, sf_dir, "documents").select("text", "lang", "source").write.partitionBy("lang", "source").text(path)
@@ -278,6 +327,35 @@ from part
 """
 
 
+def suite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of runs, one per order, as the CSV summary of a suite."""
+    home = scratch_path(spark, "suite")
+    params = F.create_map(F.lit("ds.status"), F.col("o_orderstatus"), F.lit("xp.priority"), F.col("o_orderpriority"))
+    status = F.when(F.col("o_custkey") % 5 == 0, suite.CANCELLED).otherwise(suite.DONE)
+    records = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("run_id"),
+        F.col("o_orderpriority").alias("comb_key"),
+        F.concat(F.lit("app_"), F.col("o_custkey")).alias("job_id"),
+        params.alias("params"),
+        F.lit(1).alias("rep"),
+        status.alias("status"),
+        F.lit(1).alias("attempt"),
+        F.lit(None).cast("string").alias("error"),
+        F.col("o_orderdate").cast("timestamp").alias("ts"),
+    )
+    records.write.parquet(f"{home}/runs")
+    experiment = Experiment(options={}, classes=[], dataset={"ds.status": []}, runs={"xp.priority": []}, order=[], uses={})
+    suite.write_summaries(spark, experiment, home, f"{home}/summary")
+    schema = "comb_id bigint, job_id string, status string, priority string"
+    return spark.read.schema(schema).csv(f"{home}/summary/{suite.SUMMARY}", header=True, enforceSchema=True)
+
+
+SUITE_SUMMARY = """
+select o_orderkey as comb_id, 'app_' || o_custkey as job_id, o_orderstatus as status, o_orderpriority as priority
+from orders where o_custkey % 5 <> 0
+"""
+
+
 def pre_load_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A DataFrame hook and a batch hook, one after the other."""
 
@@ -303,6 +381,26 @@ def custom_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CUSTOM_DATASET = "select l_orderkey, count(*) as lines from lineitem group by 1 having count(*) >= 2"
 
+
+def custom_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset class as a data source: rows made from the range of order keys, of which a filter leaves the upper half."""
+
+    def drawn(start: int, end: int) -> pa.RecordBatch:
+        keys = np.arange(start, end, dtype=np.int64)
+        return pa.record_batch({"key": keys, "draw": keys * 48271 % 2147483647})
+
+    ranges.register_source(spark, "OrderDraws", "key bigint, draw bigint", "key", drawn)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    made = ranges.read_source(spark, "OrderDraws", 0, last + 1, spark.sparkContext.defaultParallelism)
+    return made.filter(F.col("key") >= last // 2).join(orders, F.col("key") == F.col("o_orderkey")).select("o_orderkey", "o_orderstatus", "draw")
+
+
+CUSTOM_SOURCE = """
+select o_orderkey, o_orderstatus, o_orderkey * 48271 % 2147483647 as draw from orders
+where o_orderkey >= (select max(o_orderkey) // 2 from orders)
+"""
+
 QUERIES = {
     "load_dataset": (load_dataset, ORDERS),
     "load_dataset_capped": (load_dataset_capped, LOAD_DATASET_CAPPED),
@@ -323,4 +421,8 @@ QUERIES = {
     "dataset_summary": (dataset_summary, DATASET_SUMMARY),
     "pre_load_hook": (pre_load_hook, PRE_LOAD_HOOK),
     "custom_dataset": (custom_dataset, CUSTOM_DATASET),
+    "slot_placement": (slot_placement, SLOT_PLACEMENT),
+    "drop_runs": (drop_runs, DROP_RUNS),
+    "suite_summary": (suite_summary, SUITE_SUMMARY),
+    "custom_source": (custom_source, CUSTOM_SOURCE),
 }

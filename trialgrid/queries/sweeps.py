@@ -9,7 +9,7 @@ from trialgrid.operators import grid, macros
 from trialgrid.plans.experiment import Experiment
 from trialgrid.plans.samples import pi_estimate as estimate
 from trialgrid.plans.suite import run_suite as run
-from trialgrid.plans.sweep_apply import Axis, Measure
+from trialgrid.plans.sweep_apply import DISTINCT_ERROR, Axis, Measure
 from trialgrid.plans.sweep_apply import sweep_apply as apply_grid
 from trialgrid.plans.sweep_apply import sweep_apply_where as apply_pairs
 from trialgrid.queries.tables import table
@@ -53,6 +53,33 @@ group by 1, 2, 3
 """
 
 
+def sweep_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct orders and parts of every combination: estimates by sketches, held against exact counts."""
+    lines = table(spark, sf_dir, "lineitem")
+    axes = [Axis("min_qty", "l_quantity", ">=", QUANTITIES), Axis("max_disc", "l_discount", "<=", DISCOUNTS)]
+    counted = {"orders": "l_orderkey", "parts": "l_partkey"}
+    estimates = apply_grid(lines, axes, [Measure(f"about_{name}", "distinct", F.col(key)) for name, key in counted.items()])
+
+    def inside(combination):
+        return (F.col("l_quantity") >= combination["min_qty"]) & (F.col("l_discount") <= combination["max_disc"])
+
+    combinations = [{"min_qty": low, "max_disc": high} for low in QUANTITIES for high in DISCOUNTS]
+    exact = apply_pairs(lines, combinations, inside, [Measure(name, "count_distinct", F.col(key)) for name, key in counted.items()])
+    near = [
+        (F.abs(F.col(f"about_{name}") - F.col(name)) <= 4 * DISTINCT_ERROR * F.col(name)).alias(f"{name}_near") for name in counted
+    ]
+    return estimates.join(exact, ["min_qty", "max_disc"]).select("min_qty", "max_disc", *counted, *near)
+
+
+SWEEP_DISTINCT = """
+select min_qty, max_disc, count(distinct l_orderkey) as orders, count(distinct l_partkey) as parts, true as orders_near, true as parts_near
+from (select * from (values (10.0::double), (20.0::double), (30.0::double)) a(min_qty),
+                    (values (0.02::double), (0.05::double)) b(max_disc)) g
+left join lineitem on l_quantity >= min_qty and l_discount <= max_disc
+group by 1, 2
+"""
+
+
 def sweep_apply_where(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     combinations = [{"low": low, "width": width} for low in (1.0, 15.0, 30.0, 1000.0) for width in (5.0, 20.0)]
@@ -371,6 +398,7 @@ from (select ((i * 6799333552837830) % 9007199254740992)::double / 9007199254740
 QUERIES = {
     "sweep_apply": (sweep_apply, SWEEP_APPLY),
     "sweep_apply_where": (sweep_apply_where, SWEEP_APPLY_WHERE),
+    "sweep_distinct": (sweep_distinct, SWEEP_DISTINCT),
     "run_suite": (run_suite, RUN_SUITE),
     "sweep_expand": (sweep_expand, SWEEP_EXPAND),
     "repeat_runs": (repeat_runs, REPEAT_RUNS),

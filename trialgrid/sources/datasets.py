@@ -62,6 +62,14 @@ def round_robin_assign(rows: DataFrame, order: Sequence[str], slots: int, name:
     return ordinal(rows, order, name="__i").withColumn(name, F.pmod("__i", F.lit(slots)).cast("int")).drop("__i")
 
 
+def place_slots(rows: DataFrame, slots: int, slot: str = "slot") -> DataFrame:
+    """Rows of slot i in partition i, without a hash in between: one shuffle, and one task per slot.
+
+    For slots whose rows fit a task, as those of `round_robin_assign` with enough slots; `write_slots` splits larger ones.
+    """
+    return rows.repartitionById(slots, F.col(slot))
+
+
 def write_slots(rows: DataFrame, path: str, slot: str = "slot") -> None:
     """One folder per slot; a slot without rows has none. Large slots are written by several tasks."""
     rows.hint("rebalance", slot).write.partitionBy(slot).parquet(path)
@@ -128,9 +136,11 @@ def load_dataset(
     """Load the files of a directory, up to a size, into a fresh parquet table and read it back.
 
     Files are taken in path order by their listing; contents of the others are not read. With `loads`, one record
-    (dest, desired size, files, raw bytes, final bytes) is appended there.
+    (dest, desired size, files, raw bytes, final bytes) is appended there. Without a size and a record nothing is listed here.
     """
-    picked = _picked_files(spark, source, desired_size)
+    if not path_exists(spark, source):
+        raise DatasetError(f"dataset directory {source} does not exist")
+    picked = _picked_files(spark, source, desired_size) if desired_size or loads else None
     data = _read_files(spark, source, picked if desired_size else None, fmt, **options)
     pre_load_hook(data, hook).write.parquet(dest)
     if loads:
@@ -147,8 +157,6 @@ def _picked_files(spark: SparkSession, source: str, desired_size: int | None) ->
     Those are the files in the folder itself and in its partition folders (`name=value`); names that start with `_` or `.`
     are left out. Files in other folders below belong to no dataset, whether a size is given or not.
     """
-    if not path_exists(spark, source):
-        raise DatasetError(f"dataset directory {source} does not exist")
     listing = file_inventory(spark, source).select("path", "length")
     root = spark._jvm.org.apache.hadoop.fs.Path(source).getName()
     below = F.substring_index(F.col("path"), f"/{root}/", -1)
@@ -210,8 +218,10 @@ def make_dataset(spark: SparkSession, name: str, props: Mapping[str, str], desir
 def static_dataset(spark: SparkSession, props: Mapping[str, str], desired_size: int | None) -> DataFrame:
     """Files below `local_path` in path order up to the size, read as `format`, through `pre_load_function`."""
     source = props["local_path"]
-    picked = _picked_files(spark, source, desired_size)
-    data = _read_files(spark, source, picked if desired_size else None, props.get("format", "text"))
+    if not path_exists(spark, source):
+        raise DatasetError(f"dataset directory {source} does not exist")
+    picked = _picked_files(spark, source, desired_size) if desired_size else None
+    data = _read_files(spark, source, picked, props.get("format", "text"))
     return pre_load_hook(data, props.get("pre_load_function"))
 
 

@@ -19,7 +19,7 @@ from trialgrid.functions.text import (
     size_before_tab,
 )
 from trialgrid.operators.joins import null_safe_join
-from trialgrid.session import cut_lineage, fits_broadcast
+from trialgrid.session import broadcast_if_small, cut_lineage
 from trialgrid.sources.lines import read_lines
 
 #: A Python list of up to so many job ids becomes one filter, a longer one a table; the result is the same.
@@ -63,9 +63,9 @@ def first_parsable_size(
 def job_history_scan(files: DataFrame, name: str, job_ids: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """Files whose name starts with one of the job ids, or with `job_` when none are given or the list is empty.
 
-    A short list is a filter. A table of ids is matched by equality, on each length that occurs among the ids: by
-    lookups without a shuffle if the ids can be broadcast, otherwise by one join on all prefixes. No pairs are
-    formed either way.
+    A short list is a filter. Of a table, ids that begin with another id are left out first, as the other finds the same
+    files; then a name begins with at most one id. Its prefixes, of all lengths that occur, meet the ids in one equality
+    join, which needs no shuffle if the ids can be broadcast. No pairs are formed, and the plan is the same for any ids.
     """
     column = F.col(name)
     whole = files.filter(F.startswith(column, F.lit("job_")))
@@ -81,21 +81,18 @@ def job_history_scan(files: DataFrame, name: str, job_ids: Sequence[str] | DataF
             hit = hit | F.startswith(column, F.lit(job_id))
         return files.filter(hit)
     ids = cut_lineage(job_ids.toDF("__id").filter(F.col("__id").isNotNull()).distinct())
-    lengths = [row[0] for row in ids.select(F.length("__id")).distinct().collect()]  # lengths of file names
+    lengths = sorted(row[0] for row in ids.select(F.length("__id")).distinct().collect())  # lengths of file names
     if not lengths:
         return whole
-    if fits_broadcast(ids):
-        marked, hit = files, F.lit(False)
-        for length in lengths:
-            known = ids.filter(F.length("__id") == length).select(F.col("__id").alias(f"__id{length}"))
-            prefix = F.substring(column, F.lit(1), F.lit(length)) == F.col(f"__id{length}")
-            marked = marked.join(F.broadcast(known), prefix, "left")
-            hit = hit | F.col(f"__id{length}").isNotNull()
-        return marked.filter(hit).select(*files.columns)
-    prefixes = F.transform(literal_array(lengths), lambda n: F.when(F.length(column) >= n, F.substring(column, F.lit(1), n)))
-    cut = files.select(name, F.explode(prefixes).alias("__id")).filter(F.col("__id").isNotNull())
-    names = cut.join(ids, "__id", "left_semi").select(name).distinct()
-    return files.join(names, name, "left_semi")
+
+    def prefixes(text: Column, below: Column) -> Column:
+        cut = F.transform(literal_array(lengths), lambda n: F.when(n < below, F.substring(text, F.lit(1), n)))
+        return F.explode(F.array_compact(cut)).alias("__prefix")
+
+    nested = ids.select("__id", prefixes(F.col("__id"), F.length("__id"))).join(ids.toDF("__prefix"), "__prefix", "left_semi")
+    first = cut_lineage(ids.join(nested.select("__id").distinct(), "__id", "left_anti").toDF("__prefix"))
+    begun = files.select("*", prefixes(column, F.length(column) + 1))
+    return begun.join(broadcast_if_small(first), "__prefix", "left_semi").drop("__prefix")
 
 
 def copy_history(spark: SparkSession, source: str, dest: str, job_ids: Sequence[str] | DataFrame | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ DATASETS = "ds_id bigint, ds_class string, props map<string,string>"
 STATS = "run_id bigint, job_id string, stage_id int, stage string, tasks int, completed int, failed int"
 #: Stands in front of ids that are texts in the names of their folders.
 TEXT_MARK = "t"
+#: Partitions removed by one statement.
+PARTITIONS = 200
 LOADS = "dest string, desired_size bigint, files bigint, raw_bytes bigint, final_bytes bigint"
 
 
@@ -82,10 +85,44 @@ def export_output(outputs: DataFrame, path: str, run: str = "run_id", mode: str
     """
     outputs = outputs.hint("rebalance", run)
     if dict(outputs.dtypes)[run] == "string":
-        outputs = outputs.withColumn(run, F.concat(F.lit(TEXT_MARK), F.col(run)))
+        outputs = outputs.withColumn(run, _marked(F.col(run)))
     outputs.write.mode(mode).partitionBy(run).parquet(path)
 
 
+def save_output(outputs: DataFrame, table: str, run: str = "run_id") -> None:
+    """Outputs of runs as a table of the warehouse with one partition per run, written as by `export_output`."""
+    outputs = outputs.hint("rebalance", run)
+    outputs.withColumn(run, _marked(F.col(run).cast("string"))).write.format("parquet").partitionBy(run).saveAsTable(table)
+
+
+def table_output(spark: SparkSession, table: str, kind: str, run: str = "run_id") -> DataFrame:
+    """All outputs of such a table, with run ids of type `kind`."""
+    return spark.table(table).withColumn(run, _unmarked(run).cast(kind))
+
+
+def drop_runs(spark: SparkSession, table: str, dropped: DataFrame, run: str = "run_id") -> None:
+    """Remove runs from such a table: partitions of the dropped ids go, nothing else is read or written.
+
+    Null is an id like others, ids without outputs are passed over. The ids come to the driver a few at a time.
+    """
+    ids = (row[0] for row in dropped.select(F.col(run).cast("string")).distinct().toLocalIterator())
+    while batch := list(islice(ids, PARTITIONS)):
+        specs = ", ".join(f"PARTITION (`{run}` = {_quoted(one)})" for one in batch)
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
+
+
+def _quoted(ident: str | None) -> str:
+    """An id as its partition is named in SQL text."""
+    if ident is None:
+        return "null"
+    escaped = ident.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{TEXT_MARK}{escaped}'"
+
+
+def _marked(ident: Column) -> Column:
+    return F.concat(F.lit(TEXT_MARK), ident)
+
+
 def read_output(spark: SparkSession, path: str, kind: str, run: str = "run_id") -> DataFrame:
     """All outputs, with the run ids as they were written: of type `kind`, not of the type their folders suggest."""
     fields = [f"`{f.name}` {kind if f.name == run else f.dataType.simpleString()}" for f in spark.read.parquet(path).schema]
