@@ -114,6 +114,31 @@ def test_urls(spark):
     assert got[6][2:] == got[7][2:] == (None, "allow")  # one alias is allowed, which comes first
 
 
+def test_declared_links_of_all_forms(spark):
+    page = "http://s.com/a/b.html"
+    forms = {
+        "http://x.net/1": "http://x.net/1", "//x.net/1": "http://x.net/1", "/c": "http://s.com/c", "c?d#e": "http://s.com/a/c?d#e",
+        "../c": "http://s.com/c", "../../../c/./d/..": "http://s.com/c/", "?q=1&amp;r=2": "http://s.com/a/b.html?q=1&r=2",
+        "#top": None, "mailto:me@x.net": None, "&#x2f;&#x2f;x.net/&amp;amp;": "http://x.net/&amp;",
+    }
+    df = spark.createDataFrame([(page, t, want) for t, want in forms.items()], "url string, target string, want string")
+    assert df.filter(~urlfilter.resolve_url(F.col("url"), F.col("target")).eqNullSafe(F.col("want"))).collect() == []
+    bare = spark.createDataFrame([("http://s.com", "c"), ("no scheme", "/c"), ("no scheme", "http://x.net")], "url string, target string")
+    assert [r[0] for r in bare.select(urlfilter.resolve_url(F.col("url"), F.col("target"))).collect()] == ["http://s.com/c", None, "http://x.net"]
+
+
+def test_verdicts_along_declared_links(spark):
+    canonical = lambda *to: "".join(f"<link rel='canonical' href=\"{t}\">" for t in to)
+    pages = [
+        (1, "http://a.com/view?id=1", ""), (2, "http://a.com/view?id=2", canonical("http://b.net/")), (3, "http://a.com/view?utm_source=x&id=2", ""),
+        (4, "http://c.com/x", canonical("//d.net/x")), (5, "http://e.com/x/y", canonical("z?p=1&amp;q=2")), (6, "http://e.com/x/z?p=1&q=2", canonical("http://f.net/")),
+        (7, "http://g.com/", canonical("http://h.com/", "http://i.net/")), (8, "http://j.com/", '<meta http-equiv="refresh" content="0; url=/k"><meta http-equiv="refresh" content="1; url=//l.net/">'),
+        (9, "http://www.a.com/view.html?gclid=7&id=1", ""),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "allow", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "block", 8: "block", 9: "allow"}
+
+
 def test_components_of_a_chain_a_star_and_a_clique(spark):
     chain = [(i, i + 1) for i in range(100, 180)]
     star = [(300, i) for i in range(301, 400)]
@@ -245,6 +270,38 @@ def test_windows_keep_their_budget(spark):
     assert new == [(r[2], r[3]) for r in rows] and len(out) > 8
 
 
+@pytest.mark.parametrize("system", [0.1, 0.5, 0.9, 1.5])
+def test_no_window_above_the_budget_but_a_single_turn(spark, system):
+    budget, history = 200, 40
+    cost = lambda text: len(re.findall(r"\w+|[^\w\s]", text)) + chat.MARKS
+    said = "Keep it short. " * int(budget * system / 4)
+    sizes = [3, 60, 199, 20, 250, 5, 5, 5, 120, 150, 196, 1, 90] * 3 + [0] * 900  # several blocks
+    rows = [(1, 0, "system", said)] + [(1, i + 1, "assistant" if i % 2 else "user", "w " * n) for i, n in enumerate(sizes)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_windows(turns, budget=budget, history=history).withColumn("read", chat.read_turns(F.col("formatted"))).orderBy("window").collect()
+    new, fill = [], []
+    for i, r in enumerate(out):
+        read, n = r["read"], r["n_repeated"]
+        total = sum(cost(t["text"]) for t in read)
+        assert total <= budget or (len(read) == 1 and n == 0)
+        fill.append(total)
+        if n:
+            assert i > 0 and read[0]["role"] == "system" and said.startswith(read[0]["text"]) and cost(read[0]["text"]) <= budget // 2
+            assert read[0]["text"] == said or read[0]["text"].endswith(".")
+            assert sum(cost(t["text"]) for t in read[1:n]) <= history
+            assert [t["text"] for t in read[1:n]] == [t[1] for t in new[len(new) - n + 1 :]]
+        new += [(t["role"], t["text"]) for t in read[n:]]
+    assert new == [(r[2], r[3]) for r in rows]
+    assert sum(fill[-11:-1]) > 0.85 * 10 * budget
+
+
+def test_shortened_system_turns(spark):
+    df = spark.createDataFrame([("One two. Three four! Five",), ("a b c d e f g h",), ("",), ("Über-all, ja.",)], "t string")
+    short = lambda n: [r[0] for r in df.select(chat.shortened(F.col("t"), n)).collect()]
+    assert short(6) == ["One two. Three four!", "a b c d e f", "", "Über-all, ja"]  # signs beyond ASCII count one by one
+    assert short(2) == ["One two", "a b", "", "Über"] and short(7)[3] == "Über-all, ja."
+
+
 def test_substrings_equal_brute_force(spark):
     import random
 

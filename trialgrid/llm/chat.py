@@ -13,6 +13,8 @@ from trialgrid.session import broadcast_if_small, cut_lineage
 BUDGET, HISTORY = 1024, 128
 #: Tokens of a turn's own marks.
 MARKS = 4
+#: Windows whose spans are chosen one after the other; a conversation of more is cut there.
+BLOCK = 64
 OPEN, CLOSE = "### ", "</turn>\n"
 SYSTEM, ASSISTANT = "system", "assistant"
 
@@ -39,6 +41,26 @@ def unescape(text: Column) -> Column:
     return F.array_join(plain, "\\")
 
 
+def shortened(text: Column, tokens: int) -> Column:
+    """The longest beginning of whole sentences within so many tokens, or of whole words if no sentence ends there."""
+    words = F.regexp_extract(text, rf"(?s)^(?:\s*+(?:\w++|[^\w\s])){{0,{tokens}}}", 0)
+    sentences = F.regexp_extract(words, r"(?s)^.*[.!?]", 0)
+    return F.when(count_tokens(text) <= tokens, text).when(sentences != "", sentences).otherwise(words)
+
+
+def _starts(spans: Column, free: Column, budget: int) -> Column:
+    """Where windows start among turns (start, end): at a turn that no longer fits the window of the turns before it."""
+    first = F.struct(F.array().cast("array<bigint>").alias("starts"), F.lit(-1).cast("bigint").alias("open"))
+
+    def step(done: Column, turn: Column) -> Column:
+        room = F.when(done["open"] == 0, F.lit(budget)).otherwise(free)  # a conversation's first window repeats nothing
+        starts = F.concat(done["starts"], F.array(turn["start"]))
+        new = F.struct(starts.alias("starts"), turn["start"].alias("open"))
+        return F.when((done["open"] >= 0) & (turn["end"] - done["open"] <= room), done).otherwise(new)
+
+    return F.aggregate(spans, first, step, lambda done: done["starts"])
+
+
 def _header(role: Column) -> Column:
     return F.concat(F.lit(OPEN), F.replace(escape(role), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
 
@@ -52,19 +74,20 @@ def format_windows(
     budget: int = BUDGET,
     history: int = HISTORY,
 ) -> DataFrame:
-    """(conv, window, formatted, n_repeated, loss): the windows of every conversation, numbered upwards from any number.
+    """(conv, window, formatted, n_repeated, loss): the windows of every conversation, numbered by the token they start at.
 
     Turns are `### role`, a line break, the escaped text, `</turn>` and a line break, in the order of `turn`; ties go by
-    role and text hash. Tokens are summed along the conversation, and a turn belongs to the cell of half the free budget in
-    which it ends: turns of one cell are one window, which stays within the budget as long as the system turn and the history
-    leave a quarter of it free; a longer system turn is repeated whole, and its windows exceed the budget. A turn of more than
-    half the free budget is a window of its own, whole even if it alone exceeds the budget. Every later window first repeats a system
-    turn that opens the conversation, then those turns of the window before that lie within its last `history` tokens.
+    role and text hash. Tokens are summed along the conversation, and a window takes turns as long as their sum fits the budget;
+    later windows keep room for what they repeat. Every later window first repeats a system turn that opens the
+    conversation, shortened to whole sentences (or else words) within half of the budget, then those turns of the window
+    before that lie within its last `history` tokens. A turn that needs that room is a window of its own, which repeats only
+    what fits. So no window exceeds the budget but one of a single turn that does by itself, which is kept whole and repeats
+    nothing. Spans are chosen in blocks of about BLOCK windows, at whose ends a window may stay short.
 
     `n_repeated` counts the repeated turns. `loss` holds the spans, in code points of `formatted`, of the escaped texts of
     assistant turns at their first appearance; repeated ones are masked. Null texts and roles are empty; a null
     conversation id is a conversation, a null turn comes first, and repeated rows are turns of their own. The sums are cut
-    into ranges, so that a long conversation is not in one task; a task sees one window at a time.
+    into ranges, so that a long conversation is not in one task; a task sees the spans of one block or the texts of one window.
     """
     history = min(history, budget // 4)
     base = turns.select(
@@ -78,32 +101,42 @@ def format_windows(
     placed = running(base, ["turn", "role", "tie"], {"end": "sum", "seq": "sum"}, by=["conv"])
     placed = placed.select(F.struct("conv").alias("conv"), "seq", "role", "text", "cost", "end")
     opens = (F.col("seq") == 1) & (F.col("role") == SYSTEM)
-    systems = placed.filter(opens).select("conv", F.col("text").alias("system"), F.col("cost").alias("system_cost"))
-    systems = cut_lineage(systems)
+    systems = placed.filter(opens).select("conv", shortened(F.col("text"), budget // 2 - MARKS).alias("system"))
+    systems = cut_lineage(systems.withColumn("system_cost", count_tokens(F.col("system")) + MARKS))
 
     costs = broadcast_if_small(systems.select("conv", "system_cost"))
-    free = F.greatest(F.lit(budget - history) - F.coalesce("system_cost", F.lit(0)), F.lit(budget // 4))
-    half = F.floor(free / 2)
-    cell = 2 * F.floor((F.col("end") - 1) / half) + (F.col("cost") <= half).cast("bigint")
-    placed = placed.join(costs, "conv", "left").withColumn("window", cell).withColumn("opens", opens)
-
-    spans = placed.groupBy("conv", "window").agg(F.min(F.col("end") - F.col("cost")).alias("first"), F.max("end").alias("last"))
-    spans = cut_lineage(spans)
-    after = spans.select("conv", F.col("first").alias("last"), F.col("window").alias("following"))
-    linked = spans.select("conv", "window", "last").join(after, ["conv", "last"])
+    free = F.lit(budget - history) - F.coalesce("system_cost", F.lit(0))
+    start = F.col("end") - F.col("cost")
+    placed = placed.join(costs, "conv", "left").withColumn("free", free).withColumn("opens", opens).withColumn("start", start)
+    placed = placed.withColumn("block", F.call_function("div", "start", F.col("free") * BLOCK))
+
+    turns_of = F.array_sort(F.collect_list(F.struct("start", "end")))  # numbers only, and at most BLOCK * budget / MARKS turns
+    blocks = placed.groupBy("conv", "block", "free").agg(turns_of.alias("turns"), F.max("end").alias("block_end"))
+    starts = _starts(F.col("turns"), F.col("free"), budget)
+    blocks = cut_lineage(blocks.select("conv", "block", starts.alias("starts"), "block_end"))
+    placed = placed.join(broadcast_if_small(blocks.select("conv", "block", "starts")), ["conv", "block"])
+    place = F.size(F.filter("starts", lambda at: at <= F.col("start")))
+    placed = placed.withColumn("window", F.element_at("starts", place)).drop("starts")
+
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array("block_end"))
+    zipped = F.inline(F.arrays_zip(F.col("starts").alias("window"), ends.alias("last")))
+    spans = cut_lineage(blocks.select("conv", zipped))
+    after = spans.select("conv", F.col("window").alias("following"), (F.col("last") - F.col("window")).alias("next_cost"))
+    linked = spans.join(after.withColumn("last", F.col("following")), ["conv", "last"])
     placed = placed.join(broadcast_if_small(cut_lineage(linked)), ["conv", "window"], "left")
-    again = (F.col("end") - F.col("cost") >= F.col("last") - history) & ~F.col("opens")
+    left = F.lit(budget) - F.coalesce("system_cost", F.lit(0)) - F.col("next_cost")
+    again = (F.col("start") >= F.col("last") - F.least(F.lit(history), left)) & ~F.col("opens")
     shown = F.struct("window", F.lit(False).alias("repeated"))
     places = F.when(again, F.array(shown, F.struct(F.col("following").alias("window"), F.lit(True).alias("repeated"))))
-    shared = placed.select("conv", "seq", "role", "text", "opens", F.explode(F.coalesce(places, F.array(shown))).alias("at"))
+    shared = placed.select("conv", "seq", "role", "text", "cost", "opens", F.explode(F.coalesce(places, F.array(shown))).alias("at"))
 
     turn_of = F.struct("seq", F.col("at.repeated").alias("repeated"), "role", "text")
     grouped = shared.groupBy("conv", F.col("at.window").alias("window")).agg(
-        F.array_sort(F.collect_list(turn_of)).alias("turns"), F.bool_or("opens").alias("opens")
+        F.array_sort(F.collect_list(turn_of)).alias("turns"), F.bool_or("opens").alias("opens"), F.sum("cost").alias("taken")
     )
-    heads = broadcast_if_small(systems.select("conv", "system"))
+    heads = broadcast_if_small(systems)
     system = F.array(F.struct(F.lit(1).cast("bigint").alias("seq"), F.lit(True).alias("repeated"), F.lit(SYSTEM).alias("role"), F.col("system").alias("text")))
-    repeats = F.col("system").isNotNull() & ~F.col("opens")
+    repeats = F.col("system").isNotNull() & ~F.col("opens") & (F.col("taken") + F.col("system_cost") <= budget)
     whole = grouped.join(heads, "conv", "left").withColumn("turns", F.when(repeats, F.concat(system, "turns")).otherwise(F.col("turns")))
 
     pieces = F.transform(

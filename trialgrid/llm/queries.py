@@ -51,7 +51,9 @@ with recursive parts as (
   from pages),
 nodes as (
   select page_id, host, path, case when host <> '' then host || path || query end as node,
-    case when host <> '' then regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/index)?(\.html?)?/?$', '') end as usual
+    case when host <> '' then regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/index)?(\.html?)?/?$', '')
+      || coalesce('?' || nullif(array_to_string([x for x in string_split(query[2:], '&')
+        if x <> '' and not regexp_matches(x, '^(utm_[^=]*|gclid|fbclid|msclkid)(=|$)')], '&'), ''), '') end as usual
   from parts),
 edges as (select distinct node as a, usual as b from nodes where node is not null),
 sides as (select a, b from edges union select b, a from edges union select a, a from edges union select b, b from edges),
