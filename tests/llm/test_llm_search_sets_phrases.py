@@ -123,8 +123,9 @@ def test_components_equal_brute_force(spark, monkeypatch):
     rows = near_rows()
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
     want = components_by_hand(rows)
-    for small in (256, 3):  # also when buckets are cut by further bands
+    for small, members in ((256, 4096), (3, 4096), (256, 7)):  # also when buckets are cut by further bands or into several blocks
         monkeypatch.setattr(oddsketch, "SMALL", small)
+        monkeypatch.setattr(oddsketch, "BLOCK_MEMBERS", members)
         assert Counter(map(tuple, oddsketch.similar_components(docs).collect())) == want
 
 

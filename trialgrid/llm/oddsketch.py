@@ -9,6 +9,9 @@ its buckets, the same ones in all buckets they share, and checked in full agains
 whose members are connected by then are done. Of the others, members outside the largest component are compared with the rest if they are few;
 otherwise the bucket is cut by a second and third band that its members also share, and each part is treated alike. What
 is left at the third band is compared in full.
+
+These comparisons run in blocks of bounded size, first on the sketches alone; only members that may be alike another one
+bring their text, once per block, and a block gives links, never pairs that are none.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ LEEWAY = 5.0
 SMALL = 256
 #: Representatives of a bucket.
 STARS = 6
+#: Shingles and members of either side of a block, about; larger buckets are cut into several blocks.
+BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 19, 1 << 12
 #: Hashes of sets kept for further pairs in a task.
 KEPT = 1 << 22
 #: Shingles times samples hashed at once.
@@ -154,6 +159,94 @@ def _shared(pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     return pairs.filter(similar("x_body", "y_body")).select("x", "y")
 
 
+BLOCK = "block bigint, node bigint, component bigint, n_shingles bigint, sketch array<bigint>, outer boolean, chosen boolean"
+BLOCK_COLUMNS = [column.split()[0] for column in BLOCK.split(", ")]
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of one block after another, from batches sorted by block."""
+
+    def columns(batch: pd.DataFrame) -> dict[str, np.ndarray]:
+        found = {name: batch[name].to_numpy() for name in batch.columns}
+        return found | {"sketch": np.stack(batch["sketch"].to_numpy()).view(np.uint64)}
+
+    parts: list[dict[str, np.ndarray]] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = columns(batch)
+        if parts and parts[-1]["block"][-1] != rows["block"][0]:
+            yield {name: np.concatenate([part[name] for part in parts]) for name in rows}
+            parts = []
+        edges = np.flatnonzero(np.diff(rows["block"])) + 1
+        for start, end in zip([0, *edges], [*edges, len(batch)]):
+            parts.append({name: values[start:end] for name, values in rows.items()})
+            if end < len(batch):
+                yield {name: np.concatenate([part[name] for part in parts]) for name in rows} if len(parts) > 1 else parts[0]
+                parts = []
+    if parts:
+        yield {name: np.concatenate([part[name] for part in parts]) for name in parts[0]}
+
+
+def _beside(rows: dict[str, np.ndarray], share: int, limit: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, places): each chosen row of a block beside those of other components that sizes and sketches allow, no pair twice."""
+    node, component, sizes, sketch = (rows[name] for name in ("node", "component", "n_shingles", "sketch"))
+    right = np.flatnonzero(~rows["chosen"])
+    for i in np.flatnonzero(rows["chosen"]):
+        small, large = np.minimum(sizes[right], sizes[i]), np.maximum(sizes[right], sizes[i])
+        once = ~rows["outer"][right] | (node[right] > node[i])
+        at = right[once & (component[right] != component[i]) & (small * 100 >= large * share)]
+        at = at[np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= limit]
+        if len(at):
+            yield i, at
+
+
+def _candidates(similarity: float):
+    """Those rows of a block that may be alike another one."""
+    share, limit = round(similarity * 100), most_flipped(similarity)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _blocks(batches):
+            wanted = np.zeros(len(rows["node"]), dtype=bool)
+            for i, at in _beside(rows, share, limit):
+                wanted[i] = wanted[at] = True
+            if wanted.any():
+                found = {name: rows[name][wanted] for name in BLOCK_COLUMNS}
+                yield pd.DataFrame(found | {"sketch": list(found["sketch"].view(np.int64))})
+
+    return run
+
+
+def _links(similarity: float, shingle: int):
+    """(x, y): links by the full sets, in exact integers, one for each two components that a block links."""
+    share, limit = round(similarity * 100), most_flipped(similarity)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _blocks(batches):
+            node, component = rows["node"], rows["component"]
+            sets = [shingle_set(body, shingle) for body in rows["body"]]
+            sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+            values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+            held = np.split(codes, np.cumsum(sizes)[:-1])
+            marked = np.zeros(len(values), dtype=np.int64)
+            known: set[tuple[int, int]] = set()
+            found = []
+            for i, at in _beside(rows, share, limit):
+                marked[held[i]] = 1
+                starts = np.concatenate([[0], np.cumsum(sizes[at])[:-1]])
+                both = np.add.reduceat(marked[np.concatenate([held[j] for j in at])], starts)
+                marked[held[i]] = 0
+                for j in at[100 * both >= share * (sizes[i] + sizes[at] - both)]:
+                    pair = (min(component[i], component[j]), max(component[i], component[j]))
+                    if pair not in known:
+                        known.add(pair)
+                        found.append((node[i], node[j]))
+            if found:
+                yield pd.DataFrame(found, columns=["x", "y"])
+
+    return run
+
+
 class _Linker:
     """Grows the links between classes and keeps the components they form."""
 
@@ -177,17 +270,27 @@ class _Linker:
         joined = pairs.join(x, F.col("x") == F.col("x_node")).join(y, F.col("y") == F.col("y_node"))
         return joined.filter(alike("x_", "y_", self.similarity)).select("x", "y", flipped("x_sketch", "y_sketch").alias("bits"))
 
-    def across(self, members: DataFrame, buckets: DataFrame) -> DataFrame:
-        """(x, y): members of the buckets outside the largest component, beside those of other components they may be alike."""
+    def compare(self, members: DataFrame, buckets: DataFrame) -> None:
+        """Keeps the links between members of the buckets outside the largest component and those of other components."""
         about = self.classes.select(F.col("node").alias("c_node"), "n_shingles", "sketch")
         here = members.join(buckets, F.col("key") == F.col("b_key")).join(about, F.col("node") == F.col("c_node"))
         outer = (F.col("component") != F.col("most")).alias("outer")
         here = cut_lineage(here.select("key", "node", "component", "n_shingles", "sketch", outer))
-        x, y = (here.select(*[F.col(c).alias(f"{side}_{c}") for c in here.columns]) for side in "xy")
-        other = (F.col("x_key") == F.col("y_key")) & (F.col("x_component") != F.col("y_component"))
-        once = ~F.col("y_outer") | (F.col("x_node") < F.col("y_node"))
-        found = x.filter("x_outer").join(y, other & once & alike("x_", "y_", self.similarity))
-        return found.select(F.col("x_node").alias("x"), F.col("y_node").alias("y"))
+        if here.isEmpty():
+            return
+        outer_size = F.when(F.col("outer"), F.col("n_shingles"))
+        parts = here.groupBy(F.col("key").alias("p_key")).agg(_parts(F.col("n_shingles")).alias("parts"), _parts(outer_size).alias("outer_parts"))
+        here = here.join(broadcast_if_small(cut_lineage(parts)), F.col("key") == F.col("p_key"))
+        turn, each = (lambda n: F.pmod(F.xxhash64("node"), n)), (lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)))
+        kept = [F.col(name) for name in here.columns]
+        left = here.filter("outer").select(*kept, F.lit(True).alias("chosen"), each("parts").alias("part")).withColumn("o_part", turn(F.col("outer_parts")))
+        right = here.select(*kept, F.lit(False).alias("chosen"), each("outer_parts").alias("o_part")).withColumn("part", turn(F.col("parts")))
+        rows = left.unionByName(right).withColumn("block", F.xxhash64("key", "part", "o_part")).select(*BLOCK_COLUMNS)
+        rows = rows.repartition("block").sortWithinPartitions("block")
+        rows = cut_lineage(rows.mapInPandas(_candidates(self.similarity), BLOCK))
+        texts = broadcast_if_small(rows).join(self.bodies.withColumnRenamed("node", "t_node"), F.col("node") == F.col("t_node"))
+        texts = texts.select(*BLOCK_COLUMNS, "body").repartition("block").sortWithinPartitions("block")
+        self.keep(texts.mapInPandas(_links(self.similarity, self.shingle), "x bigint, y bigint"))
 
     def check(self, pairs: DataFrame) -> None:
         """Keeps those of the pairs (x, y) whose full sets are links."""
@@ -201,12 +304,21 @@ class _Linker:
         # The pairs meet the texts in equality joins, one side after the other; a hot side is split there.
         texts = broadcast_if_small(pairs).join(self.bodies.select("node", F.col("body").alias("x_body")), F.col("x") == F.col("node"))
         texts = texts.drop("node").join(self.bodies.select("node", F.col("body").alias("y_body")), F.col("y") == F.col("node"))
-        found = cut_lineage(_shared(texts, self.similarity, self.shingle).distinct())
+        self.keep(_shared(texts, self.similarity, self.shingle))
+
+    def keep(self, found: DataFrame) -> None:
+        """Takes up links (x, y)."""
+        found = cut_lineage(found.distinct())
         if not found.isEmpty():
             self.links.append(found)
             self.components = cut_lineage(connected_components(reduce(DataFrame.union, self.links), "x", "y"))
 
 
+def _parts(sizes: Column) -> Column:
+    """How many parts members with so many shingles each are cut into; null is no member."""
+    return F.greatest(F.ceil(F.sum(sizes) / BLOCK_SHINGLES), F.ceil(F.count(sizes) / BLOCK_MEMBERS), F.lit(1)).cast("bigint")
+
+
 def flipped(left: str, right: str) -> Column:
     """In how many bits two odd sketches differ."""
     words = [F.bit_count(F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i)))) for i in range(WORDS)]
@@ -286,7 +398,7 @@ def similar_components(
         linker.check(nearest.unionByName(between.select("x", "y")))
         here = cut_lineage(linker.placed(members))
         mixed = cut_lineage(_mixed_buckets(here))
-        linker.check(linker.across(here, mixed if deepest else mixed.filter(F.col("outside") <= SMALL)))
+        linker.compare(here, mixed if deepest else mixed.filter(F.col("outside") <= SMALL))
         wide = mixed.filter(F.col("outside") > SMALL).select("b_key")
         if deepest or wide.isEmpty():
             break
