@@ -286,10 +286,11 @@ class _Linker:
         left = here.filter("outer").select(*kept, F.lit(True).alias("chosen"), each("parts").alias("part")).withColumn("o_part", turn(F.col("outer_parts")))
         right = here.select(*kept, F.lit(False).alias("chosen"), each("outer_parts").alias("o_part")).withColumn("part", turn(F.col("parts")))
         rows = left.unionByName(right).withColumn("block", F.xxhash64("key", "part", "o_part")).select(*BLOCK_COLUMNS)
-        rows = rows.repartition("block").sortWithinPartitions("block")
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much to compare
+        rows = rows.repartition(tasks, "block").sortWithinPartitions("block")
         rows = cut_lineage(rows.mapInPandas(_candidates(self.similarity), BLOCK))
         texts = broadcast_if_small(rows).join(self.bodies.withColumnRenamed("node", "t_node"), F.col("node") == F.col("t_node"))
-        texts = texts.select(*BLOCK_COLUMNS, "body").repartition("block").sortWithinPartitions("block")
+        texts = texts.select(*BLOCK_COLUMNS, "body").repartition(tasks, "block").sortWithinPartitions("block")
         self.keep(texts.mapInPandas(_links(self.similarity, self.shingle), "x bigint, y bigint"))
 
     def check(self, pairs: DataFrame) -> None:
