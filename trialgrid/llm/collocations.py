@@ -19,6 +19,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,21 +120,23 @@ def _active(first: np.ndarray, second: np.ndarray, start: int) -> np.ndarray:
     return ((first & upto) != 0) & ((second & upto) != 0) & (((first | second) & just) != 0)
 
 
-def _tables(words: list[bytes], numbers: np.ndarray, context: int, lang: str, step: int, reached: _Reached | None) -> Iterator[pd.DataFrame]:
+def _tables(words: list[bytes], numbers: np.ndarray, context: int, lang: str, step: int, reached: _Reached | None) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, length, start, n) of the phrases of a chunk that are active in this step."""
     count = len(words)
+    vocabulary = pa.array(words, pa.binary())
 
-    def rows(length: int, start: int, at: np.ndarray) -> pd.DataFrame | None:
+    def rows(length: int, start: int, at: np.ndarray) -> pa.RecordBatch:
         code = numbers[at]
         for place in range(1, length):  # exact: a chunk has far fewer than 2^21 distinct words
             code = code * count + numbers[at + place]
         distinct, n = np.unique(code, return_counts=True)
         spelled = []
         for _ in range(length):
-            spelled.append(distinct % count)
+            spelled.append(vocabulary.take(pa.array(distinct % count)))
             distinct = distinct // count
-        phrases = [b" ".join([words[i] for i in each]).decode() for each in zip(*(s.tolist() for s in reversed(spelled)))]
-        return pd.DataFrame({"lang": lang, "phrase": phrases, "length": length, "start": start, "n": n})
+        phrases = pc.binary_join_element_wise(*reversed(spelled), b" ").cast(pa.string())
+        same = [pa.repeat(pa.scalar(value, kind), len(n)) for value, kind in ((lang, pa.string()), (length, pa.int32()), (start, pa.int32()))]
+        return pa.RecordBatch.from_arrays([same[0], phrases, same[1], same[2], pa.array(n, pa.int64())], ["lang", "phrase", "length", "start", "n"])
 
     inside = numbers != 0
     if step < SHARDS:
@@ -166,11 +170,13 @@ COUNTS = "lang string, phrase string, length int, start int, n bigint"
 
 
 def _count(step: int, shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached = _Reached(shared.value) if shared is not None else None
         for batch in batches:
-            for lang, group in batch.groupby("lang"):
-                for words, numbers, context in _chunks(group["body"]):
+            langs = batch.column("lang")
+            for lang in pc.unique(langs).to_pylist():
+                bodies = (body.as_py() for body in batch.column("body").filter(pc.equal(langs, lang)))
+                for words, numbers, context in _chunks(bodies):
                     yield from _tables(words, numbers, context, lang, step, reached)
 
     return run
@@ -181,13 +187,11 @@ def _place(bits: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hashes = np.zeros(len(batch), dtype=np.uint64)
-            for i, (lang, phrase) in enumerate(zip(batch["lang"], batch["phrase"])):
-                first, *rest = phrase.encode().split(b" ")
-                value = np.asarray([word_hash(lang, first)], dtype=np.uint64)
-                for word in rest:
-                    value = _joined(value, np.asarray([word_hash(lang, word)], dtype=np.uint64))
-                hashes[i] = value[0]
+            langs, words = list(batch["lang"]), [phrase.encode().split(b" ") for phrase in batch["phrase"]]
+            hashes = np.fromiter((word_hash(lang, each[0]) for lang, each in zip(langs, words)), dtype=np.uint64, count=len(words))
+            for place in range(1, max(map(len, words), default=1)):
+                at = [i for i, each in enumerate(words) if len(each) > place]
+                hashes[at] = _joined(hashes[at], np.asarray([word_hash(langs[i], words[i][place]) for i in at], dtype=np.uint64))
             slots = _slots(hashes, bits)
             masks = np.broadcast_to(1 << batch["step"].to_numpy(dtype=np.int64), slots.shape)
             yield pd.DataFrame({"slot": slots.ravel(), "mask": masks.ravel()})
@@ -246,7 +250,7 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", thres
     while step <= last:
         scan = shards.filter(F.col("shard") == step % SHARDS).select("lang", "body")
         shared = spark.sparkContext.broadcast(slots) if slots is not None else None
-        counted = scan.mapInPandas(_count(step, shared), COUNTS).repartition(buckets, "phrase")
+        counted = scan.mapInArrow(_count(step, shared), COUNTS).repartition(buckets, "phrase")
         counted = counted.groupBy("lang", "phrase", "length", "start").agg(F.sum("n").alias("n")).withColumn("step", F.lit(step))
         writer = counted.write.mode("append").format("parquet").option("path", where)
         writer.partitionBy("step").bucketBy(buckets, "phrase").saveAsTable(table)
