@@ -137,6 +137,23 @@ def test_sweep_where_returns_every_combination(spark):
     assert {r["a"]: (r["n"], r["s"]) for r in got.collect()} == want
 
 
+def test_sweep_where_counts_distinct_values_without_copying_rows(spark):
+    data = [(i, (i * 7) % 40 if i % 5 else None, float(i % 3)) for i in range(300)]
+    df = spark.createDataFrame(data, "id int, v int, w double")
+    combinations = [{"a": i} for i in range(0, 330, 3)]  # more than fit one number, and some without rows
+    measures = [sweep.Measure("vs", "count_distinct", F.col("v")), sweep.Measure("n", "count"), sweep.Measure("ws", "count_distinct", F.col("w"))]
+    got = sweep.sweep_apply_where(df, combinations, lambda c: F.col("id") >= c["a"], measures)
+    assert got.columns == ["a", "vs", "n", "ws"]
+    want = []
+    for a in range(0, 330, 3):
+        inside = [row for row in data if row[0] >= a]
+        want.append((a, len({v for _, v, _ in inside if v is not None}), len(inside), len({w for *_, w in inside})))
+    assert sorted(map(tuple, got.collect())) == want
+    some = sweep.sweep_apply_where(df, combinations[:3], lambda c: F.col("id") >= c["a"], measures[:1])
+    assert "Expand" not in some._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["vs"] for r in some.orderBy("a").collect()] == [row[1] for row in want[:3]]
+
+
 def test_two_long_lists(spark):
     lists = {"a": spark.range(10_500).select(F.col("id").cast("string")), "b": spark.range(10_001), "c": [1]}
     found = grid.sweep_expand(spark, lists).agg(F.count("*"), F.sum("b"), F.min(F.length("a")), F.max(F.length("a"))).first()

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from math import prod
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +23,8 @@ ONE_TASK_GRID = 10_000
 #: Registers of a sketch of distinct values, as a power of two, and the standard error of its estimate.
 SKETCH_BITS = 12
 DISTINCT_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+#: Conditions that share one number, a bit each.
+WORD_BITS = 62
 #: Values up to which a list is counted through instead of searched.
 SHORT_LIST = 16
 
@@ -164,22 +166,52 @@ def sweep_apply_where(
     """The same for a condition that is no threshold per parameter: `condition(combination) -> Column`.
 
     Also combinations without rows are returned. Each one is an aggregate with its condition, so rows are neither paired
-    nor multiplied, and a pass over the table yields one short row per task for CHUNK combinations.
+    nor multiplied, and a pass over the table yields one short row per task for CHUNK combinations. Exact distinct counts
+    take a pass each: every value is one group that keeps, in bits, which combinations it occurs in.
     """
     spark = df.sparkSession
+    exact = [measure for measure in measures if measure.fn == "count_distinct"]
+    plain = [measure for measure in measures if measure.fn != "count_distinct"]
     parts = []
     for start in range(0, len(grid), CHUNK):
-        found = []
+        found, conditions = [], []
         for combination in grid[start : start + CHUNK]:
             values = {name: F.lit(value) for name, value in combination.items()}
             inside = condition(values)
-            results = [_first(_only(measure, inside)).alias(measure.name) for measure in measures]
+            conditions.append(inside)
+            results = [_first(_only(measure, inside)).alias(measure.name) for measure in plain]
             found.append(F.struct(*[value.alias(name) for name, value in values.items()], *results))
-        parts.append(df.agg(F.array(*found).alias("found")).select(F.inline("found")))
+        rows = (df if plain or not exact else spark.range(1)).agg(F.array(*found).alias("__found"))
+        for i, measure in enumerate(exact):
+            rows = rows.crossJoin(_distinct_counts(df, measure, conditions, f"__distinct{i}"))  # one row each
+        each = rows.select("*", F.posexplode("__found").alias("__at", "__one"))
+        counts = {measure.name: F.get(f"__distinct{i}", F.col("__at")).alias(measure.name) for i, measure in enumerate(exact)}
+        names = [*grid[start], *[measure.name for measure in measures]]
+        parts.append(each.select(*[counts[name] if name in counts else F.col("__one")[name].alias(name) for name in names]))
     estimated = {m.name: F.hll_sketch_estimate(m.name) for m in measures if m.fn == "distinct"}
     return reduce(DataFrame.union, parts).withColumns(estimated) if parts else spark.createDataFrame([], "n bigint")
 
 
+def _distinct_counts(df: DataFrame, measure: Measure, conditions: Sequence[Column], name: str) -> DataFrame:
+    """One row: for each condition, how many distinct values the rows inside have; nulls do not count.
+
+    Spark's own distinct counts would copy every row once per condition before the shuffle.
+    """
+    value = F.lit(1) if measure.expr is None else measure.expr
+    words = []
+    for start in range(0, len(conditions), WORD_BITS):
+        shared = conditions[start : start + WORD_BITS]
+        bits = [F.when(inside, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i, inside in enumerate(shared)]
+        words.append(reduce(Column.bitwiseOR, bits).alias(f"__word{len(words)}"))
+    held = df.select(F.when(reduce(or_, conditions), value).alias("__value"), *words).filter(F.col("__value").isNotNull())
+    groups = held.groupBy("__value").agg(*[F.bit_or(f"__word{i}").alias(f"__word{i}") for i in range(len(words))])
+    counts = []
+    for i in range(len(conditions)):
+        word, bit = divmod(i, WORD_BITS)
+        counts.append(F.count(F.when(F.col(f"__word{word}").bitwiseAND(F.lit(1 << bit).cast("bigint")) != 0, 1)))
+    return groups.agg(F.array(*counts).alias(name))
+
+
 def _only(measure: Measure, inside: Column) -> Measure:
     """The measure over the rows inside."""
     expr = F.lit(1) if measure.expr is None else measure.expr
