@@ -19,7 +19,7 @@ from trialgrid.functions.text import (
     size_before_tab,
 )
 from trialgrid.operators.joins import null_safe_join
-from trialgrid.session import broadcast_if_small, cut_lineage
+from trialgrid.session import cut_lineage, fits_broadcast
 from trialgrid.sources.lines import read_lines
 
 #: A Python list of up to so many job ids becomes one filter, a longer one a table; the result is the same.
@@ -92,7 +92,8 @@ def job_history_scan(files: DataFrame, name: str, job_ids: Sequence[str] | DataF
     nested = ids.select("__id", prefixes(F.col("__id"), F.length("__id"))).join(ids.toDF("__prefix"), "__prefix", "left_semi")
     first = cut_lineage(ids.join(nested.select("__id").distinct(), "__id", "left_anti").toDF("__prefix"))
     begun = files.select("*", prefixes(column, F.length(column) + 1))
-    return begun.join(broadcast_if_small(first), "__prefix", "left_semi").drop("__prefix")
+    side = F.broadcast(first) if fits_broadcast(first) else first
+    return begun.join(side, "__prefix", "left_semi").drop("__prefix")
 
 
 def copy_history(spark: SparkSession, source: str, dest: str, job_ids: Sequence[str] | DataFrame | None = None) -> DataFrame:
