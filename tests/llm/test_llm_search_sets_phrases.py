@@ -129,6 +129,24 @@ def test_components_equal_brute_force(spark, monkeypatch):
         assert Counter(map(tuple, oddsketch.similar_components(docs).collect())) == want
 
 
+def test_buckets_of_one_block_are_not_cut_by_further_bands(spark, monkeypatch):
+    rows = near_rows()
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    monkeypatch.setattr(oddsketch, "SMALL", 3)
+    compare, most = oddsketch._Linker.compare, []
+
+    def counted(linker, members, buckets):
+        most.append(members.groupBy("node").count().agg({"count": "max"}).first()[0] or 0)
+        compare(linker, members, buckets)
+
+    monkeypatch.setattr(oddsketch._Linker, "compare", counted)
+    assert Counter(map(tuple, oddsketch.similar_components(docs).collect())) == components_by_hand(rows)
+    assert max(most) <= oddsketch.BANDS  # a row per band, no row per pair of bands
+    monkeypatch.setattr(oddsketch, "BLOCK_MEMBERS", 7)  # larger ones still are
+    assert Counter(map(tuple, oddsketch.similar_components(docs).collect())) == components_by_hand(rows)
+    assert max(most) > oddsketch.BANDS
+
+
 def test_sketches_of_links_stay_below_the_limit():
     rng = np.random.default_rng(4)
     most, errors = oddsketch.most_flipped(0.85), []

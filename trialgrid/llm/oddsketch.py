@@ -6,9 +6,9 @@ is the bitmap of what the samples do not share, and its population count tells h
 
 No bucket is expanded into all its pairs. First every class is compared by its sketch with a few representatives of each of
 its buckets, the same ones in all buckets they share, and checked in full against the nearest in each component. Buckets
-whose members are connected by then are done. Of the others, members outside the largest component are compared with the rest if they are few;
-otherwise the bucket is cut by a second and third band that its members also share, and each part is treated alike. What
-is left at the third band is compared in full.
+whose members are connected by then are done. Of the others, members outside the largest component are compared with the rest if they are few
+or the bucket fits one block; otherwise the bucket is cut by a second and third band that its members also share, and each part
+is treated alike. What is left at the third band is compared in full.
 
 These comparisons run in blocks of bounded size, first on the sketches alone; only members that may be alike another one
 bring their text, once per block, and a block gives links, never pairs that are none.
@@ -272,15 +272,12 @@ class _Linker:
 
     def compare(self, members: DataFrame, buckets: DataFrame) -> None:
         """Keeps the links between members of the buckets outside the largest component and those of other components."""
-        about = self.classes.select(F.col("node").alias("c_node"), "n_shingles", "sketch")
+        about = self.classes.select(F.col("node").alias("c_node"), "sketch")
         here = members.join(buckets, F.col("key") == F.col("b_key")).join(about, F.col("node") == F.col("c_node"))
         outer = (F.col("component") != F.col("most")).alias("outer")
-        here = cut_lineage(here.select("key", "node", "component", "n_shingles", "sketch", outer))
+        here = cut_lineage(here.select("key", "node", "component", "n_shingles", "sketch", outer, "parts", "outer_parts"))
         if here.isEmpty():
             return
-        outer_size = F.when(F.col("outer"), F.col("n_shingles"))
-        parts = here.groupBy(F.col("key").alias("p_key")).agg(_parts(F.col("n_shingles")).alias("parts"), _parts(outer_size).alias("outer_parts"))
-        here = here.join(broadcast_if_small(cut_lineage(parts)), F.col("key") == F.col("p_key"))
         turn, each = (lambda n: F.pmod(F.xxhash64("node"), n)), (lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)))
         kept = [F.col(name) for name in here.columns]
         left = here.filter("outer").select(*kept, F.lit(True).alias("chosen"), each("parts").alias("part")).withColumn("o_part", turn(F.col("outer_parts")))
@@ -315,9 +312,9 @@ class _Linker:
             self.components = cut_lineage(connected_components(reduce(DataFrame.union, self.links), "x", "y"))
 
 
-def _parts(sizes: Column) -> Column:
-    """How many parts members with so many shingles each are cut into; null is no member."""
-    return F.greatest(F.ceil(F.sum(sizes) / BLOCK_SHINGLES), F.ceil(F.count(sizes) / BLOCK_MEMBERS), F.lit(1)).cast("bigint")
+def _parts(members: Column, shingles: Column) -> Column:
+    """How many parts so many members with so many shingles in all are cut into."""
+    return F.greatest(F.ceil(shingles / BLOCK_SHINGLES), F.ceil(members / BLOCK_MEMBERS), F.lit(1)).cast("bigint")
 
 
 def flipped(left: str, right: str) -> Column:
@@ -334,11 +331,17 @@ def alike(left: str, right: str, similarity: float) -> Column:
 
 
 def _mixed_buckets(members: DataFrame) -> DataFrame:
-    """(b_key, most, outside) of the buckets of several components: the largest one, and how many members are not of it."""
-    parts = members.groupBy(F.col("key").alias("b_key"), "component").agg(F.count("*").alias("n"))
-    size = F.struct("n", "component")
-    whole = parts.groupBy("b_key").agg(F.max(size).alias("top"), (F.sum("n") - F.max("n")).alias("outside"))
-    return whole.filter("outside > 0").select("b_key", F.col("top.component").alias("most"), "outside")
+    """(b_key, most, outside, parts, outer_parts) of the buckets of several components.
+
+    That is the largest component, how many members are not of it, and into how many parts all of them and those are cut.
+    """
+    parts = members.groupBy(F.col("key").alias("b_key"), "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    size = F.struct("n", "component", "shingles")
+    whole = parts.groupBy("b_key").agg(F.max(size).alias("top"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
+    outside = F.col("n") - F.col("top.n")
+    outer_parts = _parts(outside, F.col("shingles") - F.col("top.shingles")).alias("outer_parts")
+    mixed = whole.select("b_key", F.col("top.component").alias("most"), outside.alias("outside"), _parts(F.col("n"), F.col("shingles")).alias("parts"), outer_parts)
+    return mixed.filter("outside > 0")
 
 
 def _stars(members: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -380,10 +383,10 @@ def similar_components(
     classes.withColumn("node", F.monotonically_increasing_id()).write.parquet(path)  # written once, so numbers stay
     classes = spark.read.parquet(path)
 
-    listed = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    listed = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
     shared = listed.groupBy(F.col("key").alias("b_key")).agg(F.count("*").alias("n")).filter("n > 1")
     path = scratch_path(spark, "buckets")
-    listed.join(shared, F.col("key") == F.col("b_key")).select("node", "band", "key").write.parquet(path)
+    listed.join(shared, F.col("key") == F.col("b_key")).select("node", "band", "key", "n_shingles").write.parquet(path)
     first = members = spark.read.parquet(path)
     bucketed = classes.join(first.select("node").distinct(), "node", "left_semi").select("node", "at.*")
     bucketed = broadcast_if_small(cut_lineage(bucketed.withColumnsRenamed({"ident": "a_ident", "hash": "a_hash"})))
@@ -399,14 +402,15 @@ def similar_components(
         linker.check(nearest.unionByName(between.select("x", "y")))
         here = cut_lineage(linker.placed(members))
         mixed = cut_lineage(_mixed_buckets(here))
-        linker.compare(here, mixed if deepest else mixed.filter(F.col("outside") <= SMALL))
-        wide = mixed.filter(F.col("outside") > SMALL).select("b_key")
+        at_once = (F.col("outside") <= SMALL) | (F.col("parts") == 1)
+        linker.compare(here, mixed if deepest else mixed.filter(at_once))
+        wide = mixed.filter(~at_once).select("b_key")
         if deepest or wide.isEmpty():
             break
-        wide_members = here.join(wide, F.col("key") == F.col("b_key"), "left_semi").select("node", "band", "key")
+        wide_members = here.join(wide, F.col("key") == F.col("b_key"), "left_semi").select("node", "band", "key", "n_shingles")
         again = first.select(F.col("node").alias("n_node"), F.col("band").alias("n_band"), F.col("key").alias("n_key"))
         both = wide_members.join(again, (F.col("node") == F.col("n_node")) & (F.col("n_band") > F.col("band")))
-        members = cut_lineage(both.select("node", F.col("n_band").alias("band"), F.xxhash64("key", "n_key").alias("key")))
+        members = cut_lineage(both.select("node", F.col("n_band").alias("band"), F.xxhash64("key", "n_key").alias("key"), "n_shingles"))
     return _named(signed, linker.placed(classes), ident)
 
 
