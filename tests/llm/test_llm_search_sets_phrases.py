@@ -193,6 +193,20 @@ def test_collocations_equal_brute_force(spark, monkeypatch):
         assert got == phrases_by_hand(rows, threshold, 50, top)
 
 
+def test_pairs_that_stay_rare_are_not_spelled_out(spark, monkeypatch):
+    docs = spark.createDataFrame(made(random.Random(13), 300), DOCS).repartition(3)
+    frequent, counted = collocations._frequent, set()
+
+    def noted(counts, *rest):
+        counted.update(map(tuple, counts.filter("length = 2").select("lang", "phrase").distinct().collect()))
+        return frequent(counts, *rest)
+
+    monkeypatch.setattr(collocations, "_frequent", noted)
+    found, _ = collocations.count_phrases(docs)
+    kept = set(map(tuple, found.filter("length = 2").select("lang", "phrase").collect()))
+    assert kept and kept <= counted and len(counted - kept) < len(kept)
+
+
 def test_filters_that_let_all_through_change_nothing(spark, monkeypatch):
     rows = made(random.Random(12), 200)
     docs = spark.createDataFrame(rows, DOCS)

@@ -8,6 +8,10 @@ three words are counted while the first cycle still runs. Counting ends when no
 What has reached the threshold, and in which step, goes to the tasks as a bit-sliced Bloom filter of bounded size, with
 one bit per step in every slot. A false positive can only count a phrase under a starting step that is not its own;
 counts are kept by phrase and starting step, and the step that follows from the exact tables decides which one holds.
+
+Most pairs never reach the threshold. Before the first step the pairs are counted by their hashes, packed by buckets of
+them, and pairs whose hash stays below the threshold are never spelled out. A hash counts at least as often as each of its
+pairs, so no pair is lost.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ FILES = 32
 CHUNK = 1 << 20
 #: Slots per phrase that reached the threshold; at most MOST_SLOTS slots are sent, beyond which more phrases are counted in vain.
 ROOM, MOST_SLOTS, HASHES = 12, 1 << 24, 4
+#: Leading bits of a pair's hash that are its bucket, and those that are kept after them.
+BUCKET_BITS, KEPT_BITS = 12, 32
 
 #: Piece ends become a word of their own, which no text can hold, and tabs spaces; A-Z become lower case.
 _END = b"."
@@ -120,7 +126,83 @@ def _active(first: np.ndarray, second: np.ndarray, start: int) -> np.ndarray:
     return ((first & upto) != 0) & ((second & upto) != 0) & (((first | second) & just) != 0)
 
 
-def _tables(words: list[bytes], numbers: np.ndarray, context: int, lang: str, step: int, reached: _Reached | None) -> Iterator[pa.RecordBatch]:
+def _pair_keys(hashes: np.ndarray) -> np.ndarray:
+    """The bits of pairs' hashes by which pairs are counted before they are spelled out."""
+    return hashes >> np.uint64(64 - BUCKET_BITS - KEPT_BITS)
+
+
+def _pack(threshold: int):
+    """(bucket, packed): the keys of all pairs of words, a key at most `threshold` times a chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, words, numbers, context in _numbered(batch):
+                hashes = np.fromiter((word_hash(lang, word) for word in words), dtype=np.uint64, count=len(words))
+                at = np.flatnonzero((numbers[:-1] != 0) & (numbers[1:] != 0))
+                at = at[at + 1 >= context]
+                keys, n = np.unique(_pair_keys(_joined(hashes[numbers[at]], hashes[numbers[at + 1]])), return_counts=True)
+                keys = np.repeat(keys, np.minimum(n, threshold))
+                of_key = (keys >> np.uint64(KEPT_BITS)).astype(np.int32)
+                edges = np.flatnonzero(np.diff(of_key, prepend=-1))
+                offsets = (np.append(edges, len(keys)) * 4).astype(np.int32)
+                buffers = [None, pa.py_buffer(offsets), pa.py_buffer(keys.astype(np.uint32))]
+                packed = pa.Array.from_buffers(pa.binary(), len(edges), buffers)
+                yield pa.RecordBatch.from_arrays([pa.array(of_key[edges]), packed], ["bucket", "packed"])
+
+    return run
+
+
+def _often(threshold: int):
+    """(key): the keys that come at least `threshold` times, from batches sorted by bucket."""
+
+    def found(bucket: int, parts: list[np.ndarray]) -> np.ndarray:
+        kept = np.sort(np.concatenate(parts))
+        last = len(kept) - threshold + 1
+        often = np.unique(kept[:last][kept[:last] == kept[threshold - 1 :]]) if last > 0 else kept[:0]
+        return often.astype(np.int64) | np.int64(bucket << KEPT_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts = None, []
+        for batch in batches:
+            keys = []
+            for each, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed")):
+                if each != bucket and parts:
+                    keys.append(found(bucket, parts))
+                    parts = []
+                bucket = each
+                parts.append(np.frombuffer(packed.as_buffer(), dtype=np.uint32).copy())
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], ["key"])
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(found(bucket, parts))], ["key"])
+
+    return run
+
+
+def _place_keys(bits: int):
+    """(slot, mask): the slots of each key."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            slots = _slots(_mixed(batch["key"].to_numpy().view(np.uint64)), bits)
+            yield pd.DataFrame({"slot": slots.ravel(), "mask": 1})
+
+    return run
+
+
+def _likely_pairs(rows: DataFrame, threshold: int) -> np.ndarray:
+    """The slots of the pairs whose hash occurs at least `threshold` times in the rows (lang, body)."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = rows.mapInArrow(_pack(threshold), "bucket int, packed binary")
+    packed = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    keys = cut_lineage(packed.mapInArrow(_often(threshold), "key bigint"))
+    size = _size(keys.count())
+    return _gathered(keys.mapInPandas(_place_keys(size.bit_length() - 1), "slot bigint, mask bigint"), size).astype(np.uint8)
+
+
+def _tables(
+    words: list[bytes], numbers: np.ndarray, context: int, lang: str, step: int, reached: _Reached | None, likely: _Reached
+) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, length, start, n) of the phrases of a chunk that are active in this step."""
     count = len(words)
     vocabulary = pa.array(words, pa.binary())
@@ -151,14 +233,17 @@ def _tables(words: list[bytes], numbers: np.ndarray, context: int, lang: str, st
     starts = range(max(1, step - SHARDS + 1), step + 1)
     first, second = masks[numbers[:-1]], masks[numbers[1:]]
     both = np.flatnonzero((first != 0) & (second != 0))
+    joined = _joined(hashes[numbers[both]], hashes[numbers[both + 1]])
+    often = likely.masks(_mixed(_pair_keys(joined))) != 0
+    both, joined = both[often], joined[often]
     for start in starts:
         at = both[_active(first[both], second[both], start)]
         at = at[at + 1 >= context]
         if len(at):
             yield rows(2, start, at)
-    both = both[:-1][np.diff(both) == 1]  # words that begin two pairs in a row
-    pair = reached.masks(_joined(hashes[numbers[both]], hashes[numbers[both + 1]]))
-    other = reached.masks(_joined(hashes[numbers[both + 1]], hashes[numbers[both + 2]]))
+    masks = reached.masks(joined)
+    row = np.flatnonzero(np.diff(both) == 1)  # words that begin two pairs in a row
+    both, pair, other = both[row], masks[row], masks[row + 1]
     for start in starts:
         at = both[_active(pair, other, start)]
         at = at[at + 2 >= context]
@@ -169,15 +254,22 @@ def _tables(words: list[bytes], numbers: np.ndarray, context: int, lang: str, st
 COUNTS = "lang string, phrase string, length int, start int, n bigint"
 
 
-def _count(step: int, shared):
+def _numbered(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], np.ndarray, int]]:
+    """(lang, words, numbers, context): the chunks of each language in a batch."""
+    langs = batch.column("lang")
+    for lang in pc.unique(langs).to_pylist():
+        bodies = (body.as_py() for body in batch.column("body").filter(pc.equal(langs, lang)))
+        for chunk in _chunks(bodies):
+            yield lang, *chunk
+
+
+def _count(step: int, shared, pairs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached = _Reached(shared.value) if shared is not None else None
+        likely = _Reached(pairs.value) if shared is not None else None
         for batch in batches:
-            langs = batch.column("lang")
-            for lang in pc.unique(langs).to_pylist():
-                bodies = (body.as_py() for body in batch.column("body").filter(pc.equal(langs, lang)))
-                for words, numbers, context in _chunks(bodies):
-                    yield from _tables(words, numbers, context, lang, step, reached)
+            for lang, words, numbers, context in _numbered(batch):
+                yield from _tables(words, numbers, context, lang, step, reached, likely)
 
     return run
 
@@ -201,16 +293,24 @@ def _place(bits: int):
 
 def _marked(reached: DataFrame, size: int) -> np.ndarray:
     """Slots of which those of the given phrases are marked; the driver gets at most MOST_SLOTS small rows."""
-    placed = reached.mapInPandas(_place(size.bit_length() - 1), "slot bigint, mask bigint")
+    return _gathered(reached.mapInPandas(_place(size.bit_length() - 1), "slot bigint, mask bigint"), size)
+
+
+def _gathered(placed: DataFrame, size: int) -> np.ndarray:
+    """An array of so many slots from (slot, mask)."""
     found = placed.groupBy("slot").agg(F.bit_or("mask").alias("mask")).select(F.col("slot").cast("int"), F.col("mask").cast("int")).toArrow()
     slots = np.zeros(size, dtype=np.uint16)
     slots[found["slot"].to_numpy()] = found["mask"].to_numpy().astype(np.uint16)
     return slots
 
 
+def _size(phrases: int) -> int:
+    return min(MOST_SLOTS, 1 << max(12, (ROOM * phrases - 1).bit_length()))
+
+
 def _filter(reached: DataFrame, phrases: int, step: int, before: np.ndarray | None) -> np.ndarray:
     """The slots of so many phrases that reached the threshold; those of earlier steps are taken over while they suffice."""
-    size = min(MOST_SLOTS, 1 << max(12, (ROOM * phrases - 1).bit_length()))
+    size = _size(phrases)
     if before is None or len(before) < size:
         return _marked(reached, size)
     return before | _marked(reached.filter(F.col("step") == step), len(before))
@@ -242,6 +342,7 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", thres
     rows.filter(F.length("body") > 0).withColumn("shard", shard).write.partitionBy("shard").parquet(corpus)
     shards = spark.read.schema("lang string, body binary, shard int").parquet(corpus)
 
+    pairs = spark.sparkContext.broadcast(_likely_pairs(shards.select("lang", "body"), threshold))
     # One bucketed table: what all steps counted is added up without moving it again.
     table = f"phrase_counts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -250,7 +351,7 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", thres
     while step <= last:
         scan = shards.filter(F.col("shard") == step % SHARDS).select("lang", "body")
         shared = spark.sparkContext.broadcast(slots) if slots is not None else None
-        counted = scan.mapInArrow(_count(step, shared), COUNTS).repartition(buckets, "phrase")
+        counted = scan.mapInArrow(_count(step, shared, pairs), COUNTS).repartition(buckets, "phrase")
         counted = counted.groupBy("lang", "phrase", "length", "start").agg(F.sum("n").alias("n")).withColumn("step", F.lit(step))
         writer = counted.write.mode("append").format("parquet").option("path", where)
         writer.partitionBy("step").bucketBy(buckets, "phrase").saveAsTable(table)
