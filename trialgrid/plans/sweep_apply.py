@@ -182,18 +182,19 @@ def sweep_apply_where(
             results = [_first(_only(measure, inside)).alias(measure.name) for measure in plain]
             found.append(F.struct(*[value.alias(name) for name, value in values.items()], *results))
         rows = (df if plain or not exact else spark.range(1)).agg(F.array(*found).alias("__found"))
+        rows = rows.select(F.posexplode("__found").alias("__at", "__one"))
         for i, measure in enumerate(exact):
-            rows = rows.crossJoin(_distinct_counts(df, measure, conditions, f"__distinct{i}"))  # one row each
-        each = rows.select("*", F.posexplode("__found").alias("__at", "__one"))
-        counts = {measure.name: F.get(f"__distinct{i}", F.col("__at")).alias(measure.name) for i, measure in enumerate(exact)}
+            counts = _distinct_counts(df, measure, conditions, f"__at{i}", f"__distinct{i}")
+            rows = rows.join(counts, F.col("__at") == F.col(f"__at{i}"))
+        counted = {measure.name: F.col(f"__distinct{i}").alias(measure.name) for i, measure in enumerate(exact)}
         names = [*grid[start], *[measure.name for measure in measures]]
-        parts.append(each.select(*[counts[name] if name in counts else F.col("__one")[name].alias(name) for name in names]))
+        parts.append(rows.select(*[counted[name] if name in counted else F.col("__one")[name].alias(name) for name in names]))
     estimated = {m.name: F.hll_sketch_estimate(m.name) for m in measures if m.fn == "distinct"}
     return reduce(DataFrame.union, parts).withColumns(estimated) if parts else spark.createDataFrame([], "n bigint")
 
 
-def _distinct_counts(df: DataFrame, measure: Measure, conditions: Sequence[Column], name: str) -> DataFrame:
-    """One row: for each condition, how many distinct values the rows inside have; nulls do not count.
+def _distinct_counts(df: DataFrame, measure: Measure, conditions: Sequence[Column], at: str, name: str) -> DataFrame:
+    """(at, name): for each condition by its place, how many distinct values the rows inside have; nulls do not count.
 
     Spark's own distinct counts would copy every row once per condition before the shuffle.
     """
@@ -209,7 +210,7 @@ def _distinct_counts(df: DataFrame, measure: Measure, conditions: Sequence[Colum
     for i in range(len(conditions)):
         word, bit = divmod(i, WORD_BITS)
         counts.append(F.count(F.when(F.col(f"__word{word}").bitwiseAND(F.lit(1 << bit).cast("bigint")) != 0, 1)))
-    return groups.agg(F.array(*counts).alias(name))
+    return groups.agg(F.array(*counts).alias("__counts")).select(F.posexplode("__counts").alias(at, name))
 
 
 def _only(measure: Measure, inside: Column) -> Measure:
