@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from trialgrid.llm import collocations, oddsketch, ranked, wordbytes
 
@@ -207,6 +208,59 @@ def test_pairs_that_stay_rare_are_not_spelled_out(spark, monkeypatch):
     assert kept and kept <= counted and len(counted - kept) < len(kept)
 
 
+def counted_by_tables(texts, reached, likely, step, buckets):
+    """(packs, counts by phrase, length and start) of a step over texts of one language."""
+    packs, counts = 0, Counter()
+    for words, numbers, context in collocations._chunks(iter(texts)):
+        for batch in collocations._tables(words, numbers, context, "en", step, reached, likely, buckets):
+            for row in batch.to_pylist():
+                packs += 1
+                lines, n = collocations._unfold(row["phrases"], row["size"], pa.py_buffer(row["packed"]))
+                assert all(line.endswith(b"\n") for line in lines.to_pylist())
+                counts.update({(line[:-1].decode(), row["length"], row["start"]): k for line, k in zip(lines.to_pylist(), n.tolist())})
+    return packs, counts
+
+
+def test_counts_move_in_packs_and_rare_pairs_do_not():
+    texts = ["α b c. " * 300 + " ".join(f"w{i % 50} v{i}" for i in range(2000))]
+    every = collocations._Reached(np.full(1 << 12, 0xFFFF, dtype=np.uint16))
+    key = collocations._pair_keys(collocations._joined(*(np.asarray([collocations.word_hash("en", w)], dtype=np.uint64) for w in ("α".encode(), b"b"))))
+    slots = np.zeros(1 << 12, dtype=np.uint8)
+    slots[collocations._slots(collocations._mixed(key), 12)] = 1
+    bodies = [text.encode() for text in texts]
+    packs, counts = counted_by_tables(bodies, every, every, 1, 3)
+    assert packs <= 3 * 3  # a row per bucket and length, not one per phrase
+    assert counts["α b", 2, 1] == counts["b c", 2, 1] == counts["b", 1, 0] == 300 and counts["w7 v7", 2, 1] == 1
+    _, counts = counted_by_tables(bodies, every, collocations._Reached(slots), 1, 3)
+    assert counts["α b", 2, 1] == 300 and sum(k[1] == 2 for k in counts) < 10
+
+
+def test_sums_are_carried_in_packs(monkeypatch):
+    monkeypatch.setattr(collocations, "MOST_PACKED", 2)
+    monkeypatch.setattr(collocations, "HELD", 3)  # sums are settled several times
+    size = collocations.SHARDS
+
+    def pack(start, summed, counts):
+        lines = pa.array([f"{word}\n".encode() for word in counts], pa.binary())
+        half = collocations._fold(lines.slice(1), np.asarray([*counts.values()][1:]))
+        first = collocations._fold(lines.slice(0, 1), np.asarray([*counts.values()][:1]))
+        return [(0, "en", 1 if start == 0 else 2, start, summed, *each) for each in (first, half)]
+
+    rows = pack(0, True, {"a": 9, "b": 70000, "é": 1}) + pack(0, False, {"a": 1, "b": 2, "c": 3}) + pack(size - 1, False, {"a b": 5, "b a": 12, "b b": 1})
+    batch = collocations._packs(rows, collocations.PACKED)
+    out = [row for each in collocations._sum(size - 1, 10)(iter([batch])) for row in each.to_pylist()]
+    assert [r["f"] for r in out if r["length"] == 0] == [70016]  # all words, rare ones too
+    found = {r["phrase"]: (r["f"], r["before"]) for r in out if r["phrase"] is not None}
+    assert found == {"a": (10, 9), "b": (70002, 70000), "b a": (12, 0)}
+    carried = [r for r in out if r["packed"] is not None]
+    assert {r["start"] for r in carried} == {size - 1} and [r["phrases"] for r in carried] == [2, 1]
+    sums = {}
+    for r in carried:
+        lines, n = collocations._unfold(r["phrases"], r["size"], pa.py_buffer(r["packed"]))
+        sums |= dict(zip(lines.to_pylist(), n.tolist()))
+    assert sums == {b"a b\n": 5, b"b a\n": 12, b"b b\n": 1}
+
+
 def test_filters_that_let_all_through_change_nothing(spark, monkeypatch):
     rows = made(random.Random(12), 200)
     docs = spark.createDataFrame(rows, DOCS)

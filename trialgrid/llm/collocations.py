@@ -9,6 +9,9 @@ What has reached the threshold, and in which step, goes to the tasks as a bit-sl
 one bit per step in every slot. A false positive can only count a phrase under a starting step that is not its own;
 counts are kept by phrase and starting step, and the step that follows from the exact tables decides which one holds.
 
+Counts move in packs: the phrases of a chunk that fall into one bucket, spelled out line by line and compressed. Sums of
+phrases that lack a shard are packed the same way and join the next step's counts.
+
 Most pairs never reach the threshold. Before the first step the pairs are counted by their hashes, packed by buckets of
 them, and pairs whose hash stays below the threshold are never spelled out. A hash counts at least as often as each of its
 pairs, so no pair is lost.
@@ -16,7 +19,6 @@ pairs, so no pair is lost.
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -40,6 +42,10 @@ UNDETERMINED = "und"
 SHARDS = 2
 #: Files at most in which a step keeps what reached the threshold in it.
 FILES = 32
+#: Buckets of phrases at most; packs get too small to compress well when there are many.
+MOST_BUCKETS = 512
+#: Rows that a task holds before it sums them up, and that one pack holds at most when sums are packed.
+HELD, MOST_PACKED = 1 << 20, 1 << 18
 #: Words counted at once in a task.
 CHUNK = 1 << 20
 #: Slots per phrase that reached the threshold; at most MOST_SLOTS slots are sent, beyond which more phrases are counted in vain.
@@ -200,25 +206,57 @@ def _likely_pairs(rows: DataFrame, threshold: int) -> np.ndarray:
     return _gathered(keys.mapInPandas(_place_keys(size.bit_length() - 1), "slot bigint, mask bigint"), size).astype(np.uint8)
 
 
+#: Some phrases of one bucket; `summed` if they were counted in earlier steps, `size` in bytes before compression.
+PACKED = "bucket int, lang string, length int, start int, summed boolean, phrases int, size int, packed binary"
+
+
+def _fold(lines: pa.Array, n: np.ndarray) -> tuple[int, int, bytes]:
+    """(phrases, size, packed) of phrases that end with a newline each, and their counts."""
+    ends = np.frombuffer(lines.buffers()[1], dtype=np.int32)[lines.offset : lines.offset + len(lines) + 1]
+    text = memoryview(lines.buffers()[2])[ends[0] : ends[-1]]
+    data = n.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() + text.tobytes()  # counts by byte: mostly zeros
+    return len(n), len(data), pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unfold(phrases: int, size: int, packed: pa.Buffer) -> tuple[pa.Array, np.ndarray]:
+    """The lines and counts that `_fold` packed."""
+    data = pa.decompress(packed, decompressed_size=size, codec="zstd")
+    raw = np.frombuffer(data, dtype=np.uint8)
+    n = np.ascontiguousarray(raw[: 8 * phrases].reshape(8, -1).T).view(np.int64).ravel()
+    ends = np.append(0, np.flatnonzero(raw[8 * phrases :] == ord("\n")) + 1).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), phrases, [None, pa.py_buffer(ends), data.slice(8 * phrases)]), n
+
+
+def _packs(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [field.split() for field in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(zip(*rows), fields)], [name for name, _ in fields])
+
+
 def _tables(
-    words: list[bytes], numbers: np.ndarray, context: int, lang: str, step: int, reached: _Reached | None, likely: _Reached
+    words: list[bytes], numbers: np.ndarray, context: int, lang: str, step: int, reached: _Reached | None, likely: _Reached | None, buckets: int
 ) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, length, start, n) of the phrases of a chunk that are active in this step."""
+    """PACKED rows of the phrases of a chunk that are active in this step."""
     count = len(words)
-    vocabulary = pa.array(words, pa.binary())
+    vocabulary, ending = pa.array(words, pa.binary()), pa.array([word + b"\n" for word in words], pa.binary())
+    hashes = np.fromiter((word_hash(lang, word) for word in words), dtype=np.uint64, count=count)
 
     def rows(length: int, start: int, at: np.ndarray) -> pa.RecordBatch:
         code = numbers[at]
         for place in range(1, length):  # exact: a chunk has far fewer than 2^21 distinct words
             code = code * count + numbers[at + place]
         distinct, n = np.unique(code, return_counts=True)
-        spelled = []
+        places = []
         for _ in range(length):
-            spelled.append(vocabulary.take(pa.array(distinct % count)))
+            places.insert(0, distinct % count)
             distinct = distinct // count
-        phrases = pc.binary_join_element_wise(*reversed(spelled), b" ").cast(pa.string())
-        same = [pa.repeat(pa.scalar(value, kind), len(n)) for value, kind in ((lang, pa.string()), (length, pa.int32()), (start, pa.int32()))]
-        return pa.RecordBatch.from_arrays([same[0], phrases, same[1], same[2], pa.array(n, pa.int64())], ["lang", "phrase", "length", "start", "n"])
+        of = (_mixed(reduce(_joined, [hashes[place] for place in places])) % np.uint64(buckets)).astype(np.uint16)
+        order = np.argsort(of, kind="stable")  # phrases with the same beginning stay together
+        spelled = [(ending if place is places[-1] else vocabulary).take(pa.array(place[order])) for place in places]
+        lines, n, of = pc.binary_join_element_wise(*spelled, b" "), n[order], of[order].astype(np.int32)
+        edges = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+        spans = zip(edges, [*edges[1:], len(n)])
+        return _packs([(int(of[i]), lang, length, start, False, *_fold(lines[i:j], n[i:j])) for i, j in spans], PACKED)
 
     inside = numbers != 0
     if step < SHARDS:
@@ -227,7 +265,6 @@ def _tables(
             yield rows(1, 0, at)
     if reached is None:
         return
-    hashes = np.fromiter((word_hash(lang, word) for word in words), dtype=np.uint64, count=count)
     masks = reached.masks(hashes)
     masks[0] = 0
     starts = range(max(1, step - SHARDS + 1), step + 1)
@@ -251,7 +288,67 @@ def _tables(
             yield rows(3, start, at)
 
 
-COUNTS = "lang string, phrase string, length int, start int, n bigint"
+#: A phrase that was counted often enough so far, `before` this step or with it; or a pack of sums; or, with length 0, the
+#: words of a language in a bucket.
+SUMS = "bucket int, lang string, phrase string, length int, start int, f bigint, before bigint, phrases int, size int, packed binary"
+
+
+class _Sums:
+    """Sums of counts by bucket, language, length and starting step."""
+
+    def __init__(self):
+        self.parts, self.rows, self.room = defaultdict(list), 0, HELD
+
+    def add(self, key: tuple, lines: pa.Array, n: np.ndarray, summed: bool) -> None:
+        before = n if summed else np.zeros(len(n), dtype=np.int64)
+        self.parts[key].append(pa.table({"line": lines, "f": n, "before": before}))
+        self.rows += len(n)
+        if self.rows > self.room:
+            self.settle()
+            self.room = max(HELD, 2 * self.rows)
+
+    def settle(self) -> None:
+        for key, tables in self.parts.items():
+            summed = pa.concat_tables(tables).group_by("line", use_threads=False).aggregate([("f", "sum"), ("before", "sum")])
+            self.parts[key] = [summed.select(["line", "f_sum", "before_sum"]).rename_columns(["line", "f", "before"])]
+        self.rows = sum(table.num_rows for (table,) in self.parts.values())
+
+
+def _sum(step: int, threshold: int):
+    """SUMS from packs: phrases counted often enough so far, and sums of those that lack a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
+        names = ["bucket", "lang", "length", "start", "summed", "phrases", "size"]
+        for batch in batches:
+            packs = batch.column("packed")
+            for i, row in enumerate(zip(*[batch.column(name).to_pylist() for name in names])):
+                sums.add(row[:4], *_unfold(*row[5:], packs[i].as_buffer()), row[4])
+        sums.settle()
+        for (bucket, lang, length, start), (table,) in sums.parts.items():
+            if start == 0 and step == SHARDS - 1:
+                yield _packs([(bucket, lang, None, 0, 0, pc.sum(table["f"]).as_py(), None, None, None, None)], SUMS)
+            often = table.filter(pc.greater_equal(table["f"], threshold)).combine_chunks()
+            if often.num_rows:
+                phrases = pc.utf8_rtrim(often["line"].cast(pa.string()), "\n")
+                same = [pa.repeat(value, often.num_rows) for value in (pa.scalar(lang), pa.scalar(length, pa.int32()), pa.scalar(start, pa.int32()))]
+                found = pa.table({"lang": same[0], "phrase": phrases, "length": same[1], "start": same[2], "f": often["f"], "before": often["before"]})
+                for part in found.combine_chunks().to_batches():
+                    none = {name: pa.nulls(part.num_rows, kind) for name, kind in _NONE.items()}
+                    columns = dict(zip(part.schema.names, part.columns)) | none
+                    yield pa.RecordBatch.from_arrays([columns[name] for name in _SUMS], _SUMS)
+            if start > step + 1 - SHARDS:
+                table = table.take(pc.sort_indices(table["line"])).combine_chunks()
+                for i in range(0, table.num_rows, MOST_PACKED):
+                    part = table.slice(i, MOST_PACKED).combine_chunks()
+                    packed = _fold(part["line"].chunk(0), part["f"].to_numpy())
+                    yield _packs([(bucket, lang, None, length, start, None, None, *packed)], SUMS)
+
+    return run
+
+
+_SUMS = [field.split()[0] for field in SUMS.split(", ")]
+_NONE = {"bucket": pa.int32(), "phrases": pa.int32(), "size": pa.int32(), "packed": pa.binary()}
 
 
 def _numbered(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], np.ndarray, int]]:
@@ -263,13 +360,13 @@ def _numbered(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], np.ndar
             yield lang, *chunk
 
 
-def _count(step: int, shared, pairs):
+def _count(step: int, shared, pairs, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached = _Reached(shared.value) if shared is not None else None
         likely = _Reached(pairs.value) if shared is not None else None
         for batch in batches:
             for lang, words, numbers, context in _numbered(batch):
-                yield from _tables(words, numbers, context, lang, step, reached, likely)
+                yield from _tables(words, numbers, context, lang, step, reached, likely, buckets)
 
     return run
 
@@ -339,54 +436,52 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", thres
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNDETERMINED)).alias("lang"), body.alias("body"))
     corpus = scratch_path(spark, "shards")
     shard = F.pmod(F.xxhash64("body", F.rand(7)), F.lit(SHARDS)).cast("int")  # copies are dealt like other texts
-    rows.filter(F.length("body") > 0).withColumn("shard", shard).write.partitionBy("shard").parquet(corpus)
+    rows.filter(F.length("body") > 0).withColumn("shard", shard).write.partitionBy("shard").option("compression", "zstd").parquet(corpus)
     shards = spark.read.schema("lang string, body binary, shard int").parquet(corpus)
 
     pairs = spark.sparkContext.broadcast(_likely_pairs(shards.select("lang", "body"), threshold))
-    # One bucketed table: what all steps counted is added up without moving it again.
-    table = f"phrase_counts_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    where, ready, reached, slots, last, step = scratch_path(spark, "counts"), scratch_path(spark, "reached"), None, None, SHARDS - 1, 0
-    closed, totals = [], None
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+    ready, carried, reached, slots, totals = scratch_path(spark, "reached"), None, None, None, None
+    step, last = 0, SHARDS - 1
     while step <= last:
         scan = shards.filter(F.col("shard") == step % SHARDS).select("lang", "body")
         shared = spark.sparkContext.broadcast(slots) if slots is not None else None
-        counted = scan.mapInArrow(_count(step, shared, pairs), COUNTS).repartition(buckets, "phrase")
-        counted = counted.groupBy("lang", "phrase", "length", "start").agg(F.sum("n").alias("n")).withColumn("step", F.lit(step))
-        writer = counted.write.mode("append").format("parquet").option("path", where)
-        writer.partitionBy("step").bucketBy(buckets, "phrase").saveAsTable(table)
-        spark.catalog.refreshTable(table)
-        # Phrases that started earlier have seen all shards before.
-        found = cut_lineage(_frequent(spark.table(table).filter(F.col("start") > step - SHARDS), reached, threshold))
-        closed.append(found.filter(F.col("start") == step - SHARDS + 1))
+        counted = scan.mapInArrow(_count(step, shared, pairs, buckets), PACKED)
+        counted = counted if carried is None else counted.union(carried)
+        where = scratch_path(spark, "counts")
+        counted.repartitionById(buckets, "bucket").mapInArrow(_sum(step, threshold), SUMS).write.option("compression", "zstd").parquet(where)
+        sums = spark.read.schema(SUMS).parquet(where)
+        carried = sums.filter("packed is not null").withColumn("summed", F.lit(True)).select(*[field.split()[0] for field in PACKED.split(", ")])
         if step == SHARDS - 1:
-            totals = cut_lineage(spark.table(table).filter("start = 0").groupBy("lang").agg(F.sum("n").alias("n")))
-        new = found if reached is None else found.join(reached, ["lang", "phrase"], "left_anti")
-        new.select("lang", "phrase", "length", F.lit(step).alias("step")).coalesce(FILES).write.mode("append").parquet(ready)
-        reached = spark.read.schema("lang string, phrase string, length int, step int").parquet(ready)
+            totals = cut_lineage(sums.filter("length = 0").groupBy("lang").agg(F.sum("f").alias("n")))
+        found = _frequent(sums.filter("length > 0 and packed is null"), reached)
+        found.coalesce(FILES).write.option("compression", "zstd").parquet(f"{ready}/step={step}")
+        every = spark.read.schema(f"{FOUND}, step int").parquet(ready)
+        reached = every.filter(F.col("before") < threshold).select("lang", "phrase", "length", "step")
         parts = reached.filter(F.col("length") < LONGEST)
         size, just = parts.agg(F.count("*"), F.count(F.when(F.col("step") == step, 1))).first()
         if just:
             last = max(last, step + SHARDS)  # a phrase that starts next sees every shard once
         slots = _filter(parts, size, step, slots) if size and step < last else None
-        reached = broadcast_if_small(reached)
         step += 1
-    spark.sql(f"drop table {table}")
-    together = reduce(DataFrame.union, closed).select("lang", "phrase", "length", "f")
-    frequent = cut_lineage(together.coalesce(buckets))  # as many parts as one step has
-    return frequent, totals
+    closed = every.filter(F.col("start") == F.col("step") - SHARDS + 1)  # those have seen all shards
+    return closed.select("lang", "phrase", "length", "f"), totals
 
 
-def _frequent(counts: DataFrame, reached: DataFrame | None, threshold: int) -> DataFrame:
-    """(lang, phrase, length, start, f) of the phrases counted at least `threshold` times so far, under their own start."""
-    columns = ["lang", "phrase", "length", "start", "f"]
-    summed = counts.groupBy("lang", "phrase", "length", "start").agg(F.sum("n").alias("f")).filter(F.col("f") >= threshold)
-    words = summed.filter("start = 0").select(columns)
-    if reached is None:
-        return words
-    longer = _parts(summed.filter("start > 0"), "length - 1", "length - 1")
-    longer = _with(_with(longer, "head", reached, "step", "h_step"), "tail", reached, "step", "t_step")
-    return words.union(longer.filter(F.col("start") == F.greatest("h_step", "t_step") + 1).select(columns))
+#: Phrases that have reached the threshold, with their counts so far and before the step.
+FOUND = "lang string, phrase string, length int, start int, f bigint, before bigint"
+
+
+def _frequent(counts: DataFrame, reached: DataFrame | None) -> DataFrame:
+    """FOUND rows of the phrases among `counts`, those counted often enough so far, that are counted under their own start."""
+    columns = [field.split()[0] for field in FOUND.split(", ")]
+    found = [counts.filter("start = 0").select(columns)]
+    for length in range(2, LONGEST + 1) if reached is not None else ():
+        longer = _parts(counts.filter((F.col("start") > 0) & (F.col("length") == length)), "length - 1", "length - 1")
+        shorter = broadcast_if_small(reached.filter(F.col("length") == length - 1))
+        longer = _with(_with(longer, "head", shorter, "step", "h_step"), "tail", shorter, "step", "t_step")
+        found.append(longer.filter(F.col("start") == F.greatest("h_step", "t_step") + 1).select(columns))
+    return reduce(DataFrame.union, found)
 
 
 def collocations(
@@ -405,17 +500,24 @@ def collocations(
         "cast(1000000 as decimal(7,0)) * cast(a as decimal(14,0)) * cast(a as decimal(14,0)) "
         "div (cast(l as decimal(14,0)) * cast(r as decimal(14,0)))"
     )
-    cuts = []
-    for k in range(1, LONGEST):
-        cut = _parts(phrases.filter(F.col("length") > k), str(k), f"length - {k}")
-        cuts.append(_with(_with(cut, "head", frequent, "f", "l"), "tail", frequent, "f", "r").withColumn("k", F.lit(k)))
-    lowest = F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut")
-    scored = reduce(DataFrame.union, cuts).groupBy("lang", "phrase", "a").agg(lowest)
+    counts = {k: frequent.filter(F.col("length") == k) for k in range(1, LONGEST)}
+    counts[1] = broadcast_if_small(counts[1])
+    lowest, scored = F.struct(score.alias("score"), "k", "l", "r"), {}
+    for length in range(2, LONGEST + 1):
+        cuts = []
+        for k in range(1, length):
+            cut = _parts(phrases.filter(F.col("length") == length), str(k), str(length - k)).withColumn("k", F.lit(k))
+            cut = _with(_with(cut, "head", counts[k], "f", "l"), "tail", counts[length - k], "f", "r")
+            cuts.append(cut.select("lang", "phrase", "a", lowest.alias("cut")))
+        every = reduce(DataFrame.union, cuts)
+        scored[length] = every if len(cuts) == 1 else every.groupBy("lang", "phrase", "a").agg(F.min("cut").alias("cut"))
 
     longer = _parts(phrases.filter(F.col("length") > 2), "length - 1", "length - 1")
     inner = longer.select("lang", F.explode(F.array("head", "tail")).alias("phrase"), F.col("a").alias("f"))
     inner = inner.groupBy("lang", "phrase").agg(F.max("f").alias("f"))
-    kept = scored.join(inner, ["lang", "phrase"], "left").filter(F.col("f").isNull() | (100 * F.col("f") < contained * F.col("a")))
+    shorter = reduce(DataFrame.union, [scored[length] for length in range(2, LONGEST)])
+    kept = shorter.join(inner, ["lang", "phrase"], "left").filter(F.col("f").isNull() | (100 * F.col("f") < contained * F.col("a")))
+    kept = kept.drop("f").union(scored[LONGEST])  # nothing is around the longest
 
     order = [F.desc("cut.score"), F.desc("a"), F.asc("phrase")]
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(*order)  # first within parts of a language
