@@ -318,6 +318,21 @@ def test_substrings_equal_brute_force(spark):
         assert ([tuple(s) for s in got[i]["removed"]], got[i]["n_bytes"] - got[i]["n_removed"]) == (spans, len(kept)), i
 
 
+def test_planted_passages_go_by_bytes_and_clean_texts_stay(spark):
+    import hashlib
+    import random
+
+    rng = random.Random(8)
+    words = lambda n, size: " ".join("".join(rng.choice("abcdefgh") for _ in range(size)) for _ in range(n))
+    long, short = words(55, 8), words(55, 5)  # of over 50 words; 494 and 329 bytes
+    texts = [f"{words(80, 7)}\n{passage}\n{words(80, 7)}" for passage in (long, short, "") for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substrings.repeated_substrings(docs).collect()}
+    assert [got[i]["n_bytes"] for i in range(18)] == [len(t) for t in texts]  # the whole text, whatever is removed
+    assert all(got[i]["n_removed"] >= len(long) and got[i]["n_spans"] == 1 for i in range(6))
+    assert all(got[i]["n_removed"] == 0 and got[i]["kept_sha256"] == hashlib.sha256(texts[i].encode()).hexdigest() for i in range(6, 18))
+
+
 def test_mixing_takes_each_of_many_equal_rows(spark, monkeypatch):
     monkeypatch.setattr(mixing, "TURNS", 7)
     docs = spark.range(60).select(F.lit("a b").alias("text"), F.when(F.col("id") % 3 < 2, "hot").otherwise("other").alias("source"))
