@@ -333,6 +333,77 @@ def test_planted_passages_go_by_bytes_and_clean_texts_stay(spark):
     assert all(got[i]["n_removed"] == 0 and got[i]["kept_sha256"] == hashlib.sha256(texts[i].encode()).hexdigest() for i in range(6, 18))
 
 
+def repeated_passages(texts, words):
+    """Per text the maximal runs of words covered by `words` words that also start anywhere else, by counting all of them."""
+    from collections import Counter
+
+    split = [t.encode().split() for t in texts]
+    windows = [[tuple(w[i : i + words]) for i in range(len(w) - words + 1)] for w in split]
+    seen = Counter(x for each in windows for x in each)
+    out = []
+    for each in windows:
+        runs = []
+        for i, x in enumerate(each):
+            if seen[x] > 1 and runs and i <= runs[-1][1]:
+                runs[-1][1] = i + words
+            elif seen[x] > 1:
+                runs.append([i, i + words])
+        out.append(runs)
+    return out
+
+
+def test_passages_of_many_short_words_are_reported(spark):
+    import random
+
+    rng = random.Random(9)
+    words = lambda n, signs="abcdefgh", size=5: " ".join("".join(rng.choice(signs) for _ in range(size)) for _ in range(n))
+    texts = []
+    for n in (51, 52, 59):  # 305 to 353 bytes, with any white space around and within
+        passage = words(n)
+        texts += [f"{words(40)} {passage}\n{words(40)}", f"{words(7)}\t{passage.replace(' ', '\n', 3)}", passage]
+    short = words(50)
+    texts += [f"{words(60)} {short} {words(60)}" for _ in range(3)]
+    again = words(54)
+    texts += [f"{again} {words(30)}\n{again}\n{words(3)}", words(200), words(51), "", "a " * 40, "a " * 60]
+    twice = words(53)
+    rows = [*enumerate(texts), (90, twice), (90, twice), (None, f"{words(9)} {twice}"), (92, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_removed"], r["passages"], r["n_passages"]) for r in substrings.repeated_substrings(docs).collect()), key=str)
+    want = repeated_passages([t or "" for _, t in rows], 51)
+    assert got == sorted(((i, 0, runs, len(runs)) for (i, _), runs in zip(rows, want)), key=str)
+    assert sum(map(bool, want)) == 9 + 2 + 3 and all(want[:9]) and not any(want[9:12])
+
+
+def test_words_hash_alike_in_pieces(monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(11)
+    texts = [bytes(rng.choice(b"ab \n\t\x0b\x08\x0e\xc3") for _ in range(rng.randrange(300))) for _ in range(50)]
+    hashed = lambda t: substrings._word_hashes(np.frombuffer(t, dtype=np.uint8)).tolist()
+    whole = [hashed(t) for t in texts]
+    names = {(word, h) for t, hashes in zip(texts, whole) for word, h in zip(t.split(), hashes, strict=True)}
+    assert len(names) == len({word for word, _ in names}) == len({h for _, h in names})
+    monkeypatch.setattr(substrings, "PIECE", 7)
+    assert [hashed(t) for t in texts] == whole
+    for t in texts:
+        runs = [(i, j) for _, first, last in substrings.word_runs(t, 20) for i, j in zip(first.tolist(), last.tolist())]
+        assert [i for a, b in runs for i in range(a, b + 1)] == list(range(len(t.split()) - 19))
+
+
+def test_passages_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(10)
+    pool = [[rng.choice(["a", "b", "an", "ñé"]) for _ in range(30)] for _ in range(5)]
+    texts = [" ".join(w for _ in range(6) for w in rng.choice([*pool, [rng.choice("abcd") for _ in range(rng.randrange(20))]])) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substrings.repeated_substrings(docs, length=1 << 16, words=20).collect()}
+    for i, runs in enumerate(repeated_passages(texts, 20)):
+        assert (got[i]["n_removed"], got[i]["passages"]) == (0, runs), i
+
+
 def test_mixing_takes_each_of_many_equal_rows(spark, monkeypatch):
     monkeypatch.setattr(mixing, "TURNS", 7)
     docs = spark.range(60).select(F.lit("a b").alias("text"), F.when(F.col("id") % 3 < 2, "hot").otherwise("other").alias("source"))

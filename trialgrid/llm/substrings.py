@@ -11,6 +11,10 @@ no other member of the gram agrees any further, no string that reaches beyond ca
 recursion: its strings are cut into blocks by their distance to the sampled position, and named again with those of one
 member of every other name; after two such levels single strings are named, and equal neighbours in the order of names are
 the repeated ones.
+
+Passages of many short words may stay below that length. Texts that lose no byte are therefore looked at by words as well: windows of
+a given number of words are sampled in the same way, by the least hash of several words in a row, and where a sampled place repeats,
+each window that chose it is named.
 """
 
 from __future__ import annotations
@@ -29,8 +33,12 @@ from pyspark.sql import functions as F
 from trialgrid.session import broadcast_if_small, cut_lineage, scratch_path
 
 LENGTH = 400
+#: Words of a passage that counts although its bytes are fewer.
+WORDS = 51
 #: Bytes whose hash chooses the sample.
 GRAM = 32
+#: Words whose hash chooses the sample of a text's windows of words; a power of two.
+WORD_GRAM = 16
 #: Strings handled at once; bounds the memory for a long text.
 PIECE = 1 << 18
 #: Rows that a task holds before it hands them on.
@@ -66,6 +74,16 @@ def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
 
 
+def _choices(hashed: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, at) arrays: of the `width` hashes from each of first to last on, the one at `at` is the least, the rightmost if tied."""
+    low_bits = np.uint64((2 * PIECE).bit_length())
+    top = np.uint64((1 << int(low_bits)) - 1)
+    keys = hashed >> low_bits << low_bits | (top - np.arange(len(hashed), dtype=np.uint64))
+    chosen = (top - (_window_minimum(keys, width) & top)).astype(np.int64)
+    first = np.flatnonzero(np.diff(chosen, prepend=-1))
+    return first, np.append(first[1:], len(chosen)) - 1, chosen[first]
+
+
 def _name(data: bytes | memoryview, first: int, last: int, at: int, length: int) -> int:
     """Names all bytes of the strings starting from first to last, and where the sampled position is in them."""
     return xxhash.xxh3_64_intdigest(data[first : last + length], seed=at - first)
@@ -74,16 +92,10 @@ def _name(data: bytes | memoryview, first: int, last: int, at: int, length: int)
 def sampled_runs(data: bytes | memoryview, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(gram, name, first, last, at) arrays: the strings starting from first to last chose the sampled position at."""
     width = length - GRAM + 1
-    low_bits = np.uint64((2 * PIECE).bit_length())
     for begin in range(0, max(len(data) - length + 1, 0), PIECE):
         part = data[begin : begin + PIECE + length - 1]
         hashed = _gram_hashes(np.frombuffer(part, dtype=np.uint8))
-        top = np.uint64((1 << int(low_bits)) - 1)
-        keys = hashed >> low_bits << low_bits | (top - np.arange(len(hashed), dtype=np.uint64))
-        chosen = (top - (_window_minimum(keys, width) & top)).astype(np.int64)
-        first = np.flatnonzero(np.diff(chosen, prepend=-1))
-        last = np.append(first[1:], len(chosen)) - 1
-        at = chosen[first]
+        first, last, at = _choices(hashed, width)
         places = zip(first.tolist(), last.tolist(), at.tolist())
         names = np.fromiter((_name(part, a, b, c, length) for a, b, c in places), dtype=np.uint64, count=len(first))
         yield hashed[at].view(np.int64), names.view(np.int64), first + begin, last + begin, at + begin
@@ -197,30 +209,159 @@ def _split(width: int, length: int):
     return run
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What is left of each text without its repeated spans."""
-    for batch in batches:
-        out = []
-        for body, spans in zip(batch["body"], batch["spans"]):
-            merged: list[list[int]] = []
-            for start, end in sorted((s["first"], s["end"]) for s in spans) if spans is not None else ():
-                if merged and start <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], end)
-                else:
-                    merged.append([start, end])
-            kept, at = hashlib.sha256(), 0
-            parts = []
-            for start, end in merged:
-                parts.append(body[at:start])
-                at = end
-            parts.append(body[at:])
-            for part in parts:
-                kept.update(part)
-            removed = sum(end - start for start, end in merged)
-            out.append((len(body), removed, len(merged), kept.hexdigest(), merged))
-        frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
-        frame.insert(0, "ident", batch["ident"])
-        yield frame
+_MASK = (1 << 64) - 1
+_BASE, _JOIN = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: A value of each byte, and the powers of the base and of its inverse.
+_SIGNS = np.random.default_rng(8).integers(0, 1 << 64, 256, dtype=np.uint64)
+_POWERS, _INVERSES = (
+    np.cumprod(np.append(np.uint64(1), np.full(PIECE, x, dtype=np.uint64)), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64))
+)
+
+
+def _word_hashes(data: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word between white space: its bytes as digits, from running sums at the ends of words."""
+    sums, shifts = [], []
+    total, scale, unscale, outside = 0, 1, 1, True
+    for begin in range(0, len(data), PIECE):
+        part = data[begin : begin + PIECE]
+        space = (part == 32) | (part - np.uint8(9) < 5)
+        ends = np.flatnonzero(space != np.concatenate(([outside], space[:-1])))  # of spaces and of words, in turn
+        running = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_SIGNS[part] * _POWERS[: len(part)], out=running[1:])
+        sums.append(running[ends] * np.uint64(scale) + np.uint64(total))
+        shifts.append(_INVERSES[ends] * np.uint64(unscale))
+        total = (total + int(running[-1]) * scale) & _MASK
+        scale = scale * int(_POWERS[len(part)]) & _MASK
+        unscale = unscale * int(_INVERSES[len(part)]) & _MASK
+        outside = bool(space[-1])
+    if not outside:
+        sums.append(np.array([total], dtype=np.uint64))
+    if not sums:
+        return np.zeros(0, dtype=np.uint64)
+    bounds = np.concatenate(sums)
+    hashed = (bounds[1::2] - bounds[::2]) * np.concatenate(shifts)[::2]
+    return hashed ^ hashed >> np.uint64(32)
+
+
+def word_runs(data: bytes | memoryview, words: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(gram, first, last) arrays: the windows of `words` words that start from word first to word last chose that gram."""
+    hashes = _word_hashes(np.frombuffer(data, dtype=np.uint8))
+    for begin in range(0, max(len(hashes) - words + 1, 0), PIECE):
+        wide, factor, half = hashes[begin : begin + PIECE + words - 1], _JOIN, 1
+        while half < WORD_GRAM:
+            wide = wide[:-half] * np.uint64(factor) + wide[half:]
+            factor, half = factor * factor & _MASK, 2 * half
+        wide = (wide ^ wide >> np.uint64(32)) * np.uint64(_BASE)
+        wide ^= wide >> np.uint64(29)
+        first, last, at = _choices(wide, words - WORD_GRAM + 1)
+        yield wide[at].view(np.int64), first + begin, last + begin
+
+
+#: `whole` is whether the text loses no byte.
+PLACES = "gram bigint, ident bigint, hash bigint, first int, last int, whole boolean"
+WINDOWS = "gram bigint, name bigint, ident bigint, hash bigint, first int, whole boolean"
+
+
+def _sample_words(words: int):
+    """The sampled places of all texts, by words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        rows = 0
+
+        def joined() -> pa.RecordBatch:
+            gram, first, last = (np.concatenate([part[i] for part in held]) for i in range(3))
+            of_text = pa.array(np.repeat(np.arange(len(held)), [len(part[0]) for part in held]))
+            ident, key, whole = (pa.array([part[i] for part in held], kind).take(of_text) for i, kind in ((3, pa.int64()), (4, pa.int64()), (5, pa.bool_())))
+            columns = [pa.array(gram), ident, key, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), whole]
+            return pa.RecordBatch.from_arrays(columns, [field.split()[0] for field in PLACES.split(", ")])
+
+        for batch in batches:
+            for ident, key, body, whole in zip(batch["ident"], batch["hash"], batch["body"], batch["whole"]):
+                for found in word_runs(memoryview(body.as_buffer()), words):
+                    held.append((*found, ident.as_py(), key.as_py(), whole.as_py()))
+                    rows += len(found[0])
+                    if rows >= ROWS:
+                        yield joined()
+                        held.clear()
+                        rows = 0
+        if held:
+            yield joined()
+
+    return run
+
+
+def _windows(words: int):
+    """Names each window of words of the listed places."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for ident, key, body, whole, places in zip(batch["ident"], batch["hash"], batch["body"], batch["whole"], batch["places"]):
+                found = body.split()
+                for each in places:
+                    for first in range(each["first"], each["last"] + 1):
+                        name = xxhash.xxh3_64_intdigest(b" ".join(found[first : first + words]))
+                        out.append((each["gram"], name, ident, key, first, whole))
+                    if len(out) >= ROWS:
+                        yield _named(out, WINDOWS)
+                        out = []
+            yield _named(out, WINDOWS)
+
+    return run
+
+
+def _repeated_words(texts: DataFrame, words: int) -> DataFrame:
+    """(w_ident, w_hash, starts): the windows of `words` words that also start anywhere else, of the texts that are `whole`.
+
+    First only hashes of places are counted; the places themselves are kept where one that repeats lies in a text that is `whole`.
+    """
+    places = texts.filter(F.octet_length("body") >= 2 * words - 1).mapInArrow(_sample_words(words), PLACES)
+    shared = places.groupBy("gram").agg(F.count("*").alias("n"), F.bool_or("whole").alias("whole")).filter("n > 1 and whole")
+    shared = broadcast_if_small(cut_lineage(shared.select("gram")))
+    listed = places.join(shared, "gram", "left_semi").groupBy(F.col("ident").alias("p_ident"), F.col("hash").alias("p_hash"))
+    listed = broadcast_if_small(cut_lineage(listed.agg(F.collect_set(F.struct("gram", "first", "last")).alias("places"))))
+    here = F.col("ident").eqNullSafe(F.col("p_ident")) & (F.col("hash") == F.col("p_hash"))
+    beside = texts.join(listed, here).select("ident", "hash", "body", "whole", "places")
+    named = cut_lineage(beside.mapInPandas(_windows(words), WINDOWS))
+    several = cut_lineage(named.groupBy("gram", "name").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "name"))
+    found = named.filter("whole").join(broadcast_if_small(several), ["gram", "name"], "left_semi")
+    starts = found.groupBy(F.col("ident").alias("w_ident"), F.col("hash").alias("w_hash")).agg(F.collect_set("first").alias("starts"))
+    return cut_lineage(starts)
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """The maximal runs of overlapping or touching spans."""
+    merged: list[list[int]] = []
+    for start, end in sorted(spans):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    return merged
+
+
+def _cut(words: int):
+    """What is left of each text without its repeated spans, and the repeated passages of a text that loses nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for body, spans, starts in zip(batch["body"], batch["spans"], batch["starts"]):
+                merged = _merged([(s["first"], s["end"]) for s in spans] if spans is not None else [])
+                kept, at = hashlib.sha256(), 0
+                for start, end in merged:
+                    kept.update(body[at:start])
+                    at = end
+                kept.update(body[at:])
+                removed = sum(end - start for start, end in merged)
+                passages = _merged([(int(s), int(s) + words) for s in starts] if starts is not None else [])
+                out.append((len(body), removed, len(merged), kept.hexdigest(), len(merged) + len(passages), merged, passages))
+            frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "removed", "passages"])
+            frame.insert(0, "ident", batch["ident"])
+            yield frame
+
+    return run
 
 
 def _beside(base: DataFrame, members: DataFrame, run, schema: str) -> DataFrame:
@@ -232,16 +373,20 @@ def _beside(base: DataFrame, members: DataFrame, run, schema: str) -> DataFrame:
     return base.join(listed, here).select("ident", "hash", "body", "runs").mapInPandas(run, schema)
 
 
-def repeated_substrings(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(ident, n_bytes, n_removed, n_spans, kept_sha256, removed), one row per row of `docs`.
+def repeated_substrings(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: int = LENGTH, words: int = WORDS) -> DataFrame:
+    """(ident, n_bytes, n_removed, n_spans, kept_sha256, n_passages, removed, passages), one row per row of `docs`.
 
     Removed is every byte covered by a string of `length` bytes of the UTF-8 text that also starts anywhere else, in the same
     document or another one; overlaps count, and no string crosses documents. `removed` holds the maximal runs (start, end).
+    Of a document that loses no byte, `passages` holds the maximal runs (first word, end) covered by a string of `words` words that also
+    starts anywhere else, whatever the white space between; such passages are reported, not removed. `n_passages` counts both kinds.
     Null texts are empty and lose nothing; equal rows repeat each other; null ids are kept. A name of 64 bits with the
     64-bit hash of its gram decides whether strings are equal. Copies count by name before any pair is formed, and hot names meet in plain equality joins.
     """
     if length < 2 * GRAM:
         raise ValueError(f"the length must be at least {2 * GRAM}, not {length}")
+    if words < WORD_GRAM:
+        raise ValueError(f"a passage must have at least {WORD_GRAM} words, not {words}")
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     base = docs.select(F.col(ident).cast("bigint").alias("ident"), F.xxhash64(body).alias("hash"), body.alias("body"))
@@ -277,6 +422,13 @@ def repeated_substrings(docs: DataFrame, ident: str = "doc_id", text: str = "tex
     gathered = reduce(DataFrame.union, spans).groupBy("ident", "hash").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
     gathered = cut_lineage(gathered).withColumnsRenamed({"ident": "s_ident", "hash": "s_hash"})
     here = F.col("ident").eqNullSafe(F.col("s_ident")) & (F.col("hash") == F.col("s_hash"))
-    marked = base.join(broadcast_if_small(gathered), here, "left").select("ident", "body", "spans")
-    schema = "ident bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<array<int>>"
-    return marked.mapInPandas(_cut, schema).withColumnRenamed("ident", ident)
+    marked = base.join(broadcast_if_small(gathered), here, "left")
+    lost = broadcast_if_small(gathered.select("s_ident", "s_hash"))
+    starts = _repeated_words(base.join(lost, here, "left").select("ident", "hash", "body", F.col("s_hash").isNull().alias("whole")), words)
+    by_words = F.col("ident").eqNullSafe(F.col("w_ident")) & (F.col("hash") == F.col("w_hash"))
+    marked = marked.join(broadcast_if_small(starts), by_words, "left").select("ident", "body", "spans", "starts")
+    schema = (
+        "ident bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, "
+        "removed array<array<int>>, passages array<array<int>>"
+    )
+    return marked.mapInPandas(_cut(words), schema).withColumnRenamed("ident", ident)
